@@ -1,3 +1,24 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+OP4 = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), win as (
+  select distinct cast(item_id as varchar) as item, least(10, len(w)) as k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0)
+), ks as (select distinct k from win
+), occ as (
+  select doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') as g
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, ks where len(w) >= k)
+), hit as (select o.doc_id, o.p, o.k, win.item from occ o join win on o.k = win.k and o.g = win.g
+), pos as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from hit) group by doc_id
+), its as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hit group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_decontamination": OP4}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chunks, sharding, substring, toxicity
+from loomline.llm import chunks, decontaminate, sharding, substring, toxicity
 from loomline.llm.common import table
 
 
@@ -20,8 +20,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op5_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup)}
