@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chunks, decontaminate, sharding, substring, toxicity
+from loomline.llm import chunks, decontaminate, sharding, simhash, substring, toxicity
 from loomline.llm.common import table
 
 
@@ -29,4 +29,8 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup, op7_simhash)}
