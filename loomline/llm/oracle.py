@@ -21,4 +21,40 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join pos using (doc_id) left join its using (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_decontamination": OP4}
+OP9 = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, strlen(coalesce(text, '')) as bytes,
+    concat_ws(':', coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, ''))) as id
+  from documents
+), k as (
+  select *, -ln((cast(('0x' || substr(md5('17:' || id), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double)
+    / (case when bytes / greatest(size, 1) between 4 and 12 then 1.0::double else 0.5::double end * case when size >= 20 then 1.0::double else 0.5::double end) as key
+  from d
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, 1 + (row_number() over (order by source is null, source) - 1) % 3 as weight from d group by source
+), l as (
+  select *, 3.0::double * source_size as most,
+    (sum(source_size) over () - coalesce(sum(3.0::double * source_size) over (order by 3.0::double * source_size / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (order by 3.0::double * source_size / weight, source is null, source rows between unbounded preceding and 1 preceding), 0)) as level
+  from s
+), f as (select min(level) filter (where most > level * weight) as level, count(*) filter (where most > level * weight) as open from l
+), t as (
+  select source, source_size, case when l.most <= l.level * weight or f.open = 0 then l.most
+    else least(l.most, (select arg_min(x.level, x.most / x.weight) from l x where x.most > x.level * x.weight) * weight) end as target
+  from l, f
+), e as (
+  select *, case when source_size > 0 then cast(floor(round(target / source_size, 9)) as bigint) else 0 end as epochs from t
+), c as (
+  select k.*, e.source_size, e.target, e.epochs, greatest(0, e.target - e.epochs * e.source_size) as rest,
+    sum(k.size) over (partition by k.source order by k.key, k.id) as upto
+  from k join e on k.source is not distinct from e.source
+), g as (select source, max(rest) - coalesce(max(upto) filter (where upto <= rest), 0) as gap from c group by source
+), p as (
+  select c.source, arg_min(c.id, row(abs(c.size - g.gap), c.key, c.id)) as fill
+  from c join g on c.source is not distinct from g.source where c.upto > c.rest and abs(c.size - g.gap) < g.gap group by c.source
+)
+select c.doc_id, c.size, c.source_size, c.target, cast(c.size * (c.epochs + case when c.upto <= c.rest or coalesce(c.id = p.fill, false) then 1 else 0 end) as bigint) as taken
+from c left join p on c.source is not distinct from p.source
+"""
+
+SQL: dict[str, str] = {"op4_decontamination": OP4, "op9_mixing": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chunks, decontaminate, sharding, simhash, substring, toxicity
+from loomline.llm import chunks, decontaminate, iblt, mixing, sharding, simhash, substring, toxicity
 from loomline.llm.common import table
 
 
@@ -29,8 +29,16 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup, op7_simhash)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup, op6_fingerprints, op7_simhash, op9_mixing)}
