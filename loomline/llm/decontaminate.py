@@ -201,3 +201,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         both = both.groupBy("key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("key.n")))).drop("_copy")
     return _merge(both.select(F.col("key.doc_id").alias("doc_id"), "n_words", "spans", "items"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Rows of docs without a benchmark window, all their columns."""
+    text = F.coalesce("text", F.lit(""))
+    r1, r2 = row_key(F.col("doc_id"), text)
+    keyed = docs.withColumns({"_r1": r1, "_r2": r2})
+    # the row's key takes the place of its id: of rows that share it, all are hit or none
+    hit = decontaminate(keyed.drop("doc_id").withColumnRenamed("_r1", "doc_id").select("doc_id", "text"), benchmark, size).where("contaminated")
+    hit = materialise(hit.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return keyed.join(hit, F.col("_r1") == F.col("_hit"), "left_anti").select(*docs.columns)

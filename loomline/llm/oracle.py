@@ -1,5 +1,36 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+from loomline.llm.licences import RULES, known
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    out = f"lower({column})"
+    for pattern, to in RULES:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to.replace('$', chr(92)))}, 'g')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+OP10 = f"""
+with k(id, text) as (values {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in known())}),
+t as (select sha256({_canonical("text")}) as digest, min(id) as licence from k group by 1),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+u as (
+  select r, true as whole, text as part from d
+  union all select distinct r, false, unnest(list_distinct(regexp_split_to_array(text, '\\n') || regexp_split_to_array(text, '\\n *\\n'))) from d
+),
+f as (
+  select r, max(licence) filter (where whole) as licence, string_agg(distinct licence, ',' order by licence) filter (where not whole) as declared, count(distinct u.digest) filter (where not whole) as n
+  from (select r, whole, sha256({_canonical("part")}) as digest from u where whole or length(part) > 2) u join t using (digest) group by r
+)
+select doc_id, licence, coalesce(declared, '') as declared, cast(coalesce(n, 0) as bigint) as n_declared from d left join f using (r)
+"""
+
 OP4 = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -57,4 +88,16 @@ select c.doc_id, c.size, c.source_size, c.target, cast(c.size * (c.epochs + case
 from c left join p on c.source is not distinct from p.source
 """
 
-SQL: dict[str, str] = {"op4_decontamination": OP4, "op9_mixing": OP9}
+OP8 = r"""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages
+), b as (
+  select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast(((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as bigint), 1)), '') as digest from p
+)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when first = page_id or first is null then 'response' else 'revisit' end as record_type,
+  case when first = page_id then null else first end as refers_to
+from b
+"""
+
+SQL: dict[str, str] = {"op10_licences": OP10, "op8_warc": OP8, "op4_decontamination": OP4, "op9_mixing": OP9}
