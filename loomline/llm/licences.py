@@ -70,6 +70,10 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
+#: Every built-in text has one of these, and no rule brings one about: texts without them can't match and aren't normalised.
+STEMS = r"(?i)licen|permission|redistribution|cc[^\p{L}\p{N}]*(by|0)"
+
+
 def canonical(text: Column) -> Column:
     """Lower case without punctuation, copyright lines and spellings that say the same."""
     out = F.lower(text)
@@ -96,6 +100,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     built-in ones; it may be of any size.
     """
     spark = docs.sparkSession
+    stems = STEMS if licences is None else ""
     licences = spark.createDataFrame(known(), "id string, text string") if licences is None else licences
     table = licences.where("text is not null and id is not null").select("id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     table = materialise(table.groupBy("digest").agg(F.min("id").alias("licence")), "licences")
@@ -103,8 +108,8 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     parts = F.array_union(F.split(text, r"\n"), F.split(text, r"\n *\n"))
     # equal parts of one text are counted once for each kind
-    keyed = docs.select(*row_key(F.col("doc_id"), text), text.alias("text"))
-    units = keyed.select("_r1", "_r2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("part"))), F.transform(F.filter(parts, lambda p: F.length(p) > 2), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("part"))))).alias("u"))
+    keyed = docs.select(*row_key(F.col("doc_id"), text), text.alias("text")).where(F.col("text").rlike(stems))
+    units = keyed.select("_r1", "_r2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("part"))), F.transform(F.filter(parts, lambda p: (F.length(p) > 2) & p.rlike(stems)), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("part"))))).alias("u"))
     units = units.select("_r1", "_r2", "u.whole", F.sha2(canonical(F.col("u.part")), 256).alias("digest"))
     found = units.join(F.broadcast(table) if small else table, "digest")
     found = found.groupBy("_r1", "_r2").agg(F.max(F.when(F.col("whole"), F.col("licence"))).alias("licence"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("licence")))), ",").alias("declared"), F.countDistinct(F.when(~F.col("whole"), F.col("digest"))).alias("n_declared"))
