@@ -99,9 +99,9 @@ def completeness(spark, sf):
     return fold.verdicts(events(spark, sf))
 
 
-@_query(_FOLD + "select journey_id, step_index, cast(end_ordinal as bigint) as end_ordinal, cast(block as bigint) as prefix_block, status, cast(message_count as bigint) as message_count from sized")
+@_query(_FOLD + "select journey_id, step_index, cast(end_ordinal as bigint) as end_ordinal, coalesce(cast(block as bigint), 0) as prefix_block, status, cast(message_count as bigint) as message_count from sized")
 def steps(spark, sf):
-    return fold.steps(fold.messages(fold.clean(events(spark, sf)))).drop("end_seq")
+    return fold.steps(fold.messages(fold.clean(events(spark, sf)))).drop("end_seq").fillna(0, ["prefix_block"])
 
 
 @_query(_FOLD + f"select journey_id, step_index, cast(message_count as bigint) as n_messages, sha256({_PROMPT.format(j='s.journey_id', block='s.block', upto='s.end_seq')}) as messages_sha256 from sized s join verdict v using (journey_id) where s.status = 'trainable' and v.reason is null")
@@ -263,9 +263,9 @@ def counts_by_project(spark, sf):
     return _metrics(spark, sf).groupBy("event_type", "host").agg(F.count("*").alias("n"))
 
 
-@_query(_METRICS + "select cast(ts as date) as date, count(*) as n from m group by 1 order by 1 desc limit 30")
+@_query(_METRICS + "select cast(cast(ts as date) as varchar) as date, count(*) as n from m group by 1 order by 1 desc limit 30")
 def snapshots_by_date(spark, sf):
-    return _metrics(spark, sf).groupBy(F.col("ts").cast("date").alias("date")).agg(F.count("*").alias("n")).orderBy(F.desc("date")).limit(30)
+    return _metrics(spark, sf).groupBy(F.col("ts").cast("date").cast("string").alias("date")).agg(F.count("*").alias("n")).orderBy(F.desc("date")).limit(30)
 
 
 @_query(_METRICS + "select host, id, value from (select *, row_number() over (partition by host order by ts desc, id desc) as r, count(*) over (partition by host) as c from m) where r <= 60 and c >= 2")

@@ -1,0 +1,144 @@
+import itertools
+import json
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from loomline.operators import catalog, corpus, fold, text
+from loomline.plans.queries import QUERIES, SQL
+from loomline.sources import wire
+from loomline.streaming import ingest
+
+SF = "/root/testdata/sf0.001"
+TABLES = "events documents pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="session")
+def oracle():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+def rows(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    return sorted(tuple("null" if v is None or v != v else str(v) for v in r) for r in frame.itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_gives_the_rows_of_its_sql(spark, oracle, name):
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(oracle.sql(SQL[name]).df())
+
+
+COLUMNS = "journey_id long, seq long, kind string, event_id string, role string, content string, signal string, target_seq long, writer string, arrival int"
+
+
+def stream(spark, entries, journey=1):
+    """entries: roles (S U A T) or (signal, target) or 'end'."""
+    out = []
+    for seq, e in enumerate(entries):
+        kind = "terminal" if e == "end" else "signal" if isinstance(e, tuple) else "message"
+        role = {"S": "system", "U": "user", "A": "assistant", "T": "tool"}.get(e) if kind == "message" else None
+        signal, target = e if kind == "signal" else (None, None)
+        out.append((journey, seq, kind, f"{journey}-{seq}", role, f"m{seq}", signal, target, "w", 0))
+    return spark.createDataFrame(out, COLUMNS)
+
+
+def test_golden_journey(spark):
+    e = stream(spark, ["S", "U", "A", "T", "A", ("regenerated", 4), "A", ("user_edit", 6), "A", ("thumbs_up", 8), "end"])
+    m = {r["seq"]: r["status"] for r in fold.messages(fold.clean(e)).collect()}
+    assert (m[4], m[6], m[8]) == ("superseded", "superseded", "trainable")
+    s = sorted((r["step_index"], r["message_count"], r["status"]) for r in fold.steps(fold.messages(fold.clean(e))).collect())
+    assert s == [(0, 5, "superseded"), (1, 6, "superseded"), (2, 7, "trainable")]
+    pairs = fold.dpo_pairs(e).collect()
+    assert sorted((p["rejected"], p["chosen"]) for p in pairs) == [("m4", "m8"), ("m6", "m8")]
+    assert [x["role"] for x in pairs[0]["prompt"]] == ["system", "user", "assistant", "tool"]
+    assert [(r["step_index"], len(r["messages"])) for r in fold.sft_examples(e).collect()] == [(2, 7)]
+
+
+@pytest.mark.parametrize(("case", "expected"), [("UATA", [4]), ("UAUA", [2, 4]), ("UAAA", [4]), ("UUA", [3]), ("UAU", [2, 3]), ("SUASUA", [3, 5])])
+def test_segmentation(spark, case, expected):
+    s = fold.steps(fold.messages(fold.clean(stream(spark, list(case) + ["end"])))).orderBy("step_index")
+    assert [r["message_count"] for r in s.collect()] == expected
+
+
+def scan(roles):
+    """Message counts of the steps of turns without system messages, by a straight scan."""
+    out, answered = [], False
+    for n, role in enumerate(roles):
+        if role == "U" and answered:
+            out.append(n)
+            answered = False
+        answered |= role != "U"
+    return [*out, len(roles)]
+
+
+def test_segmentation_of_plain_turns_matches_a_scan(spark):
+    rng = random.Random(3)
+    cases = ["".join(c) for n in range(1, 5) for c in itertools.product("UAT", repeat=n) if c[0] == "U"]
+    cases += ["U" + "".join(rng.choice("UAT") for _ in range(9)) for _ in range(60)]
+    names = {"U": "user", "A": "assistant", "T": "tool"}
+    everything = spark.createDataFrame([(j, s, "message", f"{j}-{s}", names[x], "m", None, None, "w", 0) for j, c in enumerate(cases) for s, x in enumerate(c)], COLUMNS)
+    got = {}
+    for r in fold.steps(fold.messages(fold.clean(everything))).collect():
+        got.setdefault(r["journey_id"], []).append((r["step_index"], r["message_count"]))
+    for j, c in enumerate(cases):
+        assert [m for _, m in sorted(got[j])] == scan(c), c
+
+
+def test_fold_ignores_order_and_repeats(spark):
+    e = stream(spark, ["S", "U", "A", ("regenerated", 2), "A", "U", "A", "end"])
+    again = e.unionByName(e.withColumn("arrival", F.lit(1))).orderBy(F.rand(3))
+    assert sorted(map(tuple, fold.steps(fold.messages(fold.clean(e))).collect())) == sorted(map(tuple, fold.steps(fold.messages(fold.clean(again))).collect()))
+    v = fold.verdicts(again).first()
+    assert v["complete"] and v["duplicates"] == 8
+
+
+def test_fold_deals_rows_out_once(spark):
+    plan = fold.steps(fold.messages(fold.clean(stream(spark, ["U", "A", "end"]))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_wire_reader_keeps_what_is_sound(spark, tmp_path):
+    event = {"journey_id": "j", "seq": 0, "kind": "message", "ts": "t", "event_id": "e0", "message": {"role": "user", "content": "hi"}}
+    bad = [json.dumps(event), "", "{broken", json.dumps(event | {"seq": -1}), json.dumps(event | {"kind": "signal"}), json.dumps({"seq": 1})]
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"schema_version": "2.1", "journey_id": "j"}), *bad, '{"journey_id": "j", "se']))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"schema_version": "3.0", "journey_id": "k"}) + "\n")
+    lines = wire.lines(spark, str(tmp_path))
+    heads = {r["path"][-7:]: r["error"] for r in wire.headers(lines).collect()}
+    assert heads == {"a.jsonl": None, "b.jsonl": "unknown major version"}
+    got = [(r["line_no"], r["state"], r["reason"]) for r in wire.events(lines).orderBy("line_no").collect()]
+    assert got == [(2, "ok", None), (4, "rejected", "not JSON"), (5, "rejected", "negative seq"), (6, "rejected", "payload does not match kind"), (7, "rejected", "missing field"), (8, "truncated", None)]
+
+
+@pytest.mark.parametrize(("line", "rule", "n"), [("reach me at jane.doe@example.com please", "emails", 1), ("call 555-123-4567 today", "phones", 1), ("ssn is 123-45-6789", "ssns", 1), ("card 4111 1111 1111 1111 on file", "cards", 1), ("order number 1234 5678 9012 3456", "cards", 0)])
+def test_personal_data(spark, line, rule, n):
+    d = spark.createDataFrame([(line,)], "t string")
+    assert d.select(text.pii_counts(F.col("t"))[rule].alias("n")).first()["n"] == n
+    assert ("[REDACTED" in d.select(text.pii_redact(F.col("t")).alias("t")).first()["t"]) == bool(n)
+
+
+def test_stream_ingest_drops_what_arrived_before(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    e = stream(spark, ["U", "A", "end"])
+    e.unionByName(e).write.parquet(src)
+    for _ in range(2):
+        ingest.ingest(spark.readStream.schema(e.schema).parquet(src), out, state).awaitTermination()
+        e.write.mode("append").parquet(src)
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_acknowledgements_never_go_back(spark):
+    acks = spark.createDataFrame([(1, 5)], "journey_id long, ack long")
+    sent = spark.createDataFrame([(1, 3), (2, 4)], "journey_id long, seq long")
+    assert {tuple(r) for r in ingest.advanced(acks, sent).collect()} == {(1, 5), (2, 4)}
+
+
+def test_watermark_and_cursor():
+    assert corpus.watermark([("a", "1"), ("b", "2")]) == corpus.watermark([("b", "2"), ("a", "1")])
+    with pytest.raises(ValueError):
+        corpus.watermark([("", "1")])
+    assert catalog.decode_cursor("MjU=") == 25 and catalog.decode_cursor("?") == 0
