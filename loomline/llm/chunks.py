@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut_spans, materialise, row_key
+from loomline.llm.common import cut_spans, discard, materialise, row_key
 from loomline.llm.rolling import BLOCK, Rolling
 
 WINDOW = 32
@@ -114,4 +114,5 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN, with_text: bool = False
     )
     later = chunks.join(first, "d").where("not (_r1 = f1 and _r2 = f2 and lo = flo)").select("_r1", "_r2", "lo", "hi")
     spans = materialise(later.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "chunk_spans")
+    discard(chunks, first)
     return cut_spans(docs, spans, min_run, with_text)

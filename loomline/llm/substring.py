@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut_spans, materialise, row_key
+from loomline.llm.common import cut_spans, discard, materialise, row_key
 from loomline.llm.rolling import BLOCK, Rolling, mix, sliding_argmin
 
 LENGTH = 400
@@ -104,13 +104,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     distinct = materialise(distinct, "stretches")
     names = materialise(distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.max("rows").alias("most")).where("kinds > 1 or most > 1"), "names")
     repeated = materialise(distinct.join(names.select("h", "kinds"), "h"), "repeated")
+    discard(distinct, names)
     mixed = repeated.where("kinds > 1").select("place.*", (F.col("rows") == 1).alias("single"))
     single = materialise(windows(keyed, mixed, length), "windows")
     twice = materialise(single.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), "twice")
     # of stretches that occur once, the windows that occur in another one
     parts = single.where("single").join(twice, ["w1", "w2"], "left_semi").select("_r1", "_r2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    parts = materialise(parts, "parts")
+    discard(single, twice)
     whole = sample.join(repeated.where("rows > 1").select("h", "u"), ["h", "u"], "left_semi").select("_r1", "_r2", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-    return materialise(parts.unionByName(whole).groupBy("_r1", "_r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    whole = materialise(whole, "whole")
+    discard(sample, repeated)
+    spans = materialise(parts.unionByName(whole).groupBy("_r1", "_r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(parts, whole)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
