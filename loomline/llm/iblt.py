@@ -76,10 +76,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("_order"), text.alias("text"), digests(text).alias("own"))
     rows = rows.withColumn("_at", at.cast("int")).withColumn("_bound", F.element_at(fine, F.col("_at") + 1) == F.col("_order"))
     sent = F.array_compact(F.array(F.struct(F.col("_at").alias("range"), F.lit(0).alias("follower")), F.when(F.col("_bound"), F.struct(above.alias("range"), F.lit(1).alias("follower")))))
-    rows = rows.withColumn("_to", F.explode(sent)).select("doc_id", "_order", "text", "own", "_to.range", "_to.follower")
-    w = Window.partitionBy("range").orderBy("follower", F.desc("_order"), F.desc(F.xxhash64("text")), F.desc("text"))
-    rows = rows.repartition(len(bounds), "range").withColumns({"row": F.row_number().over(w), "next_text": F.lead("text").over(w), "next": F.lead("own").over(w)})
-    return rows.where("follower = 0")
+    rows = rows.withColumn("_to", F.explode(sent)).select(F.struct("doc_id", "text", "own").alias("d"), "_order", "_to.range", "_to.follower")
+    w = Window.partitionBy("range").orderBy("follower", F.desc("_order"), F.desc(F.xxhash64("d.text")), F.desc("d.text"))
+    # one column, read whole by the window: all that is derived from it shares one exchange
+    rows = rows.repartition(len(bounds), "range").withColumns({"row": F.row_number().over(w), "n": F.lead("d").over(w)})
+    return rows.where("follower = 0").select("range", "row", "d.doc_id", "d.text", "d.own", F.col("n.text").alias("next_text"), F.col("n.own").alias("next"))
 
 
 def versions(docs: DataFrame) -> DataFrame:
