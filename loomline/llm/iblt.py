@@ -149,25 +149,25 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     near_edited and near_next.
     """
     v = versions(docs)
+    at, sets = ["range", "row"], ["own", "edited", "next"]
     both = F.size("own") + F.size("edited"), F.size("own") + F.size("next")
-    facts = v.select("range", "row", "doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), *(b.alias(f"both{i}") for i, b in enumerate(both)), F.size("own").alias("pieces"), F.size("edited").alias("edited_pieces"))
+    facts = v.select(*at, "doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), *(b.alias(f"both{i}") for i, b in enumerate(both)), F.size("own").alias("pieces"), F.size("edited").alias("edited_pieces"), F.struct(*sets).alias("sets"))
+    stuck = F.coalesce(F.greatest("stuck0", "stuck1"), F.lit(0)) > 0
 
     def peeled(pairs: DataFrame, scale: int, seed: int) -> DataFrame:
-        d = differences(pairs, scale, seed).groupBy("range", "row")
+        d = differences(pairs, scale, seed).groupBy(*at)
         return d.agg(*(F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("found", "stuck")))
 
-    at = ["range", "row"]
+    # pairs whose peeling got stuck keep their digests, so that the texts move only once
     first = facts.join(sketches(v), at, "left").join(peeled(v, 1, 0), at, "left")
-    out = materialise(first, "fingerprints")
-    scale = 1
-    while out.where("stuck0 > 0 or stuck1 > 0").limit(1).count():
+    tried = materialise(first.withColumn("sets", F.when(stuck, F.col("sets"))), "fingerprints")
+    out, scale = tried.where(~stuck), 1
+    while tried.where(stuck).limit(1).count():
         scale *= 4
-        failed = out.where("stuck0 > 0 or stuck1 > 0").select(*at)
-        again = peeled(v.join(failed, at, "left_semi"), scale, scale).select(*at, *(F.col(c).alias(f"_{c}") for c in ("found0", "stuck0", "found1", "stuck1")), F.lit(True).alias("_again"))
-        merged = out.join(again, at, "left")
-        for c in ("found0", "stuck0", "found1", "stuck1"):
-            merged = merged.withColumn(c, F.when(F.col("_again"), F.col(f"_{c}")).otherwise(F.col(c)))
-        out = materialise(merged.select(*out.columns), "fingerprints")
+        failed = tried.where(stuck).drop("found0", "stuck0", "found1", "stuck1").repartition(*at)
+        again = failed.join(peeled(failed.select(*at, "sets.*"), scale, scale), at, "left")
+        tried = materialise(again.withColumn("sets", F.when(stuck, F.col("sets"))), "fingerprints")
+        out = out.unionByName(tried.where(~stuck))
 
     def near(k: int) -> Column:
         return F.when(F.col(f"both{k}") == 0, F.lit(1.0)).otherwise(1 - F.coalesce(f"found{k}", F.lit(0)) / F.col(f"both{k}"))
