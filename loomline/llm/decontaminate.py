@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, row_key
+from loomline.llm.common import materialise, row_key, slices
 
 WINDOW = 10
 #: Benchmark text the executors hold at a time; a larger benchmark is taken in blocks, each against all documents.
@@ -47,7 +47,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 lists: dict[int, list[int]] = {}
@@ -112,7 +112,7 @@ def _match(index: DataFrame, phrases: list[tuple[list[tuple[int, int]], int, lis
 
     def run(batches):
         leads = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             spans, found = [], []
             for terms, ends, positions in zip(*(batch.column(c).to_pylist() for c in ("terms", "ends", "positions")), strict=True):
                 hits: list[dict] = []
@@ -155,7 +155,7 @@ def _merge(part: DataFrame) -> DataFrame:
     """Final columns; spans are united in word positions."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             hit, digest = [], []
             for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 at = n = 0

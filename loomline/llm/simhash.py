@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, parallelism
+from loomline.llm.common import materialise, parallelism, slices
 from loomline.llm.components import stars
 
 SHINGLE = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(fp)], [*rest, "fp"])
 
