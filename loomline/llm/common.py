@@ -40,14 +40,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the executions inside go when each ends; what they computed is in a table by then."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the executions inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def freed_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of the executions inside go when each ends; what they computed is in a table by then."""
+    return setting(spark, _CLEANUP, "true")
+
+
+def joined_in_place(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Joins inside keep a partitioning by a part of their keys; right where that part alone spreads the rows evenly."""
+    return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise
+from loomline.llm.common import joined_in_place, materialise
 
 #: Cells of each subtable of the fingerprint itself.
 CELLS = 8
@@ -160,7 +160,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     # pairs whose peeling got stuck keep their digests, so that the texts move only once
     first = facts.join(sketches(v), at, "left").join(peeled(v, 1, 0), at, "left")
-    tried = materialise(first.withColumn("sets", F.when(stuck, F.col("sets"))), "fingerprints")
+    with joined_in_place(docs.sparkSession):  # ranges are even, so the join needs no exchange beyond that of the texts
+        tried = materialise(first.withColumn("sets", F.when(stuck, F.col("sets"))), "fingerprints")
     out, scale = tried.where(~stuck), 1
     while tried.where(stuck).limit(1).count():
         scale *= 4
