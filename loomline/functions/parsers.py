@@ -1,0 +1,252 @@
+"""Chat formats of model providers as message rows.
+
+A format says which pieces an entry has: text, reasoning, calls, results.  One
+rule makes messages of them: text, reasoning and calls share the first message,
+each result is a tool message after it, and an entry without any piece is an
+empty message.  What can't be read is an error, never left out.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomline.operators.text import normalize_role
+
+#: Names of roles, and the ones of blocks without text.  Fixed values.
+ROLES = {"system": "system", "user": "user", "assistant": "assistant", "tool": "tool", "human": "user", "ai": "assistant", "chatbot": "assistant", "model": "assistant", "tool_use": "assistant", "function": "tool", "tool_result": "tool"}
+MEDIA = frozenset({"image_url", "image", "input_audio", "audio", "refusal", "video"})
+
+SCHEMA = "idx int, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_response struct<id:string,name:string,response:string,error:string>, usage string, finish_reason string, metadata string, reasoning string, error string"
+_FIELDS = ("role", "content", "tool_calls", "tool_response", "usage", "finish_reason", "metadata", "reasoning")
+
+
+class Malformed(ValueError):
+    pass
+
+
+def _must(ok: object, why: str) -> None:
+    if not ok:
+        raise Malformed(why)
+
+
+def _typed(entry: dict, key: str, kind: type):
+    value = entry.get(key)
+    _must(value is None or isinstance(value, kind), f"{key} is not a {kind.__name__}")
+    return value
+
+
+def _dumped(value) -> str | None:
+    return None if value is None else json.dumps(value, sort_keys=True)
+
+
+def role_of(value) -> str:
+    _must(isinstance(value, str) and value.strip().lower() in ROLES, f"unknown role {value!r}")
+    return ROLES[value.strip().lower()]
+
+
+def arguments_of(value) -> dict:
+    """Arguments of a call: an object, JSON of one, or nothing."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError as e:
+            raise Malformed("arguments are not JSON") from e
+        _must(isinstance(value, dict), "arguments are not an object")
+    _must(value is None or isinstance(value, dict), "arguments are not an object")
+    return value or {}
+
+
+def text_of(content) -> str | None:
+    """Text of a content: itself, the text of an object, or the lines of text blocks."""
+    if content is None or isinstance(content, str):
+        return content
+    if isinstance(content, dict):
+        _must(isinstance(content.get("text"), str), "content has no text")
+        return content["text"]
+    _must(isinstance(content, list), "content is neither text nor blocks")
+    lines = []
+    for block in content:
+        if isinstance(block, dict) and block.get("type") in MEDIA:
+            continue
+        if isinstance(block, dict):
+            _must(block.get("type") == "text", f"unknown block {block.get('type')!r}")
+            block = block.get("text")
+        _must(isinstance(block, str), "block without text")
+        lines.append(block)
+    return "\n".join(lines) if lines else None
+
+
+def result_text(value) -> str | None:
+    """A tool's result as text; what isn't text is kept whole as JSON."""
+    if isinstance(value, list) and value and all(isinstance(b, dict) and b.get("type") == "text" for b in value):
+        return text_of(value)
+    if isinstance(value, dict) and isinstance(value.get("text"), str):
+        return value["text"]
+    if isinstance(value, list | dict):
+        return json.dumps(value, sort_keys=True)
+    return value if value is None or isinstance(value, str) else str(value)
+
+
+def _call(name, arguments, call_id) -> tuple:
+    _must(name, "call without a name")
+    return "call", {"id": call_id, "name": name, "arguments": json.dumps(arguments, sort_keys=True)}
+
+
+def _result(call_id, name, payload, failed=False) -> tuple:
+    return "result", {"id": call_id or "", "name": name or "", "response": result_text(payload), "error": "tool_error" if failed else None}
+
+
+def _assembled(role: str, pieces: Iterable[tuple], empty_thought: bool = True, **facts) -> list[dict]:
+    """Messages of an entry; facts belong to the first of them.  empty_thought: an empty reasoning counts as one."""
+    of = {"text": [], "reasoning": [], "call": [], "result": []}
+    for kind, value in pieces:
+        of[kind].append(value)
+    text, thought = ("\n".join(of[k]) if of[k] else None for k in ("text", "reasoning"))
+    thought = thought if empty_thought else thought or None
+    out = [{"role": "tool", "content": r["response"], "tool_response": r} for r in of["result"]]
+    if text is not None or thought is not None or of["call"] or not out:
+        out.insert(0, {"role": role, "content": text, "tool_calls": of["call"] or None, "reasoning": thought})
+    out[0] |= facts
+    return out
+
+
+def _blocks(blocks) -> list[dict]:
+    _must(isinstance(blocks, list), "neither text nor a list of blocks")
+    _must(all(isinstance(b, dict) for b in blocks), "block is not an object")
+    return blocks
+
+
+def _string(value) -> str:
+    _must(isinstance(value, str), "block without text")
+    return value
+
+
+def openai(entry: dict) -> list[dict]:
+    role, content = role_of(entry.get("role")), text_of(entry.get("content"))
+    calls = _typed(entry, "tool_calls", list)
+    if calls is None and entry.get("function_call") is not None:
+        legacy = _typed(entry, "function_call", dict)
+        calls = [{"name": legacy.get("name"), "arguments": legacy.get("arguments")}]
+    made = []
+    for c in calls or []:
+        _must(isinstance(c, dict), "call is not an object")
+        f = _typed(c, "function", dict)
+        made.append(_call((f or {}).get("name") or c.get("name"), arguments_of((c if f is None else f).get("arguments")), c.get("id"))[1])
+    answer = None
+    if role == "tool":
+        call_id = entry.get("tool_call_id") or entry.get("id")
+        _must(call_id or entry["role"].strip().lower() == "function", "tool message without an id")
+        answer = {"id": call_id or "", "name": entry.get("name") or "", "response": content, "error": None}
+    return [{"role": role, "content": content, "tool_calls": made or None, "tool_response": answer, "usage": _dumped(_typed(entry, "usage", dict)), "finish_reason": entry.get("finish_reason"), "metadata": _dumped(_typed(entry, "metadata", dict)), "reasoning": _typed(entry, "reasoning", str)}]
+
+
+def anthropic(entry: dict) -> list[dict]:
+    def pieces(content) -> Iterator[tuple]:
+        for b in _blocks(content):
+            kind = b.get("type")
+            if kind == "text":
+                yield "text", _string(b.get("text"))
+            elif kind == "tool_use":
+                yield _call(b.get("name"), b.get("input") or {}, b.get("id"))
+            else:
+                _must(kind == "tool_result", f"unknown block {kind!r}")
+                yield _result(b.get("tool_use_id") or b.get("id"), b.get("name"), b.get("content"), b.get("is_error"))
+
+    content = entry.get("content")
+    facts = {"finish_reason": entry.get("stop_reason") or entry.get("finish_reason"), "usage": _dumped(_typed(entry, "usage", dict))}
+    return _assembled(role_of(entry.get("role")), [("text", content)] if isinstance(content, str) else pieces(content), **facts)
+
+
+def vercel(entry: dict) -> list[dict]:
+    def pieces(blocks) -> Iterator[tuple]:
+        for b in _blocks(blocks):
+            kind = b.get("type")
+            if kind == "text":
+                yield "text", _string(b.get("text"))
+            elif kind == "reasoning":
+                yield "reasoning", _string(b.get("text") or b.get("reasoning"))
+            elif kind in ("tool-invocation", "tool-call"):
+                c = b["toolInvocation"] if isinstance(b.get("toolInvocation"), dict) else b
+                yield _call(c.get("toolName") or c.get("name"), arguments_of(c["args"] if "args" in c else c.get("input")), c.get("toolCallId") or c.get("id"))
+            else:
+                _must(kind == "tool-result", f"unknown part {kind!r}")
+                call_id = b.get("toolCallId") or b.get("id")
+                _must(call_id, "result without an id")
+                yield _result(call_id, b.get("toolName") or b.get("name"), b["result"] if "result" in b else b.get("output"), b.get("isError") or b.get("is_error"))
+
+    content, parts = entry.get("content"), entry.get("parts")
+    _must(content is None or parts is None, "both content and parts")
+    blocks = content if parts is None else parts
+    plain = [] if blocks is None else [("text", content)] if isinstance(content, str) else pieces(blocks)
+    return _assembled(role_of(entry.get("role")), plain)
+
+
+def gemini(entry: dict) -> list[dict]:
+    def pieces() -> Iterator[tuple]:
+        for p in _blocks(entry.get("parts")):
+            if p.get("function_call") is not None:
+                c = _typed(p, "function_call", dict)
+                yield _call(c.get("name"), c.get("args") or {}, c.get("id"))
+            elif p.get("function_response") is not None:
+                r = _typed(p, "function_response", dict)
+                yield _result(r.get("id") or r.get("name"), r.get("name"), r.get("response"))
+            else:
+                _must(p.get("text") is not None, "part without a known key")
+                yield "reasoning" if p.get("thought") else "text", _string(p["text"])
+
+    return _assembled(role_of(entry.get("role")), pieces(), empty_thought=False)
+
+
+PARSERS = {"openai": openai, "anthropic": anthropic, "vercel": vercel, "gemini": gemini}
+
+
+def parse(payload: str, provider: str) -> list[dict]:
+    """Messages of a JSON array of entries."""
+    try:
+        entries = json.loads(payload)
+    except (TypeError, ValueError) as e:
+        raise Malformed("not JSON") from e
+    _must(isinstance(entries, list) and all(isinstance(e, dict) for e in entries), "not a list of objects")
+    return [m for e in entries for m in PARSERS[provider](e)]
+
+
+def parse_messages(conversations: DataFrame, provider: str, fail: bool = False) -> DataFrame:
+    """Message rows of conversations (id, payload).
+
+    A payload that can't be read whole gives one row with its error and no
+    message, or with fail ends the query.
+    """
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for key, payload in zip(frame["id"], frame["payload"], strict=True):
+                try:
+                    out += [(key, i, *(m.get(f) for f in _FIELDS), None) for i, m in enumerate(parse(payload, provider))]
+                except Malformed as e:
+                    if fail:
+                        raise
+                    out.append((key, None, *(None for _ in _FIELDS), str(e)))
+            yield pd.DataFrame(out, columns=["id", "idx", *_FIELDS, "error"]).astype({"idx": "Int32"})
+
+    kind = conversations.schema["id"].dataType.simpleString()
+    return conversations.select("id", "payload").mapInPandas(run, f"id {kind}, {SCHEMA}")
+
+
+def parse_pairs(turns: DataFrame, order: str) -> DataFrame:
+    """Message rows of (id, role, content) turns; an unknown role gives a row with an error."""
+    role = normalize_role(F.col("role"))
+    return turns.select("id", order, role.alias("role"), "content", F.when(role.isNull(), F.concat(F.lit("unknown role "), F.coalesce("role", F.lit("null")))).alias("error"))
+
+
+def prompt_response(rows: DataFrame) -> DataFrame:
+    """(id, idx, role, content) of (id, system, prompt, response); an empty or missing system prompt is left out."""
+    turn = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(c).alias("content"))
+    two = F.array(turn("user", "prompt"), turn("assistant", "response"))
+    turns = F.when(F.coalesce("system", F.lit("")) == "", two).otherwise(F.concat(F.array(turn("system", "system")), two))
+    return rows.select("id", F.posexplode(turns).alias("idx", "m")).select("id", "idx", "m.role", "m.content")

@@ -21,12 +21,12 @@ def latest_per_host(metrics: DataFrame) -> DataFrame:
 
 
 def format_bytes(n: Column) -> Column:
-    """Decimal units, one digit after the point above bytes."""
-    units = ("B", "kB", "MB", "GB", "TB", "PB")
-    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in list(enumerate(units))[1:]:
-        out = F.when(n >= 1000.0**k, F.format_string(f"%.1f {unit}", n / 1000.0**k)).otherwise(out)
-    return out
+    """Decimal units, one digit after the point above bytes, halves away from zero; a dash for null."""
+    size = F.abs(n)
+    out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
+        out = F.when(size >= 1000.0**k, F.format_string(f"%.1f {unit}", size / 1000.0**k)).otherwise(out)
+    return F.when(n.isNull(), "\u2014").when(n < 0, F.concat(F.lit("-"), out)).otherwise(out)
 
 
 def decode_cursor(cursor: str | None) -> int:

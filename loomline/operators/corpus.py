@@ -61,6 +61,14 @@ def watermark(pairs: list[tuple[str, str]]) -> str:
     return hashlib.sha256(json.dumps(sorted(map(list, pairs)), separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def watermark_table(pairs: DataFrame, groups: int = 4096) -> DataFrame:
+    """Hash of a corpus too large for one list: of the hashes of its (id, content_hash) pairs, sorted within groups of ids."""
+    group = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g")
+    each = pairs.select(group, F.sha2(F.to_json(F.struct("id", "content_hash")), 256).alias("h"))
+    one = each.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"), F.count("*").alias("n"))
+    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ","), 256).alias("watermark"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
+
+
 def eval_run(tasks: DataFrame, completions: DataFrame, score) -> DataFrame:
     """Tasks with the score of their completion; a missing one scores 0 and is flagged.  score takes two columns."""
     c = completions.select("id", "response")

@@ -133,6 +133,14 @@ def sft_examples(events: DataFrame) -> DataFrame:
     return with_messages(steps(msgs).where("status = 'trainable'").join(good, _J, "left_semi"), msgs)
 
 
+def trajectories(events: DataFrame) -> DataFrame:
+    """A row for each journey that has steps, with the messages of its last step, which hold all of its history in force."""
+    msgs = messages(clean(events))
+    s = steps(msgs)
+    last = s.withColumn("num_steps", F.count("*").over(Window.partitionBy(_J))).where("step_index = num_steps - 1")
+    return with_messages(last, msgs)
+
+
 def dpo_pairs(events: DataFrame) -> DataFrame:
     """Runs of superseded steps directly followed by a trainable one: a row for each rejected step.
 

@@ -140,10 +140,10 @@ def corpus_stats(spark, sf):
     return s.select("journeys", F.round("mean_steps", 9).alias("mean_steps"), F.round("mean_messages", 9).alias("mean_messages"))
 
 
-@_query(_RAW + "select journey_id, event_id, cast(seq as bigint) as seq from ev where arrival = 0 and seq > case when journey_id % 2 = 0 then 2 else -1 end")
+@_query(_RAW + "select journey_id, event_id, cast(seq as bigint) as seq from ev where arrival = 0 and seq > case when journey_id in (select journey_id from ev where kind = 'signal') then 2 else -1 end")
 def undrained(spark, sf):
     e = events(spark, sf).where("arrival = 0")
-    acks = e.where("journey_id % 2 = 0").select("journey_id").distinct().withColumn("ack", F.lit(2))
+    acks = e.where("kind = 'signal'").select("journey_id").distinct().withColumn("ack", F.lit(2))
     return ingest.undrained(e, acks).select("journey_id", "event_id", F.col("seq").cast("long").alias("seq"))
 
 
@@ -163,11 +163,11 @@ def check_leakage(spark, sf):
     return corpus.leakage(split_assign(spark, sf).select(F.floor(F.col("conv_id") / 2).alias("id"), "split"))
 
 
-@_query("with c as (select lang as name, avg(n_chars) as value from documents group by 1), b as (select lang as name, avg(n_chars) as base from documents where doc_id % 2 = 0 group by 1) select name, round(abs(value - base) / abs(base), 9) as change from c join b using (name) where base <> 0 and abs(value - base) / abs(base) > 0.001")
+@_query("with c as (select lang as name, avg(n_chars) as value from documents group by 1), b as (select lang as name, avg(n_chars) as base from documents where source <> 'src0' group by 1) select name, round(abs(value - base) / abs(base), 9) as change from c join b using (name) where base <> 0 and abs(value - base) / abs(base) > 0.001")
 def check_drift(spark, sf):
     d = table(spark, sf, "documents")
     mean = lambda x: x.groupBy(F.col("lang").alias("name")).agg(F.avg("n_chars").alias("value"))
-    return corpus.drift(mean(d), mean(d.where("doc_id % 2 = 0")), 0.001).select("name", F.round("change", 9).alias("change"))
+    return corpus.drift(mean(d), mean(d.where("source <> 'src0'")), 0.001).select("name", F.round("change", 9).alias("change"))
 
 
 @_query("select d.doc_id as journey_id, l.quality = 1 as approved, l.quality / 2.0::double as scaled from documents d join labels l using (doc_id)")
@@ -225,20 +225,20 @@ def normalize_role(spark, sf):
     return table(spark, sf, "events").select("event_id", text.normalize_role(F.col("event_type")).alias("role"))
 
 
-_TASKS = "with t as (select b.item_id as id, b.text as reference, d.text as response from benchmark b left join (select * from documents where doc_id % 3 <> 0) d on d.doc_id = b.item_id) "
+_TASKS = "with t as (select b.item_id as id, b.text as reference, d.text as response from benchmark b left join (select * from documents where lang = 'en') d on d.doc_id = b.item_id) "
 
 
 @_query(_TASKS + "select id, case when response is null then 0.0::double when trim(response) = trim(reference) then 1.0::double else 0.0::double end as score, response is null as missing from t")
 def eval_run(spark, sf):
     tasks = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"))
-    done = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("response"))
+    done = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("response"))
     return corpus.eval_run(tasks, done, lambda a, b: text.strip(a) == text.strip(b))
 
 
-@_query("select coalesce(a.doc_id, b.doc_id) as id, coalesce(cast(b.toxic as double), 0) - coalesce(cast(a.quality as double), 0) as delta from (select * from labels where doc_id % 2 = 0) a full join (select * from labels where doc_id % 3 = 0) b on a.doc_id = b.doc_id")
+@_query("select coalesce(a.doc_id, b.doc_id) as id, coalesce(cast(b.toxic as double), 0) - coalesce(cast(a.quality as double), 0) as delta from (select * from labels where toxic = 0) a full join (select * from labels where quality = 1) b on a.doc_id = b.doc_id")
 def eval_compare(spark, sf):
-    run = lambda c, k: table(spark, sf, "labels").where(f"doc_id % {k} = 0").select(F.col("doc_id").alias("id"), F.col(c).cast("double").alias("score"))
-    return corpus.compare_runs(run("quality", 2), run("toxic", 3))
+    run = lambda c, which: table(spark, sf, "labels").where(which).select(F.col("doc_id").alias("id"), F.col(c).cast("double").alias("score"))
+    return corpus.compare_runs(run("quality", "toxic = 0"), run("toxic", "quality = 1"))
 
 
 @_query("select distinct item_id from benchmark where item_id in (select doc_id from documents)")
@@ -250,6 +250,7 @@ def _metrics(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("id"), "value", "event_type")
 
 
+_JOURNEYS = "with j as (select event_id as id, event_type, cast(cast(ts as date) as varchar) as date from events) "
 _METRICS = "with m as (select user_id as host, ts, event_id as id, value, event_type from events) "
 
 
@@ -300,9 +301,9 @@ def paginate(spark, sf):
     return catalog.paginate(_metrics(spark, sf), [F.desc("ts"), F.desc("id")], "MjU=")[0].select("id", "host")
 
 
-@_query("select doc_id, n_chars, case when n_chars >= 1000000 then printf('%.1f MB', n_chars / 1e6) when n_chars >= 1000 then printf('%.1f kB', n_chars / 1e3) else n_chars || ' B' end as size from documents where n_chars % 100 <> 50")
+@_query("select doc_id, n_chars, case when n_chars is null then '\u2014' when n_chars >= 1000000 then (n_chars + 50000) // 1000000 || '.' || (n_chars + 50000) // 100000 % 10 || ' MB' when n_chars >= 1000 then (n_chars + 50) // 1000 || '.' || (n_chars + 50) // 100 % 10 || ' KB' else n_chars || ' B' end as size from documents")
 def format_bytes(spark, sf):
-    return table(spark, sf, "documents").where("n_chars % 100 <> 50").select("doc_id", "n_chars", catalog.format_bytes(F.col("n_chars").cast("double")).alias("size"))
+    return table(spark, sf, "documents").select("doc_id", "n_chars", catalog.format_bytes(F.col("n_chars").cast("double")).alias("size"))
 
 
 _ISLANDS = "with x as (select *, case when role = lag(role) over (partition by user_id order by event_id) then 0 else 1 end as b from (select user_id, event_id, event_type as role, value from events)), y as (select *, cast(sum(b) over (partition by user_id order by event_id) as bigint) as island from x) "
@@ -321,9 +322,9 @@ def reconcile(spark, sf):
     return ingest.gone_files(table(spark, sf, "documents").select(F.col("doc_id").alias("path")), table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("path"))).withColumnRenamed("path", "doc_id")
 
 
-@_query("select a.doc_id as path from documents a left join (select doc_id, n_chars + doc_id % 2 as size from documents where doc_id % 5 <> 0) s using (doc_id) where s.size is null or s.size <> a.n_chars")
+@_query("select a.doc_id as path from documents a left join (select doc_id, n_chars + doc_id % 2 as size from documents where lang <> 'de') s using (doc_id) where s.size is null or s.size <> a.n_chars")
 def changed_files(spark, sf):
     d = table(spark, sf, "documents")
     listing = d.select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), F.col("n_chars").alias("size"))
-    state = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), (F.col("n_chars") + F.col("doc_id") % 2).alias("size"))
+    state = d.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), (F.col("n_chars") + F.col("doc_id") % 2).alias("size"))
     return ingest.changed_files(listing, state).select("path")

@@ -23,6 +23,12 @@ def undrained(events: DataFrame, acks: DataFrame) -> DataFrame:
     return events.join(acks, "journey_id", "left").where(F.col("seq") > F.coalesce("ack", F.lit(-1))).drop("ack")
 
 
+def spool_status(events: DataFrame, acks: DataFrame) -> DataFrame:
+    """Events, acknowledged seq (null: none) and events beyond it, by journey."""
+    e = events.join(acks, "journey_id", "left").groupBy("journey_id")
+    return e.agg(F.count("*").alias("total"), F.max("ack").alias("watermark"), F.count_if(F.col("seq") > F.coalesce("ack", F.lit(-1))).alias("undrained"))
+
+
 def advanced(acks: DataFrame, sent: DataFrame) -> DataFrame:
     """Acknowledgements after sending; they never go back."""
     top = sent.groupBy("journey_id").agg(F.max("seq").alias("sent"))
