@@ -113,6 +113,8 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     # what is missing is filled by the document nearest in size among those not taken yet
     off = F.abs(F.col("size") - F.col("gap"))
     near = with_source(slim, plan).where(~chosen & (off < F.col("gap")))
+    # equal rows are taken together, so they fill the gap with all their words
+    near = near.groupBy("source", "_id").agg(F.sum("size").alias("size"), F.min("key").alias("key"), F.min("gap").alias("gap")).where(off < F.col("gap"))
     fill = materialise(near.groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "_id")).alias("fill")), "fill")
     plan = materialise(plan.join(fill.withColumnRenamed("source", "_s"), same, "left").drop("_s"), "decisions")
     once = chosen | F.coalesce(F.col("_id") == F.col("fill._id"), F.lit(False))
