@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import slices
+from loomline.llm.common import materialise, row_key, slices
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -31,7 +31,11 @@ DISCOUNT = 0.75
 PRIOR = 5.0
 #: Rows the logistic fit uses at most, the smallest by hash.  Counts use all rows.
 CALIBRATION_ROWS = 20_000
-#: The model has at most this many n-grams; beyond it symbols are folded to fewer bits, 4 of which bound it by 2**20.
+#: Bits of a symbol of the model.
+BITS = 12
+#: Models up to this many n-grams are broadcast; larger ones stay in tables, and words are joined to them.
+BROADCAST_GRAMS = 4_000_000
+#: What bounded() folds to.  Training doesn't call it.
 MAX_GRAMS = 4_000_000
 #: Labels up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -54,6 +58,15 @@ class Model:
     tag: int = 0
 
 
+@dataclass(frozen=True)
+class Tables:
+    """A model of any size: (gram, ratio), (context, unseen) and the logistic fit."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    weights: np.ndarray
+
+
 def symbol(c: str, bits: int) -> int:
     return ord(c) % ((1 << bits) - 2) + 2
 
@@ -105,7 +118,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             sums: dict[int, list[int]] = {}
             for side in range(4):
                 for w, n in words[side].items():
-                    for g in pack(w, 12):
+                    for g in pack(w, BITS):
                         sums.setdefault(g, [0, 0, 0, 0])[side] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([x[side] for x in sums.values()], pa.int64()) for side in range(4))], ["gram", *_SUMS])
 
@@ -162,6 +175,32 @@ def estimate(bits: int, counts: np.ndarray) -> Model:
     return Model(bits, grams, np.log(q[1] / q[0]), contexts, np.log(kept[1] / kept[0]), np.zeros(5))
 
 
+def estimate_tables(counts: DataFrame, weights: np.ndarray) -> Tables:
+    """estimate() by grouped sums over a table (gram, n0, n1), for any number of n-grams."""
+
+    def suffix(k: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1).cast("long"))
+
+    context = F.shiftright("gram", BITS).alias("context")
+    counts = counts.where("n0 > 0 or n1 > 0")
+    below, longer = {}, counts
+    for k in range(ORDER - 1, 0, -1):
+        longer = below[k] = materialise(longer.groupBy(suffix(k).alias("gram")).agg(F.count("*").alias("left")), f"below{k}")
+    shared = None
+    for k in range(1, ORDER):
+        sums = below[k].groupBy(context).agg(F.sum("left").alias("total"), F.count("*").alias("types"))
+        now = below[k].withColumn("context", context).join(sums, "context")
+        now = now.withColumn("p", F.lit(1 / 2000)) if shared is None else now.join(shared, suffix(k - 1) == F.col("suffix"))
+        p = F.greatest(F.col("left") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("types") / F.col("total") * F.col("p")
+        shared = materialise(now.select(F.col("gram").alias("suffix"), p.alias("p")), f"shared{k}")
+    sums = counts.groupBy(context).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in (0, 1)), *(F.count_if(F.col(f"n{i}") > 0).alias(f"y{i}") for i in (0, 1)))
+    kept = [((DISCOUNT * F.col(f"y{i}") + PRIOR) / (F.col(f"t{i}") + PRIOR)).alias(f"kept{i}") for i in (0, 1)]
+    contexts = materialise(sums.select("context", "t0", "t1", *kept).withColumn("unseen", F.log(F.col("kept1") / F.col("kept0"))), "contexts")
+    q = [F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) / (F.col(f"t{i}") + PRIOR) + F.col(f"kept{i}") * F.col("p") for i in (0, 1)]
+    rows = counts.withColumn("context", context).join(contexts, "context").join(shared, suffix(ORDER - 1) == F.col("suffix"))
+    return Tables(materialise(rows.select("gram", F.log(q[1] / q[0]).alias("ratio")), "ratios"), contexts.select("context", "unseen"), weights)
+
+
 def word_ratio(model: Model, word: str) -> float:
     g = np.array(pack(word, model.bits), np.int64)
     if not len(model.grams):
@@ -210,6 +249,63 @@ def features(model: Model, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _word_rows(batches):
+    """(_r1, _r2, word, n): the distinct words of each text."""
+    rows: list[tuple] = []
+
+    def flushed():
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["_r1", "_r2", "word", "n"])
+        rows.clear()
+        return out
+
+    for batch in slices(batches):
+        for r1, r2, text in zip(*(batch.column(c) for c in ("_r1", "_r2", "text")), strict=True):
+            seen: dict[str, int] = {}
+            for w in _WORD.findall((text.as_py() or "").lower()):
+                seen[w] = seen.get(w, 0) + 1
+            rows += ((r1.as_py(), r2.as_py(), w, n) for w, n in seen.items())
+            if len(rows) > 20_000:
+                yield flushed()
+    if rows:
+        yield flushed()
+
+
+def _gram_rows(batches):
+    """(_w1, _w2, gram): the n-grams of words, each as often as it occurs."""
+    for batch in slices(batches):
+        packed = [pack(w, BITS) for w in batch.column("word").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(packed)), [len(p) for p in packed]))
+        yield pa.RecordBatch.from_arrays([batch.column("_w1").take(at), batch.column("_w2").take(at), pa.array([g for p in packed for g in p], pa.int64())], ["_w1", "_w2", "gram"])
+
+
+def with_features(rows: DataFrame, doc_id: str, model: Tables) -> DataFrame:
+    """rows with their features() as a, b, c and d, by joins of distinct words to the tables."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = rows.withColumns(dict(zip(("_r1", "_r2"), row_key(F.col(doc_id), text), strict=True)))
+    word_key = dict(zip(("_w1", "_w2"), row_key(F.length("word"), F.col("word")), strict=True))
+    found = materialise(keyed.select("_r1", "_r2", "text").mapInArrow(_word_rows, "_r1 long, _r2 long, word string, n long").withColumns(word_key), "words")
+    grams = found.groupBy("_w1", "_w2").agg(F.first("word").alias("word")).mapInArrow(_gram_rows, "_w1 long, _w2 long, gram long")
+    known = grams.withColumn("context", F.shiftright("gram", BITS)).join(model.grams, "gram", "left").join(model.contexts, "context", "left")
+    values = materialise(known.groupBy("_w1", "_w2").agg(F.sum(F.coalesce("ratio", "unseen", F.lit(0.0))).alias("v")), "word_values")
+    # equal rows share a key and have equal words, so a set has them once
+    sets = found.join(values, ["_w1", "_w2"]).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set(F.struct("v", "n", "_w1", "_w2")), False).alias("x"))
+    n = F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x["v"] * x["n"])
+    top = F.slice(F.flatten(F.transform(F.slice("x", 1, 3), lambda x: F.array_repeat(x["v"], F.least(x["n"], F.lit(3)).cast("int")))), 1, 3)
+    x = sets.select(F.col("_r1").alias("_f1"), F.col("_r2").alias("_f2"), n.alias("_n"), total.alias("_total"), top.alias("_top"))
+    x = x.select("_f1", "_f2", (F.col("_total") / F.col("_n")).alias("a"), F.col("_top")[0].alias("b"), (F.aggregate("_top", F.lit(0.0), lambda s, v: s + v) / F.size("_top")).alias("c"), F.log(F.col("_n").cast("double")).alias("d"))
+    out = keyed.join(x, (F.col("_r1") == F.col("_f1")) & (F.col("_r2") == F.col("_f2")), "left").drop("_r1", "_r2", "_f1", "_f2")
+    return out.fillna(0.0, ["a", "b", "c", "d"])
+
+
+def _evidence(weights: np.ndarray) -> Column:
+    """The logistic fit's linear term of the features a, b, c and d."""
+    out = F.lit(float(weights[0]))
+    for name, w in zip("abcd", weights[1:].tolist(), strict=True):
+        out = out + F.col(name) * w
+    return out
+
+
 def _batches(frame: DataFrame, model: Model, keep: list[str], schema: str, finish) -> DataFrame:
     shared = frame.sparkSession.sparkContext.broadcast(model)
 
@@ -237,24 +333,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit the score on rows of the remainder 4 by counts of the remainders 1 to 3, then count all four."""
-    bits, counts = bounded(count_grams(labelled(docs, labels, [1, 2, 3, 4])))
-    model = estimate(bits, counts[:3])
-    rows = _batches(labelled(docs, labels, [4]).select("_id", "text", "_toxic"), model, ["_id", "_toxic"], "_id long, toxic int, a double, b double, c double, d double", lambda m, x: [pa.array(c) for c in x.T])
+def train(docs: DataFrame, labels: DataFrame) -> Model | Tables:
+    """Fit the score on rows of the remainder 4 by counts of the remainders 1 to 3, then count all four.
+
+    Both kinds of model give the same scores, up to rounding; only where the ratios lie differs.
+    """
+    table = materialise(count_grams(labelled(docs, labels, [1, 2, 3, 4])), "grams")
+    small = table.count() <= BROADCAST_GRAMS
+    rows = labelled(docs, labels, [4]).select("_id", "text", "_toxic")
+    if small:
+        t = table.toArrow()
+        counts = np.stack([t.column(c).to_numpy() for c in ("gram", *_SUMS)]) if t.num_rows else np.zeros((5, 0), np.int64)
+        rows = _batches(rows, estimate(BITS, counts[:3]), ["_id", "_toxic"], "_id long, toxic int, a double, b double, c double, d double", lambda m, x: [pa.array(c) for c in x.T])
+    else:
+        rows = with_features(rows, "_id", estimate_tables(table.select("gram", "n0", "n1"), np.zeros(5))).select("_id", F.col("_toxic").alias("toxic"), *"abcd")
     fit = rows.orderBy(F.xxhash64("_id"), "_id", "toxic", "a").limit(CALIBRATION_ROWS).toArrow()
     y = fit.column("toxic").to_numpy() > 0
     if not len(y) or y.all() or not y.any():  # one class only: its rate, and the evidence as it is
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
-        weights = np.array([np.log(rate / (1 - rate)) - 4, 0.0, 0.5, 0.0, 0.0]) if counts.shape[1] else np.array([-4.0, 0, 0, 0, 0])
+        weights = np.array([np.log(rate / (1 - rate)) - 4, 0.0, 0.5, 0.0, 0.0]) if not small or counts.shape[1] else np.array([-4.0, 0, 0, 0, 0])
     else:
         weights = logistic(np.stack([fit.column(c).to_numpy() for c in "abcd"], axis=1), y * 1.0)
-    model = estimate(bits, np.stack([counts[0], counts[1] + counts[3], counts[2] + counts[4]]))
+    if not small:
+        return estimate_tables(table.select("gram", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1")), weights)
+    model = estimate(BITS, np.stack([counts[0], counts[1] + counts[3], counts[2] + counts[4]]))
     tag = hash((counts.tobytes(), weights.tobytes()))
     return Model(model.bits, model.grams, model.ratios.astype(np.float32), model.contexts, model.unseen.astype(np.float32), weights, tag)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | Tables) -> DataFrame:
     """Score whole texts: doc_id, held_out, score, predicted.
 
     Null and empty texts, and texts without letters, have no evidence and get
@@ -263,6 +370,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     enters the score.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (held_out(F.col("doc_id")) == 0).alias("held_out"), "text")
+    if isinstance(model, Tables):
+        s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _evidence(model.weights)))))
+        return with_features(slim, "doc_id", model).select("doc_id", "held_out", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
 
     def finish(m, x):
         s = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
@@ -280,6 +390,9 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that are not predicted toxic, all their columns."""
     model = train(docs, labels)
     names = docs.columns
+    if isinstance(model, Tables):
+        slim = docs.select("text", F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+        return with_features(slim, "_id", model).where(_evidence(model.weights) < 0).select("_row.*")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")
 

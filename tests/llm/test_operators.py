@@ -336,6 +336,22 @@ def test_folding_bounds_the_model(spark, monkeypatch):
     assert bits < 12 and set(counts[0].tolist()) <= set(toxicity.pack("folding", bits))
 
 
+def test_scores_do_not_depend_on_where_the_model_lies(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, " ".join([r.choice(WORDS) + r.choice(["", "ok", "яж", "語文"]) for _ in range(r.randrange(0, 60))] + ["vilest"] * (r.randrange(5) if i % 6 == 0 else 0))) for i in range(300)]
+    rows += [(None, "vilest words"), (None, None), (7, ""), rows[6], rows[6], (8, "12 34")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(250)], "doc_id long, toxic int")
+    run = lambda: (sorted(((str(x["doc_id"]), x["held_out"], x["score"]) for x in toxicity.toxicity(docs, labels).collect())), Counter(map(tuple, toxicity.keep_ordinary(docs, labels).collect())))
+    scores, kept = run()
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 5)
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 5, raising=False)
+    large, same = run()
+    assert [x[:2] for x in large] == [x[:2] for x in scores] and len(large) == len(rows)
+    assert [x[2] for x in large] == pytest.approx([x[2] for x in scores], abs=1e-4)
+    assert same == kept and 0 < sum(kept.values()) < len(rows)
+
+
 @pytest.mark.parametrize("name", ["op4_decontamination", "op8_warc", "op9_mixing", "op10_licences"])
 def test_query_gives_the_rows_of_its_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
