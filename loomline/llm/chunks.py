@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes; where its upper bits are zero a chunk ends.
 Boundaries depend on the 32 bytes before them only, so an insertion changes the
-chunks around it and no others.  Chunks are deduplicated by digest: the first
-occurrence, by doc_id, stays, and runs of later occurrences go.
+chunks around it and no others.  Chunks are deduplicated by digests of 128 bits:
+the first occurrence, by doc_id, stays, and every later one goes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from loomline.llm.rolling import BLOCK, Rolling
 WINDOW = 32
 BITS = 5
 SHORTEST, LONGEST = 32, 512
-#: Runs of repeated chunks shorter than this stay: at least two chunks, so that no single digest decides.
-MIN_RUN = 128
 
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -70,33 +68,34 @@ def _aligned(data: np.ndarray, at: int, n: int) -> int:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(d, doc_id, _r1, _r2, lo, hi): every chunk with the hash of its bytes."""
-    rolling = Rolling(0)
+    """(d, e, doc_id, _r1, _r2, lo, hi): every chunk with two hashes of its bytes."""
+    families = Rolling(0), Rolling(1)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), text), F.encode(text, "UTF-8").alias("text"))
 
     def run(batches):
         for batch in batches:
-            d, sizes, los, his = [], np.zeros(batch.num_rows, np.int64), [], []
+            d, sizes, los, his = ([], []), np.zeros(batch.num_rows, np.int64), [], []
             for i, text in enumerate(batch.column("text")):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 hi = boundaries(data)
                 if len(hi):
                     lo = np.concatenate([[0], hi[:-1]])
                     sizes[i] = len(hi)
-                    d.append(rolling.spans(rolling.prefix(data), lo, hi).view(np.int64))
+                    for out, rolling in zip(d, families, strict=True):
+                        out.append(rolling.spans(rolling.prefix(data), lo, hi).view(np.int64))
                     los.append(lo)
                     his.append(hi)
-            if d:
+            if los:
                 ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
                 keys = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("_r1", "_r2")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(d)), ids, *keys, pa.array(np.concatenate(los)), pa.array(np.concatenate(his))], ["d", "doc_id", "_r1", "_r2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in d), ids, *keys, pa.array(np.concatenate(los)), pa.array(np.concatenate(his))], ["d", "e", "doc_id", "_r1", "_r2", "lo", "hi"])
 
-    return keyed.mapInArrow(run, "d long, doc_id long, _r1 long, _r2 long, lo long, hi long")
+    return keyed.mapInArrow(run, "d long, e long, doc_id long, _r1 long, _r2 long, lo long, hi long")
 
 
-def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN, with_text: bool = False) -> DataFrame:
-    """Remove runs of at least min_run bytes of chunks that occurred before.
+def chunk_dedup(docs: DataFrame, min_run: int = 0, with_text: bool = False) -> DataFrame:
+    """Remove chunks that occurred before; min_run keeps runs of them that have fewer bytes.
 
     The occurrence that stays is the one of the smallest doc_id (null first),
     then of the row's hash, then of the position.  Rows equal in doc_id and text
@@ -109,10 +108,10 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN, with_text: bool = False
     """
     chunks = materialise(chunk_table(docs), "chunks")
     first = materialise(
-        chunks.groupBy("d").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "_r1", "_r2", "lo")).alias("f")).where("k > 1").select("d", F.col("f._r1").alias("f1"), F.col("f._r2").alias("f2"), F.col("f.lo").alias("flo")),
+        chunks.groupBy("d", "e").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "_r1", "_r2", "lo")).alias("f")).where("k > 1").select("d", "e", F.col("f._r1").alias("f1"), F.col("f._r2").alias("f2"), F.col("f.lo").alias("flo")),
         "first_chunks",
     )
-    later = chunks.join(first, "d").where("not (_r1 = f1 and _r2 = f2 and lo = flo)").select("_r1", "_r2", "lo", "hi")
+    later = chunks.join(first, ["d", "e"]).where("not (_r1 = f1 and _r2 = f2 and lo = flo)").select("_r1", "_r2", "lo", "hi")
     spans = materialise(later.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "chunk_spans")
     discard(chunks, first)
     return cut_spans(docs, spans, min_run, with_text)

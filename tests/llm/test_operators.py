@@ -84,6 +84,27 @@ def test_chunks_survive_insertions_and_keep_one(docs):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+def test_every_later_chunk_goes(spark):
+    r, rows = random.Random(9), []
+    for k in range(120):
+        passage = prose(f"passage{k}", 51)
+        for side in range(2):
+            rows.append((2 * k + side, prose(f"before{k}{side}", r.randrange(60)) + " " + passage + " " + prose(f"after{k}{side}", r.randrange(60))))
+    rows += [(1000, "short"), (1001, "short"), (1002, rows[7][1])]
+    seen, want, caught = set(), {}, 0
+    for i, t in rows:
+        data = t.encode()
+        ends = chunks.boundaries(np.frombuffer(data, np.uint8)).tolist()
+        pieces = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        want[i] = b""
+        for p in pieces:
+            want[i] += b"" if p in seen else p
+            seen.add(p)
+        caught += i % 2 and i < 1000 and want[i] != data
+    got = {x["doc_id"]: bytes(x["kept"]) for x in chunks.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got == want and caught >= 114
+
+
 def test_gear_hash_is_the_plain_recurrence():
     data = np.frombuffer(prose("g").encode(), np.uint8)
     h, want = 0, []
