@@ -8,6 +8,8 @@ lines, and its lines.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ TEXTS: list[tuple[str, str]] = [
     ("0BSD", f"{_ISC}.\n\n{_ISC_TAIL}"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
 ]
+#: Full texts, as published, in the folder texts: (SPDX identifier, file).  Fixed values.
+FILES: list[tuple[str, str]] = [
+    ("Apache-2.0", "Apache-2.0.txt"),
+    ("MPL-2.0", "MPL-2.0.txt"),
+    ("GPL-2.0-only", "GPL-2.0-only.txt"),
+    ("GPL-2.0-only", "GPL-2.0-only-spdx.txt"),
+    ("GPL-3.0-only", "GPL-3.0-only.txt"),
+    ("LGPL-3.0-only", "LGPL-3.0-only.txt"),
+    ("CC0-1.0", "CC0-1.0.txt"),
+    ("CC-BY-SA-4.0", "CC-BY-SA-4.0.txt"),
+    ("Unlicense", "Unlicense.txt"),
+]
+#: Titles that stand above the texts of licences.  Fixed values.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "MIT License (MIT)"),
+    "ISC": ("ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Unlicense": ("Unlicense",),
+    "CC-BY-SA-4.0": ("Creative Commons",),
+}
+_END = "END OF TERMS AND CONDITIONS"
+_OWNER = "Copyright [yyyy] [name of copyright owner]"
 #: Names by which one-line declarations refer to licences.  Fixed values.
 NAMES: list[tuple[str, str]] = [
     ("MIT", "MIT License"),
@@ -82,11 +108,26 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The texts of FILES, each also without what follows its terms, and with the owner's line filled in, which canonical() removes."""
+    folder = resources.files(__package__) / "texts"
+    out = []
+    for i, name in FILES:
+        text = (folder / name).read_text("utf-8")
+        out.append((i, text))
+        if _END in text:
+            out.append((i, text[: text.index(_END) + len(_END)]))
+        if _OWNER in text:
+            out.append((i, text.replace(_OWNER, "")))
+    return out
+
+
 def known() -> list[tuple[str, str]]:
     """(identifier, text) of all known licences and one-line declarations."""
     lines = [(i, f"{s}{v}the {n}") for i, n in NAMES for s in SUBJECTS for v in VERBS]
     lines += [(i, f"{s}{v}{n}") for i, n in NAMES for s in SUBJECTS for v in VERBS if n.startswith("CC")]
-    return TEXTS + [(i, n) for i, n in NAMES] + lines + [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]
+    texts = TEXTS + full_texts()
+    return texts + [(i, f"{title}\n\n{t}") for i, t in texts for title in TITLES.get(i, ())] + [(i, n) for i, n in NAMES] + lines + [(i, f"SPDX-License-Identifier: {i}") for i, _ in NAMES]
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:

@@ -323,6 +323,21 @@ def test_licences(spark):
     assert all(re.search(licences.STEMS.replace(r"\p{L}\p{N}", "a-zA-Z0-9"), t) or i == "x" for i, t in licences.known() if not re.fullmatch(r"SPDX.*", t))
 
 
+def test_licences_with_titles_and_in_full(spark):
+    texts = dict(licences.TEXTS)
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "Zero-Clause BSD"}
+    rows = [(i, f"{title}\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n{texts[i]}\n") for i, title in titles.items()]
+    rows.append(("MIT", f"MIT License\n\nCopyright (c) 2021 Some Body\n\n{texts['MIT']}"))
+    folder = licences.resources.files("loomline.llm") / "texts"
+    for i, name in licences.FILES:
+        text = (folder / name).read_text()
+        rows += [(i, text), (i, " ".join(text.split(" ")).upper() if "opyright" not in text else text.replace("\n", "\r\n"))]
+    apache = (folder / "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2019 Some Body")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), (None, apache[:-200])]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()} == {k: i for k, (i, _) in enumerate(rows)}
+
+
 def test_kennard_counts_sum_to_probabilities():
     words = ["aba", "abc", "bca"]
     grams = Counter(g for w in words for g in toxicity.pack(w, 12))
