@@ -6,7 +6,8 @@ document, as search engines do, so a query needs no shuffle: each shard answers
 for its documents.  A phrase is looked up from its rarest word: the position
 lists of its words, shifted by their offsets, are intersected in the order of
 their corpus frequency until none is left or all have agreed.  Proximity queries
-take the same lists and ask for all words within a span of positions.
+take the same lists and ask for all words within a span of positions; see
+proximity().
 """
 
 from __future__ import annotations
@@ -203,6 +204,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     return _merge(both.select(F.col("key.doc_id").alias("doc_id"), "n_words", "spans", "items"))
 
 
+def _positions(index: DataFrame, queries: list[tuple[str, list[int]]], span: int) -> DataFrame:
+    """(doc_id, item_id, positions) of near() for each query (item id, terms, the rarest first) that a document answers."""
+    by_rarest: dict[int, list] = {}
+    for item, terms in queries:
+        by_rarest.setdefault(terms[0], []).append((item, terms))
+    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
+
+    def run(batches):
+        leads = shared.value
+        for batch in slices(batches):
+            out: list[list] = [[], [], []]
+            for doc_id, *row in zip(batch.column("doc_id").to_pylist(), *(batch.column(c).to_pylist() for c in ("terms", "ends", "positions")), strict=True):
+                lists = {} if leads.keys().isdisjoint(row[0]) else _lists(*row)
+                for lead in sorted(leads.keys() & lists.keys()):
+                    for item, terms in leads[lead]:
+                        if found := near(lists, terms, span):
+                            for column, value in zip(out, (doc_id, item, found), strict=True):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], ["doc_id", "item_id", "positions"])
+
+    return index.select("key.doc_id", "terms", "ends", "positions").mapInArrow(run, "doc_id long, item_id string, positions array<int>")
+
+
+def proximity(docs: DataFrame, queries: DataFrame, span: int) -> DataFrame:
+    """Where documents have all words of a query close together, in any order.
+
+    queries has item_id and text; the words of a text are its terms.  A position
+    is that of the query's rarest term, by occurrences in docs, then in byte
+    order, with each other term fewer than span words before or after it.
+    Queries without words have no answers; of equal queries one is answered; a
+    null item_id is the empty string.  Repeated rows of docs are answered each.
+
+    Returns doc_id, item_id and positions, ascending, a row for each document
+    and query with any.
+    """
+    queries = queries.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null").distinct()
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2"), F.lit(1).cast("long").alias("n"))
+    slim, out = docs.select(key.alias("key"), "text"), None
+    for i, block in enumerate(_blocks(queries)):
+        asked = [(r["item_id"], set(words(r["text"]))) for r in block.toLocalIterator()]
+        vocabulary = {w: k for k, w in enumerate(sorted({w for _, terms in asked for w in terms}))}
+        index = materialise(build_index(slim, vocabulary), f"proximity{i}")
+        counts = frequencies(index)
+        ordered = [(item, sorted((vocabulary[w] for w in terms), key=lambda t: (counts.get(t, 0), t))) for item, terms in asked if terms]
+        found = _positions(index, [q for q in ordered if counts.get(q[1][0])], span)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Rows of docs without a benchmark window, all their columns."""
     text = F.coalesce("text", F.lit(""))

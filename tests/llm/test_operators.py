@@ -212,6 +212,37 @@ def test_proximity():
     assert decontaminate.near(lists, [0, 1, 2], 8) == [3] and decontaminate.near(lists, [0, 7], 8) == []
 
 
+def test_proximity_matches_brute_force(spark, docs, monkeypatch):
+    passage = decontaminate.words(prose("near", 40))
+    edited = b" ".join(w + (b" inserted" if i % 5 == 4 else b"") for i, w in enumerate(passage)).decode()
+    extra = spark.createDataFrame([(700, prose("pre", 50) + " " + edited), (701, " ".join(sorted(edited.split()))), (701, "a b x b a")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    queries = [("p", " ".join(w.decode() for w in passage[:9])), ("q", "w3i W7u"), ("q", "w5a w5a"), ("r", "w3i w7u nowhere"), (None, "a b"), ("s", ""), ("t", None), ("q", "w3i W7u"), ("u", "w1e w2i w3o")]
+    asked = spark.createDataFrame(queries, "item_id string, text string")
+    texts = [(r["doc_id"], decontaminate.words(r["text"])) for r in rows.collect()]
+    counts = Counter(w for _, x in texts for w in x)
+
+    def want(span):
+        out = Counter()
+        for item, text in {(i or "", t) for i, t in queries if t}:
+            lead, *others = sorted(set(decontaminate.words(text)), key=lambda w: (counts[w], w))
+            for i, x in texts:
+                at = [p for p, w in enumerate(x) if w == lead and all(o in x[max(0, p - span + 1) : p + span] for o in others)]
+                if at:
+                    out[i, item, tuple(at)] += 1
+        return out
+
+    got = lambda span: Counter((r["doc_id"], r["item_id"], tuple(r["positions"])) for r in decontaminate.proximity(rows, asked, span).collect())
+    for span in (1, 2, 12, 60):
+        assert got(span) == want(span)
+    assert any(k[:2] == (700, "p") for k in got(12)) and any(k[1] == "q" for k in got(60))
+    bench = asked.where("item_id = 'p'")
+    assert decontaminate.decontaminate(rows.where("doc_id = 700"), bench).where("contaminated").count() == 0
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    assert got(12) == want(12)
+    assert decontaminate.proximity(rows, asked.limit(0), 5).count() == 0
+
+
 def test_fingerprints_match_brute_force(docs, monkeypatch):
     monkeypatch.setattr(iblt, "RANGE_ROWS", 4)
     got = iblt.fingerprint_documents(docs).collect()
