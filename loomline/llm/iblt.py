@@ -109,8 +109,8 @@ def sketches(v: DataFrame) -> DataFrame:
     return lists.select("range", "row", text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
 
 
-def differences(v: DataFrame, scale: int = 1, seed: int = 0) -> DataFrame:
-    """(range, row, kind, found, stuck): pieces recovered by peeling for the pairs with the edited (0) and the next text (1), and cells left over."""
+def _peeled(v: DataFrame, scale: int, seed: int, keep: bool) -> DataFrame:
+    """Cells left over, and with a negative cell what peeling has recovered: its number, or with keep a row a digest (piece) with its sign as n."""
     own, pairs = F.col("own"), []
     for kind, other in enumerate(("edited", "next")):
         cells = (F.lit(4) + F.ceil((F.size(own) + F.size(other)) * 0.87)).cast("int") * scale
@@ -118,10 +118,11 @@ def differences(v: DataFrame, scale: int = 1, seed: int = 0) -> DataFrame:
         pairs.append(F.struct(F.lit(kind).alias("kind"), cells.alias("cells"), signed.alias("signed")))
     keys = ["range", "row", "kind", "cells"]
     rows = v.select("range", "row", F.inline(F.array(*pairs))).select(*keys, F.inline("signed"))
-    rows = rows.select(*keys, "n", "d", F.explode(F.array(*(place(F.col("d"), t, F.col("cells"), seed) for t in range(3)))).alias("cell"))
+    piece = [F.lit(None).cast("long").alias("piece")] if keep else []
+    rows = rows.select(*keys, "n", "d", F.explode(F.array(*(place(F.col("d"), t, F.col("cells"), seed) for t in range(3)))).alias("cell"), *piece)
 
     def summed(r: DataFrame) -> DataFrame:
-        return r.groupBy(*keys, "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("d").alias("d")).where("n <> 0 or d <> 0")
+        return r.groupBy(*keys, "cell", *(["piece"] if keep else [])).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("d").alias("d")).where("n <> 0 or d <> 0")
 
     rows = summed(rows)
     for turn in range(3 * PASSES):
@@ -129,13 +130,38 @@ def differences(v: DataFrame, scale: int = 1, seed: int = 0) -> DataFrame:
         d, n = F.col("d"), F.col("n")
         pure = (F.floor(F.col("cell") / F.col("cells")) == t) & (F.abs(n) == 1) & whole(d) & (place(d, t, F.col("cells"), seed) == F.col("cell"))
         # a recovered digest leaves its other cells and is counted in cell -1
-        away = [F.struct(place(d, o, F.col("cells"), seed).alias("cell"), (-n).alias("n"), d.alias("d")) for o in range(3) if o != t]
-        done = F.struct(F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("d"))
-        stay = F.struct(F.col("cell"), n.alias("n"), d.alias("d"))
+        away = [F.struct(place(d, o, F.col("cells"), seed).alias("cell"), (-n).alias("n"), d.alias("d"), *piece) for o in range(3) if o != t]
+        done = F.struct(F.lit(-1).alias("cell"), (n if keep else F.lit(1)).alias("n"), F.lit(0).cast("long").alias("d"), *([d.alias("piece")] if keep else []))
+        stay = F.struct(F.col("cell"), n.alias("n"), d.alias("d"), *(["piece"] if keep else []))
         rows = summed(rows.select(*keys, F.inline(F.when(pure, F.array(*away, done)).otherwise(F.array(stay)))))
+    return rows
+
+
+def differences(v: DataFrame, scale: int = 1, seed: int = 0) -> DataFrame:
+    """(range, row, kind, found, stuck): pieces recovered by peeling for the pairs with the edited (0) and the next text (1), and cells left over."""
+    rows = _peeled(v, scale, seed, keep=False)
     return rows.groupBy("range", "row", "kind").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count_if(F.col("cell") >= 0).alias("stuck"))
 
 
+def recovered(v: DataFrame) -> DataFrame:
+    """(range, row, kind, digest, sign): the pieces in which the pairs of differences() differ; sign is 1 for the document's own, -1 for the other's.
+
+    Rows whose peeling gets stuck are tried again with sketches 4 times larger.
+    """
+    at, scale, seed, out = ["range", "row"], 1, 0, None
+    left = materialise(v.select(*at, "own", "edited", "next"), "pieces")
+    while True:
+        rows = materialise(_peeled(left, scale, seed, keep=True), "peeled")
+        stuck = rows.where("cell >= 0").select(*at).distinct()
+        done = rows.where("cell < 0").join(stuck, at, "left_anti").select(*at, "kind", F.col("piece").alias("digest"), F.col("n").alias("sign"))
+        out = done if out is None else out.unionByName(done)
+        if not stuck.limit(1).count():
+            return out
+        left = materialise(left.join(stuck, at, "left_semi"), "stuck_pieces")
+        scale *= 4
+        seed = scale
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how alike they are.
 

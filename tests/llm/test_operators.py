@@ -276,6 +276,18 @@ def test_sketch_that_gets_stuck_is_tried_larger(docs, monkeypatch):
     assert sorted((str(r["doc_id"]), r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(docs).collect()) == want
 
 
+@pytest.mark.parametrize("passes", [4, 1])
+def test_peeling_returns_the_pieces_that_differ(docs, monkeypatch, passes):
+    monkeypatch.setattr(iblt, "PASSES", passes)
+    v = iblt.versions(docs).select("range", "row", "own", "edited", "next").cache()
+    want = Counter()
+    for r in v.collect():
+        for kind, other in enumerate((r["edited"], r["next"])):
+            want.update((r["range"], r["row"], kind, d, 1 if d in r["own"] else -1) for d in set(r["own"]) ^ set(other))
+    got = Counter(map(tuple, iblt.recovered(v).collect()))
+    assert got == want and max(Counter(k[:3] for k in want).values()) > 24
+
+
 def test_shards_are_even_and_move_little(spark, docs):
     got = sharding.shard_documents(docs).collect()
     sizes = Counter(r["shard"] for r in got)
