@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomline.llm import chunks, components, decontaminate, iblt, licences, mixing, sharding, simhash, substring, toxicity, warc
 from loomline.llm.oracle import SQL
 from loomline.llm.queries import QUERIES
@@ -431,6 +432,64 @@ def test_scores_do_not_depend_on_where_the_model_lies(spark, monkeypatch):
     assert same == kept and 0 < sum(kept.values()) < len(rows)
 
 
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    r, rows, labels = random.Random(8), [], []
+    for i in range(400):
+        w = prose(f"stage{i}", r.randrange(20, 90)).split(" ")
+        if i % 8 == 0:
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), "vile" + r.choice(["st", "ness", "ly", "r"]))
+        rows.append((i, " ".join(w), "en", f"s{i % 4}" if i % 9 else None, len(w)))
+        labels.append((i, int(i % 8 == 0)))
+    passage = prose("bench", 30)
+    rows += [(500 + i, rows[i][1] if i % 2 else rows[i][1] + ".", "en", "s1", 5) for i in range(1, 30)]
+    rows += [(600 + i, prose(f"leak{i}", 20) + " " + passage[:120] + " " + prose(f"leaked{i}", 20), "en", "s2", 5) for i in range(12)]
+    rows += [rows[3], (None, prose("nobody", 40), "en", "s0", 3), (700, None, "en", "s0", 0), (701, "", "en", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+    schema = spark.read.parquet(f"{tmp_path}/documents.parquet").schema
+
+    def run(name, kept):
+        return Counter(map(tuple, stages[name](spark, spark.createDataFrame(kept, schema), str(tmp_path)).collect()))
+
+    # the words that make a text toxic are planted
+    kept = [x for x in rows if "vile" not in (x[1] or "")]
+    assert len(kept) < len(rows) and run("toxicity", rows) == Counter(kept)
+
+    root = plain_components([plain_fingerprint(x[1] or "") for x in kept])
+    first = {}
+    for x, c in zip(kept, root, strict=True):
+        known = first.get(c)
+        if known is None or (x[0] is None, x[0] or 0) < (known[0] is None, known[0] or 0):
+            first[c] = x
+    single = list(first.values())
+    got = run("near_duplicates", kept)
+    # rows without words are alike but for their ids, of which the smallest stays
+    assert len(single) < len(kept) and got == Counter(single)
+
+    wins = set(decontaminate.windows(decontaminate.words(passage)))
+    clean = [x for x in single if wins.isdisjoint(decontaminate.windows(decontaminate.words(x[1])))]
+    assert len(clean) < len(single) and run("decontamination", single) == Counter(clean)
+
+    con = duckdb.connect()
+    frame = pd.DataFrame(clean, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})
+    con.register("documents", frame)
+    taken = {None if pd.isna(d) else int(d): (int(n), int(size)) for d, size, n in con.sql(f"select doc_id, size, taken from ({SQL['op9_mixing']})").fetchall()}
+    mixed = Counter({x: 1 if taken[x[0]][1] == 0 else taken[x[0]][0] // taken[x[0]][1] for x in clean})
+    mixed = +mixed
+    assert mixed != Counter(clean) and run("mixing", clean) == mixed
+
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sizes = Counter(x["shard"] for x in last)
+    assert Counter(x["doc_id"] for x in last) == Counter(x[0] for x in mixed.elements())
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(x["slot"] for x in last if x["shard"] == k) == list(range(sizes[k])) for k in sizes)
+    assert Counter(map(tuple, last)) == run("sharding", list(mixed.elements()))
+
+
 @pytest.mark.parametrize("name", ["op4_decontamination", "op8_warc", "op9_mixing", "op10_licences"])
 def test_query_gives_the_rows_of_its_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
