@@ -21,14 +21,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set as the checkpoint folder and used.
+    Where the session names none, a temporary folder is set as the checkpoint
+    folder and used, on one machine only: executors elsewhere could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -60,7 +62,7 @@ def joined_in_place(spark: SparkSession) -> contextlib.AbstractContextManager[No
     return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it again.
 
     This cuts the lineage with files that every executor can read, so nothing
@@ -69,7 +71,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with freed_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -128,23 +130,28 @@ def cut_spans(docs: DataFrame, spans: DataFrame, min_run: int = 0, with_text: bo
     text = F.coalesce("text", F.lit(""))
     left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row_key(F.col("doc_id"), text))
     keyed = left.join(spans.select(F.col("_r1").alias("_s1"), F.col("_r2").alias("_s2"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi")), (F.col("_r1") == F.col("_s1")) & (F.col("_r2") == F.col("_s2")), "left").select("doc_id", F.encode("text", "UTF-8").alias("text"), "lo", "hi")
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    return cut_rows(keyed, ["doc_id"], min_run, with_text)
+
+
+def cut_rows(rows: DataFrame, keep: list[str], min_run: int = 0, with_text: bool = True) -> DataFrame:
+    """The columns ``keep`` and what is left of ``text`` (bytes) without the spans of the arrays lo and hi."""
+    kept = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
+    fields = ", ".join([*kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
 
     def cut(batches):
         for batch in batches:
-            ids, texts, los, his = batch.columns
-            out = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                data = texts[i].as_buffer()
+            out: list[list] = [[], [], [], [], []]
+            for data, lo, hi in zip(*(batch.column(c) for c in ("text", "lo", "hi")), strict=True):
+                data = data.as_buffer()
                 n = data.size if data is not None else 0
                 data = memoryview(data) if n else b""
-                lo, hi = los[i].values, his[i].values
+                lo, hi = lo.values, hi.values
                 if lo is None or not len(lo):
                     lo = hi = np.zeros(0, np.int64)
                 else:
                     lo, hi = merge_spans(lo.to_numpy().astype(np.int64), hi.to_numpy().astype(np.int64))
-                    keep = hi - lo >= min_run
-                    lo, hi = lo[keep], hi[keep]
+                    long = hi - lo >= min_run
+                    lo, hi = lo[long], hi[long]
                 sha, at, parts = hashlib.sha256(), 0, []
                 for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                     sha.update(data[at:a])
@@ -157,6 +164,6 @@ def cut_spans(docs: DataFrame, spans: DataFrame, min_run: int = 0, with_text: bo
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out[: len(names)], kinds, strict=False))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(out[: len(names)], kinds, strict=False))], [*keep, *names])
 
-    return keyed.mapInArrow(cut, fields)
+    return rows.select(*keep, "text", "lo", "hi").mapInArrow(cut, fields)

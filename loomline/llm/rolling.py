@@ -55,6 +55,11 @@ class Rolling:
         _, down = self.powers.get(m)
         return mix((prefix[k:] - prefix[:m]) * down[:m])
 
+    def strings(self, prefix: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Hash of the substrings of k bytes at some positions."""
+        _, down = self.powers.get(len(prefix))
+        return mix((prefix[at + k] - prefix[at]) * down[at])
+
     def spans(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hash of each substring [lo, hi), its length mixed in."""
         _, down = self.powers.get(len(prefix))

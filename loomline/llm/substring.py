@@ -1,137 +1,381 @@
-"""Exact removal of long repeated byte strings.
+"""Exact removal of long repeated byte strings, by suffixes sorted a bucket at a time with a difference cover.
 
 Every byte under a string of ``length`` bytes that also starts elsewhere goes.
-A suffix array over all suffixes would carry at least a word for each byte of
-the corpus through a shuffle.  This construction keeps its parts but chooses the
-cover by content:
-
-* cover: the positions whose ``anchor``-byte string has the smallest hash within
-  some window of ``length`` bytes.  As with a difference cover, two equal
-  windows have cover positions at equal offsets, here about one in a hundred;
-* names: each cover position is named by its string's hash, and by the hash of
-  the *stretch*, all the windows it is the smallest of.  Counting names is the
-  rank of the cover sample.  A name that occurs once excludes its windows, a
-  stretch that occurs twice decides them all;
-* buckets: only for names with different stretches are the single windows
-  expanded, one row each, from one representative of each stretch; they meet
-  by a 128-bit digest of their bytes.
-
-All counts combine before they are shuffled, so a passage that a third of all
-rows hold is a few rows by then; joins back to the rows are splittable.
+Such strings are prefixes of suffixes, so those that repeat stand next to each
+other in sorted order.  The order need not be that of the bytes: any in which
+equal prefixes meet will do, and that of digests can be sorted without moving
+the bytes of every suffix.
+
+* texts: equal texts are one, with the number of their copies;
+* sample ranks: the strings of length - v bytes at the positions of a difference
+  cover modulo v (see suffixes.py) are sorted, and those that repeat get ranks.
+  A suffix can repeat only if a sample in its first v positions does, so the
+  others are never written down;
+* buckets: the suffixes that are left fall into buckets by their prefix, namely
+  by the smallest hash among the strings of ``anchor`` bytes inside.  Neighbours
+  mostly share it, so a bucket gets runs of suffixes as one piece of text;
+* a task takes its buckets one at a time: it spells out the suffixes of a bucket,
+  sorts them, resolves ties by the ranks of the cover sample, and frees them
+  before it reads the next.  What a task holds is bounded by HOT suffixes; larger
+  buckets are dealt out again by suffix.
+
+Names and runs that repeat inside a task are settled there, and one of each goes
+on, so a passage that a third of all rows hold is a few rows by the time it is
+shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut_spans, discard, materialise, row_key
+from loomline.llm.common import cut_rows, discard, materialise
 from loomline.llm.rolling import BLOCK, Rolling, mix, sliding_argmin
+from loomline.llm.suffixes import RANK_BYTES, Cover, Runs, classes, cover, pack_ranks, unpack_ranks
 
 LENGTH = 400
-ANCHOR = 200
+ANCHOR = 100
+#: Sample names, or suffixes, that a task gathers before it sorts them.
+GATHER = 1 << 20
+#: Suffixes of a bucket beyond which it is dealt out by suffix.
+HOT = 1 << 21
+#: Keys of hot buckets that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+
+#: States of a row: not seen twice yet; stands for several or for a repeated text; settled.
+SINGLE, KNOWN, DONE = 0, 1, 2
+
+
+def _digest(text):
+    return F.sha2(text, 256)
+
 
+def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
+    """(digest, text, copies, n, tid): the distinct texts of at least ``length`` bytes."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = docs.select(text.alias("text")).where(F.octet_length("text") >= length)
+    out = rows.groupBy(_digest(F.col("text")).alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return materialise(out.select("digest", "text", "copies", F.octet_length("text").alias("n"), F.monotonically_increasing_id().alias("tid")), "texts", compression="zstd")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(*row_key(F.col("doc_id"), text), F.encode(text, "UTF-8").alias("text"))
 
+def _table(names: list[str], columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
 
-def stretches(data: np.ndarray, rolling: Rolling, length: int, anchor: int):
-    """(anchor name, stretch name, first window, windows) of each cover position, block by block."""
-    for begin in range(0, len(data) - length + 1, BLOCK):
-        part = data[begin : begin + BLOCK + length - 1]
-        prefix = rolling.prefix(part)
-        names = rolling.windows(prefix, anchor)
-        at = sliding_argmin(names, length - anchor + 1)
-        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        n = np.diff(np.concatenate([first, [len(at)]]))
-        whole = rolling.spans(prefix, first, first + n - 1 + length)
-        yield names[at[first]], mix(whole + mix((at[first] - first).astype(np.uint64))), first + begin, n
 
+_SAMPLE = "key long, name long, tid long, at long, state byte"
 
-def cover(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+
+def samples(texts: DataFrame, c: Cover) -> DataFrame:
+    """The cover's samples: rows with their name as key, and settled ones, dealt out by text."""
     rolling = Rolling(0)
 
+    def settled(held: list[list]) -> pa.RecordBatch:
+        name, tid, at = (np.concatenate(x) for x in held)
+        order = np.argsort(name, kind="stable")
+        name, tid, at = name[order], tid[order], at[order]
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        many = np.diff(np.concatenate([np.flatnonzero(new), [len(name)]])) > 1
+        every = many[np.cumsum(new) - 1]
+        key = np.concatenate([name[new], mix(tid[every].astype(np.uint64)).view(np.int64)])
+        state = np.concatenate([np.where(many, KNOWN, SINGLE), np.full(every.sum(), DONE)]).astype(np.int8)
+        names = np.concatenate([np.zeros(new.sum(), np.int64), name[every]])
+        return _table([f.split()[0] for f in _SAMPLE.split(", ")], [[key], [names], [np.concatenate([tid[new], tid[every]])], [np.concatenate([at[new], at[every]])], [state]])
+
     def run(batches):
+        held: list[list] = [[], [], []]
+        n = 0
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("_r1", "_r2")]
-            columns: list[list] = [[], [], [], [], [], []]
-            for i, text in enumerate(batch.column("text")):
+            for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text"), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                for h, u, at, n in stretches(data, rolling, length, anchor):
-                    for c, v in zip(columns, (h.view(np.int64), u.view(np.int64), np.full(len(h), keys[0][i]), np.full(len(h), keys[1][i]), at.astype(np.int64), n.astype(np.int32)), strict=True):
-                        c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "u", "_r1", "_r2", "at", "n"])
+                wanted = c.positions(len(data))
+                for begin in range(0, len(data) - c.span + 1, BLOCK):
+                    at = wanted[np.searchsorted(wanted, begin) : np.searchsorted(wanted, begin + BLOCK)]
+                    prefix = rolling.prefix(data[begin : begin + BLOCK + c.span - 1])
+                    name = np.maximum(rolling.strings(prefix, at - begin, c.span), np.uint64(1))
+                    for h, x in zip(held, (name.view(np.int64), np.full(len(at), tid), at), strict=True):
+                        h.append(x)
+                    n += len(at)
+                    if n >= GATHER:
+                        yield settled(held)
+                        held, n = [[], [], []], 0
+        if n:
+            yield settled(held)
+
+    return texts.select("tid", "text").mapInArrow(run, _SAMPLE)
+
 
-    return docs.mapInArrow(run, "h long, u long, _r1 long, _r2 long, at long, n int")
+def _groups(batches: Iterable[pa.RecordBatch], carried) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key, regrouped so that each key's rows are in one; carried(table) shortens the rows of a key that goes on."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        key = table.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if cut:
+            yield table.slice(0, cut).to_batches()[0]
+        tail = table.slice(cut)
+        rest = carried(tail.to_batches()[0]) if tail.num_rows else None
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
-def windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """A row for each window of the wanted stretches: its 128-bit digest, its row and start."""
-    families = Rolling(0), Rolling(1)
+def repeated_samples(rows: DataFrame) -> DataFrame:
+    """(tid, at, rank) of the samples whose name occurs twice; ranks are in the order of names."""
 
     def run(batches):
+        out: list = []
+
+        def spelled(tid, at, rank):
+            return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(at), pa.array(rank)], ["tid", "at", "rank"])
+
+        def carried(part):
+            # of a name that goes on, all but one row are settled
+            if part.num_rows == 1:
+                return part
+            out.append(answers(part))
+            first = part.slice(0, 1)
+            return first.set_column(4, "state", pa.array([KNOWN], pa.int8()))
+
+        def answers(part):
+            key, tid, at, state = (part.column(i).to_numpy() for i in (0, 2, 3, 4))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            size = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
+            take = (size > 1)[np.cumsum(new) - 1] & (state == SINGLE)
+            return spelled(tid[take], at[take], key[take])
+
+        def open_rows():
+            for batch in batches:
+                state = batch.column(4).to_numpy()
+                done = batch.filter(pa.array(state == DONE))
+                if done.num_rows:
+                    out.append(spelled(done.column(2), done.column(3), done.column(1)))
+                left = batch.filter(pa.array(state != DONE))
+                if left.num_rows:
+                    yield left
+
+        for part in _groups(open_rows(), carried):
+            out.append(answers(part))
+            yield from (b for b in out if b.num_rows)
+            out.clear()
+        yield from (b for b in out if b.num_rows)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, at long, rank long")
+
+
+def suspects(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Texts with repeated samples, and where these are."""
+    each = repeated.groupBy(F.col("tid").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("s"))
+    joined = texts.join(each, F.col("tid") == F.col("_t")).select("tid", "digest", "copies", "text", "s.at", "s.rank")
+    return materialise(joined, "suspects", compression="zstd")
+
+
+_RUN = "key long, tid long, at long, n long, state byte, data binary, ranks binary"
+_RUN_NAMES = [f.split()[0] for f in _RUN.split(", ")]
+
+
+class _Piece:
+    """Runs gathered in a task: equal ones are settled, and one of them goes on."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.open: dict[tuple, list] = {}
+        self.done: list[tuple] = []
+        self.n = 0
+
+    def add(self, key: int, same: tuple, tid: int, at: int, n: int, state: int, data: bytes, ranks: bytes) -> None:
+        held = self.open.get((key, same))
+        if held is None:
+            self.open[key, same] = [key, tid, at, n, state, data, ranks]
+            self.n += n
+            return
+        if held[4] == SINGLE:
+            self.done.append((held[1], held[2], held[3]))
+            held[4] = KNOWN
+        if state == SINGLE:
+            self.done.append((tid, at, n))
+
+    def batch(self) -> pa.RecordBatch:
+        rows = list(self.open.values())
+        key = mix(np.array([d[0] for d in self.done], np.int64).view(np.uint64)).view(np.int64).tolist()
+        rows += [[k, *d, DONE, None, None] for k, d in zip(key, self.done, strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary()]
+        out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], _RUN_NAMES)
+        self.clear()
+        return out
+
+
+def windows(at: np.ndarray, n: int, c: Cover) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs [lo, hi) of suffixes with one of the samples in their first v positions."""
+    lo, hi = np.maximum(at - c.period + 1, 0), np.minimum(at + 1, n - c.length + 1)
+    fits = hi > lo
+    lo, hi = lo[fits], hi[fits]
+    start = np.concatenate([[True], lo[1:] > hi[:-1]]) if len(lo) else np.zeros(0, bool)
+    return lo[start], hi[np.concatenate([start[1:], [True]])] if len(lo) else hi
+
+
+def runs(found: DataFrame, c: Cover, anchor: int) -> DataFrame:
+    """Runs of suffixes that may repeat, keyed by bucket."""
+    rolling = Rolling(1)
+
+    def run(batches):
+        piece = _Piece()
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("_r1", "_r2")]
-            columns: list[list] = [[], [], [], [], [], []]
-            for i, (text, want) in enumerate(zip(batch.column("text"), batch.column("want"), strict=True)):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                want = want.values
-                first, n, single = (want.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "single"))
-                for a, m, s in zip(first.tolist(), n.tolist(), single.tolist(), strict=True):
-                    part = data[a : a + m + length - 1]
-                    w = [f.windows(f.prefix(part), length).view(np.int64) for f in families]
-                    for c, v in zip(columns, (*w, np.full(m, keys[0][i]), np.full(m, keys[1][i]), np.arange(a, a + m), np.full(m, s)), strict=True):
-                        c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["w1", "w2", "_r1", "_r2", "at", "single"])
-
-    grouped = wanted.groupBy(F.col("_r1").alias("_s1"), F.col("_r2").alias("_s2")).agg(F.collect_set(F.struct("at", "n", "single")).alias("want"))
-    joined = docs.join(grouped, (F.col("_r1") == F.col("_s1")) & (F.col("_r2") == F.col("_s2"))).select("_r1", "_r2", "text", "want")
-    return joined.mapInArrow(run, "w1 long, w2 long, _r1 long, _r2 long, at long, single boolean")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(_r1, _r2, spans): the spans of each row under repeated strings, not merged yet."""
-    keyed = _keyed(docs)
-    sample = materialise(cover(keyed, length, anchor), "cover")
-    # distinct stretches with their number and one place each; a place counts as itself however many equal rows hold it
-    distinct = sample.groupBy("h", "u").agg(F.count("*").alias("rows"), F.min(F.struct("_r1", "_r2", "at", "n")).alias("place"))
-    distinct = materialise(distinct, "stretches")
-    names = materialise(distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.max("rows").alias("most")).where("kinds > 1 or most > 1"), "names")
-    repeated = materialise(distinct.join(names.select("h", "kinds"), "h"), "repeated")
-    discard(distinct, names)
-    mixed = repeated.where("kinds > 1").select("place.*", (F.col("rows") == 1).alias("single"))
-    single = materialise(windows(keyed, mixed, length), "windows")
-    twice = materialise(single.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), "twice")
-    # of stretches that occur once, the windows that occur in another one
-    parts = single.where("single").join(twice, ["w1", "w2"], "left_semi").select("_r1", "_r2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    parts = materialise(parts, "parts")
-    discard(single, twice)
-    whole = sample.join(repeated.where("rows > 1").select("h", "u"), ["h", "u"], "left_semi").select("_r1", "_r2", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-    whole = materialise(whole, "whole")
-    discard(sample, repeated)
-    spans = materialise(parts.unionByName(whole).groupBy("_r1", "_r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(parts, whole)
-    return spans
+            for tid, copies, text, at, rank in zip(*(batch.column(x) for x in ("tid", "copies", "text", "at", "rank")), strict=True):
+                data, tid = np.frombuffer(text.as_buffer(), np.uint8), tid.as_py()
+                at, rank = at.values.to_numpy(), rank.values.to_numpy()
+                state = KNOWN if copies.as_py() > 1 else SINGLE
+                ranks = np.zeros(c.index(len(data)) + c.width, np.uint64)
+                ranks[c.index(at)] = rank.view(np.uint64) & np.uint64((1 << 8 * RANK_BYTES) - 1) | np.uint64(1)
+                for lo, hi in zip(*(x.tolist() for x in windows(at, len(data), c)), strict=True):
+                    for begin in range(lo, hi, BLOCK):
+                        part = data[begin : min(hi, begin + BLOCK) - 1 + c.length]
+                        prefix = rolling.prefix(part)
+                        names = rolling.windows(prefix, anchor)
+                        least = sliding_argmin(names, c.length - anchor + 1)
+                        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+                        size = np.diff(np.concatenate([first, [len(least)]]))
+                        whole = rolling.spans(prefix, first, first + size - 1 + c.length)
+                        i = c.index(first + begin)
+                        j = c.index(first + begin + size - 1) + c.width
+                        for key, same, f, m, a, b in zip(names[least[first]].view(np.int64).tolist(), whole.tolist(), first.tolist(), size.tolist(), i.tolist(), j.tolist(), strict=True):
+                            piece.add(key, (same, m), tid, begin + f, m, state, part[f : f + m - 1 + c.length].tobytes(), pack_ranks(ranks[a:b]))
+                        if piece.n >= GATHER:
+                            yield piece.batch()
+        if piece.open:
+            yield piece.batch()
+
+    return found.mapInArrow(run, _RUN)
+
+
+def _expanded(batch: pa.RecordBatch, spelled: Runs):
+    at, n = (batch.column(x).to_numpy() for x in ("at", "n"))
+    data, ranks = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8) for x in ("data", "ranks"))
+    return spelled.expand(at, n, data, unpack_ranks(ranks))
+
+
+def by_suffix(rows: DataFrame, c: Cover) -> DataFrame:
+    """Runs cut to single suffixes, whose bucket is that of their own bytes."""
+    spelled = Runs(c, Rolling(0))
+
+    def run(batches):
+        piece = _Piece()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                run, position, head, tail, ranks = _expanded(part, spelled)
+                tid, at, state, data = (part.column(x) for x in ("tid", "at", "state", "data"))
+                tid, at, state, data = tid.to_numpy()[run].tolist(), at.to_numpy()[run], state.to_numpy()[run].tolist(), data.to_pylist()
+                key = mix(head + mix(tail)).view(np.int64).tolist()
+                for i, (r, p, o) in enumerate(zip(run.tolist(), position.tolist(), (position - at).tolist(), strict=True)):
+                    text = data[r][o : o + c.length]
+                    piece.add(key[i], (text,), tid[i], p, 1, state[i], text, pack_ranks(ranks[i]))
+                if piece.n * c.length >= GATHER * 16:
+                    yield piece.batch()
+        if piece.open:
+            yield piece.batch()
+
+    return rows.mapInArrow(run, _RUN)
+
+
+def resolve(rows: DataFrame, c: Cover) -> DataFrame:
+    """(tid, lo, hi): spans under repeated strings.  Each task sorts one lot of whole buckets at a time."""
+    spelled = Runs(c, Rolling(0))
+
+    def spans(tid, lo, hi):
+        return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(lo), pa.array(hi)], ["tid", "lo", "hi"])
+
+    def answers(part):
+        """Spans of the suffixes of a lot that repeat, run by run."""
+        run, position, head, tail, ranks = _expanded(part, spelled)
+        label = classes(c, head, tail, position, ranks)
+        state = part.column("state").to_numpy()
+        size = np.bincount(label) + np.bincount(label, state[run] == KNOWN)
+        take = (size[label] > 1) & (state[run] == SINGLE)
+        run, position = run[take], position[take]
+        if not len(run):
+            return None
+        new = np.concatenate([[True], (run[1:] != run[:-1]) | (position[1:] > position[:-1] + c.length)])
+        last = np.concatenate([new[1:], [True]])
+        return spans(part.column("tid").to_numpy()[run[new]], position[new], position[last] + c.length)
+
+    def run(batches):
+        done: list = []
+
+        def open_rows():
+            for batch in batches:
+                state = batch.column("state").to_numpy()
+                settled = batch.filter(pa.array(state == DONE))
+                if settled.num_rows:
+                    tid, at, n = (settled.column(x).to_numpy() for x in ("tid", "at", "n"))
+                    done.append(spans(tid, at, at + n - 1 + c.length))
+                left = batch.filter(pa.array(state != DONE))
+                if left.num_rows:
+                    yield left
+
+        def flushed(lot):
+            found = answers(pa.Table.from_batches(lot).combine_chunks().to_batches()[0])
+            out = [*done, *([found] if found is not None else [])]
+            done.clear()
+            return out
+
+        lot, n = [], 0
+        for group in _groups(open_rows(), lambda part: part):
+            lot.append(group)
+            n += int(group.column("n").to_numpy().sum())
+            if n >= GATHER:
+                yield from flushed(lot)
+                lot, n = [], 0
+        yield from flushed(lot) if lot else done
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, lo long, hi long")
+
+
+def repeated_spans(found: DataFrame, c: Cover, anchor: int) -> DataFrame:
+    """(tid, lo, hi): spans of the texts of suspects() under repeated strings, not merged yet."""
+    rows = materialise(runs(found, c, anchor), "runs", compression="zstd")
+    hot = materialise(rows.where(F.col("state") != DONE).groupBy(F.col("key").alias("_k")).agg(F.sum("n").alias("m")).where(F.col("m") > HOT).select("_k"), "hot_buckets")
+    n_hot = hot.count()
+    if n_hot:
+        keys = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        large = (F.col("key") == F.col("_k")) & (F.col("state") != DONE)
+        rows = rows.join(keys, large, "left_anti").unionByName(by_suffix(rows.join(keys, large, "left_semi"), c))
+    return materialise(resolve(rows, c), "spans")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Texts are bytes of UTF-8; a null text is empty.  Matches don't cross texts;
-    they may overlap within one.  Strings are judged on the input.  Rows equal
-    in doc_id and text have equal results, and repeat each other, so all of a
-    repeated text of at least ``length`` bytes goes, in each of its rows.  An
-    empty table gives an empty result, and extra columns are ignored.
+    they may overlap within one.  Strings are judged on the input.  Equal texts
+    repeat each other, whatever their ids, so all of a repeated text of at least
+    ``length`` bytes goes, in each of its rows.  Texts of any length are walked
+    in blocks.  An empty table gives an empty result, and extra columns are
+    ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256; with_text adds
     the remaining bytes as ``kept``.
     """
     if not 8 <= anchor <= length:
         raise ValueError("anchor must lie between 8 and length")
-    return cut_spans(docs, repeated_spans(docs, length, anchor), with_text=with_text)
+    c = cover(length)
+    texts = distinct_texts(docs, length)
+    copied = materialise(texts.where("copies > 1").select("digest", F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("sha"), *([F.lit(b"").alias("left")] if with_text else [])), "copied")
+    found = suspects(texts, repeated_samples(samples(texts, c)))
+    discard(texts)
+    spans = repeated_spans(found, c, anchor)
+    each = spans.groupBy(F.col("tid").alias("_t")).agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
+    hit = found.where("copies = 1").join(each, F.col("tid") == F.col("_t")).select("digest", "text", "x.lo", "x.hi")
+    cut = cut_rows(hit, ["digest"], 0, with_text).withColumnsRenamed({"kept_sha256": "sha", "kept": "left"}).drop("n_bytes")
+    cut = materialise(cut.unionByName(copied).withColumnRenamed("digest", "_d"), "cut")
+    discard(found, spans)
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), _digest(text).alias("_digest"), *([text.alias("_text")] if with_text else []))
+    out = slim.join(cut, F.col("_digest") == F.col("_d"), "left")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "_digest").alias("kept_sha256"), *([F.coalesce("left", "_text").alias("kept")] if with_text else []))

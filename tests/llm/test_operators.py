@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import chunks, components, decontaminate, iblt, licences, mixing, sharding, simhash, substring, toxicity, warc
+from loomline.llm import chunks, components, decontaminate, iblt, licences, mixing, sharding, simhash, substring, suffixes, toxicity, warc
 from loomline.llm.oracle import SQL
 from loomline.llm.queries import QUERIES
 
@@ -48,27 +48,73 @@ def texts_of(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
 
 
-def test_substring_dedup_matches_brute_force(docs):
-    data = [(i, t.encode()) for i, t in texts_of(docs)]
-    seen = Counter(d[p : p + 400] for _, d in data for p in range(len(d) - 399))
+def plain_substring_dedup(rows, length=400):
+    data = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(d[p : p + length] for _, d in data for p in range(len(d) - length + 1))
     want = Counter()
     for i, d in data:
         cover = np.zeros(len(d) + 1, bool)
-        for p in range(len(d) - 399):
-            if seen[d[p : p + 400]] > 1:
-                cover[p : p + 400] = True
+        for p in range(len(d) - length + 1):
+            if seen[d[p : p + length]] > 1:
+                cover[p : p + length] = True
         cover = cover[: len(d)]
         kept = bytes(np.frombuffer(d, np.uint8)[~cover])
         want[i, len(d), int(cover.sum()), int((cover & ~np.r_[False, cover[:-1]]).sum()) if len(d) else 0, hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(map(tuple, substring.substring_dedup(docs).collect())) == want
+    return want
 
 
-def test_substring_dedup_walks_long_texts_in_blocks(docs, monkeypatch):
-    data = np.frombuffer(prose("block", 900).encode() * 2, np.uint8)
-    whole = list(substring.stretches(data, substring.Rolling(0), 400, 200))
-    monkeypatch.setattr(substring, "BLOCK", 1000)
-    parts = list(substring.stretches(data, substring.Rolling(0), 400, 200))
-    assert sum(p[3].sum() for p in parts) == sum(p[3].sum() for p in whole) == len(data) - 399
+def test_substring_dedup_matches_brute_force(docs):
+    assert Counter(map(tuple, substring.substring_dedup(docs).collect())) == plain_substring_dedup(texts_of(docs))
+
+
+@pytest.mark.parametrize(("length", "gather", "hot", "block"), [(400, 1 << 20, 1 << 21, 1 << 22), (400, 300, 200, 700), (62, 1000, 50, 1 << 22), (27, 100, 1 << 21, 333)])
+def test_substring_dedup_of_repetitive_texts(spark, monkeypatch, length, gather, hot, block):
+    """Ties of over 10 KB at unlike shifts, periods, a template that many rows fill in, and buckets beyond the bounds."""
+    for name, value in (("GATHER", gather), ("HOT", hot), ("BLOCK", block)):
+        monkeypatch.setattr(substring, name, value)
+    r = random.Random(length)
+    long = prose("tie", 2200).encode()
+    assert len(long) > 10_240
+    texts = [prose("head", k) + long.decode() + prose(f"tail{k}", 9) for k in (0, 3, 8)]
+    texts += ["x" * 1500, "ab" * 700, "abc" * 500, prose("one", 70) + prose("two", 60) + prose("one", 70)]
+    texts += [f"{prose('template', 30)} {k} {prose('template end', 25)}" for k in range(40)]
+    texts += ["".join(r.choice("ab") for _ in range(900)) for _ in range(3)] + [texts[3], "", prose("clean", 200)]
+    rows = list(enumerate(texts)) + [(None, texts[5]), (None, None), (1, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.substring_dedup(docs, length, min(100, length // 2), with_text=True).collect()
+    assert Counter(tuple(x)[:5] for x in got) == plain_substring_dedup(rows, length)
+    assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got)
+
+
+@pytest.mark.parametrize("length", [14, 26, 62, 114, 400])
+def test_suffix_classes_are_those_of_the_bytes(length):
+    c, r = suffixes.cover(length), random.Random(length)
+    base = bytes(r.choice(b"ab") for _ in range(3 * length))
+    texts = [b"".join(base[x : x + r.randrange(2 * length)] if r.random() < 0.7 else bytes([r.choice(b"ab")]) for x in (r.randrange(len(base)) for _ in range(r.randrange(1, 9)))) for _ in range(30)]
+    texts = [t for t in texts if len(t) >= length]
+    names = Counter(t[p : p + c.span] for t in texts for p in c.positions(len(t)).tolist())
+    ranks = {s: i + 1 for i, s in enumerate(sorted(x for x in names if names[x] > 1))}
+    parts = []
+    for t in texts:
+        whole = np.array([ranks.get(t[p : p + c.span], 0) for p in c.positions(len(t)).tolist()], np.uint64)
+        n = len(t) - length + 1
+        cut = r.randrange(1, n + 1)
+        for lo, hi in ((0, cut), (cut, n)):
+            if hi > lo:
+                parts.append((lo, hi - lo, t[lo : hi - 1 + length], whole[c.index(lo) : c.index(hi - 1) + c.width], t))
+    runs = suffixes.Runs(c, substring.Rolling(0))
+    data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    packed = np.frombuffer(b"".join(suffixes.pack_ranks(p[3]) for p in parts), np.uint8)
+    run, at, head, tail, rank = runs.expand(np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), data, suffixes.unpack_ranks(packed))
+    strings = [parts[a][4][p : p + length] for a, p in zip(run.tolist(), at.tolist(), strict=True)]
+    labels = suffixes.classes(c, head, tail, at, rank).tolist()
+    assert len(set(zip(labels, strings, strict=True))) == len(set(labels)) == len(set(strings)) < len(strings)
+
+
+def test_covers_hold_each_difference_once():
+    for period, marks in suffixes.COVERS.items():
+        differences = Counter((a - b) % period for a in marks for b in marks if a != b)
+        assert differences == Counter(range(1, period))
 
 
 def test_chunks_survive_insertions_and_keep_one(docs):
