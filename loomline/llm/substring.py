@@ -26,6 +26,7 @@ shuffled.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut_rows, discard, materialise
+from loomline.llm.common import cut_rows, discard, materialise, parallelism
 from loomline.llm.rolling import BLOCK, Rolling, mix, sliding_argmin
 from loomline.llm.suffixes import RANK_BYTES, Cover, Runs, classes, cover, pack_ranks, unpack_ranks
 
@@ -41,6 +42,8 @@ LENGTH = 400
 ANCHOR = 100
 #: Sample names, or suffixes, that a task gathers before it sorts them.
 GATHER = 1 << 20
+#: Samples of a bucket.
+BUCKET = 1 << 19
 #: Suffixes of a bucket beyond which it is dealt out by suffix.
 HOT = 1 << 21
 #: Keys of hot buckets that are broadcast at most; more are joined by a shuffle.
@@ -62,28 +65,51 @@ def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
     return materialise(out.select("digest", "text", "copies", F.octet_length("text").alias("n"), F.monotonically_increasing_id().alias("tid")), "texts", compression="zstd")
 
 
-def _table(names: list[str], columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit words byte by byte, all first bytes first: most of these repeat, and compress to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-_SAMPLE = "key long, name long, tid long, at long, state byte"
+def _words(column: pa.Array) -> np.ndarray:
+    """The words of all rows of _planes()."""
+    rows = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T for x in column]
+    return np.ascontiguousarray(np.concatenate(rows)).view(np.int64).ravel()
 
 
-def samples(texts: DataFrame, c: Cover) -> DataFrame:
-    """The cover's samples: rows with their name as key, and settled ones, dealt out by text."""
+_SAMPLE = "bucket long, done boolean, known binary, names binary, tids binary, places binary"
+
+
+def _sample_rows(buckets: list[int], parts: list[tuple], done: bool) -> pa.RecordBatch:
+    columns = [pa.array(buckets, pa.int64()), pa.array([done] * len(buckets)), pa.array([p[0].tobytes() for p in parts], pa.binary())]
+    columns += [pa.array([_planes(p[i]) for p in parts], pa.binary()) for i in (1, 2, 3)]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SAMPLE.split(", ")])
+
+
+def bucket_bits(texts: DataFrame, c: Cover) -> int:
+    """Bits of a name that tell its bucket: buckets of about BUCKET samples, and enough of them for all tasks."""
+    n = (texts.agg(F.sum("n")).first()[0] or 0) * c.width // c.period
+    return max(n // BUCKET, 2 * parallelism(texts.sparkSession)).bit_length()
+
+
+def samples(texts: DataFrame, c: Cover, bits: int) -> DataFrame:
+    """The cover's samples, many to a row, dealt out by the first bits of their names; of names that a task meets twice, one goes on."""
     rolling = Rolling(0)
 
-    def settled(held: list[list]) -> pa.RecordBatch:
+    def settled(held: list[list]):
         name, tid, at = (np.concatenate(x) for x in held)
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         name, tid, at = name[order], tid[order], at[order]
         new = np.concatenate([[True], name[1:] != name[:-1]])
         many = np.diff(np.concatenate([np.flatnonzero(new), [len(name)]])) > 1
         every = many[np.cumsum(new) - 1]
-        key = np.concatenate([name[new], mix(tid[every].astype(np.uint64)).view(np.int64)])
-        state = np.concatenate([np.where(many, KNOWN, SINGLE), np.full(every.sum(), DONE)]).astype(np.int8)
-        names = np.concatenate([np.zeros(new.sum(), np.int64), name[every]])
-        return _table([f.split()[0] for f in _SAMPLE.split(", ")], [[key], [names], [np.concatenate([tid[new], tid[every]])], [np.concatenate([at[new], at[every]])], [state]])
+        if every.any():
+            yield _sample_rows([int(name[every][0] >> np.uint64(64 - bits)) if bits else 0], [(many[:0], name[every], tid[every], at[every])], True)
+        name, tid, at = name[new], tid[new], at[new]
+        bucket = name >> np.uint64(64 - bits) if bits else np.zeros(len(name), np.uint64)
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(name)]]).tolist()
+        for k in range(0, len(cuts) - 1, 4096):
+            part = [slice(x, y) for x, y in itertools.pairwise(cuts[k : k + 4097])]
+            yield _sample_rows([int(bucket[x.start]) for x in part], [(many[x], name[x], tid[x], at[x]) for x in part], False)
 
     def run(batches):
         held: list[list] = [[], [], []]
@@ -96,81 +122,76 @@ def samples(texts: DataFrame, c: Cover) -> DataFrame:
                     at = wanted[np.searchsorted(wanted, begin) : np.searchsorted(wanted, begin + BLOCK)]
                     prefix = rolling.prefix(data[begin : begin + BLOCK + c.span - 1])
                     name = np.maximum(rolling.strings(prefix, at - begin, c.span), np.uint64(1))
-                    for h, x in zip(held, (name.view(np.int64), np.full(len(at), tid), at), strict=True):
+                    for h, x in zip(held, (name, np.full(len(at), tid), at), strict=True):
                         h.append(x)
                     n += len(at)
                     if n >= GATHER:
-                        yield settled(held)
+                        yield from settled(held)
                         held, n = [[], [], []], 0
         if n:
-            yield settled(held)
+            yield from settled(held)
 
     return texts.select("tid", "text").mapInArrow(run, _SAMPLE)
 
 
-def _groups(batches: Iterable[pa.RecordBatch], carried) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by key, regrouped so that each key's rows are in one; carried(table) shortens the rows of a key that goes on."""
-    rest = None
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, regrouped so that all rows of a key are in one."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        key = table.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        key = batch.column(0).to_numpy()
+        if rest and rest[0].column(0)[0].as_py() != key[0]:
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest = []
+        cut = int(np.flatnonzero(key == key[-1])[0])
         if cut:
-            yield table.slice(0, cut).to_batches()[0]
-        tail = table.slice(cut)
-        rest = carried(tail.to_batches()[0]) if tail.num_rows else None
-    if rest is not None and rest.num_rows:
-        yield rest
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
 def repeated_samples(rows: DataFrame) -> DataFrame:
-    """(tid, at, rank) of the samples whose name occurs twice; ranks are in the order of names."""
+    """(tid, at, rank) of the samples whose name occurs twice; a task sorts one bucket of names at a time, and ranks are in their order."""
 
-    def run(batches):
-        out: list = []
-
-        def spelled(tid, at, rank):
-            return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(at), pa.array(rank)], ["tid", "at", "rank"])
-
-        def carried(part):
-            # of a name that goes on, all but one row are settled
-            if part.num_rows == 1:
-                return part
-            out.append(answers(part))
-            first = part.slice(0, 1)
-            return first.set_column(4, "state", pa.array([KNOWN], pa.int8()))
-
-        def answers(part):
-            key, tid, at, state = (part.column(i).to_numpy() for i in (0, 2, 3, 4))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            size = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
-            take = (size > 1)[np.cumsum(new) - 1] & (state == SINGLE)
-            return spelled(tid[take], at[take], key[take])
+    def spelled(tid, at, rank):
+        return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(at), pa.array(rank)], ["tid", "at", "rank"])
 
+    def run(batches):
         def open_rows():
             for batch in batches:
-                state = batch.column(4).to_numpy()
-                done = batch.filter(pa.array(state == DONE))
-                if done.num_rows:
-                    out.append(spelled(done.column(2), done.column(3), done.column(1)))
-                left = batch.filter(pa.array(state != DONE))
-                if left.num_rows:
-                    yield left
-
-        for part in _groups(open_rows(), carried):
-            out.append(answers(part))
-            yield from (b for b in out if b.num_rows)
-            out.clear()
-        yield from (b for b in out if b.num_rows)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, at long, rank long")
+                done = batch.column("done").to_numpy(zero_copy_only=False)
+                if done.any():
+                    part = batch.filter(pa.array(done))
+                    settled.append(spelled(*(_words(part.column(x)) for x in ("tids", "places", "names"))))
+                if not done.all():
+                    yield batch.filter(pa.array(~done))
+
+        settled: list = []
+        for part in _groups(open_rows()):
+            yield from settled
+            settled.clear()
+            name, tid, at = (_words(part.column(x)) for x in ("names", "tids", "places"))
+            known = np.concatenate([np.frombuffer(x.as_buffer(), np.bool_) for x in part.column("known")])
+            order = np.argsort(name)
+            new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+            size = np.diff(np.concatenate([np.flatnonzero(new), [len(name)]]))
+            take = order[(size > 1)[np.cumsum(new) - 1]]
+            take = take[~known[take]]
+            if len(take):
+                yield spelled(tid[take], at[take], name[take])
+        yield from settled
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tid long, at long, rank long")
 
 
 def suspects(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Texts with repeated samples, and where these are."""
-    each = repeated.groupBy(F.col("tid").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("s"))
+    each = materialise(repeated.groupBy(F.col("tid").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("s")), "ranks")
     joined = texts.join(each, F.col("tid") == F.col("_t")).select("tid", "digest", "copies", "text", "s.at", "s.rank")
-    return materialise(joined, "suspects", compression="zstd")
+    found = materialise(joined, "suspects", compression="zstd")
+    discard(each)
+    return found
 
 
 _RUN = "key long, tid long, at long, n long, state byte, data binary, ranks binary"
@@ -325,7 +346,7 @@ def resolve(rows: DataFrame, c: Cover) -> DataFrame:
             return out
 
         lot, n = [], 0
-        for group in _groups(open_rows(), lambda part: part):
+        for group in _groups(open_rows()):
             lot.append(group)
             n += int(group.column("n").to_numpy().sum())
             if n >= GATHER:
@@ -366,7 +387,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     c = cover(length)
     texts = distinct_texts(docs, length)
     copied = materialise(texts.where("copies > 1").select("digest", F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("sha"), *([F.lit(b"").alias("left")] if with_text else [])), "copied")
-    found = suspects(texts, repeated_samples(samples(texts, c)))
+    found = suspects(texts, repeated_samples(samples(texts, c, bucket_bits(texts, c))))
     discard(texts)
     spans = repeated_spans(found, c, anchor)
     each = spans.groupBy(F.col("tid").alias("_t")).agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
