@@ -41,11 +41,11 @@ from loomline.llm.suffixes import RANK_BYTES, Cover, Runs, classes, cover, pack_
 LENGTH = 400
 ANCHOR = 100
 #: Sample names, or suffixes, that a task gathers before it sorts them.
-GATHER = 1 << 20
+GATHER = 1 << 17
 #: Samples of a bucket.
-BUCKET = 1 << 19
+BUCKET = 1 << 17
 #: Suffixes of a bucket beyond which it is dealt out by suffix.
-HOT = 1 << 21
+HOT = 1 << 18
 #: Keys of hot buckets that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
