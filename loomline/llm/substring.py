@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,21 +135,32 @@ def samples(texts: DataFrame, c: Cover, bits: int) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, _SAMPLE)
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by their first column, regrouped so that all rows of a key are in one."""
-    rest: list[pa.RecordBatch] = []
+def _lots(batches: Iterable[pa.RecordBatch], weight) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew into lots of whole keys that weigh about GATHER; weight(batch) is that of each row."""
+    held: list[pa.RecordBatch] = []
+    load, last = 0, None
+
+    def lot():
+        out = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return out
+
     for batch in batches:
         key = batch.column(0).to_numpy()
-        if rest and rest[0].column(0)[0].as_py() != key[0]:
-            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            rest = []
-        cut = int(np.flatnonzero(key == key[-1])[0])
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        total = np.concatenate([[0], np.cumsum(weight(batch))])
+        starts = np.flatnonzero(np.concatenate([[key[0] != last], key[1:] != key[:-1]]))
+        begin = 0
+        for at in starts.tolist():
+            if load + total[at] - total[begin] >= GATHER:
+                if at > begin:
+                    held.append(batch.slice(begin, at - begin))
+                yield lot()
+                begin, load = at, 0
+        held.append(batch.slice(begin))
+        load += int(total[-1] - total[begin])
+        last = key[-1]
+    if held:
+        yield lot()
 
 
 def repeated_samples(rows: DataFrame) -> DataFrame:
@@ -168,7 +180,7 @@ def repeated_samples(rows: DataFrame) -> DataFrame:
                     yield batch.filter(pa.array(~done))
 
         settled: list = []
-        for part in _groups(open_rows()):
+        for part in _lots(open_rows(), lambda b: pc.binary_length(b.column("known")).to_numpy()):
             yield from settled
             settled.clear()
             name, tid, at = (_words(part.column(x)) for x in ("names", "tids", "places"))
@@ -339,20 +351,13 @@ def resolve(rows: DataFrame, c: Cover) -> DataFrame:
                 if left.num_rows:
                     yield left
 
-        def flushed(lot):
-            found = answers(pa.Table.from_batches(lot).combine_chunks().to_batches()[0])
-            out = [*done, *([found] if found is not None else [])]
+        for lot in _lots(open_rows(), lambda b: b.column("n").to_numpy()):
+            yield from done
             done.clear()
-            return out
-
-        lot, n = [], 0
-        for group in _groups(open_rows()):
-            lot.append(group)
-            n += int(group.column("n").to_numpy().sum())
-            if n >= GATHER:
-                yield from flushed(lot)
-                lot, n = [], 0
-        yield from flushed(lot) if lot else done
+            found = answers(lot)
+            if found is not None:
+                yield found
+        yield from done
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, lo long, hi long")
 
