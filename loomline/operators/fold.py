@@ -33,141 +33,263 @@ def clean(events: DataFrame) -> DataFrame:
     return terminal_cut(dedupe(dealt(events)))
 
 
-def gaps(kept: DataFrame) -> DataFrame:
-    """Missing sequence numbers between 0 and the highest kept one."""
-    found = kept.groupBy(_J).agg(F.collect_set("seq").alias("have"), F.max("seq").alias("top"))
-    return found.select(_J, F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), F.transform("have", lambda s: s.cast("long")))).alias("missing_seq"))
+def gap_ranges(kept: DataFrame) -> DataFrame:
+    """Missing sequence numbers between 0 and the highest kept one, as ranges from first_seq to last_seq: a row a hole, however wide."""
+    seqs = kept.select(_J, F.col("seq").cast("long").alias("seq")).dropDuplicates([_J, "seq"])
+    before = F.coalesce(F.lag("seq").over(Window.partitionBy(_J).orderBy("seq")), F.lit(-1).cast("long"))
+    return seqs.withColumn("_before", before).where("seq > _before + 1").select(_J, (F.col("_before") + 1).alias("first_seq"), (F.col("seq") - 1).alias("last_seq"))
+
+
+def gaps(kept: DataFrame, step: int = 1 << 20) -> DataFrame:
+    """gap_ranges() number by number; wide holes are spelled out in steps, so no array grows with a hole."""
+    first = F.explode(F.sequence("first_seq", "last_seq", F.lit(step).cast("long")))
+    blocks = gap_ranges(kept).select(_J, "last_seq", first.alias("_at"))
+    return blocks.select(_J, F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, F.col("last_seq")))).alias("missing_seq"))
+
+
+def _reason(writers: Column, missing: Column, terminated: Column) -> Column:
+    return F.when(writers > 1, "writer_conflict").when(missing > 0, "missing_events").when(~terminated, "no_terminal")
 
 
 def verdicts(events: DataFrame) -> DataFrame:
     """Whether each journey is complete, and why not: writers before gaps before a missing end."""
     raw = dealt(events)
-    one = dedupe(raw)
-    every = raw.groupBy(_J).agg(F.count("*").alias("arrived"), F.countDistinct("event_id").alias("ids"))
-    end = F.min(F.when(F.col("kind") == "terminal", F.col("seq"))).over(Window.partitionBy(_J))
-    cut = one.withColumn("_end", end)
-    inside = F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))
-    kept = cut.groupBy(_J).agg(
+    j = Window.partitionBy(_J)
+    first = F.row_number().over(Window.partitionBy(_J, "event_id").orderBy("arrival", "seq")) == 1
+    marked = raw.withColumn("_first", first)
+    end = F.min(F.when(F.col("_first") & (F.col("kind") == "terminal"), F.col("seq"))).over(j)
+    marked = marked.withColumn("_end", end)
+    inside = F.col("_first") & (F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+    kept = marked.groupBy(_J).agg(
+        F.count_if(~F.col("_first")).alias("duplicates"),
         F.max("_end").isNotNull().alias("terminated"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("rejected"),
+        F.count_if(F.col("_first") & ~inside).alias("rejected"),
         (F.max(F.when(inside, F.col("seq"))) + 1 - F.countDistinct(F.when(inside, F.col("seq")))).cast("long").alias("missing"),
         F.countDistinct(F.when(inside, F.col("writer"))).alias("writers"),
     )
-    reason = F.when(F.col("writers") > 1, "writer_conflict").when(F.col("missing") > 0, "missing_events").when(~F.col("terminated"), "no_terminal")
-    return kept.join(every, _J).select(_J, (F.col("arrived") - F.col("ids")).alias("duplicates"), "rejected", "missing", "writers", "terminated", reason.isNull().alias("complete"), reason.alias("reason"))
+    reason = _reason(F.col("writers"), F.col("missing"), F.col("terminated"))
+    return kept.select(_J, "duplicates", "rejected", "missing", "writers", "terminated", reason.isNull().alias("complete"), reason.alias("reason"))
+
+
+def judged(kept: DataFrame) -> DataFrame:
+    """Kept events with the verdict on their journey as the column ``reason``, null if it is complete; no exchange beyond that of clean()."""
+    j = Window.partitionBy(_J)
+    first = F.row_number().over(Window.partitionBy(_J, "seq").orderBy("arrival")) == 1
+    out = kept.withColumn("_first", first)
+    missing = F.max("seq").over(j) + 1 - F.sum(F.col("_first").cast("long")).over(j)
+    writers = F.when(F.min("writer").over(j) != F.max("writer").over(j), 2).otherwise(1)
+    ended = F.max(F.col("kind") == "terminal").over(j)
+    return out.withColumn("reason", _reason(writers, missing, ended)).drop("_first")
 
 
 def _any(signals: tuple[str, ...], over) -> Column:
     return F.coalesce(F.max(F.col("signal").isin(*signals)).over(over), F.lit(False))
 
 
+_OPTIONAL = {"flag": "string", "calls": "int", "response": "string", "error": "string"}
+
+
 def messages(kept: DataFrame) -> DataFrame:
-    """Messages with their training status; signals reach their message within the journey's partition."""
+    """Messages with their training status; signals reach their message within the journey's partition.
+
+    A message's own flag comes first: ``summarization`` marks a boundary, and an
+    interrupted turn of the agent is no target.  Then what signals say of it:
+    replaced, disliked, liked; then its role.  Of several messages of one seq
+    the last arrival stays, by event_id where arrivals tie.
+    """
+    kept = kept.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in kept.columns})
     aim = F.when(F.col("kind") == "signal", F.col("target_seq")).otherwise(F.col("seq"))
     w = Window.partitionBy(_J, "_aim")
-    later = Window.partitionBy(_J, "kind", "seq").orderBy(F.desc("arrival"))
-    marked = kept.withColumn("_aim", aim).withColumns({"_sup": _any(SUPERSEDING, w), "_down": _any(("thumbs_down",), w), "_up": _any(("thumbs_up",), w), "_cut": _any(("interrupted",), w), "_last": F.row_number().over(later)})
+    later = Window.partitionBy(_J, "kind", "seq").orderBy(F.desc("arrival"), F.desc("event_id"))
+    marked = kept.withColumn("_aim", aim).withColumns({"_sup": _any(SUPERSEDING, w), "_down": _any(("thumbs_down",), w), "_up": _any(("thumbs_up",), w), "_last": F.row_number().over(later)})
+    agent = F.col("role") == "assistant"
     status = (
-        F.when(F.col("_cut") & (F.col("role") == "assistant"), "not_trainable")
+        F.when(F.col("flag") == "summarization", "summarization_boundary")
+        .when((F.col("flag") == "interrupted") & agent, "not_trainable")
         .when(F.col("_sup"), "superseded")
         .when(F.col("_down"), "not_trainable")
         .when(F.col("_up"), "trainable")
-        .when(F.col("role") == "assistant", "trainable")
+        .when(agent, "trainable")
         .otherwise("not_trainable")
     )
-    calls = F.col("has_calls") if "has_calls" in kept.columns else F.lit(False)
-    return marked.where("kind = 'message' and _last = 1").select(_J, "seq", "role", "content", status.alias("status"), calls.alias("has_calls"))
+    passed = [c for c in ("reason",) if c in kept.columns]
+    return marked.where("kind = 'message' and _last = 1").select(_J, "seq", "role", "content", status.alias("status"), (F.coalesce("calls", F.lit(0)) > 0).alias("has_calls"), F.coalesce("calls", F.lit(0)).alias("calls"), "response", "error", *passed)
 
 
-def steps(msgs: DataFrame) -> DataFrame:
-    """Cumulative steps as (step_index, end_ordinal, prefix_block, status, message_count); no message is copied.
+def marked(msgs: DataFrame) -> DataFrame:
+    """Messages with the step that each closes, if any.
 
     A swap is a system message after the first user message; swaps that follow
     the same message form a block, and the latest block in force takes the place
-    of all system messages.
+    of all system messages.  k counts the other messages; ``block`` is the k of
+    the block in force, null if none.
     """
     j = Window.partitionBy(_J)
     run = j.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = j.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     first_user = F.min(F.when(F.col("role") == "user", F.col("seq"))).over(j)
     m = msgs.withColumn("_fu", first_user).withColumn("swap", F.coalesce((F.col("role") == "system") & (F.col("seq") > F.col("_fu")), F.lit(False)))
     m = m.withColumn("k", F.sum(F.when(F.col("swap"), 0).otherwise(1)).over(run).cast("long"))
     m = m.withColumn("after", F.sum(F.col("swap").cast("int")).over(Window.partitionBy(_J, "k")))
-    m = m.withColumn("before", F.max(F.when(F.col("swap"), F.col("k"))).over(run))
-    m = m.withColumn("plain", F.sum(F.when(F.col("role") != "system", 1).otherwise(0)).over(run))
-    sizes = F.map_from_entries(F.collect_set(F.when(F.col("swap"), F.struct("k", "after"))).over(j))
-    c = m.withColumn("sizes", sizes).where("not swap")
-    nxt = F.lead("role").over(j.orderBy("seq"))
+    m = m.withColumns(
+        {
+            "before": F.max(F.when(F.col("swap"), F.col("k"))).over(run),
+            "_size": F.last(F.when(F.col("swap"), F.col("after")), True).over(run),
+            "plain": F.sum(F.when(F.col("role") != "system", 1).otherwise(0)).over(run),
+            "_next": F.last(F.when(~F.col("swap"), F.col("role")), True).over(ahead),
+        }
+    )
     agent = F.col("role") == "assistant"
     a = agent & (F.col("status") == "superseded")
     b = agent & (F.col("after") > 0) & ~F.col("has_calls")
-    d = nxt.isNull()
-    turn = (nxt == "user") & (F.col("_fu") <= F.col("seq")) & (F.col("role") != "user")
+    turn = (F.col("_next") == "user") & (F.col("_fu") <= F.col("seq")) & (F.col("role") != "user")
     block = F.when(a | b, F.col("before")).otherwise(F.when(F.col("after") > 0, F.col("k")).otherwise(F.col("before")))
-    c = c.withColumn("block", block).withColumn("closes", F.coalesce(a | b | turn | d, F.lit(False))).where("closes")
-    count = F.when(F.col("block").isNull(), F.col("k")).otherwise(F.element_at("sizes", F.col("block")) + F.col("plain"))
-    return c.select(_J, (F.row_number().over(j.orderBy("seq")) - 1).cast("long").alias("step_index"), F.col("k").alias("end_ordinal"), F.col("seq").alias("end_seq"), F.col("block").alias("prefix_block"), "status", count.cast("long").alias("message_count"))
+    m = m.withColumn("block", block).withColumn("closes", ~F.col("swap") & F.coalesce(a | b | turn | F.col("_next").isNull(), F.lit(False)))
+    size = F.when(F.col("block") == F.col("k"), F.col("after")).otherwise(F.col("_size"))
+    count = F.when(F.col("block").isNull(), F.col("k")).otherwise(size + F.col("plain")).cast("long")
+    m = m.withColumn("message_count", count).withColumn("step_index", (F.sum(F.col("closes").cast("int")).over(run) - 1).cast("long"))
+    return m.drop("_fu", "after", "before", "_size", "plain", "_next")
 
 
-def with_messages(parts: DataFrame, msgs: DataFrame, upto: str = "end_seq", block: str = "prefix_block") -> DataFrame:
-    """The message array of each row of parts: those in force up to a message.  Quadratic in a journey's length: for exports only."""
-    j = Window.partitionBy(_J)
-    first_user = F.min(F.when(F.col("role") == "user", F.col("seq"))).over(j)
-    m = msgs.withColumn("swap", F.coalesce((F.col("role") == "system") & (F.col("seq") > first_user), F.lit(False)))
-    m = m.withColumn("k", F.sum(F.when(F.col("swap"), 0).otherwise(1)).over(j.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    lists = m.groupBy(_J).agg(F.array_sort(F.collect_list(F.struct("seq", "k", "swap", "role", "content"))).alias("_all"))
+def steps(msgs: DataFrame) -> DataFrame:
+    """Cumulative steps as (step_index, end_ordinal, prefix_block, status, message_count); no message is copied."""
+    return marked(msgs).where("closes").select(_J, "step_index", F.col("k").alias("end_ordinal"), F.col("seq").alias("end_seq"), F.col("block").alias("prefix_block"), "status", "message_count")
+
+
+_MESSAGE = ("role", "content", "calls", "response", "error")
 
-    def force(x: Column) -> Column:
-        plain = ~x["swap"] & (x["seq"] <= F.col(upto))
-        return F.when(F.col(block).isNull(), plain).otherwise((x["swap"] & (x["k"] == F.col(block))) | (plain & (x["role"] != "system")))
 
-    picked = F.filter("_all", force)
-    ordered = F.concat(F.filter(picked, lambda x: x["swap"]), F.filter(picked, lambda x: ~x["swap"]))
-    return parts.join(lists, _J).withColumn("messages", F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).drop("_all")
+def _history() -> Column:
+    """Everything a journey has said, in order, one array for all of its steps."""
+    return F.array_sort(F.collect_list(F.struct("seq", "k", "swap", *_MESSAGE))).alias("_all")
+
+
+def _in_force(upto: Column, block: Column) -> Column:
+    """The messages of _all in force up to a seq: the block before what is not system, or, without a block, all but swaps."""
+
+    def plain(x: Column) -> Column:
+        return ~x["swap"] & (x["seq"] <= upto) & (block.isNull() | (x["role"] != "system"))
+
+    picked = F.concat(F.filter("_all", lambda x: x["swap"] & (x["k"] == block)), F.filter("_all", plain))
+    return F.transform(picked, lambda x: F.struct(*(x[c].alias(c) for c in _MESSAGE)))
 
 
 def sft_examples(events: DataFrame) -> DataFrame:
-    """A row for each trainable step of a complete journey, with its messages."""
-    kept = clean(events)
-    msgs = messages(kept)
-    good = verdicts(events).where("complete").select(_J)
-    return with_messages(steps(msgs).where("status = 'trainable'").join(good, _J, "left_semi"), msgs)
+    """A row for each trainable step of a complete journey, with its messages; one exchange.
+
+    Message arrays are quadratic in a journey's length, as the format is.
+    """
+    m = marked(messages(judged(clean(events)))).where("reason is null")
+    step = F.when(F.col("closes") & (F.col("status") == "trainable"), F.struct("step_index", "seq", "block", "status", "message_count"))
+    each = m.groupBy(_J).agg(_history(), F.collect_list(step).alias("_steps"))
+    out = each.select(_J, "_all", F.explode("_steps").alias("s"))
+    return out.select(_J, "s.step_index", F.col("s.seq").alias("end_seq"), F.col("s.block").alias("prefix_block"), "s.status", "s.message_count", _in_force(F.col("s.seq"), F.col("s.block")).alias("messages"))
 
 
 def trajectories(events: DataFrame) -> DataFrame:
     """A row for each journey that has steps, with the messages of its last step, which hold all of its history in force."""
-    msgs = messages(clean(events))
-    s = steps(msgs)
-    last = s.withColumn("num_steps", F.count("*").over(Window.partitionBy(_J))).where("step_index = num_steps - 1")
-    return with_messages(last, msgs)
+    m = marked(messages(judged(clean(events))))
+    last = F.max(F.when(F.col("closes"), F.struct("step_index", "seq", "block", "status", "message_count")))
+    each = m.groupBy(_J).agg(_history(), last.alias("s"), F.max("reason").alias("reason")).where("s is not null")
+    return each.select(_J, "s.step_index", F.col("s.seq").alias("end_seq"), F.col("s.block").alias("prefix_block"), "s.status", "s.message_count", (F.col("s.step_index") + 1).alias("num_steps"), "reason", _in_force(F.col("s.seq"), F.col("s.block")).alias("messages"))
 
 
 def dpo_pairs(events: DataFrame) -> DataFrame:
-    """Runs of superseded steps directly followed by a trainable one: a row for each rejected step.
+    """Runs of superseded steps directly followed by a trainable one: a row for each rejected step; one exchange.
 
     The prompt is what the first rejected step saw, without its own last message.
     """
-    kept = clean(events)
-    msgs = messages(kept)
-    good = verdicts(events).where("complete").select(_J)
-    s = steps(msgs).join(good, _J, "left_semi")
+    m = marked(messages(judged(clean(events)))).where("reason is null")
     j = Window.partitionBy(_J)
-    s = s.withColumn("run", F.coalesce(F.sum(F.when(F.col("status") == "superseded", 0).otherwise(1)).over(j.orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = Window.partitionBy(_J, "run")
-    ends = F.struct("step_index", "status", "end_seq")
-    s = s.withColumns({"end": F.max(ends).over(r), "first": F.min(F.struct("step_index", "end_seq", "prefix_block")).over(r)})
-    pairs = s.where("status = 'superseded' and end.status = 'trainable'").select(_J, F.col("step_index").alias("rejected_step"), F.col("end.step_index").alias("chosen_step"), F.col("end_seq").alias("rejected_seq"), F.col("end.end_seq").alias("chosen_seq"), (F.col("first.end_seq") - 1).alias("prompt_seq"), F.col("first.prefix_block").alias("prefix_block"))
-    text = msgs.select(F.col(_J).alias("_j"), F.col("seq").alias("_s"), "content")
-    for side in ("rejected", "chosen"):
-        pairs = pairs.join(text.withColumnRenamed("content", side), (F.col(_J) == F.col("_j")) & (F.col(f"{side}_seq") == F.col("_s"))).drop("_j", "_s")
-    return with_messages(pairs, msgs, "prompt_seq").withColumnRenamed("messages", "prompt")
-
-
-def diagnostics(events: DataFrame) -> DataFrame:
-    """Counts by kind, the highest seq and the writers of each journey, over all events as they arrived."""
-    kinds = ("message", "signal", "terminal")
-    return dealt(events).groupBy(_J).agg(
+    earlier = j.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_run", F.when(F.col("closes"), F.coalesce(F.sum(F.when(F.col("closes") & (F.col("status") != "superseded"), 1).otherwise(0)).over(earlier), F.lit(0))))
+    r = Window.partitionBy(_J, "_run")
+    ends = F.struct("step_index", "status", "content")
+    m = m.withColumns({"_end": F.max(ends).over(r), "_first": F.min(F.struct("step_index", "seq", "block")).over(r)})
+    pair = F.when(F.col("closes") & (F.col("status") == "superseded") & (F.col("_end.status") == "trainable"), F.struct("step_index", "content", F.col("_end").alias("end"), F.col("_first").alias("first")))
+    each = m.groupBy(_J).agg(_history(), F.collect_list(pair).alias("_pairs"))
+    out = each.select(_J, "_all", F.explode("_pairs").alias("p"))
+    return out.select(_J, F.col("p.step_index").alias("rejected_step"), F.col("p.end.step_index").alias("chosen_step"), _in_force(F.col("p.first.seq") - 1, F.col("p.first.block")).alias("prompt"), F.col("p.content").alias("rejected"), F.col("p.end.content").alias("chosen"))
+
+
+def parts(kept: DataFrame) -> DataFrame:
+    """What a journey's kept events say besides its messages, a row a journey.
+
+    reward, termination_reason and error are those of the last event of their
+    kind; models and writers are in the order of their first event; model_id is
+    the journey's only if it has one.
+    """
+    at = F.struct("seq", "arrival")
+    of = lambda kind, c: F.max_by(c, F.when(F.col("kind") == kind, at))
+
+    def seen(c: str) -> Column:
+        return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", "arrival", c)))), lambda e: e[c]))
+
+    said = lambda kind, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "arrival", c)))), lambda e: e[c])
+    out = kept.groupBy(_J).agg(
+        F.count_distinct(F.when(F.col("kind") == "message", F.col("seq"))).alias("messages"),
+        said("signal", "signal").alias("signals"),
+        said("voice", "voice").alias("voice"),
+        of("reward", "reward").alias("aggregated_reward"),
+        F.coalesce(of("terminal", "reason"), F.lit("NONE")).alias("termination_reason"),
+        of("terminal", "error").alias("error"),
+        seen("model_id").alias("model_ids"),
+        seen("writer").alias("writers"),
+        F.max(F.when(F.col("kind") == "terminal", F.col("seq"))).alias("terminal_seq"),
+    )
+    return out.withColumn("model_id", F.when(F.size("model_ids") == 1, F.col("model_ids")[0]))
+
+
+def assemble(events: DataFrame, headers: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """A row for each journey: identity, steps, tool metrics, reward and verdict.
+
+    Identity comes from the header where there is one: data_source (``unknown``
+    without), trace_id, started_at and num_turns, which otherwise is the number
+    of steps; ``source`` overrides the header's.
+    """
+    raw = dealt(events)
+    kept = terminal_cut(dedupe(raw))
+    m = marked(messages(kept))
+    agent = F.col("role") == "assistant"
+    calls, failed = F.sum(F.when(agent, F.col("calls")).otherwise(0)), F.count_if((F.col("role") == "tool") & (F.coalesce("error", F.lit("")) != ""))
+    each = m.groupBy(_J).agg(
+        F.count_if("closes").alias("num_steps"),
+        F.count_if(F.col("closes") & (F.col("status") == "trainable")).alias("trainable_steps"),
+        F.coalesce(F.max_by("message_count", F.when(F.col("closes"), F.col("step_index"))), F.lit(0)).cast("long").alias("messages"),
+        calls.cast("long").alias("num_tool_calls"),
+        failed.alias("num_tool_failures"),
+        F.count_if((F.col("role") == "tool") & F.col("response").isNull()).alias("num_tool_response_none"),
+    )
+    facts = parts(kept).drop("messages", "signals", "voice", "writers", "terminal_seq")
+    out = facts.join(verdicts(raw).select(_J, "complete", F.col("reason").alias("incomplete_reason")), _J).join(each, _J, "left")
+    zero = ["num_steps", "trainable_steps", "messages", "num_tool_calls", "num_tool_failures", "num_tool_response_none"]
+    out = out.fillna(0, zero)
+    rate = F.when(F.col("num_tool_calls") == 0, 0.0).otherwise(F.col("num_tool_failures") / F.col("num_tool_calls"))
+    if headers is None:
+        known = {"data_source": "string", "trace_id": "string", "started_at": "string", "num_turns": "long"}
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in known.items()})
+    else:
+        out = out.join(headers.select(_J, "data_source", "trace_id", "started_at", F.col("num_turns").cast("long").alias("num_turns")), _J, "left")
+    name = F.lit(source) if source else F.coalesce("data_source", F.lit("unknown"))
+    return out.withColumns({"data_source": name, "num_turns": F.coalesce("num_turns", "num_steps"), "tool_error_rate": rate}).withColumn("task_id", F.concat_ws(":", "data_source", F.col(_J).cast("string")))
+
+
+KINDS = ("message", "signal", "reward", "terminal", "voice")
+
+
+def diagnostics(events: DataFrame, acks: DataFrame | None = None) -> DataFrame:
+    """What each journey would give: counts by kind over all events as they arrived, then the fold's findings and the drain's."""
+    raw = dealt(events)
+    counted = raw.groupBy(_J).agg(
         F.count("*").alias("events"),
-        *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds),
+        *(F.count_if(F.col("kind") == k).alias(f"{k}s" if k != "voice" else k) for k in KINDS),
         F.max("seq").cast("long").alias("highest_seq"),
         F.array_join(F.array_sort(F.collect_set("writer")), ",").alias("writers"),
     )
+    found = verdicts(raw).select(_J, "missing", F.col("duplicates").alias("duplicates_dropped"), "terminated", F.col("complete").alias("trainable"), F.col("reason").alias("problem"))
+    out = counted.join(found, _J)
+    if acks is None:
+        return out
+    out = out.join(acks.select(_J, F.col("ack").alias("watermark")), _J, "left")
+    left = raw.join(acks.select(_J, "ack"), _J, "left").where(F.col("seq") > F.coalesce("ack", F.lit(-1))).groupBy(_J).agg(F.count("*").alias("undrained"))
+    return out.join(left, _J, "left").fillna(0, ["undrained"])

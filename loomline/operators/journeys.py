@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -15,25 +14,6 @@ STATUSES = ("trainable", "not_trainable", "superseded")
 _J = "journey_id"
 
 
-def partition(kept: DataFrame) -> DataFrame:
-    """Payloads of each journey by kind: numbers of messages and signals, signals in order, writers in order of their first event."""
-    first = F.array_sort(F.collect_list(F.struct("seq", "arrival", "writer")))
-    signals = F.array_sort(F.collect_list(F.when(F.col("kind") == "signal", F.struct("seq", "signal"))))
-    out = kept.groupBy(_J).agg(
-        F.count_distinct(F.when(F.col("kind") == "message", F.col("seq"))).alias("messages"),
-        F.transform(signals, lambda s: s["signal"]).alias("signals"),
-        F.array_distinct(F.transform(first, lambda e: e["writer"])).alias("writers"),
-        F.max(F.when(F.col("kind") == "terminal", F.col("seq"))).alias("terminal_seq"),
-    )
-    return out
-
-
-def assemble(steps: DataFrame, verdicts: DataFrame, source: str = "unknown") -> DataFrame:
-    """A row for each journey that has steps: task id, steps, trainable steps, messages of the last step, completeness."""
-    each = steps.groupBy(_J).agg(F.count("*").alias("num_steps"), F.count_if(F.col("status") == "trainable").alias("trainable_steps"), F.max_by("message_count", "step_index").alias("messages"))
-    return each.join(verdicts.select(_J, "complete"), _J).withColumn("task_id", F.concat_ws(":", F.lit(source), F.col(_J).cast("string")))
-
-
 def tool_metrics(messages: DataFrame) -> DataFrame:
     """Calls, failures and their rate by journey; the rate is 0 without calls.  messages: journey_id, role, calls, error."""
     calls = F.sum(F.when(F.col("role") == "assistant", F.coalesce("calls", F.lit(0))).otherwise(0)).cast("long")
@@ -89,7 +69,9 @@ def run_roots(runs: DataFrame, max_doublings: int = 40) -> DataFrame:
     spark = runs.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix=f"roots-{uuid.uuid4().hex}-"))
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="roots-"))
     known = runs.select(F.col("run_id").alias("_k"))
     at = runs.join(known, F.col("parent_id") == F.col("_k"), "left").select("run_id", F.coalesce("_k", "run_id").alias("root")).checkpoint()
     for _ in range(max_doublings):

@@ -9,31 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Patterns of personal data.  Fixed values.
-EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
-SSN = r"(?U)\b\d{3}-\d{2}-\d{4}\b"
-PHONE = r"(?U)(?<!\d)(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?!\d)"
-CARD = r"(?U)\b(?:\d[ -]?){13,19}\b"
+#: Control characters that text doesn't need.  Fixed values.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
-def _cards(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), lambda m: F.call_function("luhn_check", F.regexp_replace(m, F.lit("[ -]"), F.lit(""))))
-
-
-def pii_counts(text: Column) -> dict[str, Column]:
-    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
-    return {"emails": count(EMAIL), "ssns": count(SSN), "phones": count(PHONE), "cards": F.coalesce(F.size(_cards(text)), F.lit(0)).cast("long")}
-
-
-def pii_redact(text: Column) -> Column:
-    """Rules in order, each over what the one before left; card numbers only where the checksum holds."""
-    out = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
-    out = F.regexp_replace(out, PHONE, "[REDACTED_PHONE]")
-    out = F.regexp_replace(out, SSN, "[REDACTED_SSN]")
-    return F.aggregate(_cards(out), out, lambda t, m: F.replace(t, m, F.lit("[REDACTED_CREDIT_CARD]")))
-
-
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
@@ -44,20 +23,20 @@ def repair(text: Column) -> Column:
     return nfc(F.regexp_replace(text, CONTROL, ""))
 
 
-def content_hash(fields: Column) -> Column:
-    """SHA-256 of compact JSON of a struct of strings, nulls left out; name fields in sorted order."""
-    return F.sha2(F.to_json(fields), 256)
+def repaired(text: Column) -> Column:
+    """Whether repair() changes a text; false for null."""
+    return F.coalesce(repair(text) != text, F.lit(False))
 
 
 def dedupe_exact(rows: DataFrame, content: Column, order: str) -> DataFrame:
-    """The first row of each content.  Minima combine before the shuffle, so a hot content is a few rows."""
-    digest = F.sha2(F.encode(F.coalesce(content, F.lit("")), "UTF-8"), 256)
+    """The first row of each content and its copies; null and empty contents differ.  Minima combine before the shuffle, so a hot content is a few rows."""
+    digest = F.sha2(F.encode(content, "UTF-8"), 256)
     return rows.select(digest.alias("content_hash"), order).groupBy("content_hash").agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
 def safe_stem(name: Column, cap: int = 240) -> Column:
-    """A file name from an identifier: path parts joined by _, no leading dots, bounded."""
-    parts = F.filter(F.split(name, r"[/\\]"), lambda p: ~p.isin("", ".", ".."))
+    """A file name from an identifier: outer white space gone, path parts joined by _, no leading dots, bounded."""
+    parts = F.filter(F.split(strip(name), r"[/\\]"), lambda p: ~p.isin("", ".", ".."))
     stem = F.substring(F.regexp_replace(F.array_join(parts, "_"), r"^\.+", ""), 1, cap)
     return F.when(F.coalesce(stem, F.lit("")) == "", "journey").otherwise(stem)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import parsers, redaction
 from loomline.operators import corpus, fold, journeys, text
-from loomline.plans.queries import _FOLD, _JOURNEYS, _METRICS, _RAW, _TASKS, QUERIES, SQL, _joined, _metrics, _query
-from loomline.sources.tables import events, table
+from loomline.plans.queries import _FOLD, _JOURNEYS, _METRICS, _RAW, _TASKS, QUERIES, SQL, _benchmark, _completions, _joined, _metrics, _query
+from loomline.sources.tables import HEADERS, events, headers, table
 from loomline.streaming import ingest
 
 __all__ = ["QUERIES", "SQL"]
@@ -17,22 +17,39 @@ def _steps(spark, sf):
     return fold.steps(fold.messages(fold.clean(events(spark, sf))))
 
 
-@_query(
-    _FOLD
-    + """select journey_id, cast(count(distinct case when kind = 'message' then seq end) as bigint) as messages, coalesce(string_agg(signal, ',' order by seq) filter (where kind = 'signal'), '') as signals,
-  case when min(seq) filter (where writer = 'w1') < min(seq) filter (where writer = 'w0') then 'w1,w0' when max(writer) = min(writer) then max(writer) else 'w0,w1' end as writers, max(seq) filter (where kind = 'terminal') as terminal_seq from k group by 1"""
-)
-def fold_partition(spark, sf):
-    p = journeys.partition(fold.clean(events(spark, sf)))
-    return p.withColumns({c: F.array_join(c, ",") for c in ("signals", "writers")})
+_PARTS = """, facts as (
+  select journey_id, cast(count(distinct case when kind = 'message' then seq end) as bigint) as messages, coalesce(string_agg(signal, ',' order by seq) filter (where kind = 'signal'), '') as signals, coalesce(string_agg(voice, ',' order by seq) filter (where kind = 'voice'), '') as voice,
+    max_by(reward, seq) filter (where kind = 'reward') as aggregated_reward, coalesce(max(case when kind = 'terminal' then reason end), 'NONE') as termination_reason, max(case when kind = 'terminal' then error end) as error,
+    case when max(model_id) = min(model_id) then max(model_id) end as model_id, max(seq) filter (where kind = 'terminal') as terminal_seq from k group by 1
+), seen as (
+  select journey_id, coalesce(string_agg(v, ',' order by s) filter (where c = 'm'), '') as model_ids, string_agg(v, ',' order by s) filter (where c = 'w') as writers
+  from (select journey_id, 'm' as c, model_id as v, min(seq) as s from k where model_id is not null group by all union all select journey_id, 'w', writer, min(seq) from k group by all) group by 1
+)"""
 
 
-_ASSEMBLED = "select journey_id, 'loom:' || journey_id as task_id, count(*) as num_steps, count(*) filter (where status = 'trainable') as trainable_steps, cast(arg_max(message_count, step_index) as bigint) as messages, any_value(v.reason is null) as complete from sized join verdict v using (journey_id) group by journey_id"
+@_query(_FOLD + _PARTS + "select * from facts join seen using (journey_id)")
+def fold_partition(spark, sf):
+    p = fold.parts(fold.clean(events(spark, sf)))
+    return p.withColumns({c: F.array_join(c, ",") for c in ("signals", "writers", "voice", "model_ids")})
+
+
+_ASSEMBLED = (
+    _PARTS
+    + """, tool as (
+  select journey_id, cast(sum(case when role = 'assistant' then calls else 0 end) as bigint) as c, count(*) filter (where role = 'tool' and error <> '') as f, count(*) filter (where role = 'tool' and response is null) as n from msg group by 1
+), done as (
+  select journey_id, count(*) as num_steps, count(*) filter (where status = 'trainable') as trainable_steps, cast(arg_max(message_count, step_index) as bigint) as messages from sized group by 1
+), head as ("""
+    + HEADERS.format(conversations="conversations")
+    + """) select journey_id, coalesce(data_source, 'unknown') as data_source, coalesce(data_source, 'unknown') || ':' || journey_id as task_id, trace_id, started_at, cast(coalesce(h.num_turns, num_steps) as bigint) as num_turns, num_steps, trainable_steps, done.messages, c as num_tool_calls, tool.f as num_tool_failures, tool.n as num_tool_response_none,
+  case when c = 0 then 0.0::double else tool.f / cast(c as double) end as tool_error_rate, aggregated_reward, termination_reason, error, model_ids, model_id, reason is null as complete, reason as incomplete_reason
+  from facts join seen using (journey_id) join verdict using (journey_id) join tool using (journey_id) join done using (journey_id) left join head h using (journey_id)"""
+)
 
 
 @_query(_FOLD + _ASSEMBLED)
 def journeys_assembled(spark, sf):
-    return journeys.assemble(_steps(spark, sf), fold.verdicts(events(spark, sf)), "loom")
+    return fold.assemble(events(spark, sf), headers(spark, sf)).withColumn("model_ids", F.array_join("model_ids", ","))
 
 
 QUERIES["journeys"], SQL["journeys"] = QUERIES.pop("journeys_assembled"), SQL.pop("journeys_assembled")
@@ -45,7 +62,7 @@ def journey_detail(spark, sf):
 
 @_query(
     _FOLD
-    + """select s.journey_id, s.step_index + 1 as num_steps, 'last' as steps_written, s.status, sha256((select string_agg(o.role || ':' || o.content, chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = s.journey_id and case when s.block is null then not o.swap and o.seq <= s.end_seq
+    + """select s.journey_id, s.step_index + 1 as num_steps, 'last' as steps_written, s.status, sha256((select string_agg(o.role || ':' || coalesce(o.content, o.response, ''), chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = s.journey_id and case when s.block is null then not o.swap and o.seq <= s.end_seq
   else (o.swap and o.k = s.block) or (not o.swap and o.role <> 'system' and o.seq <= s.end_seq) end)) as messages_sha256 from sized s qualify row_number() over (partition by s.journey_id order by s.step_index desc) = 1"""
 )
 def trajectory(spark, sf):
@@ -53,9 +70,10 @@ def trajectory(spark, sf):
     return t.select("journey_id", "num_steps", F.lit("last").alias("steps_written"), "status", F.sha2(F.encode(_joined("messages"), "UTF-8"), 256).alias("messages_sha256"))
 
 
-@_query()
+@_query(SQL["dpo_pairs"].replace("r.content as rejected, c.content as chosen", "[c.content] as chosen, [r.content] as rejected"))
 def dpo_wrapped(spark, sf):
-    return fold.dpo_pairs(events(spark, sf)).select("journey_id", "rejected_step", "prompt", F.array("chosen").alias("chosen"), F.array("rejected").alias("rejected"))
+    d = fold.dpo_pairs(events(spark, sf))
+    return d.select("journey_id", "rejected_step", "chosen_step", F.sha2(F.encode(_joined("prompt"), "UTF-8"), 256).alias("prompt_sha256"), *(F.array(c).alias(c) for c in ("chosen", "rejected")))
 
 
 @_query(_RAW + ", a as (select journey_id, max(seq) as ack from ev where kind = 'signal' group by 1) select journey_id, count(*) as total, cast(max(ack) as bigint) as watermark, count(*) filter (where seq > coalesce(ack, -1)) as undrained from ev left join a using (journey_id) where arrival = 0 group by 1")
@@ -245,9 +263,9 @@ def counts_by_date(spark, sf):
     return _metrics(spark, sf).groupBy(F.col("ts").cast("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
 
 
-@_query(_JOURNEYS + "select date, id, event_type as product from j where event_type = 'click'")
+@_query(_JOURNEYS + "select date, id, event_type as product from j")
 def journeys_list(spark, sf):
-    m = _metrics(spark, sf).where("event_type = 'click'").select(F.col("ts").cast("date").cast("string").alias("date"), "id", F.col("event_type").alias("product"))
+    m = _metrics(spark, sf).select(F.col("ts").cast("date").cast("string").alias("date"), "id", F.col("event_type").alias("product"))
     return m.orderBy(F.desc_nulls_last("date"), F.desc_nulls_last("id"))
 
 
@@ -284,20 +302,13 @@ def registry_audit(spark, sf):
     return journeys.audit(r, table(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("string").alias("sha256"))).select("name", "problem")
 
 
-@_query("select e.event_id, l.doc_id as product from events e join labels l on l.doc_id = e.user_id and l.toxic = 0")
-def auth_lookup(spark, sf):
-    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    products = table(spark, sf, "labels").where("toxic = 0").select(digest("doc_id").alias("key"), F.col("doc_id").alias("product"))
-    return table(spark, sf, "events").select("event_id", digest("user_id").alias("key")).join(products, "key").select("event_id", "product")
-
-
 @_query(_TASKS + "select id, trim(response) = trim(reference) as same from t where response is not null")
 def exact_match(spark, sf):
-    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"))
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("response"))
-    return t.join(d, "id").where("response is not null").select("id", (text.strip(F.col("response")) == text.strip(F.col("reference"))).alias("same"))
+    done = _benchmark(spark, sf).join(text.latest(_completions(spark, sf), ["id"], "line_no"), "id")
+    return done.select("id", (corpus.METRICS["exact_match"](F.col("response"), F.col("reference")) == 1).alias("same"))
 
 
-@_query()
-def watermark(spark, sf):
-    return corpus.watermark_table(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("content_hash")))
+@_query("select count(*) as members from documents")
+def watermark_tree(spark, sf):
+    pairs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("content_hash"))
+    return corpus.watermark_table(pairs).select("members")

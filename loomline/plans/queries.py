@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.functions import canonical, pii
 from loomline.operators import catalog, corpus, fold, text
 from loomline.sources.tables import _STEPS, EVENTS, events, table
 from loomline.streaming import ingest
@@ -31,7 +32,7 @@ _FOLD = (
 ), sig as (
   select journey_id, target_seq, bool_or(signal in ('regenerated', 'user_edit')) as sup, bool_or(signal = 'thumbs_down') as down, bool_or(signal = 'thumbs_up') as up from k where kind = 'signal' group by all
 ), msg as (
-  select k.journey_id, k.seq, k.role, k.content, case when sup then 'superseded' when down then 'not_trainable' when up then 'trainable' when role = 'assistant' then 'trainable' else 'not_trainable' end as status
+  select k.journey_id, k.seq, k.role, k.content, k.calls, k.response, k.error, case when k.flag = 'summarization' then 'summarization_boundary' when k.flag = 'interrupted' and k.role = 'assistant' then 'not_trainable' when sup then 'superseded' when down then 'not_trainable' when up then 'trainable' when role = 'assistant' then 'trainable' else 'not_trainable' end as status
   from k left join sig on k.journey_id = sig.journey_id and k.seq = sig.target_seq where k.kind = 'message'
 ), fu as (select journey_id, min(seq) as fu from msg where role = 'user' group by 1
 ), ord as (
@@ -43,8 +44,8 @@ _FOLD = (
   select o.*, lead(role) over w as nxt, coalesce(b.n, 0) as after, (select max(x.k) from blocks x where x.journey_id = o.journey_id and x.k < o.k) as before
   from ord o left join blocks b on o.journey_id = b.journey_id and o.k = b.k where not swap window w as (partition by o.journey_id order by seq)
 ), clo as (
-  select *, (role = 'assistant' and (status = 'superseded' or after > 0)) as early from con
-  where (role = 'assistant' and (status = 'superseded' or after > 0)) or nxt is null or (nxt = 'user' and fu <= seq and role <> 'user')
+  select *, (role = 'assistant' and (status = 'superseded' or (after > 0 and calls = 0))) as early from con
+  where (role = 'assistant' and (status = 'superseded' or (after > 0 and calls = 0))) or nxt is null or (nxt = 'user' and fu <= seq and role <> 'user')
 ), st as (
   select journey_id, row_number() over (partition by journey_id order by seq) - 1 as step_index, k as end_ordinal, seq as end_seq, status,
     case when early then before when after > 0 then k else before end as block from clo
@@ -54,7 +55,7 @@ _FOLD = (
 )
 """
 )
-_PROMPT = """(select string_agg(o.role || ':' || o.content, chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = {j} and case when {block} is null then not o.swap and o.seq <= {upto}
+_PROMPT = """(select string_agg(o.role || ':' || coalesce(o.content, o.response, ''), chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = {j} and case when {block} is null then not o.swap and o.seq <= {upto}
   else (o.swap and o.k = {block}) or (not o.swap and o.role <> 'system' and o.seq <= {upto}) end)"""
 
 
@@ -69,7 +70,7 @@ def _query(sql: str | None = None):
 
 
 def _joined(messages: str):
-    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], m["response"], F.lit("")))), "\n")
 
 
 @_query(_RAW + "select journey_id, cast(count(*) - count(distinct event_id) as bigint) as dropped, cast(count(distinct event_id) as bigint) as kept from ev group by 1")
@@ -124,9 +125,16 @@ def dpo_pairs(spark, sf):
     return d.select("journey_id", "rejected_step", "chosen_step", F.sha2(F.encode(_joined("prompt"), "UTF-8"), 256).alias("prompt_sha256"), "rejected", "chosen")
 
 
-@_query(_RAW + "select journey_id, count(*) as events, count(*) filter (where kind = 'message') as messages, count(*) filter (where kind = 'signal') as signals, count(*) filter (where kind = 'terminal') as terminals, cast(max(seq) as bigint) as highest_seq, string_agg(distinct writer, ',' order by writer) as writers from ev group by 1")
+@_query(
+    _FOLD
+    + """, c as (select journey_id, count(*) as events, count(*) filter (where kind = 'message') as messages, count(*) filter (where kind = 'signal') as signals, count(*) filter (where kind = 'reward') as rewards, count(*) filter (where kind = 'terminal') as terminals, count(*) filter (where kind = 'voice') as voice,
+  cast(max(seq) as bigint) as highest_seq, string_agg(distinct writer, ',' order by writer) as writers, cast(case when bool_or(kind = 'signal') then 2 end as int) as watermark, count(*) filter (where seq > 2) as later from ev group by 1)
+select journey_id, events, messages, signals, rewards, terminals, voice, highest_seq, c.writers, missing, duplicates as duplicates_dropped, terminated, reason is null as trainable, reason as problem, watermark, case when watermark is null then events else later end as undrained from c join verdict v using (journey_id)"""
+)
 def diagnostics(spark, sf):
-    return fold.diagnostics(events(spark, sf))
+    e = events(spark, sf)
+    acks = e.where("kind = 'signal'").select("journey_id").distinct().withColumn("ack", F.lit(2))
+    return fold.diagnostics(e, acks)
 
 
 @_query(_RAW + "select journey_id, cast(max(seq) + 1 as bigint) as next_seq from ev group by 1")
@@ -147,7 +155,7 @@ def undrained(spark, sf):
     return ingest.undrained(e, acks).select("journey_id", "event_id", F.col("seq").cast("long").alias("seq"))
 
 
-_SPLIT = "case when h <= 0.1 then 'test' when h <= 0.9 then 'train' else 'val' end"
+_SPLIT = "case when h < 0.1 then 'test' when h < 0.9 then 'train' else 'val' end"
 _SPLITS = f"""with x as (select conv_id, cast(conv_id // 3 as varchar) as g from conversations group by 1), y as (select *, cast(('0x' || substr(sha256('{{"group_key":"' || g || '"}}'), 1, 8)) as bigint) / 4294967295.0::double as h from x), s as (select conv_id, g, {_SPLIT} as split from y) """
 
 
@@ -170,26 +178,13 @@ def check_drift(spark, sf):
     return corpus.drift(mean(d), mean(d.where("source <> 'src0'")), 0.001).select("name", F.round("change", 9).alias("change"))
 
 
-@_query("select d.doc_id as journey_id, l.quality = 1 as approved, l.quality / 2.0::double as scaled from documents d join labels l using (doc_id)")
-def apply_reviews(spark, sf):
-    j = table(spark, sf, "documents").select(F.col("doc_id").alias("journey_id"))
-    d = table(spark, sf, "labels").select(F.col("doc_id").alias("journey_id"), (F.col("quality") == 1).alias("approved"), F.col("quality").cast("double").alias("score"))
-    return corpus.apply_reviews(j, d, 0.0, 2.0).select("journey_id", "approved", "scaled")
-
-
-@_query("select l.doc_id from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.lang = 'en')")
+@_query("select l.doc_id from labels l where not exists (select 1 from conversations c where c.conv_id = l.doc_id)")
 def unmatched_reviews(spark, sf):
-    return table(spark, sf, "labels").select("doc_id").join(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "left_anti")
-
-
-@_query("select conv_id, substr(max(case when role = 'user' then text end) filter (where turn = fu), 1, 120) as first_user, substr(max(text) filter (where turn = la), 1, 120) as last_assistant from (select *, min(turn) filter (where role = 'user') over (partition by conv_id) as fu, max(turn) filter (where role = 'assistant') over (partition by conv_id) as la from conversations) group by 1")
-def review_queue(spark, sf):
-    c = table(spark, sf, "conversations")
-    user, agent = F.col("role") == "user", F.col("role") == "assistant"
-    return c.groupBy("conv_id").agg(F.substring(F.min_by("text", F.when(user, F.col("turn"))), 1, 120).alias("first_user"), F.substring(F.max_by("text", F.when(agent, F.col("turn"))), 1, 120).alias("last_assistant"))
+    journeys = table(spark, sf, "conversations").select(F.col("conv_id").alias("journey_id")).distinct()
+    return corpus.unmatched(table(spark, sf, "labels").select(F.col("doc_id").alias("journey_id")), journeys).select(F.col("journey_id").alias("doc_id"))
 
 
-@_query("select sha256(coalesce(text, '')) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+@_query("select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def dedupe_exact(spark, sf):
     return text.dedupe_exact(table(spark, sf, "documents"), F.col("text"), "doc_id")
 
@@ -201,21 +196,25 @@ def repair_encoding(spark, sf):
 
 @_query()
 def pii_scan(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in text.pii_counts(F.col("text")).items()))
+    """Counts by rule and the masked samples, "rule: context" joined by line ends; Python's patterns have no counterpart in RE2, so tests compare it with them."""
+    found = table(spark, sf, "documents").select("doc_id", pii.scanned(F.col("text")).alias("found"))
+    return found.select("doc_id", *(F.coalesce(F.col("found.counts")[r], F.lit(0)).cast("long").alias(f"n_{r.lower()}") for r in pii.RULES), F.array_join(F.transform("found.samples", lambda x: F.concat_ws(": ", x["rule"], x["context"])), "\n").alias("samples"))
 
 
 @_query()
 def pii_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.pii_redact(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
 
 
-@_query("""select doc_id, sha256('{"lang":"' || lang || '","source":"' || source || '"}') as hash, concat_ws(':', source, lang, sha256('{"lang":"' || lang || '","source":"' || source || '"}')) as idempotency_key from documents""")
+# Keys out of order, nulls at two depths and a volatile key; lists keep their nulls.
+@_query("""select doc_id, sha256(c) as hash, concat_ws(':', source, lang, sha256(c)) as idempotency_key from (select *, '{"a":{"k":[' || n_chars || ',null,{"x":1}]},"lang":"' || lang || '","source":"' || source || '"}' as c from documents)""")
 def content_hash(spark, sf):
-    h = text.content_hash(F.struct("lang", "source"))
-    return table(spark, sf, "documents").select("doc_id", h.alias("hash"), F.concat_ws(":", "source", "lang", h).alias("idempotency_key"))
+    given = F.concat(F.lit('{"source": "'), "source", F.lit('", "idx": 3, "lang": "'), "lang", F.lit('", "z": null, "a": {"n": null, "idx": 1, "k": ['), F.col("n_chars").cast("string"), F.lit(', null, {"y": null, "x": 1}]}}'))
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", canonical.hash_json(given).alias("hash"))
+    return d.select("doc_id", "hash", canonical.idempotency_key(F.col("source"), F.col("lang"), F.col("hash")).alias("idempotency_key"))
 
 
-@_query(r"select page_id, case when s = '' then 'journey' else s end as stem from (select page_id, substr(regexp_replace(array_to_string(list_filter(string_split_regex(url, '[/\\]'), lambda p: p not in ('', '.', '..')), '_'), '^\.+', ''), 1, 240) as s from pages)")
+@_query(r"select page_id, case when s = '' then 'journey' else s end as stem from (select page_id, substr(regexp_replace(array_to_string(list_filter(string_split_regex(trim(url), '[/\\]'), lambda p: p not in ('', '.', '..')), '_'), '^\.+', ''), 1, 240) as s from pages)")
 def safe_stem(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.safe_stem(F.col("url")).alias("stem"))
 
@@ -225,20 +224,29 @@ def normalize_role(spark, sf):
     return table(spark, sf, "events").select("event_id", text.normalize_role(F.col("event_type")).alias("role"))
 
 
-_TASKS = "with t as (select b.item_id as id, b.text as reference, d.text as response from benchmark b left join (select * from documents where lang = 'en') d on d.doc_id = b.item_id) "
+# Completions are documents, and each is sent twice: the second, which is the later line, counts.
+_TASKS = "with t as (select b.item_id as id, b.text as reference, case when d.doc_id % 2 = 0 then b.text || ' ' else d.text end as response from benchmark b left join documents d on d.doc_id = b.item_id) "
+
+
+def _benchmark(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"))
+
+
+def _completions(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    right = d.join(_benchmark(spark, sf), "id").select("id", F.when(F.col("id") % 2 == 0, F.concat("reference", F.lit(" "))).otherwise(F.col("text")).alias("response"), F.lit(2).alias("line_no"))
+    return right.unionByName(d.select("id", F.lit("draft").alias("response"), F.lit(1).alias("line_no")).join(right.select("id"), "id", "left_semi"))
 
 
 @_query(_TASKS + "select id, case when response is null then 0.0::double when trim(response) = trim(reference) then 1.0::double else 0.0::double end as score, response is null as missing from t")
 def eval_run(spark, sf):
-    tasks = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("reference"))
-    done = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("response"))
-    return corpus.eval_run(tasks, done, lambda a, b: text.strip(a) == text.strip(b))
+    return corpus.eval_run(_benchmark(spark, sf), _completions(spark, sf), corpus.METRICS["exact_match"])
 
 
-@_query("select coalesce(a.doc_id, b.doc_id) as id, coalesce(cast(b.toxic as double), 0) - coalesce(cast(a.quality as double), 0) as delta from (select * from labels where toxic = 0) a full join (select * from labels where quality = 1) b on a.doc_id = b.doc_id")
+@_query("select coalesce(a.doc_id, b.doc_id) as id, coalesce(cast(b.n_chars % 3 as double), 0) - coalesce(cast(a.quality as double), 0) as delta from labels a full join documents b on a.doc_id = b.doc_id")
 def eval_compare(spark, sf):
-    run = lambda c, which: table(spark, sf, "labels").where(which).select(F.col("doc_id").alias("id"), F.col(c).cast("double").alias("score"))
-    return corpus.compare_runs(run("quality", "toxic = 0"), run("toxic", "quality = 1"))
+    a = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
+    return corpus.compare_runs(a, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 3).cast("double").alias("score")))
 
 
 @_query("select distinct item_id from benchmark where item_id in (select doc_id from documents)")
@@ -247,11 +255,13 @@ def eval_overlap(spark, sf):
 
 
 def _metrics(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("id"), "value", "event_type")
+    e = table(spark, sf, "events")
+    total = F.when(F.col("event_id") % 10 == 3, 0).otherwise(200)
+    return e.select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("id"), "value", "event_type", total.cast("double").alias("total"), (F.col("event_id") % 8 + 1).alias("cpus"))
 
 
 _JOURNEYS = "with j as (select event_id as id, event_type, cast(cast(ts as date) as varchar) as date from events) "
-_METRICS = "with m as (select user_id as host, ts, event_id as id, value, event_type from events) "
+_METRICS = "with m as (select user_id as host, ts, event_id as id, value, event_type, case when event_id % 10 = 3 then 0 else 200 end as total, event_id % 8 + 1 as cpus from events) "
 
 
 @_query(_METRICS + "select event_type, count(*) as n from m group by 1")
@@ -269,9 +279,9 @@ def snapshots_by_date(spark, sf):
     return _metrics(spark, sf).groupBy(F.col("ts").cast("date").cast("string").alias("date")).agg(F.count("*").alias("n")).orderBy(F.desc("date")).limit(30)
 
 
-@_query(_METRICS + "select host, id, value from (select *, row_number() over (partition by host order by ts desc, id desc) as r, count(*) over (partition by host) as c from m) where r <= 60 and c >= 2")
+@_query(_METRICS + "select host, id, round(pct, 9) as pct from (select *, count(*) over (partition by host) as c from (select host, id, 100.0 * value / total as pct, row_number() over (partition by host order by ts desc, id desc) as r from m where total > 0) where r <= 60) where c >= 2")
 def host_pct_series(spark, sf):
-    return catalog.host_series(_metrics(spark, sf)).select("host", "id", "value")
+    return catalog.host_series(_metrics(spark, sf), F.col("value"), F.col("total")).select("host", "id", F.round("pct", 9).alias("pct"))
 
 
 @_query(_METRICS + "select host, id, value from m qualify row_number() over (partition by host order by ts desc, id desc) = 1")
@@ -279,9 +289,9 @@ def latest_per_host(spark, sf):
     return catalog.latest_per_host(_metrics(spark, sf)).select("host", "id", "value")
 
 
-@_query(_METRICS + "select count(distinct host) as hosts, count(distinct event_type) as projects, arg_max(id, (ts, id)) as latest from m")
+@_query(_METRICS + "select count(distinct host) as hosts, count(distinct event_type) as projects, arg_max(id, (ts, id)) as latest, cast((select sum(cpus) from (select cpus from m qualify row_number() over (partition by host order by ts desc, id desc) = 1)) as bigint) as cpus from m")
 def fleet_summary(spark, sf):
-    return _metrics(spark, sf).agg(F.count_distinct("host").alias("hosts"), F.count_distinct("event_type").alias("projects"), F.max_by("id", F.struct("ts", "id")).alias("latest"))
+    return catalog.fleet(_metrics(spark, sf).withColumnRenamed("event_type", "project"))
 
 
 @_query(_METRICS + "select distinct event_type as project from m where event_type <> ''")
@@ -289,42 +299,30 @@ def projects(spark, sf):
     return _metrics(spark, sf).where("event_type <> ''").select(F.col("event_type").alias("project")).distinct()
 
 
-@_query(_METRICS + "select id, host from m where event_type = 'click' and cast(ts as date) = (select max(cast(ts as date)) from m)")
+@_query(_METRICS + "select id, host from m where cast(ts as date) = (select max(cast(ts as date)) from m)")
 def journeys_latest_date(spark, sf):
     m = _metrics(spark, sf).withColumn("date", F.col("ts").cast("date"))
-    top = m.agg(F.max("date").alias("date"))
-    return m.where("event_type = 'click'").join(F.broadcast(top), "date").select("id", "host")
+    return m.join(F.broadcast(m.agg(F.max("date").alias("date"))), "date").select("id", "host")
 
 
-@_query(_METRICS + "select id, host from m order by ts desc, id desc limit 25 offset 25")
+@_query(_METRICS + "select id, host, case when t > 50 then 'NTA=' end as next_cursor, t > 50 as has_more, t as total from (select id, host, ts from m order by ts desc, id desc limit 25 offset 25), (select count(*) as t from m)")
 def paginate(spark, sf):
-    return catalog.paginate(_metrics(spark, sf), [F.desc("ts"), F.desc("id")], "MjU=")[0].select("id", "host")
+    return catalog.paginate(_metrics(spark, sf).select("id", "host", "ts"), [F.desc("ts"), F.desc("id")], "MjU=").drop("ts")
 
 
-@_query("select doc_id, n_chars, case when n_chars is null then '\u2014' when n_chars >= 1000000 then (n_chars + 50000) // 1000000 || '.' || (n_chars + 50000) // 100000 % 10 || ' MB' when n_chars >= 1000 then (n_chars + 50) // 1000 || '.' || (n_chars + 50) // 100 % 10 || ' KB' else n_chars || ' B' end as size from documents")
+@_query("select doc_id, n_chars, case when n_chars is null then '—' when n_chars >= 1000000 then printf('%.1f MB', n_chars / 1e6) when n_chars >= 1000 then printf('%.1f KB', n_chars / 1e3) else n_chars || ' B' end as size from documents")
 def format_bytes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars", catalog.format_bytes(F.col("n_chars").cast("double")).alias("size"))
 
 
-_ISLANDS = "with x as (select *, case when role = lag(role) over (partition by user_id order by event_id) then 0 else 1 end as b from (select user_id, event_id, event_type as role, value from events)), y as (select *, cast(sum(b) over (partition by user_id order by event_id) as bigint) as island from x) "
-
-
-@_query(_ISLANDS + "select user_id, island, role, count(*) as parts, string_agg(cast(event_id as varchar), ' ' order by event_id) as text from y group by all")
-def coalesce_utterances(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("role"))
-    e = e.withColumn("b", F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1)).withColumn("island", F.sum("b").over(w))
-    return e.groupBy("user_id", "island", "role").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), " ").alias("text"))
-
-
-@_query("select a.doc_id from documents a where not exists (select 1 from labels l where l.doc_id = a.doc_id and l.quality = 1)")
+@_query("select a.doc_id from documents a where not exists (select 1 from labels l where l.doc_id = a.doc_id)")
 def reconcile(spark, sf):
-    return ingest.gone_files(table(spark, sf, "documents").select(F.col("doc_id").alias("path")), table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("path"))).withColumnRenamed("path", "doc_id")
+    return ingest.gone_files(table(spark, sf, "documents").select(F.col("doc_id").alias("path")), table(spark, sf, "labels").select(F.col("doc_id").alias("path"))).withColumnRenamed("path", "doc_id")
 
 
-@_query("select a.doc_id as path from documents a left join (select doc_id, n_chars + doc_id % 2 as size from documents where lang <> 'de') s using (doc_id) where s.size is null or s.size <> a.n_chars")
+@_query("select a.doc_id as path from documents a left join labels l using (doc_id) where l.doc_id is null or l.doc_id % 2 = 1")
 def changed_files(spark, sf):
     d = table(spark, sf, "documents")
     listing = d.select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), F.col("n_chars").alias("size"))
-    state = d.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), (F.col("n_chars") + F.col("doc_id") % 2).alias("size"))
+    state = d.join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("path"), F.lit(0).alias("mtime"), (F.col("n_chars") + F.col("doc_id") % 2).alias("size"))
     return ingest.changed_files(listing, state).select("path")

@@ -12,32 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 EVENTS = """
 select conv_id as journey_id, seq, kind, concat(conv_id, '-', seq) as event_id, role, content, signal, target_seq,
-  case when conv_id % 11 = 0 and seq % 2 = 1 then 'w1' else 'w0' end as writer, arrival
+  case when conv_id % 11 = 0 and seq % 2 = 1 then 'w1' else 'w0' end as writer, arrival,
+  flag, calls, response, error, reward, reason, voice, model_id
 from (
   select *, 0 as arrival from kept union all select *, 1 as arrival from kept where conv_id % 4 = 0
 ) x
 """
-_STEPS = """
+_NONE = "cast(null as varchar(9)) as flag, 0 as calls, cast(null as varchar(9)) as response, cast(null as varchar(9)) as error, cast(null as double) as reward, cast(null as varchar(9)) as reason, cast(null as varchar(9)) as voice, cast(null as varchar(9)) as model_id"
+_STEPS = f"""
 with m as (
-  select conv_id, turn, role, text, min(case when role = 'assistant' then turn end) over (partition by conv_id) as fa from {conversations}
+  select conv_id, turn, role, text, min(case when role = 'assistant' then turn end) over (partition by conv_id) as fa, max(turn) over (partition by conv_id) as la from {{conversations}}
 ), items as (
-  select conv_id, turn, 0 as slot, 'message' as kind, role, text as content, nullif('', '') as signal from m
-  union all select conv_id, turn, 1, 'signal', null, null, 'regenerated' from m where turn = fa and conv_id % 3 = 0
-  union all select conv_id, turn, 2, 'message', 'assistant', concat(text, ' (again)'), null from m where turn = fa and conv_id % 3 = 0
-  union all select conv_id, turn, -1, 'message', 'system', 'new rules', null from m where turn = 2 and conv_id % 13 = 0
-  union all select conv_id, turn, 3, 'signal', null, null, case when conv_id % 2 = 0 then 'thumbs_up' else 'thumbs_down' end from m where turn = fa + 2 and conv_id % 9 = 0
+  select conv_id, turn, 0 as slot, 'message' as kind, role, text as content, nullif('', '') as signal,
+    case when role = 'assistant' and conv_id % 16 = 5 and turn % 4 = 3 then 'summarization' when conv_id % 14 = 3 and turn % 6 in (2, 5) then 'interrupted' end as flag,
+    case when role = 'assistant' and conv_id % 8 = 1 and turn % 4 = 1 then 1 else 0 end as calls,
+    nullif('', '') as response, nullif('', '') as error, cast(null as double) as reward, nullif('', '') as reason, nullif('', '') as voice,
+    case when role = 'assistant' and conv_id % 10 = 7 and turn > 2 then 'm2' when role = 'assistant' then 'm1' end as model_id from m
+  union all select conv_id, turn, 1, 'signal', null, null, 'regenerated', {_NONE} from m where turn = fa and conv_id % 3 = 0
+  union all select conv_id, turn, 2, 'message', 'assistant', concat(text, ' (again)'), null, {_NONE} from m where turn = fa and conv_id % 3 = 0
+  union all select conv_id, turn, -1, 'message', 'system', 'new rules', null, {_NONE} from m where turn = 2 and conv_id % 13 = 0
+  union all select conv_id, turn, 3, 'signal', null, null, case when conv_id % 2 = 0 then 'thumbs_up' else 'thumbs_down' end, {_NONE} from m where turn = fa + 2 and conv_id % 9 = 0
+  union all select conv_id, turn, 4, 'message', 'tool', null, null, null, 0, case when conv_id % 16 = 1 then concat('r', turn) end, case when conv_id % 24 = 1 then 'tool_error' end, null, null, null, null from m where role = 'assistant' and conv_id % 8 = 1 and turn % 4 = 1
+  union all select conv_id, turn, 5, 'voice', null, 'hm', null, null, 0, null, null, null, null, 'stt_transcript', null from m where turn = 0 and conv_id % 6 = 4
+  union all select conv_id, turn, 6, 'reward', null, null, null, null, 0, null, null, conv_id % 10 / 8.0, null, null, null from m where turn = la and conv_id % 4 = 2
+  union all select conv_id, turn, 7, 'reward', null, null, null, null, 0, null, null, 0.5, null, null, null from m where turn = la and conv_id % 12 = 2
 ), numbered as (
   select *, cast(row_number() over (partition by conv_id order by turn, slot) - 1 as bigint) as seq from items
 ), ends as (
   select conv_id, max(seq) + 1 as t from numbered group by conv_id
 ), stream as (
-  select conv_id, seq, kind, role, content, signal, case when kind = 'signal' then seq - 1 end as target_seq from numbered
-  union all select conv_id, t, 'terminal', null, null, null, null from ends where conv_id % 5 <> 0
-  union all select conv_id, t + 1, 'message', 'user', 'late', null, null from ends where conv_id % 5 <> 0 and conv_id % 6 = 1
+  select conv_id, seq, kind, role, content, signal, case when kind = 'signal' then seq - 1 end as target_seq, flag, calls, response, error, cast(reward as double) as reward, reason, voice, model_id from numbered
+  union all select conv_id, t, 'terminal', null, null, null, null, null, 0, null, case when conv_id % 15 = 1 then 'gone' end, null, case when conv_id % 15 = 1 then 'ERROR' else 'ENV_DONE' end, null, null from ends where conv_id % 5 <> 0
+  union all select conv_id, t + 1, 'message', 'user', 'late', null, null, null, 0, null, null, null, null, null, null from ends where conv_id % 5 <> 0 and conv_id % 6 = 1
 ), kept as (
   select * from stream where not (conv_id % 7 = 0 and seq = 1)
 )
 """
+#: What a file's header says of its journey; some say less.
+HEADERS = "select conv_id as journey_id, case when conv_id % 9 <> 0 then 'loom' end as data_source, case when conv_id % 4 <> 0 then concat('t', cast(floor(conv_id / 3) as int)) end as trace_id, '2024-05-01T10:00:00Z' as started_at, case when conv_id % 12 = 5 then 99 end as num_turns from (select distinct conv_id from {conversations}) c"
 
 
 def events_sql(conversations: str) -> str:
@@ -50,3 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(events_sql("{conversations}"), conversations=table(spark, sf_dir, "conversations"))
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(HEADERS, conversations=table(spark, sf_dir, "conversations"))

@@ -2,35 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.sources import files
+
 HEADER = "schema_version string, journey_id string, data_source string, trace_id string, started_at string, journey_metadata string"
-_MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string,id:string>>,finish_reason:string,reasoning:string,trainable_status:string,metadata:string>"
-EVENT = f"journey_id string, seq bigint, kind string, ts string, event_id string, model_id string, metadata string, message {_MESSAGE}, signal struct<signal:string,target_seq:bigint,regen_order:bigint,edited_output:string>, reward struct<aggregated_value:double,aggregation_method:string>, terminal struct<termination_reason:string,error:string>, voice struct<voice_kind:string,text:string,confidence:double,latency_ms:double>"
+_CALL = "struct<name:string,arguments:string,id:string>"
+_RESPONSE = "struct<id:string,name:string,arguments:string,response:string,error:string,metadata:string>"
+_DEFINITION = "struct<name:string,description:string,parameters:string>"
+_COMPONENT = "struct<name:string,value:double,scaled_value:double,explanation:string,weight:double,range:array<double>,metadata:string>"
+_MESSAGE = f"struct<role:string,content:string,tool_calls:array<{_CALL}>,tool_response:{_RESPONSE},tool_definitions:array<{_DEFINITION}>,usage:string,finish_reason:string,reasoning:string,trainable_status:string,metadata:string>"
+EVENT = f"journey_id string, seq bigint, kind string, ts string, event_id string, model_id string, metadata string, message {_MESSAGE}, signal struct<signal:string,target_seq:bigint,regen_order:bigint,edited_output:string>, reward struct<aggregated_value:double,aggregation_method:string,components:array<{_COMPONENT}>>, terminal struct<termination_reason:string,error:string>, voice struct<voice_kind:string,text:string,confidence:double,latency_ms:double,metadata:string>"
 KINDS = ("message", "signal", "reward", "terminal", "voice")
 MAJOR = "2"
+VERSION = "2.0"
+#: The header's key for its version; pass another where files have another.
+VERSION_KEY = "schema_version"
+
+
+def _refusal(line: Column, version_key: str) -> Column:
+    """Why a file with this first line is refused; null if it isn't."""
+    version = F.get_json_object(line, f"$.{version_key}")
+    major = F.split(version, r"\.")[0]
+    return F.when(F.trim(line) == "", "empty file").when(version.isNull(), "not a header").when(~major.rlike("^[0-9]+$"), "unreadable version").when(major != MAJOR, "unknown major version")
+
+
+def _listed(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
+def lines(spark: SparkSession, path: str, version_key: str = VERSION_KEY, glob: str | None = None) -> DataFrame:
+    """(path, line_no, line, last_open, refused): the lines of files; blank ones go, but for the first.
+
+    last_open marks a last line without a line end.  refused says why the whole
+    file is refused: it is empty, its first line is no header, or of another
+    major version.  A file is a row until its lines are spelled out, so whether
+    it ends cleanly can be told; the format's files are bounded in size.  Files
+    of no bytes have no rows, as Spark's readers don't open them.
+    """
+    text = F.col("content").cast("string")
+    rows = _listed(spark, path, glob).select("path", F.is_valid_utf8(text).alias("_valid"), F.make_valid_utf8(text).alias("_text"))
+    rows = rows.select("path", "_valid", (~F.endswith("_text", F.lit("\n"))).alias("_open"), F.split("_text", "\n").alias("_all"))
+    rows = rows.withColumn("refused", F.when(~F.col("_valid"), "not UTF-8").otherwise(_refusal(F.get("_all", F.lit(0)), version_key)))
+    rows = rows.select("path", "refused", "_open", F.size("_all").alias("_n"), F.posexplode("_all").alias("line_no", "line"))
+    kept = rows.where((F.trim("line") != "") | (F.col("line_no") == 0))
+    return kept.select("path", (F.col("line_no") + 1).alias("line_no"), "line", (F.col("_open") & (F.col("line_no") + 1 == F.col("_n"))).alias("last_open"), "refused")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line, last_open): non-blank lines; last_open marks a last line without a line end."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "UTF-8")
-    rows = files.select("path", (~F.endswith(text, F.lit("\n"))).alias("_open"), F.split(text, "\n").alias("_all"))
-    rows = rows.select("path", "_open", F.size("_all").alias("_n"), F.posexplode("_all").alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("path", (F.col("line_no") + 1).alias("line_no"), "line", (F.col("_open") & (F.col("line_no") + 1 == F.col("_n"))).alias("last_open"))
+def _header_columns(first: DataFrame, version_key: str) -> DataFrame:
+    refused = F.col("refused") if "refused" in first.columns else _refusal(F.col("line"), version_key)
+    return first.select("path", F.get_json_object("line", f"$.{version_key}").alias("version"), F.from_json("line", HEADER).alias("header"), refused.alias("error"))
 
 
-def headers(rows: DataFrame, version_key: str = "schema_version") -> DataFrame:
-    """(path, header, error) of each file: its first line, refused without a version of the known major."""
-    first = rows.where("line_no = 1")
-    version = F.get_json_object("line", f"$.{version_key}")
-    error = F.when(version.isNull(), "not a header").when(F.split(version, r"\.")[0] != MAJOR, "unknown major version")
-    return first.select("path", version.alias("version"), F.from_json("line", HEADER).alias("header"), error.alias("error"))
+def headers(rows: DataFrame, version_key: str = VERSION_KEY) -> DataFrame:
+    """(path, version, header, error) of each file of lines()."""
+    return _header_columns(rows.where("line_no = 1"), version_key)
+
+
+def scan_headers(spark: SparkSession, path: str, version_key: str = VERSION_KEY, glob: str | None = None) -> DataFrame:
+    """headers() of files of which nothing but the first line is read."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([files.first_line(n).decode("utf-8", "replace") for n in names], pa.string())], ["path", "line"])
+
+    return _header_columns(_listed(spark, path, glob).select("path").mapInArrow(run, "path string, line string"), version_key)
 
 
 def events(rows: DataFrame) -> DataFrame:
-    """Each line after the header as ok, rejected (with a reason) or truncated."""
+    """Each line after the header as ok, rejected (with a reason) or truncated; all lines of a refused file are rejected."""
     body = rows.where("line_no > 1").withColumn("event", F.from_json("line", EVENT))
     sound = F.try_parse_json("line").isNotNull()
     payloads = F.size(F.array_compact(F.array(*(F.when(F.col(f"event.{k}").isNotNull(), F.lit(k)) for k in KINDS))))
@@ -38,22 +82,52 @@ def events(rows: DataFrame) -> DataFrame:
     for k in KINDS:
         fits |= (F.col("event.kind") == k) & F.col(f"event.{k}").isNotNull()
     reason = (
-        F.when(~sound, "not JSON")
+        F.when(F.col("refused").isNotNull(), F.concat(F.lit("file refused: "), "refused"))
+        .when(~sound, "not JSON")
+        .when(~F.startswith(F.ltrim("line"), F.lit("{")), "not a JSON object")
         .when(F.col("event.journey_id").isNull() | F.col("event.event_id").isNull() | F.col("event.seq").isNull() | F.col("event.kind").isNull(), "missing field")
         .when(F.col("event.seq") < 0, "negative seq")
         .when((payloads != 1) | ~fits, "payload does not match kind")
     )
-    state = F.when(reason.isNull(), "ok").when(~sound & F.col("last_open"), "truncated").otherwise("rejected")
-    return body.select("path", "line_no", state.alias("state"), F.when(state == "rejected", reason).alias("reason"), F.substring("line", 1, 200).alias("raw"), "event")
+    state = F.when(reason.isNull(), "ok").when(F.col("refused").isNull() & ~sound & F.col("last_open"), "truncated").otherwise("rejected")
+    return body.select("path", "line_no", state.alias("state"), F.when(state == "rejected", reason).alias("reason"), F.substring("line", 1, 200).alias("raw"), F.when(state == "ok", F.col("event")).alias("event"))
+
+
+def flat(scanned: DataFrame) -> DataFrame:
+    """Sound events as the stream that the fold reads; arrival is the order of files by path, then of lines."""
+    e = scanned.where("state = 'ok'")
+    meta = F.col("event.message.metadata")
+    flag = F.when(F.get_json_object(meta, "$.summarization") == "true", "summarization").when(F.get_json_object(meta, "$.interrupted") == "true", "interrupted")
+    return e.select(
+        "event.journey_id",
+        "event.seq",
+        "event.kind",
+        "event.event_id",
+        "event.message.role",
+        F.coalesce("event.message.content", "event.voice.text").alias("content"),
+        "event.signal.signal",
+        "event.signal.target_seq",
+        F.get_json_object("event.metadata", "$.writer").alias("writer"),
+        F.struct("path", "line_no").alias("arrival"),
+        flag.alias("flag"),
+        F.coalesce(F.size("event.message.tool_calls"), F.lit(0)).alias("calls"),
+        "event.message.tool_response.response",
+        F.coalesce("event.terminal.error", "event.message.tool_response.error").alias("error"),
+        F.col("event.reward.aggregated_value").alias("reward"),
+        F.col("event.terminal.termination_reason").alias("reason"),
+        F.col("event.voice.voice_kind").alias("voice"),
+        "event.model_id",
+    )
 
 
 def shard_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rows, sha256) of each file: non-blank lines and the digest of its bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(path, name, rows, lines, sha256) of each *.jsonl file: non-blank lines, line ends, and the digest of its bytes."""
+    found = _listed(spark, path, "*.jsonl")
     parts = F.split(F.decode("content", "UTF-8"), "\n")
-    return files.select("path", F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("rows"), F.sha2("content", 256).alias("sha256"))
+    raw = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("rows"), raw.cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
 
 
 def render(events: DataFrame) -> DataFrame:
-    """Events as JSON lines without null fields, for ``write.text``."""
+    """Events as compact JSON lines with sorted keys and without null fields."""
     return events.select(F.to_json(F.struct(*sorted(events.columns))).alias("value"))

@@ -1,23 +1,55 @@
-"""Ingest as Structured Streaming: deduplicate arrivals, append, keep acknowledgements."""
+"""Ingest and drain as Structured Streaming: arrivals without repeats, acknowledgements, tailing, upkeep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomline.sinks import shards
+from loomline.sources import files, wire
+
+_ACK = "journey_id string, ack long"
+
+
+def _state_outside_the_heap(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append what hasn't arrived before to a Parquet table, then stop.
 
     Journeys have no bound on lateness, so duplicates are known for as long as
-    the state is kept; RocksDB holds it outside the heap.
+    the state is kept; RocksDB holds it outside the heap.  Where the stream has
+    a date, an event counts as the same only within its day.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    unique = stream.dropDuplicates(["journey_id", "event_id"])
+    _state_outside_the_heap(stream.sparkSession)
+    unique = stream.dropDuplicates(["journey_id", "event_id", *(["date"] if "date" in stream.columns else [])])
     return unique.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def batch_verdicts(lines: DataFrame) -> DataFrame:
+    """(path, rejected, truncated, error) of posted batches, lines() of a file each: a batch with any damage is refused whole."""
+    e = wire.events(lines)
+    each = e.groupBy("path").agg(F.count_if(F.col("state") == "rejected").alias("rejected"), F.max(F.col("state") == "truncated").alias("truncated"))
+    heads = lines.where("line_no = 1").select("path", "refused")
+    out = heads.join(each, "path", "left").fillna(0, ["rejected"]).withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    error = F.when(F.col("refused").isNotNull(), F.concat(F.lit("malformed batch: "), "refused")).when(F.col("rejected") > 0, F.concat(F.lit("malformed batch: "), F.col("rejected").cast("string"), F.lit(" rejected line(s)"))).when(F.col("truncated"), "malformed batch: truncated final line")
+    return out.select("path", "rejected", "truncated", error.alias("error"))
+
+
+def admitted(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Events of the batches that are whole, once each, without those that ``stored`` (journey_id, event_id) has for that day."""
+    good = batch_verdicts(lines).where("error is null").select("path")
+    e = wire.flat(wire.events(lines.join(good, "path", "left_semi"))).dropDuplicates(["journey_id", "event_id"])
+    return e if stored is None else e.join(stored.select("journey_id", "event_id"), ["journey_id", "event_id"], "left_anti")
+
+
 def undrained(events: DataFrame, acks: DataFrame) -> DataFrame:
     """Events beyond the acknowledged seq of their journey."""
     return events.join(acks, "journey_id", "left").where(F.col("seq") > F.coalesce("ack", F.lit(-1))).drop("ack")
@@ -35,6 +67,56 @@ def advanced(acks: DataFrame, sent: DataFrame) -> DataFrame:
     return acks.join(top, "journey_id", "full").select("journey_id", F.greatest(F.coalesce("ack", F.lit(-1)), F.coalesce("sent", F.lit(-1))).alias("ack"))
 
 
+def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Send what lies beyond each journey's acknowledgement and return the outcome (journey_id, sent, gaps, error).
+
+    ``sink`` gets the events and returns (journey_id, error); the
+    acknowledgements in the keyed table at ``state`` move for those without an
+    error only, and never back.  A hole in the numbers is reported and no hindrance.
+    """
+    spark = events.sparkSession
+    events = events.withColumn("journey_id", F.col("journey_id").cast("string"))
+    acks = shards.current(spark, state, _ACK)
+    new = undrained(events, acks)
+    batch = f"{state}/_batch-{uuid.uuid4().hex}"
+    new.write.parquet(batch)  # sent and acknowledged are the same events, whatever arrives meanwhile
+    new = spark.read.schema(new.schema).parquet(batch)
+    outcome = sink(new).select(F.col("journey_id").cast("string").alias("journey_id"), "error")
+    outcome.write.parquet(f"{batch}-outcome")
+    outcome = spark.read.schema(outcome.schema).parquet(f"{batch}-outcome")
+    sent = new.groupBy("journey_id").agg(F.max("seq").alias("top"), F.min("seq").alias("low"), F.count_distinct("seq").alias("n"), F.count("*").alias("sent"))
+    told = sent.join(outcome, "journey_id", "left")
+    moved = told.where("error is null").select("journey_id", F.col("top").alias("seq"))
+    shards.upsert(spark, state, advanced(acks, moved).select("journey_id", F.col("ack").cast("long").alias("ack")), ["journey_id"])
+    gaps = (F.col("top") - F.col("low") + 1 - F.col("n")).cast("long")
+    return told.select("journey_id", F.when(F.col("error").isNull(), F.col("sent")).otherwise(0).alias("sent"), gaps.alias("gaps"), "error")
+
+
+def file_sink(root: str, header: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A sink that appends to root/<journey>.jsonl; header gives (journey_id, line) of the events' journeys."""
+
+    def send(events: DataFrame) -> DataFrame:
+        lines = events.select("journey_id", "seq", F.to_json(F.struct(*sorted(events.columns))).alias("line"))
+        shards.append_wire(lines, header(events), root)
+        return events.select("journey_id").distinct().withColumn("error", F.lit(None).cast("string"))
+
+    return send
+
+
+def drain(stream: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame], checkpoint: str, every: int | None = None, report: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """drain_batch() of each micro-batch: once over what is there, or every 1 to 3600 seconds."""
+    if every is not None and not 1 <= every <= 3600:
+        raise ValueError("every must lie between 1 and 3600 seconds")
+
+    def step(batch: DataFrame, _: int) -> None:
+        outcome = drain_batch(batch, state, sink)
+        if report:
+            report(outcome)
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()
+
+
 def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Files whose time or size differs from the state, or that it doesn't know."""
     s = state.select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))
@@ -43,3 +125,52 @@ def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
 
 def gone_files(state: DataFrame, listing: DataFrame) -> DataFrame:
     return state.join(listing, "path", "left_anti")
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, mtime, size) of the files of a folder; their contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path", F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def tail(spark: SparkSession, path: str, offsets: DataFrame, glob: str = "*.ndjson") -> tuple[DataFrame, DataFrame]:
+    """Objects beyond each file's offset, as (path, value), and the offsets (path, offset) after them.
+
+    Only the new bytes are read.  A last line without its end waits for the next
+    pass; blank and malformed lines go.  A file that has shrunk is read anew.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, size, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = at if at is not None and at <= size else 0
+                rest = b""
+                for part in files.read_from(name, at):
+                    whole, sep, rest = (rest + part).rpartition(b"\n")
+                    at += len(whole) + len(sep)
+                    out = [x.decode("utf-8", "replace") for x in whole.split(b"\n") if x.strip()]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(out), pa.array([None] * len(out), pa.int64())], ["path", "value", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([at], pa.int64())], ["path", "value", "offset"])
+
+    found = listing(spark, path, glob).join(offsets, "path", "left").where("offset is null or offset <> size").select("path", "size", "offset")
+    rows = found.mapInArrow(run, "path string, value string, offset long")
+    values = rows.where(F.col("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()).select("path", "value")
+    moved = rows.where("offset is not null").select("path", "offset")
+    return values, moved.unionByName(offsets.join(moved.select("path"), "path", "left_anti").select("path", "offset"))
+
+
+def upkeep(step: Callable[[], None], reconcile: Callable[[], None], stop: threading.Event, seconds: float = 5.0, every: int = 20, failed: Callable[[Exception], None] | None = None) -> int:
+    """step() every few seconds, and reconcile() at every 20th pass, until stop is set; the number of passes.  A failed pass is told and followed by the next."""
+    passes = 0
+    while not stop.is_set():
+        try:
+            step()
+            if passes % every == every - 1:
+                reconcile()
+        except Exception as e:  # noqa: BLE001 - the loop outlives its passes
+            if failed:
+                failed(e)
+        passes += 1
+        stop.wait(seconds)
+    return passes
