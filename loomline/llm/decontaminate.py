@@ -1,37 +1,34 @@
-"""Benchmark decontamination by a positional inverted index.
-
-The index stores, for each document, the positions of every word that occurs in
-the benchmark (postings of other words can't be asked for).  It is sharded by
-document, as search engines do, so a query needs no shuffle: each shard answers
-for its documents.  A phrase is looked up from its rarest word: the position
-lists of its words, shifted by their offsets, are intersected in the order of
-their corpus frequency until none is left or all have agreed.  Proximity queries
-take the same lists and ask for all words within a span of positions; see
-proximity().
+"""Benchmark decontamination by a distributed positional inverted index.
+
+The index (see postings.py) is a table of the posting lists of every training
+token, keyed by term.  A benchmark's terms are joined to it, and the lists of a
+segment meet in one place.  A phrase is looked up from its rarest term by
+occurrences in the corpus: each place of it is a candidate start, and the lists
+of the other terms, shifted by their offsets, are intersected with the
+candidates in the order of their frequency.  Proximity queries ask the same
+lists for all words within a span; see proximity().  The index is built once,
+however large the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, row_key, slices
+from loomline.llm import postings
+from loomline.llm.common import discard, materialise, row_key, slices
+from loomline.llm.postings import words
 
 WINDOW = 10
-#: Benchmark text the executors hold at a time; a larger benchmark is taken in blocks, each against all documents.
+#: Benchmark text that is asked for at a time; a larger benchmark is taken in blocks, against the same index.
 BLOCK_BYTES = 16 << 20
 
-#: Bytes that are no word: ASCII other than digits and letters.
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def words(text: str | None) -> list[bytes]:
-    """ASCII-lower-cased words of a text; a null text has none."""
-    return _WORD.findall(text.encode().lower()) if text else []
+_HITS = "segment long, ordinal int, spans array<struct<lo:int,hi:int>>, items array<string>"
 
 
 def windows(tokens: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -39,192 +36,181 @@ def windows(tokens: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))] if tokens else []
 
 
-_KEY = "struct<doc_id:bigint,r1:bigint,r2:bigint,n:bigint>"
+def _indexed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    r1, r2 = row_key(F.col("doc_id"), text)
+    return postings.build(docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), "text"))
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(key, n_words, terms, ends, positions): the postings of each document, terms ascending, lists laid end to end."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _asked(questions: DataFrame) -> DataFrame:
+    """(item_id, text) of a benchmark or of queries; null ids are the empty string, null texts go."""
+    return questions.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
 
-    def run(batches):
-        known = shared.value
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for text in batch.column("text").to_pylist():
-                lists: dict[int, list[int]] = {}
-                tokens = words(text)
-                for at, w in enumerate(tokens):
-                    if (t := known.get(w)) is not None:
-                        lists.setdefault(t, []).append(at)
-                terms = sorted(lists)
-                positions: list[int] = []
-                ends = []
-                for t in terms:
-                    positions += lists[t]
-                    ends.append(len(positions))
-                for column, value in zip(out, (len(tokens), terms, ends, positions), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out[0], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in out[1:])], ["key", "n_words", "terms", "ends", "positions"])
-
-    return docs.select("key", "text").mapInArrow(run, f"key {_KEY}, n_words long, terms array<int>, ends array<int>, positions array<int>")
-
-
-def frequencies(index: DataFrame) -> dict[int, int]:
-    """Postings of each term over all documents."""
-    sizes = F.zip_with("terms", F.zip_with("ends", F.concat(F.array(F.lit(0)), "ends"), lambda e, s: e - s), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-    rows = index.select(F.explode(sizes).alias("x")).where("x.t is not null").groupBy("x.t").agg(F.sum("x.n").alias("n")).collect()
-    return {r["t"]: r["n"] for r in rows}
-
-
-def phrase_starts(lists: dict[int, set[int]], order: list[tuple[int, int]]) -> set[int]:
-    """Starts of a phrase: order has (term, offset), the rarest first."""
-    starts: set[int] | None = None
-    for term, offset in order:
-        found = lists.get(term)
-        if not found:
-            return set()
-        starts = {p - offset for p in found if p >= offset} if starts is None else {s for s in starts if s + offset in found}
-        if not starts:
-            return starts
-    return starts or set()
-
-
-def near(lists: dict[int, set[int]], terms: list[int], span: int) -> list[int]:
-    """Positions of the first of ``terms`` (the rarest) with every other term fewer than ``span`` words away."""
-    if not all(lists.get(t) for t in terms):
-        return []
-    return sorted(p for p in lists[terms[0]] if all(any(q in lists[t] for q in range(p - span + 1, p + span)) for t in terms[1:]))
-
-
-def _lists(row_terms, row_ends, row_positions) -> dict[int, set[int]]:
-    out, begin = {}, 0
-    for t, end in zip(row_terms, row_ends, strict=True):
-        out[t] = set(row_positions[begin:end])
-        begin = end
-    return out
 
+def _blocks(questions: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Questions in parts of about BLOCK_BYTES, by way of the driver, one at a time."""
+    size = questions.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // BLOCK_BYTES) or 1
+    for i in range(n):
+        part = questions.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else questions
+        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
 
-def _match(index: DataFrame, phrases: list[tuple[list[tuple[int, int]], int, list[str]]]) -> DataFrame:
-    """Hit spans and items of each document; a phrase is (order, length, item ids)."""
-    by_rarest: dict[int, list] = {}
-    for order, length, items in phrases:
-        by_rarest.setdefault(order[0][0], []).append((order, length, items))
-    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
 
-    def run(batches):
-        leads = shared.value
-        for batch in slices(batches):
-            spans, found = [], []
-            for terms, ends, positions in zip(*(batch.column(c).to_pylist() for c in ("terms", "ends", "positions")), strict=True):
-                hits: list[dict] = []
-                items: set[str] = set()
-                if not leads.keys().isdisjoint(terms):
-                    lists = _lists(terms, ends, positions)
-                    for lead in leads.keys() & lists.keys():
-                        for order, length, ids in leads[lead]:
-                            if starts := phrase_starts(lists, order):
-                                items.update(ids)
-                                hits += ({"lo": s, "hi": s + length} for s in starts)
-                spans.append(hits)
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(found, pa.list_(pa.string()))], ["key", "n_words", "spans", "items"])
-
-    return index.mapInArrow(run, f"key {_KEY}, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>")
-
-
-def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark in parts of about BLOCK_BYTES, one where it is small."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else benchmark for i in range(n)]
+def _terms(index: DataFrame, vocabulary: list[bytes]) -> tuple[DataFrame, np.ndarray]:
+    """Terms with their numbers, and the occurrences of each in the corpus."""
+    table = index.sparkSession.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.binary()), "t": pa.array(range(len(vocabulary)), pa.int32())}))
+    counts = np.zeros(len(vocabulary), np.int64)
+    for r in postings.lookup(index, table).where("t >= 0").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        counts[r["t"]] = r["n"]
+    return table, counts
 
 
-def _phrases(items: list[tuple[str, str]], size: int, vocabulary: dict[bytes, int], counts: dict[int, int]) -> list:
-    ids: dict[tuple, set[str]] = {}
+def _phrases(items: list[tuple[str, str]], size: int, numbers: dict[bytes, int], counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
+    """For each length of phrase: the terms of its phrases, their offsets, the rarest first, and the items of each."""
+    owners: dict[tuple, set[str]] = {}
     for item, text in items:
         for w in windows(words(text), size):
-            ids.setdefault(w, set()).add(item)
+            owners.setdefault(w, set()).add(item)
     out = []
-    for w, owners in ids.items():
-        terms = [(vocabulary[t], offset) for offset, t in enumerate(w)]
-        if all(t in counts for t, _ in terms):  # a word no document has rules the phrase out
-            out.append((sorted(terms, key=lambda x: (counts[x[0]], x)), len(w), sorted(owners)))
+    for length in sorted({len(w) for w in owners}):
+        phrases = [w for w in owners if len(w) == length]
+        terms = np.array([[numbers[x] for x in w] for w in phrases], np.int32)
+        known = (counts[terms] > 0).all(1)  # a word that no document has rules a phrase out
+        terms, phrases = terms[known], [w for w, k in zip(phrases, known.tolist(), strict=True) if k]
+        if phrases:
+            out.append((terms, np.argsort(counts[terms], axis=1, kind="stable"), [sorted(owners[w]) for w in phrases]))
     return out
 
 
-def _merge(part: DataFrame) -> DataFrame:
-    """Final columns; spans are united in word positions."""
+def phrase_starts(terms: np.ndarray, order: np.ndarray, t: np.ndarray, begin: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start) of every occurrence in a segment, of phrases of one length.
+
+    Candidates are the places of each phrase's first term in ``order``, shifted
+    by its offset.  The segment's lists are laid out by place, so that one look
+    per candidate tells whether the next list, shifted, holds it.
+    """
+    n_terms = int(max(terms.max(), t.max() if len(t) else 0)) + 1
+    at_list = np.full(n_terms, -1)
+    at_list[t] = np.arange(len(t))
+    phrase = np.flatnonzero((at_list[terms] >= 0).all(1))
+    none = np.zeros(0, np.int64)
+    if not len(phrase):
+        return none, none
+    top = int(places.max())
+    term_at = np.full(top + 2, -1, np.int32)
+    for_each = np.repeat(np.arange(len(t)), size)
+    flat = np.arange(len(for_each)) - np.repeat(np.cumsum(size) - size, size) + begin[for_each]
+    term_at[places[flat]] = t[for_each]
+    lead = at_list[terms[phrase, order[phrase, 0]]]
+    n = size[lead]
+    which = np.repeat(phrase, n)
+    start = places[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[lead], n)].astype(np.int64) - order[which, 0]
+    which, start = which[start >= 0], start[start >= 0]
+    for k in range(1, terms.shape[1]):
+        offset = order[which, k]
+        held = term_at[np.minimum(start + offset, top + 1)] == terms[which, offset]
+        which, start = which[held], start[held]
+        if not len(which):
+            break
+    return which, start
+
+
+def _matched(index: DataFrame, terms: DataFrame, phrases: list) -> DataFrame:
+    """Hit spans and items of each document with any."""
+    shared = index.sparkSession.sparkContext.broadcast(phrases)
+
+    def answer(segment, firsts, t, begin, size, places):
+        hits: dict[int, tuple[list, set]] = {}
+        for wanted, order, items in shared.value:
+            which, start = phrase_starts(wanted, order, t, begin, size, places)
+            doc = np.searchsorted(firsts, start, side="right") - 1
+            lo = start - firsts[doc]
+            for d, p, a in zip(doc.tolist(), which.tolist(), lo.tolist(), strict=True):
+                spans, found = hits.setdefault(d, ([], set()))
+                spans.append({"lo": a, "hi": a + wanted.shape[1]})
+                found.update(items[p])
+        if not hits:
+            return None
+        docs = sorted(hits)
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array([segment] * len(docs), pa.int64()), pa.array(docs, pa.int32()), pa.array([hits[d][0] for d in docs], kind), pa.array([sorted(hits[d][1]) for d in docs], pa.list_(pa.string()))], ["segment", "ordinal", "spans", "items"])
+
+    return postings.segments(postings.lookup(index, terms), answer, _HITS)
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(segment, ordinal, n_hit, items, items_sha256); spans are united in word positions."""
 
     def run(batches):
         for batch in slices(batches):
-            hit, digest = [], []
-            for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            hit = []
+            for spans in batch.column("spans").to_pylist():
                 at = n = 0
                 for s in sorted((x["lo"], x["hi"]) for x in spans):
                     n += max(0, s[1] - max(at, s[0]))
                     at = max(at, s[1])
                 hit.append(n)
-                digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in batch.column("items")], pa.int64()), pa.array(digest), pa.array([n > 0 for n in hit]), batch.column("items")], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-    return part.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("ordinal"), pa.array(hit, pa.int64()), batch.column("items"), pa.array(digest)], ["segment", "ordinal", "n_hit", "items", "items_sha256"])
 
+    return hits.mapInArrow(run, "segment long, ordinal int, n_hit long, items array<string>, items_sha256 string")
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Words of each document that lie in an occurrence of a benchmark window.
-
-    Items with equal ids count once; a null item_id is the empty string.  Null
-    texts on either side have no words, and items without words no windows.
-    Repeated rows of docs are answered each.  Empty tables give an empty result,
-    or one without hits.  Extra columns are ignored.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the
-    item ids as ``items``.
-    """
-    benchmark = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
-    blocks = _blocks(benchmark)
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2"), F.lit(1).cast("long").alias("n"))
-    slim = docs.select(key.alias("key"), "text")
-    if len(blocks) > 1:  # equal rows share a key, and are counted in it
-        text = F.coalesce("text", F.lit(""))
-        r1, r2 = row_key(F.col("doc_id"), text)
-        slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1, r2, "text").groupBy("doc_id", "_r1", "_r2", "text").agg(F.count("*").alias("n")).select(F.struct("doc_id", F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), "n").alias("key"), "text")
+def hits(index: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(segment, ordinal, n_hit, items, items_sha256) of the documents of an index that hold a window of the benchmark."""
     parts = []
-    for i, block in enumerate(blocks):
-        items = [(r["item_id"], r["text"]) for r in block.toLocalIterator()]
-        vocabulary = {w: k for k, w in enumerate(sorted({w for _, text in items for w in words(text)}))}
-        index = materialise(build_index(slim, vocabulary), f"index{i}")
-        parts.append(_match(index, _phrases(items, size, vocabulary, frequencies(index))))
+    for items in _blocks(_asked(benchmark)):
+        vocabulary = sorted({w for _, text in items for w in words(text)})
+        terms, counts = _terms(index, vocabulary)
+        phrases = _phrases(items, size, {w: k for k, w in enumerate(vocabulary)}, counts)
+        if phrases:
+            parts.append(materialise(_matched(index, terms, phrases), "hits"))
+    if not parts:
+        return index.sparkSession.createDataFrame([], "segment long, ordinal int, n_hit long, items array<string>, items_sha256 string")
     both = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             both = both.unionByName(p)
-        both = both.groupBy("key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("key.n")))).drop("_copy")
-    return _merge(both.select(F.col("key.doc_id").alias("doc_id"), "n_words", "spans", "items"))
+        both = both.groupBy("segment", "ordinal").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = materialise(_merged(both), "merged_hits")
+    discard(*parts)
+    return out
 
 
-def _positions(index: DataFrame, queries: list[tuple[str, list[int]]], span: int) -> DataFrame:
-    """(doc_id, item_id, positions) of near() for each query (item id, terms, the rarest first) that a document answers."""
-    by_rarest: dict[int, list] = {}
-    for item, terms in queries:
-        by_rarest.setdefault(terms[0], []).append((item, terms))
-    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Words of each document that lie in an occurrence of a benchmark window.
 
-    def run(batches):
-        leads = shared.value
-        for batch in slices(batches):
-            out: list[list] = [[], [], []]
-            for doc_id, *row in zip(batch.column("doc_id").to_pylist(), *(batch.column(c).to_pylist() for c in ("terms", "ends", "positions")), strict=True):
-                lists = {} if leads.keys().isdisjoint(row[0]) else _lists(*row)
-                for lead in sorted(leads.keys() & lists.keys()):
-                    for item, terms in leads[lead]:
-                        if found := near(lists, terms, span):
-                            for column, value in zip(out, (doc_id, item, found), strict=True):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], ["doc_id", "item_id", "positions"])
+    Items with equal ids count once; a null item_id is the empty string.  Null
+    texts on either side have no words, and items without words no windows.
+    Repeated rows of docs are answered each.  Long texts are whole, in one
+    segment of the index.  Empty tables give an empty result, or one without
+    hits.  Extra columns are ignored.
 
-    return index.select("key.doc_id", "terms", "ends", "positions").mapInArrow(run, "doc_id long, item_id string, positions array<int>")
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the
+    item ids as ``items``.
+    """
+    index = _indexed(docs)
+    found = hits(index, benchmark, size)
+    rows = materialise(postings.documents(index).select("segment", "ordinal", "doc_id", "n_words"), "indexed")
+    discard(index)
+    none = F.array().cast("array<string>")
+    out = rows.join(found, ["segment", "ordinal"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), "items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(hashlib.sha256().hexdigest())).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+
+
+def near(lists: list[np.ndarray], firsts: np.ndarray, span: int) -> np.ndarray:
+    """Places of the first list with one of every other list fewer than ``span`` words away, in the same document."""
+    at = lists[0]
+    for other in lists[1:]:
+        doc = np.searchsorted(firsts, at, side="right") - 1
+        # a document's numbers end one before the next one's first
+        upto = np.concatenate([firsts[1:], [np.iinfo(np.int32).max]])[doc]
+        i = np.searchsorted(other, np.maximum(at - span + 1, firsts[doc]))
+        close = other[np.minimum(i, len(other) - 1)]
+        at = at[(i < len(other)) & (close < at + span) & (close < upto)]
+        if not len(at):
+            break
+    return at
 
 
 def proximity(docs: DataFrame, queries: DataFrame, span: int) -> DataFrame:
@@ -239,26 +225,44 @@ def proximity(docs: DataFrame, queries: DataFrame, span: int) -> DataFrame:
     Returns doc_id, item_id and positions, ascending, a row for each document
     and query with any.
     """
-    queries = queries.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null").distinct()
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2"), F.lit(1).cast("long").alias("n"))
-    slim, out = docs.select(key.alias("key"), "text"), None
-    for i, block in enumerate(_blocks(queries)):
-        asked = [(r["item_id"], set(words(r["text"]))) for r in block.toLocalIterator()]
-        vocabulary = {w: k for k, w in enumerate(sorted({w for _, terms in asked for w in terms}))}
-        index = materialise(build_index(slim, vocabulary), f"proximity{i}")
-        counts = frequencies(index)
-        ordered = [(item, sorted((vocabulary[w] for w in terms), key=lambda t: (counts.get(t, 0), t))) for item, terms in asked if terms]
-        found = _positions(index, [q for q in ordered if counts.get(q[1][0])], span)
+    index, out = _indexed(docs), None
+    for block in _blocks(_asked(queries).distinct()):
+        vocabulary = sorted({w for _, text in block for w in words(text)})
+        numbers = {w: k for k, w in enumerate(vocabulary)}
+        terms, counts = _terms(index, vocabulary)
+        asked = [(item, sorted({numbers[w] for w in words(text)}, key=lambda k: (counts[k], k))) for item, text in block]
+        shared = docs.sparkSession.sparkContext.broadcast([(i, t) for i, t in asked if t and counts[t].all()])
+
+        def answer(segment, firsts, t, begin, size, places, shared=shared):
+            lists = {k: places[b : b + n].astype(np.int64) for k, b, n in zip(t.tolist(), begin.tolist(), size.tolist(), strict=True)}
+            rows = []
+            for item, wanted in shared.value:
+                if all(k in lists for k in wanted):
+                    at = near([lists[k] for k in wanted], firsts, span)
+                    doc = np.searchsorted(firsts, at, side="right") - 1
+                    cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+                    rows += [(segment, int(firsts_of[0]), item, p.tolist()) for firsts_of, p in zip(np.split(doc, cuts), np.split(at - firsts[doc], cuts), strict=True) if len(p)]
+            if not rows:
+                return None
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["segment", "ordinal", "item_id", "positions"])
+
+        found = postings.segments(postings.lookup(index, terms), answer, "segment long, ordinal int, item_id string, positions array<int>")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(postings.documents(index).select("segment", "ordinal", "doc_id"), ["segment", "ordinal"]).select("doc_id", "item_id", "positions")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows of docs without a benchmark window, all their columns."""
+    """Rows of docs without a benchmark window, all their columns, whatever their names.
+
+    Rows equal in doc_id and text share their fate and stay each; null and empty
+    texts stay.  An empty table stays empty.
+    """
+    index = _indexed(docs)
+    found = hits(index, benchmark, size)
+    gone = postings.documents(index).join(found, ["segment", "ordinal"], "left_semi").select(F.col("r1").alias("_g1"), F.col("r2").alias("_g2")).distinct()
+    gone = materialise(gone, "contaminated")
+    discard(index)
     text = F.coalesce("text", F.lit(""))
-    r1, r2 = row_key(F.col("doc_id"), text)
-    keyed = docs.withColumns({"_r1": r1, "_r2": r2})
-    # the row's key takes the place of its id: of rows that share it, all are hit or none
-    hit = decontaminate(keyed.drop("doc_id").withColumnRenamed("_r1", "doc_id").select("doc_id", "text"), benchmark, size).where("contaminated")
-    hit = materialise(hit.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return keyed.join(hit, F.col("_r1") == F.col("_hit"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col("doc_id"), text))
+    return rows.join(gone, (F.col("_r1") == F.col("_g1")) & (F.col("_r2") == F.col("_g2")), "left_anti").select("_row.*")

@@ -135,8 +135,8 @@ def samples(texts: DataFrame, c: Cover, bits: int) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, _SAMPLE)
 
 
-def _lots(batches: Iterable[pa.RecordBatch], weight) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by their first column, cut anew into lots of whole keys that weigh about GATHER; weight(batch) is that of each row."""
+def _lots(batches: Iterable[pa.RecordBatch], weight, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew into lots of whole keys that weigh about ``most``; weight(batch) is that of each row."""
     held: list[pa.RecordBatch] = []
     load, last = 0, None
 
@@ -151,7 +151,7 @@ def _lots(batches: Iterable[pa.RecordBatch], weight) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.concatenate([[key[0] != last], key[1:] != key[:-1]]))
         begin = 0
         for at in starts.tolist():
-            if load + total[at] - total[begin] >= GATHER:
+            if load + total[at] - total[begin] >= most:
                 if at > begin:
                     held.append(batch.slice(begin, at - begin))
                 yield lot()
@@ -180,7 +180,7 @@ def repeated_samples(rows: DataFrame) -> DataFrame:
                     yield batch.filter(pa.array(~done))
 
         settled: list = []
-        for part in _lots(open_rows(), lambda b: pc.binary_length(b.column("known")).to_numpy()):
+        for part in _lots(open_rows(), lambda b: pc.binary_length(b.column("known")).to_numpy(), GATHER):
             yield from settled
             settled.clear()
             name, tid, at = (_words(part.column(x)) for x in ("names", "tids", "places"))
@@ -351,7 +351,7 @@ def resolve(rows: DataFrame, c: Cover) -> DataFrame:
                 if left.num_rows:
                     yield left
 
-        for lot in _lots(open_rows(), lambda b: b.column("n").to_numpy()):
+        for lot in _lots(open_rows(), lambda b: b.column("n").to_numpy(), GATHER):
             yield from done
             done.clear()
             found = answers(lot)

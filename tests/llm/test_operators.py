@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import chunks, components, decontaminate, iblt, licences, mixing, sharding, simhash, substring, suffixes, toxicity, warc
+from loomline.llm import chunks, components, decontaminate, iblt, licences, mixing, postings, sharding, simhash, substring, suffixes, toxicity, warc
 from loomline.llm.oracle import SQL
 from loomline.llm.queries import QUERIES
 
@@ -249,14 +249,36 @@ def test_decontamination_matches_brute_force(spark, docs, monkeypatch):
     got = lambda: Counter(map(tuple, decontaminate.decontaminate(docs, bench).drop("items").collect()))
     assert got() == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(postings, "SEGMENT_WORDS", 200)
     assert got() == want
     monkeypatch.undo()
     assert decontaminate.keep_clean(docs, bench).count() == sum(n for k, n in want.items() if not k[5])
 
 
-def test_proximity():
-    lists = {0: {3, 40}, 1: {9, 90}, 2: {5}}
-    assert decontaminate.near(lists, [0, 1, 2], 8) == [3] and decontaminate.near(lists, [0, 7], 8) == []
+def test_near_stays_within_a_document():
+    firsts = np.array([0, 50])
+    lists = [np.array(x) for x in ([3, 40, 60], [9, 48, 90], [5, 51])]
+    assert decontaminate.near(lists, firsts, 8).tolist() == [3] and decontaminate.near([lists[1], lists[2]], firsts, 5).tolist() == [9]
+    assert decontaminate.near([lists[1], lists[2]], firsts, 4).tolist() == []
+
+
+def test_the_index_holds_every_word(spark, docs, monkeypatch):
+    monkeypatch.setattr(postings, "SEGMENT_WORDS", 300)
+    monkeypatch.setattr(postings, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(postings, "BATCH_ROWS", 7)
+    index = postings.build(docs.select("doc_id", F.lit(1).cast("long").alias("r1"), F.lit(2).cast("long").alias("r2"), "text"))
+    rows = index.collect()
+    firsts = {r["segment"]: r["places"] for r in rows if r["term"] is None and r["ordinal"] is None}
+    texts: dict = {}
+    for r in rows:
+        if r["term"] is not None:
+            assert r["places"] == sorted(r["places"]) and r["n"] == len(r["places"])
+            for p in r["places"]:
+                d = int(np.searchsorted(firsts[r["segment"]], p, side="right")) - 1
+                texts.setdefault((r["segment"], d), {})[p - firsts[r["segment"]][d]] = bytes(r["term"])
+    got = Counter((r["doc_id"], r["n"], tuple(texts.get((r["segment"], r["ordinal"]), {}).get(i) for i in range(r["n"]))) for r in rows if r["ordinal"] is not None)
+    assert got == Counter((i, len(w), tuple(w)) for i, w in ((i, decontaminate.words(t)) for i, t in texts_of(docs)))
+    assert len(firsts) > 3
 
 
 def test_proximity_matches_brute_force(spark, docs, monkeypatch):
