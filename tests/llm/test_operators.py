@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
 import duckdb
@@ -312,49 +313,60 @@ def test_proximity_matches_brute_force(spark, docs, monkeypatch):
     assert decontaminate.proximity(rows, asked.limit(0), 5).count() == 0
 
 
-def test_fingerprints_match_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(iblt, "RANGE_ROWS", 4)
-    got = iblt.fingerprint_documents(docs).collect()
-    assert len(got) == docs.count()
-    ids = sorted({r["doc_id"] for r in docs.collect() if r["doc_id"] is not None}, reverse=True)
-    text = {i: t for i, t in texts_of(docs)}
+def xx(data, *seeds):
+    """Spark's xxhash64 of a string or a long, and of what follows it."""
+    h = xxhash.xxh64_intdigest(data.encode() if isinstance(data, str) else struct.pack("<q", data), 42)
+    for x in seeds:  # Spark hashes an integer column as four bytes
+        h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def plain_sketch(pieces):
+    cells: dict = {}
+    for p in pieces:
+        d = xx(p)
+        for t in range(3):
+            c = cells.setdefault(xx(d, t) % 8 + 8 * t, [0, 0, 0])
+            c[0] += 1
+            c[1] ^= d
+            c[2] ^= xx(d, -1) & 0xFFFFFFFF
+    return f"{len(pieces)}|" + ",".join(f"{k}:{n}:{d & (1 << 64) - 1:x}:{c:x}" for k, (n, d, c) in sorted(cells.items()))
+
+
+def plain_fingerprints(rows):
+    """Rows in descending (doc_id, hash of the text), null last; each with the next."""
     pieces = lambda t: {p for p in re.split(r"\n+|(?<=[.!?]) +", t) if p}
-    for r in got:
-        i = r["doc_id"]
-        if i is None or i in (0, 3, 1, 4):  # repeated ids, and those before them, have several neighbours
-            continue
-        at = ids.index(i)
-        if at + 1 == len(ids):
-            continue
-        t, nxt = text[i], text[ids[at + 1]]
+    rows = sorted(((-(2**63) if i is None else i, xx(t or ""), t or "", i) for i, t in rows), reverse=True)
+    out = []
+    for (_, _, t, i), (_, _, nxt, _) in zip(rows, rows[1:] + rows[:1], strict=True):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        for other, near in ((edited, r["near_edited"]), (nxt, r["near_next"])):
+        row = [i, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_sketch(pieces(t)), plain_sketch(pieces(edited))]
+        for other in (edited, nxt):
             a, b = pieces(t), pieces(other)
-            assert near == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
-    same = {}
-    for r in got:
-        if r["doc_id"] is not None:
-            assert same.setdefault(text[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
-
-
-def test_sketch_that_gets_stuck_is_tried_larger(docs, monkeypatch):
-    want = sorted((str(r["doc_id"]), r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(docs).collect())
-    monkeypatch.setattr(iblt, "PASSES", 1)
-    assert sorted((str(r["doc_id"]), r["near_edited"], r["near_next"]) for r in iblt.fingerprint_documents(docs).collect()) == want
+            row += [round(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0, 9), tuple(sorted((xx(p), 1 if p in a else -1) for p in a ^ b))]
+        out.append(tuple(row))
+    return Counter(out)
 
 
 @pytest.mark.parametrize("passes", [4, 1])
-def test_peeling_returns_the_pieces_that_differ(docs, monkeypatch, passes):
+def test_fingerprints_match_brute_force(docs, monkeypatch, passes):
+    monkeypatch.setattr(iblt, "RANGE_ROWS", 4)
     monkeypatch.setattr(iblt, "PASSES", passes)
-    v = iblt.versions(docs).select("range", "row", "own", "edited", "next").cache()
-    want = Counter()
-    for r in v.collect():
-        for kind, other in enumerate((r["edited"], r["next"])):
-            want.update((r["range"], r["row"], kind, d, 1 if d in r["own"] else -1) for d in set(r["own"]) ^ set(other))
-    got = Counter(map(tuple, iblt.recovered(v).collect()))
-    assert got == want and max(Counter(k[:3] for k in want).values()) > 24
+    want = plain_fingerprints([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = iblt.fingerprint_documents(docs, with_digests=True).collect()
+    assert Counter((*r[:5], round(r[5], 9), tuple(map(tuple, r[7])), round(r[6], 9), tuple(map(tuple, r[8]))) for r in got) == want
+    assert max(len(k[6]) for k in want) > 24  # more than the fingerprints' cells can tell
+    assert sorted(map(str, (tuple(r) for r in iblt.fingerprint_documents(docs).collect()))) == sorted(str(tuple(r[:7])) for r in got)
+
+
+def test_fingerprints_of_large_equal_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RANGE_ROWS", 3)
+    rows = [(i, prose(i, 30)) for i in (2**62 + 1, 2**62 + 2, 2**62 + 3, -(2**62))] + [(7, prose(k, 30)) for k in range(20)] + [(None, prose(f"n{k}", 20)) for k in range(20)]
+    got = iblt.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), with_digests=True).collect()
+    assert Counter((*r[:5], round(r[5], 9), tuple(map(tuple, r[7])), round(r[6], 9), tuple(map(tuple, r[8]))) for r in got) == plain_fingerprints(rows)
+    v = iblt.neighbours(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert v.groupBy("range").count().agg(F.max("count")).first()[0] < 20
 
 
 def test_shards_are_even_and_move_little(spark, docs):
