@@ -136,7 +136,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     licence is that of the document as an entire text, null if none; declared
     lists those of its blocks and lines, sorted, joined by commas, empty if
     none; n_declared is how many blocks and lines matched.  Null and empty texts
-    match nothing.  Repeated rows come back each; extra columns are ignored; an
+    match nothing; very long ones are scanned whole.  Repeated rows come back each; extra columns are ignored; an
     empty table gives an empty result.  licences (id, text) replaces the
     built-in ones; it may be of any size.
     """
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     parts = F.array_union(F.split(text, r"\n"), F.split(text, r"\n *\n"))
     # equal parts of one text are counted once for each kind
     keyed = docs.select(*row_key(F.col("doc_id"), text), text.alias("text")).where(F.col("text").rlike(stems))
-    units = keyed.select("_r1", "_r2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("part"))), F.transform(F.filter(parts, lambda p: (F.length(p) > 2) & p.rlike(stems)), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("part"))))).alias("u"))
+    units = keyed.select("_r1", "_r2", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("part"))), F.transform(F.filter(parts, lambda p: p.rlike(stems)), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("part"))))).alias("u"))
     units = units.select("_r1", "_r2", "u.whole", F.sha2(canonical(F.col("u.part")), 256).alias("digest"))
     found = units.join(F.broadcast(table) if small else table, "digest")
     found = found.groupBy("_r1", "_r2").agg(F.max(F.when(F.col("whole"), F.col("licence"))).alias("licence"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("licence")))), ",").alias("declared"), F.countDistinct(F.when(~F.col("whole"), F.col("digest"))).alias("n_declared"))

@@ -22,6 +22,8 @@ CEILING = 3
 #: Sources up to this many are broadcast with their decisions; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 WEIGHTS = (1, 2, 3)
+#: Weights that quality() gives.
+QUALITIES = (1.0, 0.5, 0.25)
 
 
 def size(text: Column) -> Column:
@@ -46,25 +48,49 @@ def identity() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
 
 
+def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """rows with _before, the number of rows before each in a total order, and _before_<c>, the sum of c over them.
+
+    Rows are sorted by ranges; each range counts for itself, and only a row a
+    range is summed in one place.  So no task gets all rows.
+    """
+    ranged = materialise(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    names = ["_before", *(f"_before_{c}" for c in sums)]
+    own = ranged.withColumns(dict(zip(names, (F.coalesce(F.sum(c).over(w), F.lit(0)) for c in (F.lit(1), *sums)), strict=True)))
+    whole = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_o{n}") for n, c in zip(names, (F.lit(1), *map(F.col, sums)), strict=True)))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_o{n}").over(ahead), F.lit(0)).alias(f"_o{n}") for n in names))  # a row a range
+    out = own.join(F.broadcast(whole), F.col("_range") == F.col("_at"))
+    return materialise(out.select(*rows.columns, *((F.col(n) + F.col(f"_o{n}")).alias(n) for n in names)), "running")
+
+
 def targets(sources: DataFrame, share: float = 1.0) -> DataFrame:
-    """Add target to sources (source, source_size); one row a source, so a window over them all is small.
+    """Add weight and target to sources (source, source_size), a row a source and any number of them.
 
     Sources in code point order, null last, have the weights 1, 2, 3, repeating.
     All sizes together are shared by weight up to the ceiling of each source,
     the excess again by weight: targets are min(ceiling, level * weight), and the
     level follows from prefix sums in the order in which sources fill up.
     """
-    everything = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    s = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(rank, F.lit(len(WEIGHTS))) + 1).cast("double"))
-    s = s.withColumn("most", F.col("source_size").cast("double") * CEILING).withColumn("total", F.sum("source_size").over(everything) * share)
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
+    s = running(sources.select("source", "source_size"), [F.col("source").isNull(), F.col("source")], [])
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("_before"), F.lit(len(WEIGHTS))).cast("int") + 1).cast("double")
+    s = s.select("source", "source_size", weight.alias("weight"), (F.col("source_size").cast("double") * CEILING).alias("most"))
+    all_ = s.agg((F.sum("source_size") * share).alias("total"), F.sum("weight").alias("weights")).first()
+    ordered = running(s, [F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source")], ["most", "weight"])
+    level = (F.lit(all_["total"]) - F.col("_before_most")) / (F.lit(all_["weights"]) - F.col("_before_weight"))
+    ordered = ordered.withColumn("level", level).withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
     # sources fill up in this order, so the level of the first that does not is that of all which follow
-    final = F.min(F.when(~F.col("full"), F.struct(F.col("most") / F.col("weight"), "level"))).over(everything)["level"]
-    return s.select("source", "source_size", "weight", F.when(F.col("full") | final.isNull(), F.col("most")).otherwise(F.least(F.col("most"), final * F.col("weight"))).alias("target"))
+    final = ordered.agg(F.min(F.when(~F.col("full"), F.struct((F.col("most") / F.col("weight")).alias("at"), "level"))).alias("f")).first()["f"]
+    final = F.lit(final["level"] if final else None).cast("double")
+    target = F.when(F.col("full") | final.isNull(), F.col("most")).otherwise(F.least(F.col("most"), final * F.col("weight")))
+    return ordered.select("source", "source_size", "weight", target.alias("target"))
+
+
+def bucket(key: Column) -> Column:
+    """The bucket of a key: its place among keys of all qualities alike, so that no quality fills a bucket with more than three times its share."""
+    left = [F.exp(-key * q) / len(QUALITIES) for q in QUALITIES]
+    return F.floor(BUCKETS * (1 - (left[0] + left[1] + left[2]))).cast("int")
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -75,8 +101,8 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     the one document whose size comes nearest to what is still missing, if that
     brings the source nearer its target.  Null texts have size 0.  Keys depend
     on doc_id, text and seed, so reruns agree; rows equal in both are taken
-    together or not at all.  An empty table gives an empty result; columns other than
-    doc_id, text and source are ignored.
+    together or not at all.  Very long texts are counted whole.  An empty table gives
+    an empty result; columns other than doc_id, text and source are ignored.
 
     Returns doc_id, size, source, source_size, target, taken, copies (taken as a
     number of whole documents) and _id, which stands for doc_id and text.
@@ -84,7 +110,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     n = size(F.col("text"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n.alias("size"), identity().alias("_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))
     key = -F.log(uniform(F.col("_id"), seed)) / quality(F.col("size"), F.col("_bytes"))
-    slim = slim.withColumn("key", key).withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")).drop("_bytes")
+    slim = slim.withColumn("key", key).withColumn("bucket", bucket(F.col("key"))).drop("_bytes")
     slim = materialise(slim, "keys")
     sums = materialise(slim.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -123,9 +149,13 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def repeat(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: each row of docs as many times as it is taken, all its columns.  Rows without words are kept once."""
+    """The mix itself: each row of docs as many times as it is taken, all its columns, whatever their names.
+
+    Rows without words (null and empty texts) are kept once; rows equal in
+    doc_id and text are each taken as often.  An empty table stays empty.
+    """
     decided = mix(docs, seed).groupBy("_id").agg(F.max("copies").alias("_copies"), F.max("size").alias("_size"))
     decided = decided.withColumnRenamed("_id", "_mix")
-    rows = docs.withColumn("_key", identity()).join(decided, F.col("_key") == F.col("_mix"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), identity().alias("_key")).join(decided, F.col("_key") == F.col("_mix"))
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies")).cast("int")
-    return rows.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*docs.columns)
+    return rows.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select("_row.*")

@@ -26,7 +26,7 @@ u as (
 ),
 f as (
   select r, max(licence) filter (where whole) as licence, string_agg(distinct licence, ',' order by licence) filter (where not whole) as declared, count(distinct u.digest) filter (where not whole) as n
-  from (select r, whole, sha256({_canonical("part")}) as digest from u where whole or length(part) > 2) u join t using (digest) group by r
+  from (select r, whole, sha256({_canonical("part")}) as digest from u) u join t using (digest) group by r
 )
 select doc_id, licence, coalesce(declared, '') as declared, cast(coalesce(n, 0) as bigint) as n_declared from d left join f using (r)
 """

@@ -19,6 +19,8 @@ from loomline.llm.common import materialise
 #: Ring resolution in bits.  The plan has a row for each cell, or a few: its size is bounded by this alone.
 CELL_BITS = 13
 VIRTUAL_NODES = 128
+#: Rows of a cell that are ranked at a time.
+HOT = 1_000_000
 
 
 def ring(n_shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -66,7 +68,7 @@ def plan(counts: dict[int, int], n_shards: int, slack: float = 0.0, virtual_node
 
 
 def shard_rows(rows: DataFrame, n_shards: int = 8, key: str = "doc_id", tie: str | None = None, slack: float = 0.0) -> DataFrame:
-    """Add home_shard, shard and slot (gapless from 0 in each shard) to rows.
+    """Add home_shard, shard and slot (gapless from 0 in each shard) to rows, in the place of columns of these names.
 
     Rows hash by ``key``; rows of one cell are ranked by the hash, the key and
     ``tie``, so rows that differ in none of these are interchangeable.  A null
@@ -74,24 +76,37 @@ def shard_rows(rows: DataFrame, n_shards: int = 8, key: str = "doc_id", tie: str
     apart.  An empty table stays empty.
 
     The counts of cells that reach the driver are bounded by the ring's
-    resolution, as is the plan that comes back as a join; rows never meet in
-    groups larger than a cell.
+    resolution, as is the plan that comes back as a join.  A cell of more than
+    HOT rows, as many null or equal keys make, is ranked in parts of about as
+    many, one after the other; parts are dealt by row, so the order in them
+    depends on that of the input.
     """
     spark = rows.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
+    new = ("home_shard", "shard", "slot")
     place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")))
     cell = F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")
-    counts = {r["_cell"]: r["n"] for r in rows.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    work = rows.select(F.struct(*(c for c in rows.columns if c not in new)).alias("_row"), place.alias("_place"), cell.alias("_cell"), F.col(key).alias("_key"), (F.col(tie) if tie else F.lit(None)).alias("_tie"))
+    counts = {r["_cell"]: r["n"] for r in work.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    hot = [(c, -(-n // HOT)) for c, n in counts.items() if n > HOT]
+    part, offset = F.lit(0), F.lit(0)
+    if hot:
+        # rows get their part once, and keep it: a task that runs again must not deal them anew
+        parts = spark.createDataFrame(hot, "_hot int, _parts int")
+        dealt = work.withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(parts), F.col("_cell") == F.col("_hot"), "left")
+        work = materialise(dealt.withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_key", "_tie", "_i"), F.col("_parts"))).otherwise(0).cast("int")).drop("_i", "_hot", "_parts"), "dealt")
+        sizes = work.groupBy(F.col("_cell").alias("_c0"), F.col("_part").alias("_p0")).agg(F.count("*").alias("_n0"))
+        before = Window.partitionBy("_c0").orderBy("_p0").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n0").over(before), F.lit(0))).where("_before > 0").drop("_n0")  # a row for every HOT rows
+        work = work.join(sizes, (F.col("_cell") == F.col("_c0")) & (F.col("_part") == F.col("_p0")), "left")
+        part, offset = F.col("_part"), F.coalesce("_before", F.lit(0))
     runs = plan(counts, n_shards, slack)
     moves = spark.createDataFrame(runs or [(0, 0, 0, 0, 0, 0)], "_c int, home_shard int, _from long, _to long, shard int, _slot long")
-    by = [F.col("_place"), F.col(key), *([F.col(tie)] if tie else [])]
-    ranked = rows.withColumns({"_place": place, "_cell": cell}).withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(*by)) - 1)
-    return (
-        ranked.join(F.broadcast(moves), (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-        .drop("_place", "_cell", "_rank", "_c", "_from", "_to", "_slot")
-    )
+    order = Window.partitionBy("_cell", part).orderBy("_place", "_key", "_tie") if hot else Window.partitionBy("_cell").orderBy("_place", "_key", "_tie")
+    ranked = work.withColumn("_rank", F.row_number().over(order) - 1 + offset)
+    placed = ranked.join(F.broadcast(moves), (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    return placed.select("_row.*", "home_shard", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
@@ -100,10 +115,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     Returns doc_id, size (UTF-8 bytes plus 1, null text: 1), text_crc32 (null
     text: that of the empty string), law, shard, slot, grown_shard (null under
     this law) and home_shard, the shard that owns the key's arc of the ring.
-    Extra columns of docs are ignored.  Texts are read once and never moved.
+    Extra columns of docs are ignored.  Texts, however long, are read once and
+    never moved.
     """
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     slim = materialise(slim, "shard_keys")
     out = shard_rows(slim, n_shards, "doc_id", "text_crc32")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
+def deal_out(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """Documents with all their columns and home_shard, shard and slot, under the law of shard_documents().
+
+    Rows move once, to the cell in which they are ranked.  Null and empty texts,
+    long ones and repeated rows go to shards like any other; columns of the three
+    names are replaced.  An empty table stays empty.
+    """
+    new = ("home_shard", "shard", "slot")
+    text = F.coalesce("text", F.lit(""))
+    kept = [c for c in docs.columns if c not in new]
+    rows = docs.select(F.struct(*kept).alias("_doc"), F.col("doc_id").alias("_id"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"))
+    return shard_rows(rows, n_shards, "_id", "_crc").select("_doc.*", *new)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, parallelism, slices
+from loomline.llm.common import discard, materialise, parallelism, row_key, slices
 from loomline.llm.components import stars
 
 SHINGLE = 3
@@ -245,14 +245,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, all columns: that of the smallest doc_id (nulls last), then of the smallest hash.
+    """One row of docs for each component, all columns, whatever their names: that of the smallest doc_id (nulls last), then of the smallest hash.
 
-    Of rows equal in doc_id and text one stays.  An empty table stays empty.
+    Null texts and texts without words are one component.  Of rows equal in
+    doc_id and text one stays.  Very long texts are read whole.  An empty table
+    stays empty.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_r1": F.xxhash64("doc_id", text), "_r2": F.xxhash64(text, F.length(text))})
-    prints = materialise(fingerprints(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_r1", "_r2", "text"), shingle), "prints")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key(F.col("doc_id"), text))
+    prints = materialise(fingerprints(keyed.select("doc_id", "_r1", "_r2", "text"), shingle), "prints")
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_r1", "_r2")).alias("best"))
     kept = best.join(classes(prints, distance), "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = materialise(kept.select(F.col("best._r1").alias("_k1"), F.col("best._r2").alias("_k2")), "kept")
-    return keyed.join(kept, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi").dropDuplicates(["_r1", "_r2"]).select(*docs.columns)
+    discard(prints)
+    rows = keyed.select("_row", "_r1", "_r2").join(kept, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi")
+    return rows.dropDuplicates(["_r1", "_r2"]).select("_row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise, row_key, slices
+from loomline.llm.common import discard, materialise, row_key, slices
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -31,12 +31,10 @@ DISCOUNT = 0.75
 PRIOR = 5.0
 #: Rows the logistic fit uses at most, the smallest by hash.  Counts use all rows.
 CALIBRATION_ROWS = 20_000
-#: Bits of a symbol of the model.
-BITS = 12
+#: Bits of a symbol of the model, and the first code point that takes two symbols.
+BITS, WIDE = 12, 1980
 #: Models up to this many n-grams are broadcast; larger ones stay in tables, and words are joined to them.
 BROADCAST_GRAMS = 4_000_000
-#: What bounded() folds to.  Training doesn't call it.
-MAX_GRAMS = 4_000_000
 #: Labels up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 MEMO_WORDS = 400_000
@@ -49,7 +47,6 @@ _memo: dict = {}
 class Model:
     """Log-likelihood ratios of n-grams (packed symbols), of contexts for n-grams not seen, and the logistic fit."""
 
-    bits: int
     grams: np.ndarray
     ratios: np.ndarray
     contexts: np.ndarray
@@ -67,27 +64,24 @@ class Tables:
     weights: np.ndarray
 
 
-def symbol(c: str, bits: int) -> int:
-    return ord(c) % ((1 << bits) - 2) + 2
+def symbols(word: str) -> list[int]:
+    """Symbols of a word, unlike for unlike words: one for code points below WIDE, a leading and a trailing one for those above."""
+    codes = list(map(ord, word))
+    if max(codes, default=0) < WIDE:
+        return [c + 2 for c in codes]
+    out = []
+    for c in codes:
+        out += [c + 2] if c < WIDE else [WIDE + 2 + (c >> 10), WIDE + 2 + (0x110000 >> 10) + (c & 1023)]
+    return out
 
 
-def pack(word: str, bits: int) -> list[int]:
+def pack(word: str) -> list[int]:
     """Packed n-grams of a word between its boundary symbols 0 and 1."""
-    mask, g, out = (1 << bits * ORDER) - 1, 0, []
-    top = (1 << bits) - 2
-    for c in word:
-        g = (g << bits | (ord(c) % top + 2)) & mask
+    mask, g, out = (1 << BITS * ORDER) - 1, 0, []
+    for x in symbols(word):
+        g = (g << BITS | x) & mask
         out.append(g)
-    out.append((g << bits | 1) & mask)
-    return out
-
-
-def fold(bits: int, to: int, grams: Column) -> Column:
-    """N-grams of symbols of ``bits`` bits as n-grams of coarser symbols; the boundaries keep theirs."""
-    out, top = F.lit(0).cast("long"), (1 << to) - 2
-    for i in reversed(range(ORDER)):
-        s = F.shiftright(grams, bits * i).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        out = F.shiftleft(out, to).bitwiseOR(F.when(s < 2, s).otherwise((s - 2) % top + 2))
+    out.append((g << BITS | 1) & mask)
     return out
 
 
@@ -118,7 +112,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             sums: dict[int, list[int]] = {}
             for side in range(4):
                 for w, n in words[side].items():
-                    for g in pack(w, BITS):
+                    for g in pack(w):
                         sums.setdefault(g, [0, 0, 0, 0])[side] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([x[side] for x in sums.values()], pa.int64()) for side in range(4))], ["gram", *_SUMS])
 
@@ -133,46 +127,32 @@ def _summed(counts: DataFrame, gram: str | Column) -> DataFrame:
     return counts.groupBy(gram).agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
-def bounded(counts: DataFrame) -> tuple[int, np.ndarray]:
-    """The counts on the driver, folded to as many bits a symbol as MAX_GRAMS allows."""
-    counts = counts.persist()
-    try:
-        for bits in (12, 8, 6, 4):
-            now = counts if bits == 12 else _summed(counts, fold(12, bits, F.col("gram")).alias("gram"))
-            if bits == 4 or now.count() <= MAX_GRAMS:
-                t = now.toArrow()
-                return bits, np.stack([t.column(c).to_numpy() for c in ("gram", *_SUMS)]) if t.num_rows else np.zeros((5, 0), np.int64)
-    finally:
-        counts.unpersist()
-    raise AssertionError
-
-
 def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     keys, at = np.unique(keys, return_inverse=True)
     return keys, *(np.bincount(at, v, len(keys)) for v in values), at
 
 
-def estimate(bits: int, counts: np.ndarray) -> Model:
-    """Kneser-Ney estimates as log-likelihood ratios."""
+def estimate(counts: np.ndarray) -> Model:
+    """Kneser-Ney estimates as log-likelihood ratios, from (gram, n0, n1) as rows; the shortest backoff is uniform over the symbols seen."""
     counts = counts[:, counts[1:].any(0)]
     order = np.argsort(counts[0])
     grams, n = counts[0][order], counts[1:, order].astype(float)
     # shared backoff: continuation counts of every lower order, from the distinct n-grams of both classes
     below, suffixes = {}, grams
     for k in range(ORDER - 1, 0, -1):
-        suffixes, left = np.unique(suffixes & ((1 << bits * k) - 1), return_counts=True)
+        suffixes, left = np.unique(suffixes & ((1 << BITS * k) - 1), return_counts=True)
         below[k] = (suffixes, left.astype(float))
-    p = np.full(len(grams), 1 / 2000)
+    p = np.full(len(grams), 1 / max(1, len(below[1][0])))
     for k in range(1, ORDER):
         keys, left = below[k]
-        _, total, types, at = _by_key(keys >> bits, left, np.ones(len(keys)))
-        i = np.searchsorted(keys, grams & ((1 << bits * k) - 1))
+        _, total, types, at = _by_key(keys >> BITS, left, np.ones(len(keys)))
+        i = np.searchsorted(keys, grams & ((1 << BITS * k) - 1))
         p = np.maximum(left[i] - DISCOUNT, 0) / total[at[i]] + DISCOUNT * types[at[i]] / total[at[i]] * p
-    contexts, t0, t1, y0, y1, at = _by_key(grams >> bits, n[0], n[1], (n[0] > 0) * 1.0, (n[1] > 0) * 1.0)
+    contexts, t0, t1, y0, y1, at = _by_key(grams >> BITS, n[0], n[1], (n[0] > 0) * 1.0, (n[1] > 0) * 1.0)
     total, types = np.stack([t0, t1]), np.stack([y0, y1])
     kept = (DISCOUNT * types + PRIOR) / (total + PRIOR)
     q = np.maximum(n - DISCOUNT, 0) / (total + PRIOR)[:, at] + kept[:, at] * p
-    return Model(bits, grams, np.log(q[1] / q[0]), contexts, np.log(kept[1] / kept[0]), np.zeros(5))
+    return Model(grams, np.log(q[1] / q[0]), contexts, np.log(kept[1] / kept[0]), np.zeros(5))
 
 
 def estimate_tables(counts: DataFrame, weights: np.ndarray) -> Tables:
@@ -186,28 +166,31 @@ def estimate_tables(counts: DataFrame, weights: np.ndarray) -> Tables:
     below, longer = {}, counts
     for k in range(ORDER - 1, 0, -1):
         longer = below[k] = materialise(longer.groupBy(suffix(k).alias("gram")).agg(F.count("*").alias("left")), f"below{k}")
-    shared = None
+    shared, n_symbols = None, max(1, below[1].count())
     for k in range(1, ORDER):
         sums = below[k].groupBy(context).agg(F.sum("left").alias("total"), F.count("*").alias("types"))
         now = below[k].withColumn("context", context).join(sums, "context")
-        now = now.withColumn("p", F.lit(1 / 2000)) if shared is None else now.join(shared, suffix(k - 1) == F.col("suffix"))
+        now = now.withColumn("p", F.lit(1 / n_symbols)) if shared is None else now.join(shared, suffix(k - 1) == F.col("suffix"))
         p = F.greatest(F.col("left") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("types") / F.col("total") * F.col("p")
-        shared = materialise(now.select(F.col("gram").alias("suffix"), p.alias("p")), f"shared{k}")
+        before, shared = shared, materialise(now.select(F.col("gram").alias("suffix"), p.alias("p")), f"shared{k}")
+        discard(below[k], *([before] if before is not None else []))
     sums = counts.groupBy(context).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in (0, 1)), *(F.count_if(F.col(f"n{i}") > 0).alias(f"y{i}") for i in (0, 1)))
     kept = [((DISCOUNT * F.col(f"y{i}") + PRIOR) / (F.col(f"t{i}") + PRIOR)).alias(f"kept{i}") for i in (0, 1)]
     contexts = materialise(sums.select("context", "t0", "t1", *kept).withColumn("unseen", F.log(F.col("kept1") / F.col("kept0"))), "contexts")
     q = [F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) / (F.col(f"t{i}") + PRIOR) + F.col(f"kept{i}") * F.col("p") for i in (0, 1)]
     rows = counts.withColumn("context", context).join(contexts, "context").join(shared, suffix(ORDER - 1) == F.col("suffix"))
-    return Tables(materialise(rows.select("gram", F.log(q[1] / q[0]).alias("ratio")), "ratios"), contexts.select("context", "unseen"), weights)
+    ratios = materialise(rows.select("gram", F.log(q[1] / q[0]).alias("ratio")), "ratios")
+    discard(shared)
+    return Tables(ratios, contexts.select("context", "unseen"), weights)
 
 
 def word_ratio(model: Model, word: str) -> float:
-    g = np.array(pack(word, model.bits), np.int64)
+    g = np.array(pack(word), np.int64)
     if not len(model.grams):
         return 0.0
     i = np.minimum(np.searchsorted(model.grams, g), len(model.grams) - 1)
-    j = np.minimum(np.searchsorted(model.contexts, g >> model.bits), len(model.contexts) - 1)
-    unseen = np.where(model.contexts[j] == g >> model.bits, model.unseen[j], 0.0)
+    j = np.minimum(np.searchsorted(model.contexts, g >> BITS), len(model.contexts) - 1)
+    unseen = np.where(model.contexts[j] == g >> BITS, model.unseen[j], 0.0)
     return float(np.where(model.grams[i] == g, model.ratios[i], unseen).sum())
 
 
@@ -218,13 +201,13 @@ def _fill(model: Model, memo: dict, words: list[str]) -> None:
         return
     packed, sizes = [], []
     for w in words:
-        p = pack(w, model.bits)
+        p = pack(w)
         packed += p
         sizes.append(len(p))
     g = np.array(packed, np.int64)
     i = np.minimum(np.searchsorted(model.grams, g), len(model.grams) - 1)
-    j = np.minimum(np.searchsorted(model.contexts, g >> model.bits), len(model.contexts) - 1)
-    unseen = np.where(model.contexts[j] == g >> model.bits, model.unseen[j], 0.0)
+    j = np.minimum(np.searchsorted(model.contexts, g >> BITS), len(model.contexts) - 1)
+    unseen = np.where(model.contexts[j] == g >> BITS, model.unseen[j], 0.0)
     v = np.where(model.grams[i] == g, model.ratios[i], unseen)
     memo.update(zip(words, np.add.reduceat(v, np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist(), strict=True))
 
@@ -273,7 +256,7 @@ def _word_rows(batches):
 def _gram_rows(batches):
     """(_w1, _w2, gram): the n-grams of words, each as often as it occurs."""
     for batch in slices(batches):
-        packed = [pack(w, BITS) for w in batch.column("word").to_pylist()]
+        packed = [pack(w) for w in batch.column("word").to_pylist()]
         at = pa.array(np.repeat(np.arange(len(packed)), [len(p) for p in packed]))
         yield pa.RecordBatch.from_arrays([batch.column("_w1").take(at), batch.column("_w2").take(at), pa.array([g for p in packed for g in p], pa.int64())], ["_w1", "_w2", "gram"])
 
@@ -344,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Tables:
     if small:
         t = table.toArrow()
         counts = np.stack([t.column(c).to_numpy() for c in ("gram", *_SUMS)]) if t.num_rows else np.zeros((5, 0), np.int64)
-        rows = _batches(rows, estimate(BITS, counts[:3]), ["_id", "_toxic"], "_id long, toxic int, a double, b double, c double, d double", lambda m, x: [pa.array(c) for c in x.T])
+        rows = _batches(rows, estimate(counts[:3]), ["_id", "_toxic"], "_id long, toxic int, a double, b double, c double, d double", lambda m, x: [pa.array(c) for c in x.T])
     else:
         rows = with_features(rows, "_id", estimate_tables(table.select("gram", "n0", "n1"), np.zeros(5))).select("_id", F.col("_toxic").alias("toxic"), *"abcd")
     fit = rows.orderBy(F.xxhash64("_id"), "_id", "toxic", "a").limit(CALIBRATION_ROWS).toArrow()
@@ -356,16 +339,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Tables:
         weights = logistic(np.stack([fit.column(c).to_numpy() for c in "abcd"], axis=1), y * 1.0)
     if not small:
         return estimate_tables(table.select("gram", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1")), weights)
-    model = estimate(BITS, np.stack([counts[0], counts[1] + counts[3], counts[2] + counts[4]]))
+    model = estimate(np.stack([counts[0], counts[1] + counts[3], counts[2] + counts[4]]))
     tag = hash((counts.tobytes(), weights.tobytes()))
-    return Model(model.bits, model.grams, model.ratios.astype(np.float32), model.contexts, model.unseen.astype(np.float32), weights, tag)
+    return Model(model.grams, model.ratios.astype(np.float32), model.contexts, model.unseen.astype(np.float32), weights, tag)
 
 
 def score(docs: DataFrame, model: Model | Tables) -> DataFrame:
     """Score whole texts: doc_id, held_out, score, predicted.
 
     Null and empty texts, and texts without letters, have no evidence and get
-    the score of features that are all zero.  A null doc_id counts as held out.
+    the score of features that are all zero; very long texts are read whole.  A null doc_id counts as held out.
     Repeated rows are scored each; extra columns are ignored.  Only the text
     enters the score.
     """
@@ -387,7 +370,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that are not predicted toxic, all their columns."""
+    """Rows of docs that are not predicted toxic, all their columns, whatever their names.
+
+    Null and empty texts get the score of score(); repeated rows share their
+    fate and stay each.  An empty table stays empty.
+    """
     model = train(docs, labels)
     names = docs.columns
     if isinstance(model, Tables):

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 import struct
 from collections import Counter
 
@@ -383,6 +384,74 @@ def test_shards_are_even_and_move_little(spark, docs):
     assert loose.where("shard <> home_shard").count() <= sharding.shard_rows(big, 8).where("shard <> home_shard").count()
 
 
+def plain_shards(rows, n_shards):
+    """Row by row: home takes what it has room for, in ring order; the rest goes on clockwise.  rows: (key, tie)."""
+    nodes = sharding.ring(n_shards)
+    room = sharding.capacities(len(rows), n_shards, 0.0)
+    placed = []
+    for key, tie in rows:
+        place = xx("\0null" if key is None else str(key))
+        placed.append(((place & (1 << 64) - 1) >> 51, place, (key is not None, key or 0), (tie is not None, tie or 0), key, tie))
+    used, out, left = [0] * n_shards, [], []
+    for cell, *_, key, tie in sorted(placed):
+        at = next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+        home = nodes[at][1]
+        if used[home] < room[home]:
+            out.append((key, tie, home, home, used[home]))
+            used[home] += 1
+        else:
+            left.append((key, tie, home, at))
+    for key, tie, home, at in left:
+        while used[nodes[at][1]] >= room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        shard = nodes[at][1]
+        out.append((key, tie, home, shard, used[shard]))
+        used[shard] += 1
+    return Counter(out)
+
+
+def test_shards_match_a_row_by_row_ring(spark, docs):
+    r = random.Random(6)
+    rows = [(i, r.randrange(9)) for i in range(3000)] + [(5, 1)] * 40 + [(None, k % 3) for k in range(60)]
+    for n in (8, 5):
+        got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, t int").repartition(4), n, "doc_id", "t")
+        assert Counter((x["doc_id"], x["t"], x["home_shard"], x["shard"], x["slot"]) for x in got.collect()) == plain_shards(rows, n)
+    crc = lambda t: zlib.crc32(t.encode())
+    want = Counter((k, c, s, slot) for k, c, _, s, slot in plain_shards([(i, crc(t)) for i, t in texts_of(docs)], 8).elements())
+    assert Counter((x["doc_id"], x["text_crc32"], x["shard"], x["slot"]) for x in sharding.shard_documents(docs).collect()) == want
+
+
+def test_hot_cells_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 50)
+    rows = spark.createDataFrame([(None, k % 7) for k in range(700)] + [(k, 0) for k in range(400)], "doc_id long, t int").repartition(5)
+    got = sharding.shard_rows(rows, 8, "doc_id", "t").collect()
+    sizes = Counter(x["shard"] for x in got)
+    assert len(got) == 1100 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(x["slot"] for x in got if x["shard"] == k) == list(range(sizes[k])) for k in sizes)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "_r1", "_r2", "_row", "_key", "_size", "_copies", "_mix", "_time", "_cell", "_rank", "_place", "_k1", "_hit", "_id", "_from", "shard", "fp", "_g1"]
+    rows = [(i, prose(i, 30), "s", *range(100 * i, 100 * i + len(names) - 3)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in names[3:]))
+    bench = spark.createDataFrame([("x", prose(4, 30))], "item_id string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    whole = Counter(rows)
+    for made in (simhash.keep_one(docs), decontaminate.keep_clean(docs, bench), mixing.repeat(docs), toxicity.keep_ordinary(docs, labels)):
+        assert made.columns == names and set(map(tuple, made.collect())) <= set(whole)
+    assert decontaminate.keep_clean(docs, bench).count() == 29 and simhash.keep_one(docs).count() == 30
+    dealt = sharding.deal_out(docs)
+    at = names.index("shard")
+    assert dealt.columns == [c for c in names if c != "shard"] + ["home_shard", "shard", "slot"]
+    assert Counter(tuple(x)[: len(names) - 1] for x in dealt.collect()) == Counter(x[:at] + x[at + 1 :] for x in rows)
+
+
+def test_a_source_of_poor_documents_fills_no_bucket(spark):
+    poor = spark.range(200_000).select(mixing.bucket(-F.log(mixing.uniform(F.col("id").cast("string"), 3)) / 0.25).alias("b"))
+    most = poor.groupBy("b").count().agg(F.max("count"), F.min("b"), F.max("b")).first()
+    assert most[0] < 300 and most[1] >= 0 and most[2] < mixing.BUCKETS
+
+
 def test_mixing_reaches_its_targets(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in got)
@@ -414,6 +483,17 @@ def test_targets_with_sources_at_the_ceiling(spark):
     assert got["b"] == 3 and got["c"] == 30 and got["d"] == 15 and got["a"] == pytest.approx(68)
 
 
+def test_running_sums_over_ranges(spark):
+    r = random.Random(1)
+    rows = [(f"h{i:05d}", r.randrange(100)) for i in range(5000)] + [(None, 7)]
+    d = spark.createDataFrame(rows, "source string, source_size long").repartition(6)
+    got = {x["source"]: (x["_before"], x["_before_source_size"]) for x in mixing.running(d, [F.col("source").isNull(), F.col("source")], ["source_size"]).collect()}
+    total = 0
+    for k, (s, n) in enumerate(rows):
+        assert got[s] == (k, total)
+        total += n
+
+
 def test_archives_round_trip_in_small_ranges(spark, tmp_path):
     pages = [(1, "http://a b/", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", ""), (4, "u", None), (None, "u", "<p>one</p>"), (None, None, "alone"), (7, "x", "é" * 5000), (9, "x", prose("page", 4000)), (1, "http://a b/", "<p>one</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
@@ -462,14 +542,71 @@ def test_licences_with_titles_and_in_full(spark):
     assert {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()} == {k: i for k, (i, _) in enumerate(rows)}
 
 
-def test_kennard_counts_sum_to_probabilities():
-    words = ["aba", "abc", "bca"]
-    grams = Counter(g for w in words for g in toxicity.pack(w, 12))
-    counts = np.array([list(grams), list(grams.values()), [1] * len(grams)], np.int64)
-    model = toxicity.estimate(12, counts)
-    memo = {}
-    toxicity._fill(model, memo, words)
-    assert all(memo[w] == pytest.approx(toxicity.word_ratio(model, w), abs=1e-5) for w in words)
+def plain_kneser_ney(words, order=5, discount=0.75, prior=5.0):
+    """p(symbol | context) of both classes by their definitions; words: (word, class)."""
+    grams = [Counter(), Counter()]
+    for w, side in words:
+        padded = [0] * order + toxicity.symbols(w) + [1]
+        for i in range(order, len(padded)):
+            grams[side][tuple(padded[i - order + 1 : i + 1])] += 1
+    seen = set(grams[0]) | set(grams[1])
+    left = {order - 1: Counter(g[1:] for g in seen)}
+    for k in range(order - 2, 0, -1):
+        left[k] = Counter(g[1:] for g in left[k + 1])
+    alphabet = {g[-1] for g in seen}
+
+    def shared(context, x):
+        k = len(context) + 1
+        lower = 1 / len(alphabet) if k == 1 else shared(context[1:], x)
+        of = [n for g, n in left[k].items() if g[:-1] == context]
+        if not of:
+            return lower
+        return max(left[k][(*context, x)] - discount, 0) / sum(of) + discount * len(of) / sum(of) * lower
+
+    def p(side, context, x):
+        of = [n for g, n in grams[side].items() if g[:-1] == context]
+        return (max(grams[side][(*context, x)] - discount, 0) + (discount * len(of) + prior) * shared(context[1:], x)) / (sum(of) + prior)
+
+    return seen, alphabet, p
+
+
+def test_kneser_ney_probabilities_sum_to_one_and_give_the_ratios(spark):
+    r = random.Random(2)
+    words = [("".join(r.choice("abcé漢字") for _ in range(r.randrange(1, 6))), int(r.random() < 0.4)) for _ in range(60)]
+    seen, alphabet, p = plain_kneser_ney(words)
+    for context in {g[:-1] for g in seen}:
+        for side in (0, 1):
+            assert sum(p(side, context, x) for x in alphabet) == pytest.approx(1)
+    sums: dict = {}
+    for w, side in words:
+        for g in toxicity.pack(w):
+            sums.setdefault(g, [0, 0])[side] += 1
+    model = toxicity.estimate(np.array([[g, *n] for g, n in sums.items()]).T)
+    unpacked = {int(g): tuple(int(g) >> 12 * k & 4095 for k in range(4, -1, -1)) for g in model.grams}
+    assert set(unpacked.values()) == seen
+    for g, ratio in zip(model.grams.tolist(), model.ratios.tolist(), strict=True):
+        *context, x = unpacked[g]
+        assert ratio == pytest.approx(np.log(p(1, tuple(context), x) / p(0, tuple(context), x)))
+    for c, unseen in zip(model.contexts.tolist(), model.unseen.tolist(), strict=True):
+        context = tuple(c >> 12 * k & 4095 for k in range(3, -1, -1))
+        x = next(x for x in alphabet if (*context, x) not in seen)
+        assert unseen == pytest.approx(np.log(p(1, context, x) / p(0, context, x)))
+
+
+def test_unlike_words_have_unlike_symbols():
+    points = [*range(0x20, 0x9000, 7), 0x10FFFF, 0xAC00, 0x1F600, 1979, 1980, 1979 + 4094, 65 + 4094]
+    coded = [tuple(toxicity.symbols(chr(c))) for c in points if not 0xD800 <= c < 0xE000]
+    assert len(set(coded)) == len(set(points)) and max(max(x) for x in coded) < 4096 and min(min(x) for x in coded) >= 2
+    assert toxicity.pack("漢字") != toxicity.pack("字漢") and len(toxicity.pack("é漢")) == 4
+
+
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = scored.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert len(bad) > 2
+    assert np.mean([[(b > g) + (b == g) / 2 for g in good] for b in bad]) > 0.9
 
 
 def test_toxicity_learns_rare_expressions(spark):
@@ -489,13 +626,6 @@ def test_toxicity_learns_rare_expressions(spark):
     assert sum(x["predicted"] == (x["doc_id"] % 8 == 0) for x in out) / len(out) > 0.97
 
 
-def test_folding_bounds_the_model(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 5)
-    grams = spark.createDataFrame([(g, 1, 0, 0, 0) for g in toxicity.pack("folding", 12)], "gram long, n0 long, n1 long, m0 long, m1 long")
-    bits, counts = toxicity.bounded(grams)
-    assert bits < 12 and set(counts[0].tolist()) <= set(toxicity.pack("folding", bits))
-
-
 def test_scores_do_not_depend_on_where_the_model_lies(spark, monkeypatch):
     r = random.Random(4)
     rows = [(i, " ".join([r.choice(WORDS) + r.choice(["", "ok", "яж", "語文"]) for _ in range(r.randrange(0, 60))] + ["vilest"] * (r.randrange(5) if i % 6 == 0 else 0))) for i in range(300)]
@@ -504,8 +634,7 @@ def test_scores_do_not_depend_on_where_the_model_lies(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(250)], "doc_id long, toxic int")
     run = lambda: (sorted(((str(x["doc_id"]), x["held_out"], x["score"]) for x in toxicity.toxicity(docs, labels).collect())), Counter(map(tuple, toxicity.keep_ordinary(docs, labels).collect())))
     scores, kept = run()
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 5)
-    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 5, raising=False)
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 5)
     large, same = run()
     assert [x[:2] for x in large] == [x[:2] for x in scores] and len(large) == len(rows)
     assert [x[2] for x in large] == pytest.approx([x[2] for x in scores], abs=1e-4)
@@ -564,7 +693,7 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
 
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     sizes = Counter(x["shard"] for x in last)
-    assert Counter(x["doc_id"] for x in last) == Counter(x[0] for x in mixed.elements())
+    assert Counter(tuple(x)[:5] for x in last) == mixed
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(x["slot"] for x in last if x["shard"] == k) == list(range(sizes[k])) for k in sizes)
     assert Counter(map(tuple, last)) == run("sharding", list(mixed.elements()))
