@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return sharding.shard_documents(docs)
+    """Every row with its shard and slot, texts and all."""
+    return sharding.deal_out(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
