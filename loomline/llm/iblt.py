@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from loomline.llm.common import joined_in_place, materialise
 
 #: Cells of each subtable of the fingerprint, and how much larger the next attempt is.
-CELLS, GROWTH = 8, 4
+CELLS, GROWTH = 8, 16
 #: Rows a range holds about, and ranges at most: their bounds are part of the plan.
 RANGE_ROWS, MAX_RANGES = 500, 20_000
-#: Peeling passes over the three subtables.
-PASSES = 4
+#: Peeling passes over the three subtables; what takes more is tried larger, where cells hold few digests.
+PASSES = 2
 _PIECE = r"\n+|(?<=[.!?]) +"
 _AT = ["range", "row"]
 _TABLES = 3
@@ -181,30 +181,25 @@ def fingerprint_documents(docs: DataFrame, with_digests: bool = False) -> DataFr
     the recovered digests with sign 1 for the document's own pieces and -1 for
     the other's.
     """
-    v = versions(docs)
-    sets, texts = ["own", "edited", "next"], ["own", "edited", "next"]
+    sets = ["own", "edited", "next"]
     names = [f"{c}{p}" for p in (0, 1) for c in ("found", "stuck", *(["differs"] if with_digests else []))]
-    both = F.size("own") + F.size("edited"), F.size("own") + F.size("next")
-    facts = v.select(*_AT, "doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), *(b.alias(f"both{i}") for i, b in enumerate(both)), F.size("own").alias("pieces"), F.size("edited").alias("edited_pieces"), F.struct(*sets).alias("sets"))
+    # from here on digests stand for the texts
+    v = versions(docs).withColumn("edited_sha256", F.sha2(F.encode("edited_text", "UTF-8"), 256))
+    v = materialise(v.select(*_AT, "doc_id", "n_chars", "edited_sha256", *sets), "versions", compression="zstd")
+    prints = materialise(fingerprints(v.select(*_AT, "own", "edited").repartition(*_AT)), "fingerprints", compression="zstd")
     stuck = F.coalesce(F.greatest("stuck0", "stuck1"), F.lit(0)) > 0
-    first = facts.join(fingerprints(v), _AT, "left").join(peeled(subtracted(sketches(v, texts, CELLS)), CELLS, keep=with_digests), _AT, "left")
-    with joined_in_place(docs.sparkSession):  # ranges are even, so the join needs no exchange beyond that of the texts
-        tried = materialise(first.withColumn("sets", F.when(stuck, F.col("sets"))), "fingerprints", compression="zstd")
-    found = [tried.select(*_AT, *names).where(~stuck)]
-    # pairs whose peeling got stuck keep their digests, so that the texts move once
-    left, cells, attempt = tried.where(stuck).select(*_AT, "sets.*"), CELLS, 0
-    while left.limit(1).count():
-        cells, attempt = cells * GROWTH, attempt + 1
-        left = left.repartition(*_AT)
+    left, cells, attempt, every = v.select(*_AT, *sets), CELLS, 0, None
+    while attempt == 0 or left.limit(1).count():
+        dealt = left.repartition(*_AT)
         with joined_in_place(docs.sparkSession):
-            again = left.join(peeled(subtracted(sketches(left, texts, cells, attempt)), cells, attempt, with_digests), _AT, "left")
+            again = dealt.join(peeled(subtracted(sketches(dealt, sets, cells, attempt)), cells, attempt, with_digests), _AT, "left")
             now = materialise(again.select(*_AT, *names, *(F.when(stuck, F.col(c)).alias(c) for c in sets)), f"attempt{attempt}", compression="zstd")
-        found.append(now.select(*_AT, *names).where(~stuck))
-        left = now.where(stuck).select(*_AT, *sets)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    out = tried.drop(*names, "sets").join(every, _AT)
+        done, left = now.where(~stuck).select(*_AT, *names), now.where(stuck).select(*_AT, *sets)
+        every = done if every is None else every.unionByName(done)
+        cells, attempt = cells * GROWTH, attempt + 1
+    both = F.size("own") + F.size("edited"), F.size("own") + F.size("next")
+    facts = v.select(*_AT, "doc_id", "n_chars", "edited_sha256", *(b.alias(f"both{i}") for i, b in enumerate(both)), F.size("own").alias("pieces"), F.size("edited").alias("edited_pieces"))
+    out = facts.join(prints, _AT, "left").join(every, _AT)
 
     def near(p: int) -> Column:
         return F.when(F.col(f"both{p}") == 0, F.lit(1.0)).otherwise(1 - F.coalesce(f"found{p}", F.lit(0)) / F.col(f"both{p}"))

@@ -97,7 +97,8 @@ RULES: list[tuple[str, str]] = [
 
 
 #: Every built-in text has one of these, and no rule brings one about: texts without them can't match and aren't normalised.
-STEMS = r"(?i)licen|permission|redistribution|(?<![\p{L}\p{N}])cc"
+#: U+0130 is the one letter whose lower case ends in a mark, which counts as punctuation.
+STEMS = r"(?i)licen|permission|redistribution|(?<![\p{L}\p{N}])cc|\u0130cc"
 
 
 def canonical(text: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.common import fresh_path, materialise, parallelism
+from loomline.sources.files import opened
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 64 << 20
@@ -35,11 +36,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:loomline:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, number: str | None = None) -> str:
+    """The id of a record: that of its page, and a number of its own where several pages share it or have none."""
+    return f"<urn:loomline:page:{'' if page_id is None else page_id}{f':{number}' if number else ''}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool, number: str | None = None) -> bytes:
     """One record as a gzip member.  The payload of a revisit is left out; its length and digest are those of the whole."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -47,7 +49,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     head = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Record-ID: {_urn(page_id, number)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {target}"] if target is not None else []),
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -67,7 +69,7 @@ def parse(data: bytes) -> tuple:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"(?i)content-length: (\d+)", http)[1])
-    ident = lambda urn: int(x) if (x := urn.rpartition(":")[2].rstrip(">")) else None
+    ident = lambda urn: int(x) if (x := urn.rstrip(">").split(":")[3]) else None
     revisit = fields["WARC-Type"] == "revisit"
     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if not revisit and (digest(payload) != said or len(payload) != size):
@@ -81,6 +83,8 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     Of pages with equal payloads the one of the smallest page_id is stored and
     the others revisit it.  Rows that share that page_id are all stored.  A null
     page_id revisits whatever equal page has an id; without one it is stored.
+    Records of pages that share an id, or lack one, get a number after it, so
+    that record ids are unique.  Payloads may be of any length.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
@@ -90,19 +94,23 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     groups = materialise(groups.select(F.col("_sha1").alias("_g"), "_h", "first"), "payload_groups")
     rows = rows.join(groups.withColumnRenamed("_h", "_gh"), (F.col("_sha1") == F.col("_g")) & (F.col("_h") == F.col("_gh")), "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= LEAST_REVISIT), F.lit(False))
-    rows = rows.select("page_id", "url", "payload", "first", revisit.alias("revisit")).sortWithinPartitions("page_id", "url")
+    shared = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 or page_id is null").select(F.col("page_id").alias("_shared"))
+    shared = materialise(shared, "shared_ids")
+    rows = rows.join(shared, F.col("page_id").eqNullSafe(F.col("_shared")), "left") if shared.limit(1).count() else rows.withColumn("_shared", F.lit(None).cast("long"))
+    many = F.col("_shared").isNotNull() | F.col("page_id").isNull()
+    rows = rows.select("page_id", "url", "payload", "first", revisit.alias("revisit"), many.alias("many")).sortWithinPartitions("page_id", "url")
 
     def run(batches):
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         out, n, size = None, 0, 0
         for batch in batches:
             if out is None and batch.num_rows:
-                fs, path = pa.fs.FileSystem.from_uri(name)
+                fs, path = opened(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 draft = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
                 out = fs.open_output_stream(draft, compression=None)
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = record(*row)
+            for *row, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = record(*row, f"{TaskContext.get().partitionId()}-{n}" if many else None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out is not None:
@@ -150,7 +158,7 @@ def scan(read, begin: int, end: int, size: int):
 
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of all archives (*.gz) in a folder, by ranges of split_bytes."""
-    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs, path = opened(folder)
     base = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
     found = [f for f in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".gz") and f.size]
     splits = [(f"{base}{f.path}", i, min(i + split_bytes, f.size), f.size) for f in sorted(found, key=lambda f: f.path) for i in range(0, f.size, split_bytes)]
@@ -161,7 +169,7 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
     def run(batches):
         for batch in batches:
             for name, begin, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                source, place = pa.fs.FileSystem.from_uri(name)
+                source, place = opened(name)
                 with source.open_input_file(place) as file:
                     rows, held = [], 0
                     for data in scan(lambda at, n: file.read_at(n, at), begin, end, size):
