@@ -60,6 +60,14 @@ def canonical_json(values: pd.Series) -> pd.Series:
     return _of_json(rendered)(values)
 
 
+def stamped(document: str, content: str) -> str:
+    """A journey's document with the hash of its content, and the idempotency key made of it, in its telemetry; both are JSON texts."""
+    doc, digest = json.loads(document), content_hash(json.loads(content))
+    data = doc["telemetry"]["data"]
+    data |= {"content_hash": digest, "idempotency_key": f"{doc['telemetry']['source']}:{data['conversation_id']}:{digest}"}
+    return json.dumps(doc, sort_keys=True, ensure_ascii=False)
+
+
 def idempotency_key(source: Column, run: Column, digest: Column) -> Column:
     return F.concat_ws(":", source, run.cast("string"), digest)
 

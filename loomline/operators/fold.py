@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions import canonical
+
 SUPERSEDING = ("regenerated", "user_edit")
 _J = "journey_id"
 
@@ -86,7 +88,13 @@ def _any(signals: tuple[str, ...], over) -> Column:
     return F.coalesce(F.max(F.col("signal").isin(*signals)).over(over), F.lit(False))
 
 
-_OPTIONAL = {"flag": "string", "calls": "int", "response": "string", "error": "string"}
+#: Columns that a stream may lack, null then.
+_OPTIONAL = {"flag": "string", "calls": "int", "response": "string", "error": "string", "reward": "double", "reason": "string", "voice": "string", "model_id": "string"}
+
+
+def _whole(events: DataFrame) -> DataFrame:
+    missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
+    return events.withColumns(missing) if missing else events
 
 
 def messages(kept: DataFrame) -> DataFrame:
@@ -97,7 +105,8 @@ def messages(kept: DataFrame) -> DataFrame:
     replaced, disliked, liked; then its role.  Of several messages of one seq
     the last arrival stays, by event_id where arrivals tie.
     """
-    kept = kept.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in kept.columns})
+    passed = [c for c in ("reason",) if c in kept.columns]
+    kept = _whole(kept)
     aim = F.when(F.col("kind") == "signal", F.col("target_seq")).otherwise(F.col("seq"))
     w = Window.partitionBy(_J, "_aim")
     later = Window.partitionBy(_J, "kind", "seq").orderBy(F.desc("arrival"), F.desc("event_id"))
@@ -112,7 +121,6 @@ def messages(kept: DataFrame) -> DataFrame:
         .when(agent, "trainable")
         .otherwise("not_trainable")
     )
-    passed = [c for c in ("reason",) if c in kept.columns]
     return marked.where("kind = 'message' and _last = 1").select(_J, "seq", "role", "content", status.alias("status"), (F.coalesce("calls", F.lit(0)) > 0).alias("has_calls"), F.coalesce("calls", F.lit(0)).alias("calls"), "response", "error", *passed)
 
 
@@ -219,7 +227,7 @@ def parts(kept: DataFrame) -> DataFrame:
     kind; models and writers are in the order of their first event; model_id is
     the journey's only if it has one.
     """
-    at = F.struct("seq", "arrival")
+    kept, at = _whole(kept), F.struct("seq", "arrival")
     of = lambda kind, c: F.max_by(c, F.when(F.col("kind") == kind, at))
 
     def seen(c: str) -> Column:
@@ -274,6 +282,65 @@ def assemble(events: DataFrame, headers: DataFrame | None = None, source: str |
     return out.withColumns({"data_source": name, "num_turns": F.coalesce("num_turns", "num_steps"), "tool_error_rate": rate}).withColumn("task_id", F.concat_ws(":", "data_source", F.col(_J).cast("string")))
 
 
+def _object(**fields: Column | str) -> Column:
+    return F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sorted(fields.items())))
+
+
+def journey_documents(events: DataFrame, headers: DataFrame | None = None, source: str | None = None, last_step_only: bool = False) -> DataFrame:
+    """(journey_id, conversation_id, document, incomplete_reason): each journey as one JSON object, its steps cumulative.
+
+    The object has task, steps, metrics, execution_metrics, reward, model_id,
+    trace_id, error and telemetry with the content hash, which is taken before
+    the reward's sum, the number of turns and the steps' statuses are filled in.
+    What the fold found stands under ``_diagnostics``, complete or not.
+    last_step_only writes the last step, which holds all messages in force.
+    Null fields are left out.
+    """
+    facts = assemble(events, headers, source)
+    m = marked(messages(clean(events)))
+    step = F.when(F.col("closes"), F.struct("step_index", "seq", "block", "status"))
+    history = F.array_sort(F.collect_list(F.struct("seq", "k", "swap", *_MESSAGE, "status"))).alias("_all")
+    each = m.groupBy(_J).agg(history, F.array_sort(F.collect_list(step)).alias("_steps"))
+
+    def held(s: Column) -> Column:
+        def plain(x: Column) -> Column:
+            return ~x["swap"] & (x["seq"] <= s["seq"]) & (s["block"].isNull() | (x["role"] != "system"))
+
+        picked = F.concat(F.filter("_all", lambda x: x["swap"] & (x["k"] == s["block"])), F.filter("_all", plain))
+        return F.transform(picked, lambda x: _object(role=x["role"], content=x["content"], tool_calls=F.when(x["calls"] > 0, x["calls"]), tool_response=F.when(x["role"] == "tool", _object(response=x["response"], error=x["error"])), trainable_status=x["status"]))
+
+    rows = facts.join(each, _J, "left").withColumn("_steps", F.coalesce("_steps", F.array().cast(each.schema["_steps"].dataType)))
+    bare = F.transform("_steps", lambda s: _object(messages=held(s)))
+    task = {"conversation_id": F.col(_J).cast("string"), "data_source": F.col("data_source"), "id": F.col("task_id"), "num_steps": F.col("num_steps")}
+    metrics = {"num_tool_calls": F.col("num_tool_calls"), "num_tool_failures": F.col("num_tool_failures"), "steps": F.col("num_steps"), "tool_error_rate": F.col("tool_error_rate")}
+    shared = {"execution_metrics": _object(termination_reason="termination_reason"), "model_id": F.col("model_id"), "reward": F.when(F.col("aggregated_reward").isNotNull(), _object(aggregated_value="aggregated_reward"))}
+    hashed = _object(task=_object(**task), steps=bare, metrics=_object(**metrics), **shared)
+    written = F.slice("_steps", -1, 1) if last_step_only else F.col("_steps")
+    trimmed = F.when((F.size("_steps") > 1) & F.lit(last_step_only), "last")
+    steps_ = F.transform(F.when(F.size("_steps") > 0, written).otherwise(F.col("_steps")), lambda s: _object(messages=held(s), trainable_status=s["status"]))
+    told = _object(complete="complete", incomplete_reason="incomplete_reason", journey_id=F.col(_J).cast("string"), model_ids="model_ids", steps_written=trimmed, terminated=F.col("termination_reason") != "NONE")
+    telemetry = _object(source="data_source", data=_object(conversation_id=F.col(_J).cast("string"), trace_id="trace_id"))
+    filled = metrics | {"aggregated_reward": F.col("aggregated_reward"), "num_tool_response_none": F.col("num_tool_response_none")}
+    doc = _object(task=_object(**task, num_turns=F.col("num_turns")), steps=steps_, metrics=_object(**filled), telemetry=telemetry, trace_id="trace_id", error="error", _diagnostics=told, **shared)
+    rows = rows.select(_J, F.col(_J).cast("string").alias("conversation_id"), F.to_json(doc).alias("_doc"), F.to_json(hashed).alias("_hashed"), "incomplete_reason")
+
+    def stamp(frames):
+        for f in frames:
+            f["document"] = [canonical.stamped(d, c) for d, c in zip(f.pop("_doc"), f.pop("_hashed"), strict=True)]
+            yield f[[_J, "conversation_id", "document", "incomplete_reason"]]
+
+    return rows.mapInPandas(stamp, f"{_J} {rows.schema[_J].dataType.simpleString()}, conversation_id string, document string, incomplete_reason string")
+
+
+def collected(scanned: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events by their own journey_id, whatever file they came in, and a header a journey, that of its first file by path.
+
+    scanned has journey_id, path and what the fold reads; headers has path.
+    """
+    first = scanned.groupBy(_J).agg(F.min("path").alias("path"))
+    return scanned.drop("path"), first.join(headers, "path").drop("path")
+
+
 KINDS = ("message", "signal", "reward", "terminal", "voice")
 
 

@@ -150,11 +150,6 @@ def expired(dates: Column, today: Column, keep_days: int) -> Column:
     return F.coalesce(F.try_to_timestamp(dates, F.lit("yyyy-MM-dd")).cast("date") < F.date_sub(today, keep_days), F.lit(False))
 
 
-def first_header(files: DataFrame) -> DataFrame:
-    """Events by their own journey across files, with the header of the first file by path."""
-    return files.groupBy(_J).agg(F.min_by("header", "path").alias("header"), F.count("*").alias("files"), F.sum("n").cast("long").alias("events"))
-
-
 def audit(registry: DataFrame, shards: DataFrame) -> DataFrame:
     """Registered shards whose file is missing or has another digest."""
     found = shards.select("name", F.col("sha256").alias("_found"))

@@ -55,9 +55,16 @@ def journeys_assembled(spark, sf):
 QUERIES["journeys"], SQL["journeys"] = QUERIES.pop("journeys_assembled"), SQL.pop("journeys_assembled")
 
 
-@_query(_FOLD + "select journey_id, step_index, status, cast(message_count as bigint) as message_count from sized")
+@_query(_FOLD + ", tool as (select journey_id, cast(sum(case when role = 'assistant' then calls else 0 end) as bigint) as num_tool_calls from msg group by 1) select journey_id, step_index, status, cast(message_count as bigint) as message_count, num_tool_calls, (select max_by(reward, seq) from k where k.journey_id = s.journey_id and kind = 'reward') as aggregated_reward from sized s join tool using (journey_id)")
 def journey_detail(spark, sf):
-    return _steps(spark, sf).select("journey_id", "step_index", "status", "message_count")
+    metrics = fold.assemble(events(spark, sf)).select("journey_id", "num_tool_calls", "aggregated_reward")
+    return _steps(spark, sf).select("journey_id", "step_index", "status", "message_count").join(metrics, "journey_id")
+
+
+@_query(_FOLD + "select journey_id, count(*) as num_steps, case when count(*) > 1 then 'last' end as steps_written, cast(arg_max(message_count, step_index) as bigint) as messages, arg_max(status, step_index) as status, any_value(reason is null) as complete, true as stamped from sized join verdict using (journey_id) group by 1")
+def trajectory_documents(spark, sf):
+    d = fold.journey_documents(events(spark, sf), headers(spark, sf), last_step_only=True).select("journey_id", F.from_json("document", "task struct<num_steps:bigint>, steps array<struct<messages:array<struct<role:string>>,trainable_status:string>>, _diagnostics struct<steps_written:string,complete:boolean>, telemetry struct<data:struct<content_hash:string>>").alias("d"))
+    return d.select("journey_id", "d.task.num_steps", F.col("d._diagnostics.steps_written").alias("steps_written"), F.size(F.col("d.steps")[0]["messages"]).cast("long").alias("messages"), F.col("d.steps")[0]["trainable_status"].alias("status"), F.col("d._diagnostics.complete").alias("complete"), (F.length("d.telemetry.data.content_hash") == 64).alias("stamped"))
 
 
 @_query(
@@ -279,9 +286,13 @@ def projects_per_product(spark, sf):
     return _metrics(spark, sf).groupBy(F.col("event_type").alias("product")).agg(F.count_distinct("host").alias("projects"))
 
 
-@_query("select source as journey_id, arg_min(lang, doc_id) as header, count(*) as files, cast(sum(n_chars) as bigint) as events from documents group by 1")
+# Files hold events of several journeys; a journey's header is that of its first file.
+@_query(_RAW + ", f as (select *, (journey_id + seq) % 4 as path from ev where arrival = 0) select journey_id, 'h' || min(path) as header, count(*) as events from f group by 1")
 def collect_merge(spark, sf):
-    return journeys.first_header(table(spark, sf, "documents").select(F.col("source").alias("journey_id"), F.col("doc_id").alias("path"), F.col("lang").alias("header"), F.col("n_chars").alias("n")))
+    e = events(spark, sf).where("arrival = 0").withColumn("path", (F.col("journey_id") + F.col("seq")) % 4)
+    heads = spark.range(4).select(F.col("id").alias("path"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("header"))
+    merged, first = fold.collected(e, heads)
+    return merged.groupBy("journey_id").agg(F.count("*").alias("events")).join(first, "journey_id")
 
 
 @_query("select doc_id as journey_id from documents join labels l using (doc_id) where l.toxic = 0 and n_chars >= 1000 and lang <> 'de'")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import canonical, pii
 from loomline.operators import catalog, corpus, fold, text
-from loomline.sources.tables import _STEPS, EVENTS, events, table
+from loomline.sources.tables import _STEPS, EVENTS, events, spread, table
 from loomline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,19 +191,19 @@ def dedupe_exact(spark, sf):
 
 @_query(r"select doc_id, nfc_normalize(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) as text from documents")
 def repair_encoding(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.repair(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.repair(F.col("text")).alias("text"))
 
 
 @_query()
 def pii_scan(spark, sf):
     """Counts by rule and the masked samples, "rule: context" joined by line ends; Python's patterns have no counterpart in RE2, so tests compare it with them."""
-    found = table(spark, sf, "documents").select("doc_id", pii.scanned(F.col("text")).alias("found"))
+    found = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", pii.scanned(F.col("text")).alias("found"))
     return found.select("doc_id", *(F.coalesce(F.col("found.counts")[r], F.lit(0)).cast("long").alias(f"n_{r.lower()}") for r in pii.RULES), F.array_join(F.transform("found.samples", lambda x: F.concat_ws(": ", x["rule"], x["context"])), "\n").alias("samples"))
 
 
 @_query()
 def pii_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", pii.redacted(F.col("text")).alias("text"))
 
 
 # Keys out of order, nulls at two depths and a volatile key; lists keep their nulls.

@@ -60,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files give fewer: for work per row that is dearer than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(events_sql("{conversations}"), conversations=table(spark, sf_dir, "conversations"))
 

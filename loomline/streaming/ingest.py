@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomline.operators import fold
 from loomline.sinks import shards
 from loomline.sources import files, wire
 
@@ -117,6 +118,27 @@ def drain(stream: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame],
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()
 
 
+def live_verdicts(stream: DataFrame, root: str, checkpoint: str, every: int | None = None) -> StreamingQuery:
+    """Keep (journey_id, complete, reason) of all journeys up to date in a keyed table at root/verdicts.
+
+    Each micro-batch is added to the events at root/events, and the journeys it
+    touches, and no others, are folded anew: late and repeated events change a
+    verdict as if they had come in time.  A batch that runs twice adds its
+    events twice, which the fold drops by event_id.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
+        touched = spark.read.schema(batch.schema).parquet(f"{root}/events/batch={number}").select("journey_id").distinct()
+        every_event = spark.read.schema(batch.schema).parquet(*(f"{root}/events/batch={n}" for n in range(number + 1))).join(touched, "journey_id", "left_semi")
+        found = fold.verdicts(every_event).select("journey_id", "complete", "reason")
+        shards.upsert(spark, f"{root}/verdicts", found, ["journey_id"])
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()
+
+
 def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Files whose time or size differs from the state, or that it doesn't know."""
     s = state.select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))

@@ -6,9 +6,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import canonical, parsers
 from loomline.functions import documents as docs_of
-from loomline.functions import parsers
-from loomline.operators import documents, turns
+from loomline.operators import documents, fold, turns
 from loomline.sinks import http as posts
 from loomline.sinks import reports, shards
 from loomline.sources import files, host, layouts, wire
@@ -301,3 +301,30 @@ def test_tail_waits_for_the_end_of_a_line(spark, tmp_path):
     files.append(str(tmp_path / "m.ndjson"), b"", b"}\n")
     values, after = ingest.tail(spark, str(tmp_path), seen)
     assert [r["value"] for r in values.collect()] == ['{"a":2}']
+
+
+def test_verdicts_follow_late_events(spark, tmp_path):
+    kind = "journey_id string, seq long, kind string, event_id string, role string, content string, signal string, target_seq long, writer string, arrival int"
+    row = lambda j, s, k: (j, s, k, f"{j}-{s}", "user", "x", None, None, "w", 0)
+    seen = []
+    for n, rows in enumerate(([row("a", 0, "message"), row("b", 0, "message"), row("b", 1, "terminal")], [row("a", 2, "terminal")], [row("a", 1, "message"), row("a", 0, "message")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        ingest.live_verdicts(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
+        seen.append({tuple(r) for r in shards.current(spark, str(tmp_path / "state/verdicts"), "journey_id string, complete boolean, reason string").collect()})
+    assert seen == [{("a", False, "no_terminal"), ("b", True, None)}, {("a", False, "missing_events"), ("b", True, None)}, {("a", True, None), ("b", True, None)}]
+
+
+def test_documents_of_journeys_can_be_curated(spark):
+    kind = "journey_id string, seq long, kind string, event_id string, role string, content string, signal string, target_seq long, writer string, arrival int"
+    e = spark.createDataFrame([("a", i, k, f"e{i}", r, f"m{i}", None, None, "w", 0) for i, (k, r) in enumerate([("message", "user"), ("message", "assistant"), ("message", "user"), ("terminal", None)])], kind)
+    (one,) = fold.journey_documents(e, source="s").collect()
+    d = json.loads(one["document"])
+    assert [(len(s["messages"]), s["trainable_status"]) for s in d["steps"]] == [(2, "trainable"), (3, "not_trainable")]
+    assert d["task"] == {"conversation_id": "a", "data_source": "s", "id": "s:a", "num_steps": 2, "num_turns": 2} and d["_diagnostics"]["complete"] and "error" not in d
+    bare = {"task": {k: v for k, v in d["task"].items() if k != "num_turns"}, "steps": [{"messages": s["messages"]} for s in d["steps"]], "metrics": {k: v for k, v in d["metrics"].items() if k != "num_tool_response_none"}, "execution_metrics": d["execution_metrics"]}
+    assert d["telemetry"]["data"]["content_hash"] == canonical.content_hash(bare)
+    assert docs_of.schema_errors(d) == [] and docs_of.identity(d) == "a"
+    (last,) = fold.journey_documents(e, last_step_only=True).collect()
+    d = json.loads(last["document"])
+    assert len(d["steps"]) == 1 and d["_diagnostics"]["steps_written"] == "last" and d["task"]["num_turns"] == 2
