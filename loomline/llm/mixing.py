@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialise
+from loomline.llm.common import discard, materialise
 
 #: Buckets of keys of each source.
 BUCKETS = 4096
@@ -62,7 +62,9 @@ def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_o{n}").over(ahead), F.lit(0)).alias(f"_o{n}") for n in names))  # a row a range
     out = own.join(F.broadcast(whole), F.col("_range") == F.col("_at"))
-    return materialise(out.select(*rows.columns, *((F.col(n) + F.col(f"_o{n}")).alias(n) for n in names)), "running")
+    out = materialise(out.select(*rows.columns, *((F.col(n) + F.col(f"_o{n}")).alias(n) for n in names)), "running")
+    discard(ranged)
+    return out
 
 
 def targets(sources: DataFrame, share: float = 1.0) -> DataFrame:

@@ -225,7 +225,9 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = stars(links(distinct, allocate(n, both, distance), distance))
     rooted = materialise(distinct.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     lows = materialise(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    return materialise(rooted.join(lows, "root").select("fp", "root", "component_id"), "classes")
+    out = materialise(rooted.join(lows, "root").select("fp", "root", "component_id"), "classes")
+    discard(distinct, rooted, lows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
