@@ -85,6 +85,31 @@ def pack(word: str) -> list[int]:
     return out
 
 
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """pack() of many words, end to end, and how many n-grams each has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), "<u4").astype(np.int64)
+    ends = codes == 0  # words are letters
+    x = np.where(ends, 1, codes + 2)
+    wide = codes >= WIDE
+    if wide.any():
+        at = np.cumsum(1 + wide) - 1  # where the last symbol of each code point goes
+        out = np.zeros(at[-1] + 1, np.int64)
+        out[at] = np.where(wide, WIDE + 2 + (0x110000 >> 10) + (codes & 1023), x)
+        out[at[wide] - 1] = WIDE + 2 + (codes[wide] >> 10)
+        last = np.zeros(len(out), bool)
+        last[at[ends]] = True
+        x, ends = out, last
+    cuts = np.flatnonzero(ends)
+    sizes = np.diff(np.concatenate([[-1], cuts]))
+    into = np.arange(len(x)) - np.repeat(cuts - sizes + 1, sizes)
+    g = x.copy()
+    for k in range(1, ORDER):
+        g[k:] |= np.where(into[k:] >= k, x[:-k], 0) << BITS * k
+    return g, sizes
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5, F.lit(0).cast("long"))
 
@@ -109,12 +134,14 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     seen = words[(toxic > 0) + 2 * later]
                     for w in _WORD.findall(text.lower()):
                         seen[w] = seen.get(w, 0) + 1
-            sums: dict[int, list[int]] = {}
-            for side in range(4):
-                for w, n in words[side].items():
-                    for g in pack(w):
-                        sums.setdefault(g, [0, 0, 0, 0])[side] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([x[side] for x in sums.values()], pa.int64()) for side in range(4))], ["gram", *_SUMS])
+            made = [grams_of(list(w)) for w in words]
+            grams, at = np.unique(np.concatenate([g for g, _ in made]), return_inverse=True)
+            sums, begin = [], 0
+            for w, (g, sizes) in zip(words, made, strict=True):
+                each = np.repeat(np.fromiter(w.values(), np.int64, len(w)), sizes)
+                sums.append(np.bincount(at[begin : begin + len(g)], each, len(grams)).astype(np.int64))
+                begin += len(g)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), *map(pa.array, sums)], ["gram", *_SUMS])
 
     slim = rows.select("text", "_toxic", (held_out(F.col("_id")) == 4).cast("int").alias("_later"))
     return _summed(slim.mapInArrow(count, "gram long, n0 long, n1 long, m0 long, m1 long"), "gram")
@@ -199,12 +226,7 @@ def _fill(model: Model, memo: dict, words: list[str]) -> None:
     if not len(model.grams):
         memo.update(dict.fromkeys(words, 0.0))
         return
-    packed, sizes = [], []
-    for w in words:
-        p = pack(w)
-        packed += p
-        sizes.append(len(p))
-    g = np.array(packed, np.int64)
+    g, sizes = grams_of(words)
     i = np.minimum(np.searchsorted(model.grams, g), len(model.grams) - 1)
     j = np.minimum(np.searchsorted(model.contexts, g >> BITS), len(model.contexts) - 1)
     unseen = np.where(model.contexts[j] == g >> BITS, model.unseen[j], 0.0)
@@ -218,17 +240,18 @@ def features(model: Model, texts: list[str | None]) -> np.ndarray:
     for tag in [t for t in _memo if t != model.tag]:
         del _memo[tag]
     out = np.zeros((len(texts), 4))
-    for k, text in enumerate(texts):
-        words = _WORD.findall((text or "").lower())
-        if not words:
-            continue
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            _fill(model, memo, new)
-        v = np.array([memo[w] for w in words])
-        top = np.sort(v[np.argpartition(v, -3)[-3:]] if len(v) > 3 else v)[::-1]
-        out[k] = v.mean(), top[0], top.mean(), np.log(len(v))
+    said = [_WORD.findall((text or "").lower()) for text in texts]
+    new = {w for words in said for w in words if w not in memo}
+    if len(memo) + len(new) > MEMO_WORDS:
+        memo.clear()
+        new = {w for words in said for w in words}
+    if new:
+        _fill(model, memo, list(new))
+    for k, words in enumerate(said):
+        if words:
+            v = np.fromiter(map(memo.__getitem__, words), float, len(words))
+            top = np.sort(v[np.argpartition(v, -3)[-3:]] if len(v) > 3 else v)[::-1]
+            out[k] = v.mean(), top[0], top.mean(), np.log(len(v))
     return out
 
 
@@ -256,9 +279,9 @@ def _word_rows(batches):
 def _gram_rows(batches):
     """(_w1, _w2, gram): the n-grams of words, each as often as it occurs."""
     for batch in slices(batches):
-        packed = [pack(w) for w in batch.column("word").to_pylist()]
-        at = pa.array(np.repeat(np.arange(len(packed)), [len(p) for p in packed]))
-        yield pa.RecordBatch.from_arrays([batch.column("_w1").take(at), batch.column("_w2").take(at), pa.array([g for p in packed for g in p], pa.int64())], ["_w1", "_w2", "gram"])
+        g, sizes = grams_of(batch.column("word").to_pylist())
+        at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        yield pa.RecordBatch.from_arrays([batch.column("_w1").take(at), batch.column("_w2").take(at), pa.array(g)], ["_w1", "_w2", "gram"])
 
 
 def with_features(rows: DataFrame, doc_id: str, model: Tables) -> DataFrame:

@@ -612,6 +612,14 @@ def test_unlike_words_have_unlike_symbols():
     assert toxicity.pack("漢字") != toxicity.pack("字漢") and len(toxicity.pack("é漢")) == 4
 
 
+def test_many_words_pack_as_one_does():
+    r = random.Random(3)
+    words = ["".join(r.choice("abzé\u07bb\u07bc漢\U0001f600字") for _ in range(r.randrange(1, 9))) for _ in range(300)]
+    g, sizes = toxicity.grams_of(words)
+    assert g.tolist() == [x for w in words for x in toxicity.pack(w)] and sizes.tolist() == [len(toxicity.pack(w)) for w in words]
+    assert [len(x) for x in toxicity.grams_of([])] == [0, 0]
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     scored = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
