@@ -104,7 +104,8 @@ def samples(texts: DataFrame, c: Cover, bits: int) -> DataFrame:
         many = np.diff(np.concatenate([np.flatnonzero(new), [len(name)]])) > 1
         every = many[np.cumsum(new) - 1]
         if every.any():
-            yield _sample_rows([int(name[every][0] >> np.uint64(64 - bits)) if bits else 0], [(many[:0], name[every], tid[every], at[every])], True)
+            spread = mix(name[every][:1])[0] >> np.uint64(64 - bits) if bits else 0  # settled rows go anywhere, but not all to the smallest names
+            yield _sample_rows([int(spread)], [(many[:0], name[every], tid[every], at[every])], True)
         name, tid, at = name[new], tid[new], at[new]
         bucket = name >> np.uint64(64 - bits) if bits else np.zeros(len(name), np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(name)]]).tolist()
