@@ -96,7 +96,7 @@ def watermark_table(pairs: DataFrame, leaf: int = 64) -> DataFrame:
 #: Metrics by name; each makes a score column of a response and a reference.  Register others here.
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "exact_match": lambda a, b: (strip(a) == strip(b)).cast("double"),
-    "tool_call_accuracy": lambda a, b: F.lit(1.0) - F.coalesce(F.try_to_number(F.get_json_object(a, "$.tool_error_rate"), F.lit("9.999999")).cast("double"), F.lit(0.0)),
+    "tool_call_accuracy": lambda a, b: F.lit(1.0) - F.coalesce(F.get_json_object(a, "$.tool_error_rate").try_cast("double"), F.lit(0.0)),
 }
 
 

@@ -327,6 +327,8 @@ def test_the_later_completion_counts(spark):
     run = corpus.eval_run(tasks, done, "exact_match")
     assert sorted(tuple(r) for r in run.collect()) == [("a", 0.0, False), ("b", 1.0, False), ("c", 0.0, True)]
     assert tuple(corpus.eval_summary(run).first()) == (1 / 3, 3, 1)
+    rates = spark.createDataFrame([('{"tool_error_rate": 0.25}',), ("{}",), ("x",), ('{"tool_error_rate": "many"}',)], "r string")
+    assert [r[0] for r in rates.select(corpus.METRICS["tool_call_accuracy"](F.col("r"), F.lit(None))).collect()] == [0.75, 1.0, 1.0, 1.0]
     assert tuple(corpus.eval_summary(run.limit(0)).first()) == (0.0, 0, 0)
 
 
