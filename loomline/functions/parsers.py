@@ -63,7 +63,7 @@ def arguments_of(value) -> dict:
 
 
 def text_of(content) -> str | None:
-    """Text of a content: itself, the text of an object, or the lines of text blocks."""
+    """Text of a content: itself, the text of an object, or the lines of text blocks.  Fixed rules of the formats."""
     if content is None or isinstance(content, str):
         return content
     if isinstance(content, dict):
@@ -83,7 +83,7 @@ def text_of(content) -> str | None:
 
 
 def result_text(value) -> str | None:
-    """A tool's result as text; what isn't text is kept whole as JSON."""
+    """A tool's result as text; what isn't text is kept whole as JSON.  Fixed rules of the formats."""
     if isinstance(value, list) and value and all(isinstance(b, dict) and b.get("type") == "text" for b in value):
         return text_of(value)
     if isinstance(value, dict) and isinstance(value.get("text"), str):

@@ -97,7 +97,7 @@ def drop_dead_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def schema_errors(steps: Column) -> Column:
-    """Errors of a journey's steps: array of structs with trainable_status and messages of (role)."""
+    """Errors of a journey's steps: array of structs with trainable_status and messages of (role).  Fixed values: the wording."""
 
     def step(s: Column, i: Column) -> Column:
         at = F.concat(F.lit("steps["), i.cast("string"), F.lit("]"))
