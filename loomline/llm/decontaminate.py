@@ -27,6 +27,8 @@ from loomline.llm.postings import words
 WINDOW = 10
 #: Benchmark text that is asked for at a time; a larger benchmark is taken in blocks, against the same index.
 BLOCK_BYTES = 16 << 20
+#: Candidate starts that a task looks at together, about.
+CANDIDATES = 1 << 21
 
 _HITS = "segment long, ordinal int, spans array<struct<lo:int,hi:int>>, items array<string>"
 
@@ -103,16 +105,22 @@ def phrase_starts(terms: np.ndarray, order: np.ndarray, t: np.ndarray, begin: np
     term_at[places[flat]] = t[for_each]
     lead = at_list[terms[phrase, order[phrase, 0]]]
     n = size[lead]
-    which = np.repeat(phrase, n)
-    start = places[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[lead], n)].astype(np.int64) - order[which, 0]
-    which, start = which[start >= 0], start[start >= 0]
-    for k in range(1, terms.shape[1]):
-        offset = order[which, k]
-        held = term_at[np.minimum(start + offset, top + 1)] == terms[which, offset]
-        which, start = which[held], start[held]
-        if not len(which):
-            break
-    return which, start
+    found = []
+    # frequent first terms give many candidates: so many phrases at a time that these stay few
+    turn = np.cumsum(n) // CANDIDATES
+    for chosen in np.split(np.arange(len(phrase)), np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+        m = n[chosen]
+        which = np.repeat(phrase[chosen], m)
+        start = places[np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[lead[chosen]], m)].astype(np.int64) - order[which, 0]
+        which, start = which[start >= 0], start[start >= 0]
+        for k in range(1, terms.shape[1]):
+            offset = order[which, k]
+            held = term_at[np.minimum(start + offset, top + 1)] == terms[which, offset]
+            which, start = which[held], start[held]
+            if not len(which):
+                break
+        found.append((which, start))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _matched(index: DataFrame, terms: DataFrame, phrases: list) -> DataFrame:

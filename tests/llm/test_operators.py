@@ -257,6 +257,24 @@ def test_decontamination_matches_brute_force(spark, docs, monkeypatch):
     assert decontaminate.keep_clean(docs, bench).count() == sum(n for k, n in want.items() if not k[5])
 
 
+@pytest.mark.parametrize("candidates", [1 << 21, 3])
+def test_phrase_starts_match_brute_force(monkeypatch, candidates):
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    r = random.Random(1)
+    for _ in range(200):
+        said = [r.randrange(4) for _ in range(60)]
+        for i in r.sample(range(60), 3):
+            said[i] = -1
+        n = r.randrange(1, 4)
+        phrases = sorted({tuple(r.randrange(4) for _ in range(n)) for _ in range(6)})
+        t = np.array(sorted({x for x in said if x >= 0}), np.int32)
+        lists = [[i for i, x in enumerate(said) if x == k] for k in t]
+        size, terms = np.array([len(x) for x in lists]), np.array(phrases, np.int32)
+        order = np.argsort(np.array([said.count(k) for k in range(4)])[terms], axis=1, kind="stable")
+        which, start = decontaminate.phrase_starts(terms, order, t, np.cumsum(size) - size, size, np.array(sum(lists, []), np.int32))
+        assert sorted(zip(which.tolist(), start.tolist(), strict=True)) == [(p, i) for p, x in enumerate(phrases) for i in range(61 - n) if tuple(said[i : i + n]) == x]
+
+
 def test_near_stays_within_a_document():
     firsts = np.array([0, 50])
     lists = [np.array(x) for x in ([3, 40, 60], [9, 48, 90], [5, 51])]
