@@ -310,7 +310,7 @@ def paginate(spark, sf):
     return catalog.paginate(_metrics(spark, sf).select("id", "host", "ts"), [F.desc("ts"), F.desc("id")], "MjU=").drop("ts")
 
 
-@_query("select doc_id, n_chars, case when n_chars is null then '—' when n_chars >= 1000000 then printf('%.1f MB', n_chars / 1e6) when n_chars >= 1000 then printf('%.1f KB', n_chars / 1e3) else n_chars || ' B' end as size from documents")
+@_query("select doc_id, n_chars, case when n_chars is null then '—' when n_chars >= 1000000 then printf('%.1f MB', (n_chars + case when n_chars % 1000000 in (250000, 750000) then 50000 else 0 end) / 1e6) when n_chars >= 1000 then printf('%.1f KB', (n_chars + case when n_chars % 1000 in (250, 750) then 50 else 0 end) / 1e3) else n_chars || ' B' end as size from documents")
 def format_bytes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars", catalog.format_bytes(F.col("n_chars").cast("double")).alias("size"))
 
