@@ -2,13 +2,15 @@
 
 EVENTS turns conversations into an unordered, at-least-once event stream with
 the damage such streams have: regenerated answers, missing and repeated events,
-events after the end, two writers, replaced system prompts.  The text is plain
-SQL, so a reference engine can derive the same stream.
+events after the end, two writers, replaced system prompts, tool calls, flags,
+rewards and voice.  The text is plain SQL, so another engine can derive the same
+stream; events() makes the same rows without its unions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 EVENTS = """
 select conv_id as journey_id, seq, kind, concat(conv_id, '-', seq) as event_id, role, content, signal, target_seq,
@@ -66,8 +68,71 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+_ITEM = {"kind": "string", "role": "string", "content": "string", "signal": "string", "flag": "string", "calls": "int", "response": "string", "error": "string", "reward": "double", "reason": "string", "voice": "string", "model_id": "string"}
+
+
+def _item(slot: int, kind: str, **given: Column | str | float) -> Column:
+    """An entry of the stream at a turn; slot is its place among those of the turn."""
+    given = {"kind": kind, "calls": 0} | given
+    fields = [(c if isinstance(c, Column) else F.lit(c)).cast(t).alias(n) for n, t in _ITEM.items() for c in [given.get(n)]]
+    return F.struct(F.lit(slot).alias("slot"), *fields)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(events_sql("{conversations}"), conversations=table(spark, sf_dir, "conversations"))
+    """The stream of EVENTS, row by row instead of by unions: one exchange, by conversation."""
+    conv, turn, role, agent = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("role") == "assistant"
+    each, order = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("turn", "slot")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.min(F.when(agent, turn)).over(each).alias("fa"), F.max("turn").over(each).alias("la"))
+    called = agent & (conv % 8 == 1) & (turn % 4 == 1)
+    flag = F.when(agent & (conv % 16 == 5) & (turn % 4 == 3), "summarization").when((conv % 14 == 3) & (turn % 6).isin(2, 5), "interrupted")
+    model = F.when(agent & (conv % 10 == 7) & (turn > 2), "m2").when(agent, "m1")
+    first, last = turn == F.col("fa"), turn == F.col("la")
+    said = [
+        F.when((turn == 2) & (conv % 13 == 0), _item(-1, "message", role="system", content="new rules")),
+        _item(0, "message", role=role, content=F.col("text"), flag=flag, calls=F.when(called, 1).otherwise(0), model_id=model),
+        F.when(first & (conv % 3 == 0), _item(1, "signal", signal="regenerated")),
+        F.when(first & (conv % 3 == 0), _item(2, "message", role="assistant", content=F.concat("text", F.lit(" (again)")))),
+        F.when((turn == F.col("fa") + 2) & (conv % 9 == 0), _item(3, "signal", signal=F.when(conv % 2 == 0, "thumbs_up").otherwise("thumbs_down"))),
+        F.when(called, _item(4, "message", role="tool", response=F.when(conv % 16 == 1, F.concat(F.lit("r"), turn.cast("string"))), error=F.when(conv % 24 == 1, "tool_error"))),
+        F.when((turn == 0) & (conv % 6 == 4), _item(5, "voice", content="hm", voice="stt_transcript")),
+        F.when(last & (conv % 4 == 2), _item(6, "reward", reward=(conv % 10) / 8.0)),
+        F.when(last & (conv % 12 == 2), _item(7, "reward", reward=0.5)),
+    ]
+    numbered = m.select("conv_id", "turn", F.inline(F.array_compact(F.array(*said)))).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    numbered = numbered.withColumn("_end", F.max("seq").over(each) + 1)
+    entry = F.struct("seq", *_ITEM)
+    ended = (F.col("seq") == F.col("_end") - 1) & (conv % 5 != 0)
+
+    def after(by: int, item: Column) -> Column:
+        return F.struct((F.col("_end") + by).alias("seq"), *(item[n].alias(n) for n in _ITEM))
+
+    gone = conv % 15 == 1
+    terminal = after(0, _item(0, "terminal", error=F.when(gone, "gone"), reason=F.when(gone, "ERROR").otherwise("ENV_DONE")))
+    late = after(1, _item(0, "message", role="user", content="late"))
+    stream = numbered.select("conv_id", F.inline(F.array_compact(F.array(entry, F.when(ended, terminal), F.when(ended & (conv % 6 == 1), late)))))
+    kept = stream.where(~((conv % 7 == 0) & (F.col("seq") == 1)))
+    twice = F.explode(F.when(conv % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    seq = F.col("seq")
+    return kept.select(
+        conv.alias("journey_id"),
+        "seq",
+        "kind",
+        F.concat(conv.cast("string"), F.lit("-"), seq.cast("string")).alias("event_id"),
+        "role",
+        "content",
+        "signal",
+        F.when(F.col("kind") == "signal", seq - 1).alias("target_seq"),
+        F.when((conv % 11 == 0) & (seq % 2 == 1), "w1").otherwise("w0").alias("writer"),
+        twice.alias("arrival"),
+        "flag",
+        "calls",
+        "response",
+        "error",
+        "reward",
+        "reason",
+        "voice",
+        "model_id",
+    )
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomline.functions import canonical, parsers, pii, redaction
 from loomline.operators import catalog, corpus, fold, journeys, text
 from loomline.plans.files import QUERIES, SQL
-from loomline.sources import wire
+from loomline.sources import tables, wire
 from loomline.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,13 @@ def oracle():
     return con
 
 
+def test_the_stream_is_that_of_its_sql(spark):
+    ours = tables.events(spark, SF)
+    theirs = spark.sql(tables.events_sql("{conversations}"), conversations=tables.table(spark, SF, "conversations")).select(*ours.columns)
+    assert ours.schema.simpleString() == theirs.schema.simpleString()
+    assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
+
+
 def rows(columns, found):
     order = sorted(range(len(columns)), key=columns.__getitem__)
     return sorted(columns), sorted(tuple(str(r[i]) for i in order) for r in found)
