@@ -559,7 +559,7 @@ def test_no_text_that_can_match_is_left_alone(spark):
 
 def test_licences_with_titles_and_in_full(spark):
     texts = dict(licences.TEXTS)
-    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "Zero-Clause BSD"}
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "0BSD": "Zero-Clause BSD", "MIT-0": "MIT No Attribution", "Zlib": "The zlib License", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003"}
     rows = [(i, f"{title}\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n{texts[i]}\n") for i, title in titles.items()]
     rows.append(("MIT", f"MIT License\n\nCopyright (c) 2021 Some Body\n\n{texts['MIT']}"))
     folder = licences.resources.files("loomline.llm") / "texts"
