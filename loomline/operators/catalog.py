@@ -20,9 +20,9 @@ def host_series(metrics: DataFrame, part: Column, total: Column, points: int = 6
 
 def fleet(metrics: DataFrame) -> DataFrame:
     """Hosts, projects, the latest snapshot and the processors of all hosts by their latest snapshots."""
-    each = metrics.groupBy("host").agg(F.max_by("cpus", F.struct("ts", "id")).alias("cpus"))
-    some = metrics.agg(F.count_distinct("host").alias("hosts"), F.count_distinct("project").alias("projects"), F.max_by("id", F.struct("ts", "id")).alias("latest"))
-    return some.crossJoin(F.broadcast(each.agg(F.coalesce(F.sum("cpus"), F.lit(0)).cast("long").alias("cpus"))))  # a row each
+    each = metrics.groupBy("host").agg(F.max_by("cpus", F.struct("ts", "id")).alias("cpus"), F.max(F.struct("ts", "id")).alias("last"))
+    projects = metrics.agg(F.count_distinct("project")).first()[0]  # a number
+    return each.agg(F.count("host").alias("hosts"), F.lit(projects).cast("long").alias("projects"), F.max("last")["id"].alias("latest"), F.coalesce(F.sum("cpus"), F.lit(0)).cast("long").alias("cpus"))
 
 
 def latest_per_host(metrics: DataFrame) -> DataFrame:

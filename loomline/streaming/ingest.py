@@ -16,6 +16,8 @@ from loomline.sinks import shards
 from loomline.sources import files, wire
 
 _ACK = "journey_id string, ack long"
+#: Parts that live events are kept in by journey.
+BUCKETS = 256
 
 
 def _state_outside_the_heap(spark: SparkSession) -> None:
@@ -121,18 +123,23 @@ def drain(stream: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame],
 def live_verdicts(stream: DataFrame, root: str, checkpoint: str, every: int | None = None) -> StreamingQuery:
     """Keep (journey_id, complete, reason) of all journeys up to date in a keyed table at root/verdicts.
 
-    Each micro-batch is added to the events at root/events, and the journeys it
-    touches, and no others, are folded anew: late and repeated events change a
-    verdict as if they had come in time.  A batch that runs twice adds its
-    events twice, which the fold drops by event_id.
+    Each micro-batch is added to the events at root/events, by buckets of
+    journeys, and the journeys it touches, and no others, are folded anew from
+    their buckets: late and repeated events change a verdict as if they had come
+    in time.  A batch that runs twice replaces what it wrote the first time.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
-        touched = spark.read.schema(batch.schema).parquet(f"{root}/events/batch={number}").select("journey_id").distinct()
-        every_event = spark.read.schema(batch.schema).parquet(*(f"{root}/events/batch={n}" for n in range(number + 1))).join(touched, "journey_id", "left_semi")
-        found = fold.verdicts(every_event).select("journey_id", "complete", "reason")
+        spark, at = batch.sparkSession, f"{root}/events"
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("journey_id"), F.lit(BUCKETS)).cast("int"))
+        bucketed.write.partitionBy("bucket").mode("overwrite").parquet(f"{at}/batch={number}")
+        new = spark.read.schema(bucketed.schema).parquet(f"{at}/batch={number}")
+        touched = new.select("journey_id").distinct()
+        buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        if not buckets:
+            return
+        held = spark.read.option("basePath", at).parquet(at).where(F.col("bucket").isin(buckets)).drop("bucket", "batch")
+        found = fold.verdicts(held.join(touched, "journey_id", "left_semi")).select("journey_id", "complete", "reason")
         shards.upsert(spark, f"{root}/verdicts", found, ["journey_id"])
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
