@@ -100,4 +100,29 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, ca
 from b
 """
 
-SQL: dict[str, str] = {"op10_licences": OP10, "op8_warc": OP8, "op4_decontamination": OP4, "op9_mixing": OP9}
+OP12 = r"""
+with t as (
+  select doc_id, translate(t.term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from (select doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents) t
+), tf as (
+  select doc_id, term, count(*) as tf from t group by all
+), doc as (
+  select doc_id, sum(tf)::bigint as n from tf group by doc_id
+), total as (
+  select count(*) as docs, sum(n)::bigint as words from doc
+), weighed as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, total group by term
+), asked as (
+  select item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from benchmark
+), uses as (
+  select item_id, term, count(*) as times from asked group by all
+), scored as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+  from uses join weighed using (term) join tf using (term) join doc using (doc_id), total group by item_id, doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20
+"""
+
+SQL: dict[str, str] = {"op10_licences": OP10, "op8_warc": OP8, "op4_decontamination": OP4, "op9_mixing": OP9, "op12_ranked_search": OP12}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import chunks, decontaminate, iblt, licences, mixing, sharding, simhash, substring, toxicity, warc
+from loomline.llm import chunks, decontaminate, iblt, licences, mixing, packing, periodic, ranking, sharding, simhash, substring, toxicity, warc
 from loomline.llm.common import table
 
 
@@ -49,4 +51,46 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup, op6_fingerprints, op7_simhash, op9_mixing, op8_warc, op10_licences)}
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs; in a tenth of the texts, by crc32(doc_id), the words repeat from some place on with some period, as the contract says.  A null id leaves its text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " "))
+
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    made = F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeated), F.lit(0)))
+    return docs.select("doc_id", F.coalesce(made, "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = packing.pack(table(spark, sf_dir, "documents"), f.read())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_suffix_dedup, op4_decontamination, op5_chunk_dedup, op6_fingerprints, op7_simhash, op9_mixing, op8_warc, op10_licences, op11_periodic_runs, op12_ranked_search, op13_packing)}
