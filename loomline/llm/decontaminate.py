@@ -26,7 +26,7 @@ from loomline.llm.postings import words
 
 WINDOW = 10
 #: Benchmark text that is asked for at a time; a larger benchmark is taken in blocks, against the same index.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 #: Candidate starts that a task looks at together, about.
 CANDIDATES = 1 << 21
 

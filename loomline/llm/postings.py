@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm import splitting
 from loomline.llm.common import materialise
-from loomline.llm.rolling import Rolling
 
 #: Words of a segment, if its documents allow; a document is never split.
 SEGMENT_WORDS = 1 << 21
@@ -28,10 +28,6 @@ BLOCK_BYTES, BATCH_ROWS = 1 << 20, 1 << 16
 
 #: Bytes that are no word: ASCII other than digits and letters.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BYTES = np.arange(256)
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
-_IN_WORD = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122))
-
 #: A posting list has a term; a document's row has an ordinal; the one row with neither has the first numbers of all documents.
 SCHEMA = "segment long, term binary, ordinal int, n long, places array<int>, doc_id long, r1 long, r2 long"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -45,19 +41,16 @@ def words(text: str | None) -> list[bytes]:
 class _Segment:
     """Documents gathered in a task, taken apart block by block."""
 
-    def __init__(self, rolling: Rolling, block_bytes: int, batch_rows: int) -> None:
-        self.rolling, self.block_bytes, self.batch_rows = rolling, block_bytes, batch_rows
+    def __init__(self, block_bytes: int, batch_rows: int) -> None:
+        self.block_bytes, self.batch_rows = block_bytes, batch_rows
         self.clear()
 
     def clear(self) -> None:
         self.docs: list[tuple] = []
         self.counts: list[np.ndarray] = []
         self.waiting: list[bytes] = []
-        self.held = self.words = self.bytes = 0
-        self.data: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
-        self.starts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.held = self.words = 0
+        self.terms: list[pa.Array] = []
 
     def add(self, keys: tuple, text: bytes) -> None:
         self.docs.append(keys)
@@ -70,26 +63,11 @@ class _Segment:
         """The words of the documents that wait."""
         if not self.waiting:
             return
-        ends = np.cumsum([len(t) + 1 for t in self.waiting])
-        data = _LOWER[np.frombuffer(b"\0".join(self.waiting) + b"\0", np.uint8)]
+        terms, counts, _, _ = splitting.split(self.waiting, splitting.LETTERS, lower=True)
         self.waiting, self.held = [], 0
-        inside = _IN_WORD[data]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        edges = np.concatenate([[0], edges]) if inside[0] else edges
-        lo, hi = edges[::2], edges[1::2]
-        self.counts.append(np.diff(np.concatenate([[0], np.searchsorted(lo, ends)])))
-        step, hashes = 1 << 22, []
-        for begin in range(0, len(data), step):  # a long document's words, some at a time; none is cut
-            a, b = np.searchsorted(lo, (begin, begin + step))
-            if b > a:
-                prefix = self.rolling.prefix(data[lo[a] : hi[b - 1]])
-                hashes.append(self.rolling.spans(prefix, lo[a:b] - lo[a], hi[a:b] - lo[a]))
-        self.hashes += hashes
-        self.starts.append(lo + self.bytes)
-        self.sizes.append((hi - lo).astype(np.int32))
-        self.data.append(data)
-        self.bytes += len(data)
-        self.words += len(lo)
+        self.counts.append(counts)
+        self.terms.append(terms)
+        self.words += len(terms)
 
     def rows(self, segment: int) -> Iterator[pa.RecordBatch]:
         self.take()
@@ -100,43 +78,20 @@ class _Segment:
         yield _rows(segment, 1, n=pa.array([self.words]), places=_lists(np.array([0, len(first)]), first.astype(np.int32)))
         if not self.words:
             return
-        hashes, starts, sizes, data = (np.concatenate(x) for x in (self.hashes, self.starts, self.sizes, self.data))
-        place = (np.arange(self.words) + np.repeat(np.arange(len(counts)), counts)).astype(np.int32)
-        order = _by_hash(hashes)
-        hashes = hashes[order]
-        new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        ends = np.concatenate([new[1:], [len(hashes)]])
-        place, one = place[order], order[new]
-        for k in range(0, len(new), self.batch_rows):
+        codes, terms = splitting.numbered(pa.concat_arrays(self.terms))  # terms are told apart by their bytes
+        place = (np.arange(self.words) + np.repeat(np.arange(len(counts)), counts)).astype(np.int32)[np.argsort(codes, kind="stable")]
+        size = np.bincount(codes, minlength=len(terms))
+        ends = np.cumsum(size)
+        for k in range(0, len(terms), self.batch_rows):
             part = slice(k, k + self.batch_rows)
-            a, b = new[part], ends[part]
-            terms = _slices(data, starts[one[part]], sizes[one[part]])
-            yield _rows(segment, len(a), term=terms, n=pa.array(b - a), places=_lists(np.concatenate([a, b[-1:]]) - a[0], place[a[0] : b[-1]]))
-
-
-def _by_hash(hashes: np.ndarray) -> np.ndarray:
-    """The order by hash, then by place: one sort of words whose last bits are the place, unless two hashes differ in no other bits."""
-    bits = max(1, int(len(hashes) - 1).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    order = (np.sort(hashes & ~low | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
-    h = hashes[order]
-    if ((h[1:] != h[:-1]) & ((h[1:] | low) == (h[:-1] | low))).any():
-        return np.argsort(hashes, kind="stable")
-    return order
+            a, b = (ends - size)[part], ends[part]
+            yield _rows(segment, len(a), term=terms[part].cast(pa.binary()), n=pa.array(size[part]), places=_lists(np.concatenate([a, b[-1:]]) - a[0], place[a[0] : b[-1]]))
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def _slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The byte strings at some places, as one array."""
-    ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
-
-
 def _rows(segment: int, n_rows: int, **given: pa.Array) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
     given["segment"] = pa.array(np.full(n_rows, segment))
@@ -145,10 +100,9 @@ def _rows(segment: int, n_rows: int, **given: pa.Array) -> pa.RecordBatch:
 
 def build(docs: DataFrame) -> DataFrame:
     """The index of docs (doc_id, r1, r2, text): every word of every text; null texts have none.  Needs some 30 bytes a word of a segment."""
-    rolling = Rolling(0)
 
     def run(batches):
-        held = _Segment(rolling, BLOCK_BYTES, BATCH_ROWS)
+        held = _Segment(BLOCK_BYTES, BATCH_ROWS)
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
             for *keys, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "r1", "r2")), batch.column("text"), strict=True):

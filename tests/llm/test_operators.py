@@ -257,6 +257,16 @@ def test_decontamination_matches_brute_force(spark, docs, monkeypatch):
     assert decontaminate.keep_clean(docs, bench).count() == sum(n for k, n in want.items() if not k[5])
 
 
+def test_decontamination_tells_words_apart_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo 2**64."""
+    a = "".join("xy"[i.bit_count() % 2] for i in range(1024))
+    b = a.translate({120: "y", 121: "x"})
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id long, text string").coalesce(1)
+    for text, hit in ((a, {1: 1, 2: 0, 3: 1}), (b, {1: 0, 2: 1, 3: 1}), (f"{b} {a}", {1: 0, 2: 0, 3: 0})):
+        found = decontaminate.decontaminate(docs, spark.createDataFrame([("i", text)], "item_id string, text string"))
+        assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == hit
+
+
 @pytest.mark.parametrize("candidates", [1 << 21, 3])
 def test_phrase_starts_match_brute_force(monkeypatch, candidates):
     monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
