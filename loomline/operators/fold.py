@@ -88,12 +88,16 @@ def _any(signals: tuple[str, ...], over) -> Column:
     return F.coalesce(F.max(F.col("signal").isin(*signals)).over(over), F.lit(False))
 
 
-#: Columns that a stream may lack, null then.
-_OPTIONAL = {"flag": "string", "calls": "int", "response": "string", "error": "string", "reward": "double", "reason": "string", "voice": "string", "model_id": "string"}
+#: What a message says besides its role, its text and the number of its calls.
+_REST = ("response", "error", "tool_calls", "tool_id", "tool_name", "reasoning", "tool_definitions")
+#: Columns that a stream may lack, null then; the number of calls is that of the calls.
+_OPTIONAL = {"flag": "string", "calls": "int", "response": "string", "error": "string", "reward": "double", "reason": "string", "voice": "string", "model_id": "string", "tool_calls": "array<struct<name:string,arguments:string,id:string>>", "tool_id": "string", "tool_name": "string", "reasoning": "string", "tool_definitions": "array<struct<name:string,description:string,parameters:string>>"}
 
 
 def _whole(events: DataFrame) -> DataFrame:
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
+    if "calls" in missing and "tool_calls" not in missing:
+        missing["calls"] = F.size("tool_calls")
     return events.withColumns(missing) if missing else events
 
 
@@ -121,7 +125,7 @@ def messages(kept: DataFrame) -> DataFrame:
         .when(agent, "trainable")
         .otherwise("not_trainable")
     )
-    return marked.where("kind = 'message' and _last = 1").select(_J, "seq", "role", "content", status.alias("status"), (F.coalesce("calls", F.lit(0)) > 0).alias("has_calls"), F.coalesce("calls", F.lit(0)).alias("calls"), "response", "error", *passed)
+    return marked.where("kind = 'message' and _last = 1").select(_J, "seq", "role", "content", status.alias("status"), (F.coalesce("calls", F.lit(0)) > 0).alias("has_calls"), F.coalesce("calls", F.lit(0)).alias("calls"), *_REST, *passed)
 
 
 def marked(msgs: DataFrame) -> DataFrame:
@@ -164,7 +168,17 @@ def steps(msgs: DataFrame) -> DataFrame:
     return marked(msgs).where("closes").select(_J, "step_index", F.col("k").alias("end_ordinal"), F.col("seq").alias("end_seq"), F.col("block").alias("prefix_block"), "status", "message_count")
 
 
-_MESSAGE = ("role", "content", "calls", "response", "error")
+_MESSAGE = ("role", "content", "calls", *_REST)
+
+
+def _said(x: Column | None = None) -> Column:
+    """A message as a struct of its own, from the columns of messages() or from a struct that has them."""
+    return F.struct(*((F.col(c) if x is None else x[c]).alias(c) for c in _MESSAGE))
+
+
+def digest() -> Column:
+    """What a message says, whole: equal messages, calls, results, reasoning and definitions included, have equal digests."""
+    return F.sha2(F.to_json(F.struct(*sorted(_MESSAGE)), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
 def _history() -> Column:
@@ -172,14 +186,14 @@ def _history() -> Column:
     return F.array_sort(F.collect_list(F.struct("seq", "k", "swap", *_MESSAGE))).alias("_all")
 
 
-def _in_force(upto: Column, block: Column) -> Column:
+def _in_force(upto: Column, block: Column, said=None) -> Column:
     """The messages of _all in force up to a seq: the block before what is not system, or, without a block, all but swaps."""
 
     def plain(x: Column) -> Column:
         return ~x["swap"] & (x["seq"] <= upto) & (block.isNull() | (x["role"] != "system"))
 
     picked = F.concat(F.filter("_all", lambda x: x["swap"] & (x["k"] == block)), F.filter("_all", plain))
-    return F.transform(picked, lambda x: F.struct(*(x[c].alias(c) for c in _MESSAGE)))
+    return F.transform(picked, said or (lambda x: _said(x)))
 
 
 def sft_examples(events: DataFrame) -> DataFrame:
@@ -194,6 +208,32 @@ def sft_examples(events: DataFrame) -> DataFrame:
     return out.select(_J, "s.step_index", F.col("s.seq").alias("end_seq"), F.col("s.block").alias("prefix_block"), "s.status", "s.message_count", _in_force(F.col("s.seq"), F.col("s.block")).alias("messages"))
 
 
+def message_store(events: DataFrame) -> DataFrame:
+    """(digest, message): each message of the kept events once, whoever says it; a step refers to its messages by digest."""
+    m = messages(clean(events)).select(digest().alias("digest"), _said().alias("message"))
+    return m.groupBy("digest").agg(F.first("message").alias("message"))
+
+
+def step_digests(events: DataFrame) -> DataFrame:
+    """(journey_id, step_index, status, digests): the messages of each step by digest, in order; one exchange.
+
+    A history is spelled out where it is written, and here costs a digest a
+    message and step, however long the messages are.
+    """
+    m = marked(messages(clean(events)).withColumn("digest", digest()))
+    step = F.when(F.col("closes"), F.struct("step_index", "seq", "block", "status"))
+    each = m.groupBy(_J).agg(F.array_sort(F.collect_list(F.struct("seq", "k", "swap", "role", "digest"))).alias("_all"), F.collect_list(step).alias("_steps"))
+    out = each.select(_J, "_all", F.explode("_steps").alias("s"))
+    return out.select(_J, "s.step_index", "s.status", _in_force(F.col("s.seq"), F.col("s.block"), lambda x: x["digest"]).alias("digests"))
+
+
+def spelled_out(steps: DataFrame, store: DataFrame) -> DataFrame:
+    """Steps of step_digests() with their messages, from the store, as ``messages``; each message is joined by its digest, and steps are put together again by journey."""
+    each = steps.select(_J, "step_index", "status", F.posexplode("digests").alias("_at", "digest")).join(store, "digest")
+    found = F.array_sort(F.collect_list(F.struct("_at", "message")), lambda a, b: (a["_at"] - b["_at"]).cast("int"))
+    return each.groupBy(_J, "step_index", "status").agg(F.transform(found, lambda x: x["message"]).alias("messages"))
+
+
 def trajectories(events: DataFrame) -> DataFrame:
     """A row for each journey that has steps, with the messages of its last step, which hold all of its history in force."""
     m = marked(messages(judged(clean(events))))
@@ -205,19 +245,20 @@ def trajectories(events: DataFrame) -> DataFrame:
 def dpo_pairs(events: DataFrame) -> DataFrame:
     """Runs of superseded steps directly followed by a trainable one: a row for each rejected step; one exchange.
 
-    The prompt is what the first rejected step saw, without its own last message.
+    The prompt is what the first rejected step saw, without its own last message;
+    rejected and chosen are contents, rejected_message and chosen_message whole.
     """
     m = marked(messages(judged(clean(events)))).where("reason is null")
     j = Window.partitionBy(_J)
     earlier = j.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumn("_run", F.when(F.col("closes"), F.coalesce(F.sum(F.when(F.col("closes") & (F.col("status") != "superseded"), 1).otherwise(0)).over(earlier), F.lit(0))))
     r = Window.partitionBy(_J, "_run")
-    ends = F.struct("step_index", "status", "content")
+    ends = F.struct("step_index", "status", "content", _said().alias("message"))
     m = m.withColumns({"_end": F.max(ends).over(r), "_first": F.min(F.struct("step_index", "seq", "block")).over(r)})
-    pair = F.when(F.col("closes") & (F.col("status") == "superseded") & (F.col("_end.status") == "trainable"), F.struct("step_index", "content", F.col("_end").alias("end"), F.col("_first").alias("first")))
+    pair = F.when(F.col("closes") & (F.col("status") == "superseded") & (F.col("_end.status") == "trainable"), F.struct("step_index", "content", _said().alias("message"), F.col("_end").alias("end"), F.col("_first").alias("first")))
     each = m.groupBy(_J).agg(_history(), F.collect_list(pair).alias("_pairs"))
     out = each.select(_J, "_all", F.explode("_pairs").alias("p"))
-    return out.select(_J, F.col("p.step_index").alias("rejected_step"), F.col("p.end.step_index").alias("chosen_step"), _in_force(F.col("p.first.seq") - 1, F.col("p.first.block")).alias("prompt"), F.col("p.content").alias("rejected"), F.col("p.end.content").alias("chosen"))
+    return out.select(_J, F.col("p.step_index").alias("rejected_step"), F.col("p.end.step_index").alias("chosen_step"), _in_force(F.col("p.first.seq") - 1, F.col("p.first.block")).alias("prompt"), F.col("p.content").alias("rejected"), F.col("p.end.content").alias("chosen"), F.col("p.message").alias("rejected_message"), F.col("p.end.message").alias("chosen_message"))
 
 
 def parts(kept: DataFrame) -> DataFrame:
@@ -307,7 +348,7 @@ def journey_documents(events: DataFrame, headers: DataFrame | None = None, sourc
             return ~x["swap"] & (x["seq"] <= s["seq"]) & (s["block"].isNull() | (x["role"] != "system"))
 
         picked = F.concat(F.filter("_all", lambda x: x["swap"] & (x["k"] == s["block"])), F.filter("_all", plain))
-        return F.transform(picked, lambda x: _object(role=x["role"], content=x["content"], tool_calls=F.when(x["calls"] > 0, x["calls"]), tool_response=F.when(x["role"] == "tool", _object(response=x["response"], error=x["error"])), trainable_status=x["status"]))
+        return F.transform(picked, lambda x: _object(role=x["role"], content=x["content"], reasoning=x["reasoning"], tool_calls=F.when(F.size(x["tool_calls"]) > 0, F.transform(x["tool_calls"], lambda c: _object(name=c["name"], arguments=c["arguments"], id=c["id"]))), tool_definitions=F.when(F.size(x["tool_definitions"]) > 0, F.transform(x["tool_definitions"], lambda d: _object(name=d["name"], description=d["description"], parameters=d["parameters"]))), tool_response=F.when(x["role"] == "tool", _object(id=x["tool_id"], name=x["tool_name"], response=x["response"], error=x["error"])), trainable_status=x["status"]))
 
     rows = facts.join(each, _J, "left").withColumn("_steps", F.coalesce("_steps", F.array().cast(each.schema["_steps"].dataType)))
     bare = F.transform("_steps", lambda s: _object(messages=held(s)))

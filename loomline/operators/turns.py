@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import parsers
 
 _J = "journey_id"
+_CALLS = "array<struct<name:string,arguments:string,id:string>>"
 #: Why a session closed, as a termination reason.  Fixed values.
 CLOSE_REASONS = {"error": "ERROR", "job_shutdown": "TRUNCATION", "participant_disconnected": "ENV_DONE", "user_initiated": "ENV_DONE", "task_completed": "ENV_DONE"}
 #: Roles of a live session.  Fixed values.
@@ -62,11 +63,12 @@ def utterances(items: DataFrame) -> DataFrame:
 
 
 def tool_turns(items: DataFrame) -> DataFrame:
-    """Messages (journey_id, at, part, role, content, calls, response, error, interrupted) of speech and tool rows.
+    """Messages (journey_id, at, part, role, content, calls, response, error, interrupted, tool_calls, tool_id, tool_name) of speech and tool rows.
 
     Rows of kind ``tool`` have calls, an array of (id, name, arguments, output,
     failed).  The agent's utterance right before one joins it: speech and calls
-    are one message, and each result is a message of its own.
+    are one message, with the calls as tool_calls; each result is a message of its
+    own, with its call's id and name.
     """
     w = Window.partitionBy(_J).orderBy("at")
     said = utterances(items).withColumn("kind", F.lit("item")).select(_J, "at", "kind", "role", "text", "interrupted", F.lit(None).cast(items.schema["calls"].dataType).alias("calls"))
@@ -75,11 +77,11 @@ def tool_turns(items: DataFrame) -> DataFrame:
     tool, speech = F.col("kind") == "tool", (F.col("kind") == "item") & (F.col("role") == "assistant") & ~F.col("interrupted")
     rows = rows.withColumns({"_joins": F.coalesce(speech & (F.lead("kind").over(w) == "tool"), F.lit(False)), "_speech": F.when(tool & F.lag(speech).over(w), F.lag("text").over(w))})
     rows = rows.where(~F.col("_joins") & ((F.col("kind") == "item") | tool))
-    message = lambda part, role, content, n, response, error, cut: F.struct(part.cast("int").alias("part"), role.alias("role"), content.alias("content"), n.cast("int").alias("calls"), response.alias("response"), error.alias("error"), cut.alias("interrupted"))
     none = F.lit(None).cast("string")
+    message = lambda part, role, content, n, response, error, cut, calls=None, tool_id=None, name=None: F.struct(part.cast("int").alias("part"), role.alias("role"), content.alias("content"), n.cast("int").alias("calls"), response.alias("response"), error.alias("error"), cut.alias("interrupted"), (F.lit(None).cast(_CALLS) if calls is None else calls).alias("tool_calls"), (none if tool_id is None else tool_id).alias("tool_id"), (none if name is None else name).alias("tool_name"))
     plain = message(F.lit(0), F.col("role"), F.col("text"), F.lit(0), none, none, F.col("interrupted"))
-    called = message(F.lit(0), F.lit("assistant"), F.col("_speech"), F.size("calls"), none, none, F.lit(False))
-    results = F.transform("calls", lambda c, i: message(i + 1, F.lit("tool"), none, F.lit(0), c["output"], F.when(F.coalesce(c["failed"], F.lit(False)) & c["output"].isNotNull(), "tool_error"), F.lit(False)))
+    called = message(F.lit(0), F.lit("assistant"), F.col("_speech"), F.size("calls"), none, none, F.lit(False), F.transform("calls", lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"), c["id"].alias("id"))))
+    results = F.transform("calls", lambda c, i: message(i + 1, F.lit("tool"), none, F.lit(0), c["output"], F.when(F.coalesce(c["failed"], F.lit(False)) & c["output"].isNotNull(), "tool_error"), F.lit(False), tool_id=c["id"], name=c["name"]))
     out = rows.select(_J, "at", F.explode(F.when(tool, F.concat(F.array(called), results)).otherwise(F.array(plain))).alias("m"))
     return out.select(_J, "at", "m.*")
 

@@ -17,7 +17,7 @@ from loomline.plans.queries import _FOLD, _RAW, QUERIES, SQL, _query
 from loomline.sinks import reports, shards
 from loomline.sources import files, layouts, wire
 from loomline.sources.tables import events, headers, table
-from loomline.streaming import ingest
+from loomline.streaming import ingest, state
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -86,8 +86,7 @@ def export_shards(spark, sf):
 
 def _lines(spark, sf) -> DataFrame:
     """The event stream without repeats, rendered: journey_id, seq, line."""
-    e = events(spark, sf).where("arrival = 0").drop("arrival", "event_id", "writer")
-    return e.select("journey_id", "seq", F.to_json(F.struct(*sorted(e.columns))).alias("line"))
+    return wire.rendered(events(spark, sf).where("arrival = 0"))
 
 
 def _heads(spark, sf) -> DataFrame:
@@ -95,6 +94,16 @@ def _heads(spark, sf) -> DataFrame:
     return h.select("journey_id", shards.header_line("journey_id", "data_source", "trace_id", "started_at").alias("line"))
 
 
+# What is written is read back field by field.
+@_query(_RAW + "select cast(journey_id as varchar) as journey_id, seq, kind, event_id, role, content, signal, target_seq, writer, flag, calls, response, error, reward, reason, voice, model_id, call_id, call_name, call_args from ev where arrival = 0")
+def wire_round_trip(spark, sf):
+    root = folder(spark, "round")
+    shards.write_wire(_lines(spark, sf), _heads(spark, sf), root).write.format("noop").mode("overwrite").save()
+    e, call = wire.flat(wire.events(wire.lines(spark, root))), F.get("tool_calls", F.lit(0))
+    said = {"call_id": F.coalesce("tool_id", call["id"]), "call_name": F.coalesce("tool_name", call["name"]), "call_args": call["arguments"]}
+    return e.withColumns(said).withColumn("calls", F.col("calls").cast("int")).drop("arrival", "tool_calls", "tool_id", "tool_name", "reasoning", "tool_definitions")
+
+
 # Written twice: whole files first, then what comes after seq 2 is appended, without a second header.
 @_query(_RAW + "select journey_id, cast(count(*) filter (where seq <= 2) + 1 as bigint) as written, cast(count(*) + 1 as bigint) as rows, 1 as headers from ev where arrival = 0 group by 1")
 def write_wire(spark, sf):
@@ -403,12 +412,14 @@ def coalesce_utterances(spark, sf):
     _UTTERED
     + """, rows as (select journey_id, "at", 'item' as kind, role, text, interrupted from u union all select journey_id, "at", 'tool', null, null, false from i where kind = 'tool'), j as (
   select *, kind = 'item' and role = 'assistant' and not interrupted as speech, lead(kind) over w as nk, lag(text) over w as lt, lag(kind = 'item' and role = 'assistant' and not interrupted) over w as ls from rows window w as (partition by journey_id order by "at")
-) select journey_id, "at", 0 as part, role, text as content, 0 as calls, null as response, null as error, interrupted from j where kind = 'item' and not (speech and coalesce(nk = 'tool', false))
-union all select journey_id, "at", 0, 'assistant', case when ls then lt end, 1, null, null, false from j where kind = 'tool'
-union all select journey_id, "at", 1, 'tool', null, 0, case when "at" % 2 = 0 then 'r' || "at" end, case when "at" % 4 = 0 then 'tool_error' end, false from j where kind = 'tool'"""
+) select journey_id, "at", 0 as part, role, text as content, 0 as calls, null as response, null as error, interrupted, null as call_id, null as call_name, null as call_args from j where kind = 'item' and not (speech and coalesce(nk = 'tool', false))
+union all select journey_id, "at", 0, 'assistant', case when ls then lt end, 1, null, null, false, cast("at" as varchar), 'look', '{}' from j where kind = 'tool'
+union all select journey_id, "at", 1, 'tool', null, 0, case when "at" % 2 = 0 then 'r' || "at" end, case when "at" % 4 = 0 then 'tool_error' end, false, cast("at" as varchar), 'look', null from j where kind = 'tool'"""
 )
 def tool_turns(spark, sf):
-    return turns.tool_turns(_items(spark, sf))
+    t, call = turns.tool_turns(_items(spark, sf)), F.get("tool_calls", F.lit(0))
+    said = {"call_id": F.coalesce("tool_id", call["id"]), "call_name": F.coalesce("tool_name", call["name"]), "call_args": call["arguments"]}
+    return t.withColumns(said).drop("tool_calls", "tool_id", "tool_name")
 
 
 @_query("select event_id, case event_type when 'error' then 'ERROR' when 'signup' then 'TRUNCATION' else 'ENV_DONE' end as reason, case event_type when 'click' then 'system' when 'view' then 'user' end as role from events")
@@ -466,6 +477,21 @@ def upsert(spark, sf):
     return shards.upsert(spark, root, more.withColumn("value", F.lit("new")), ["id"])
 
 
+# In two micro-batches, the repeats and every second event before the rest.
+@_query(_FOLD + "select cast(journey_id as varchar) as journey_id, verdict.duplicates, verdict.rejected, missing, writers, terminated, reason is null as complete, reason, (select count(*) from sized s where s.journey_id = verdict.journey_id) as steps from verdict")
+def live_fold(spark, sf):
+    root = folder(spark, "live")
+    e = events(spark, sf)
+    early = (F.col("arrival") == 1) | (F.col("seq") % 2 == 1)
+    for part in (e.where(early), e.where(~early)):
+        part.coalesce(4).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+        state.live_fold(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    verdicts = shards.current(spark, f"{root}/out/verdicts", "journey_id string, rejected long, missing long, writers long, terminated boolean, complete boolean, reason string, duplicates long")
+    steps = shards.current(spark, f"{root}/out/steps", "journey_id string, steps array<struct<step_index:long>>")
+    return verdicts.join(steps.select("journey_id", F.coalesce(F.size("steps"), F.lit(0)).cast("long").alias("steps")), "journey_id")
+
+
 # Drained twice over a stream; journeys divisible by 10 fail the first time.
 @_query(_RAW + "select journey_id, cast(count(*) filter (where arrival = 0) as bigint) as events, case when journey_id % 10 = 0 then 2 else 1 end as drained_in from ev group by 1")
 def drain(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import parsers, redaction
 from loomline.operators import corpus, fold, journeys, text
-from loomline.plans.queries import _FOLD, _JOURNEYS, _METRICS, _RAW, _TASKS, QUERIES, SQL, _benchmark, _completions, _joined, _metrics, _query
+from loomline.plans.queries import _CALLS, _FOLD, _JOURNEYS, _METRICS, _RAW, _TASKS, QUERIES, SQL, _benchmark, _completions, _joined, _metrics, _query
 from loomline.sources.tables import HEADERS, events, headers, table
 from loomline.streaming import ingest
 
@@ -69,7 +69,7 @@ def trajectory_documents(spark, sf):
 
 @_query(
     _FOLD
-    + """select s.journey_id, s.step_index + 1 as num_steps, 'last' as steps_written, s.status, sha256((select string_agg(o.role || ':' || coalesce(o.content, o.response, ''), chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = s.journey_id and case when s.block is null then not o.swap and o.seq <= s.end_seq
+    + """select s.journey_id, s.step_index + 1 as num_steps, 'last' as steps_written, s.status, sha256((select string_agg(o.role || ':' || coalesce(o.content, o.response, '') || """ + _CALLS + """, chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = s.journey_id and case when s.block is null then not o.swap and o.seq <= s.end_seq
   else (o.swap and o.k = s.block) or (not o.swap and o.role <> 'system' and o.seq <= s.end_seq) end)) as messages_sha256 from sized s qualify row_number() over (partition by s.journey_id order by s.step_index desc) = 1"""
 )
 def trajectory(spark, sf):
@@ -77,7 +77,7 @@ def trajectory(spark, sf):
     return t.select("journey_id", "num_steps", F.lit("last").alias("steps_written"), "status", F.sha2(F.encode(_joined("messages"), "UTF-8"), 256).alias("messages_sha256"))
 
 
-@_query(SQL["dpo_pairs"].replace("r.content as rejected, c.content as chosen", "[c.content] as chosen, [r.content] as rejected"))
+@_query(f"select * exclude (rejected_message, chosen_message) replace ([chosen] as chosen, [rejected] as rejected) from ({SQL['dpo_pairs']})")
 def dpo_wrapped(spark, sf):
     d = fold.dpo_pairs(events(spark, sf))
     return d.select("journey_id", "rejected_step", "chosen_step", F.sha2(F.encode(_joined("prompt"), "UTF-8"), 256).alias("prompt_sha256"), *(F.array(c).alias(c) for c in ("chosen", "rejected")))

@@ -32,7 +32,7 @@ _FOLD = (
 ), sig as (
   select journey_id, target_seq, bool_or(signal in ('regenerated', 'user_edit')) as sup, bool_or(signal = 'thumbs_down') as down, bool_or(signal = 'thumbs_up') as up from k where kind = 'signal' group by all
 ), msg as (
-  select k.journey_id, k.seq, k.role, k.content, k.calls, k.response, k.error, case when k.flag = 'summarization' then 'summarization_boundary' when k.flag = 'interrupted' and k.role = 'assistant' then 'not_trainable' when sup then 'superseded' when down then 'not_trainable' when up then 'trainable' when role = 'assistant' then 'trainable' else 'not_trainable' end as status
+  select k.journey_id, k.seq, k.role, k.content, k.calls, k.response, k.error, k.call_id, k.call_name, k.call_args, case when k.flag = 'summarization' then 'summarization_boundary' when k.flag = 'interrupted' and k.role = 'assistant' then 'not_trainable' when sup then 'superseded' when down then 'not_trainable' when up then 'trainable' when role = 'assistant' then 'trainable' else 'not_trainable' end as status
   from k left join sig on k.journey_id = sig.journey_id and k.seq = sig.target_seq where k.kind = 'message'
 ), fu as (select journey_id, min(seq) as fu from msg where role = 'user' group by 1
 ), ord as (
@@ -55,7 +55,9 @@ _FOLD = (
 )
 """
 )
-_PROMPT = """(select string_agg(o.role || ':' || coalesce(o.content, o.response, ''), chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = {j} and case when {block} is null then not o.swap and o.seq <= {upto}
+# A message's calls, or whose result it is.
+_CALLS = "case when o.role = 'tool' then '<' || coalesce(o.call_id, '') || ' ' || coalesce(o.call_name, '') when o.call_args is not null then '|' || o.call_id || ' ' || o.call_name || ' ' || o.call_args else '' end"
+_PROMPT = """(select string_agg(o.role || ':' || coalesce(o.content, o.response, '') || """ + _CALLS + """, chr(10) order by not o.swap, o.seq) from ord o where o.journey_id = {j} and case when {block} is null then not o.swap and o.seq <= {upto}
   else (o.swap and o.k = {block}) or (not o.swap and o.role <> 'system' and o.seq <= {upto}) end)"""
 
 
@@ -70,7 +72,13 @@ def _query(sql: str | None = None):
 
 
 def _joined(messages: str):
-    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], m["response"], F.lit("")))), "\n")
+    return F.array_join(F.transform(messages, _shown), "\n")
+
+
+def _shown(m):
+    calls = F.array_join(F.transform(F.coalesce(m["tool_calls"], F.array().cast("array<struct<name:string,arguments:string,id:string>>")), lambda c: F.concat(F.lit("|"), F.concat_ws(" ", c["id"], c["name"], c["arguments"]))), "")
+    result = F.concat(F.lit("<"), F.coalesce(m["tool_id"], F.lit("")), F.lit(" "), F.coalesce(m["tool_name"], F.lit("")))
+    return F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], m["response"], F.lit("")), F.when(m["role"] == "tool", result).otherwise(calls))
 
 
 @_query(_RAW + "select journey_id, cast(count(*) - count(distinct event_id) as bigint) as dropped, cast(count(distinct event_id) as bigint) as kept from ev group by 1")
@@ -111,9 +119,23 @@ def sft_examples(spark, sf):
     return s.select("journey_id", "step_index", F.size("messages").cast("long").alias("n_messages"), F.sha2(F.encode(_joined("messages"), "UTF-8"), 256).alias("messages_sha256"))
 
 
+@_query(_FOLD + "select distinct role, content, response, error, call_id, call_name, call_args from msg")
+def message_store(spark, sf):
+    m = fold.message_store(events(spark, sf)).select("message.*")
+    call, tool = F.get("tool_calls", F.lit(0)), F.col("role") == "tool"
+    return m.select("role", "content", "response", "error", F.when(tool, F.col("tool_id")).otherwise(call["id"]).alias("call_id"), F.when(tool, F.col("tool_name")).otherwise(call["name"]).alias("call_name"), call["arguments"].alias("call_args"))
+
+
+@_query(_FOLD + f"select journey_id, step_index, s.status, cast(message_count as bigint) as n_messages, sha256({_PROMPT.format(j='s.journey_id', block='s.block', upto='s.end_seq')}) as messages_sha256 from sized s")
+def steps_by_digest(spark, sf):
+    stream = events(spark, sf)
+    s = fold.spelled_out(fold.step_digests(stream), fold.message_store(stream))
+    return s.select("journey_id", "step_index", "status", F.size("messages").cast("long").alias("n_messages"), F.sha2(F.encode(_joined("messages"), "UTF-8"), 256).alias("messages_sha256"))
+
+
 @_query(
     _FOLD
-    + f"""select p.journey_id, rejected_step, chosen_step, sha256({_PROMPT.format(j="p.journey_id", block="p.block", upto="p.first_seq - 1")}) as prompt_sha256, r.content as rejected, c.content as chosen from (
+    + f"""select p.journey_id, rejected_step, chosen_step, sha256({_PROMPT.format(j="p.journey_id", block="p.block", upto="p.first_seq - 1")}) as prompt_sha256, r.content as rejected, c.content as chosen, r.role || ':' || coalesce(r.content, '') as rejected_message, c.role || ':' || coalesce(c.content, '') || case when c.call_args is not null then '|' || c.call_id || ' ' || c.call_name || ' ' || c.call_args else '' end as chosen_message from (
   select s.journey_id, s.step_index as rejected_step, s.end_seq as rs, e.step_index as chosen_step, e.end_seq as cs, f.end_seq as first_seq, f.block
   from st s join verdict v on v.journey_id = s.journey_id and v.reason is null
   join st e on e.journey_id = s.journey_id and e.step_index = (select min(x.step_index) from st x where x.journey_id = s.journey_id and x.step_index > s.step_index and x.status <> 'superseded') and e.status = 'trainable'
@@ -122,7 +144,7 @@ def sft_examples(spark, sf):
 )
 def dpo_pairs(spark, sf):
     d = fold.dpo_pairs(events(spark, sf))
-    return d.select("journey_id", "rejected_step", "chosen_step", F.sha2(F.encode(_joined("prompt"), "UTF-8"), 256).alias("prompt_sha256"), "rejected", "chosen")
+    return d.select("journey_id", "rejected_step", "chosen_step", F.sha2(F.encode(_joined("prompt"), "UTF-8"), 256).alias("prompt_sha256"), "rejected", "chosen", *(_shown(F.col(c)).alias(c) for c in ("rejected_message", "chosen_message")))
 
 
 @_query(

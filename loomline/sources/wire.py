@@ -117,6 +117,11 @@ def flat(scanned: DataFrame) -> DataFrame:
         F.col("event.terminal.termination_reason").alias("reason"),
         F.col("event.voice.voice_kind").alias("voice"),
         "event.model_id",
+        "event.message.tool_calls",
+        F.col("event.message.tool_response.id").alias("tool_id"),
+        F.col("event.message.tool_response.name").alias("tool_name"),
+        "event.message.reasoning",
+        "event.message.tool_definitions",
     )
 
 
@@ -128,6 +133,33 @@ def shard_inventory(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("rows"), raw.cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
 
 
-def render(events: DataFrame) -> DataFrame:
-    """Events as compact JSON lines with sorted keys and without null fields."""
-    return events.select(F.to_json(F.struct(*sorted(events.columns))).alias("value"))
+def _object(**fields: Column) -> Column:
+    """A JSON object with sorted keys; none where all of its fields are null."""
+    made = F.struct(*(c.alias(n) for n, c in sorted(fields.items())))
+    return F.when(F.coalesce(*(c.cast("string") for c in fields.values())).isNotNull(), made)
+
+
+def rendered(events: DataFrame) -> DataFrame:
+    """(journey_id, seq, line): events of the fold's stream as wire events, compact, with sorted keys and without null fields.
+
+    Each has the payload of its kind, whole; flat(events()) of what is written
+    gives the stream's columns again, but for their arrival.
+    """
+
+    def of(name: str, kind: str = "string") -> Column:
+        return (F.col(name) if name in events.columns else F.lit(None)).cast(kind)
+
+    tool, calls = of("role") == "tool", f"array<{_CALL}>"
+    call = F.transform(of("tool_calls", calls), lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
+    defined = F.transform(of("tool_definitions", f"array<{_DEFINITION}>"), lambda d: F.struct(d["description"].alias("description"), d["name"].alias("name"), d["parameters"].alias("parameters")))
+    result = F.when(tool, F.struct(of("error").alias("error"), of("tool_id").alias("id"), of("tool_name").alias("name"), of("response").alias("response")))
+    flags = _object(interrupted=F.when(of("flag") == "interrupted", F.lit(True)), summarization=F.when(of("flag") == "summarization", F.lit(True)))
+    payloads = {
+        "message": F.struct(of("content").alias("content"), flags.alias("metadata"), of("reasoning").alias("reasoning"), of("role").alias("role"), call.alias("tool_calls"), defined.alias("tool_definitions"), result.alias("tool_response")),
+        "signal": F.struct(of("signal").alias("signal"), of("target_seq", "long").alias("target_seq")),
+        "reward": F.struct(of("reward", "double").alias("aggregated_value")),
+        "terminal": F.struct(of("error").alias("error"), of("reason").alias("termination_reason")),
+        "voice": F.struct(of("content").alias("text"), of("voice").alias("voice_kind")),
+    }
+    fields = {k: F.when(of("kind") == k, p) for k, p in payloads.items()} | {"event_id": of("event_id"), "journey_id": of("journey_id"), "kind": of("kind"), "metadata": _object(writer=of("writer")), "model_id": of("model_id"), "seq": of("seq", "long")}
+    return events.select("journey_id", "seq", F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items())))).alias("line"))

@@ -99,8 +99,7 @@ def file_sink(root: str, header: Callable[[DataFrame], DataFrame]) -> Callable[[
     """A sink that appends to root/<journey>.jsonl; header gives (journey_id, line) of the events' journeys."""
 
     def send(events: DataFrame) -> DataFrame:
-        lines = events.select("journey_id", "seq", F.to_json(F.struct(*sorted(events.columns))).alias("line"))
-        shards.append_wire(lines, header(events), root)
+        shards.append_wire(wire.rendered(events), header(events), root)
         return events.select("journey_id").distinct().withColumn("error", F.lit(None).cast("string"))
 
     return send

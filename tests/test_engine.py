@@ -31,7 +31,7 @@ def oracle():
 
 def test_the_stream_is_that_of_its_sql(spark):
     ours = tables.events(spark, SF)
-    theirs = spark.sql(tables.events_sql("{conversations}"), conversations=tables.table(spark, SF, "conversations")).select(*ours.columns)
+    theirs = tables.whole(spark.sql(tables.events_sql("{conversations}"), conversations=tables.table(spark, SF, "conversations"))).select(*ours.columns)
     assert ours.schema.simpleString() == theirs.schema.simpleString()
     assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect()))
 
