@@ -14,7 +14,7 @@ from loomline.functions import redaction
 from loomline.operators import catalog, documents, fold, turns
 from loomline.plans.journeys import _PARSED, _WIRE, _filled
 from loomline.plans.queries import _FOLD, _RAW, QUERIES, SQL, _query
-from loomline.sinks import reports, shards
+from loomline.sinks import keyed, reports, shards
 from loomline.sources import files, layouts, wire
 from loomline.sources.tables import events, headers, table
 from loomline.streaming import ingest, state
@@ -472,9 +472,9 @@ def redact_headers(spark, sf):
 def upsert(spark, sf):
     root = folder(spark, "table")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    shards.upsert(spark, root, d.withColumn("value", F.lit("old")), ["id"])
+    keyed.upsert(spark, root, d.withColumn("value", F.lit("old")), ["id"])
     more = d.where("id % 2 = 1").unionByName(table(spark, sf, "labels").select((-1 - F.col("doc_id")).alias("id")))
-    return shards.upsert(spark, root, more.withColumn("value", F.lit("new")), ["id"])
+    return keyed.upsert(spark, root, more.withColumn("value", F.lit("new")), ["id"])
 
 
 # In two micro-batches, the repeats and every second event before the rest.
@@ -487,8 +487,8 @@ def live_fold(spark, sf):
         part.coalesce(4).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
         state.live_fold(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    verdicts = shards.current(spark, f"{root}/out/verdicts", "journey_id string, rejected long, missing long, writers long, terminated boolean, complete boolean, reason string, duplicates long")
-    steps = shards.current(spark, f"{root}/out/steps", "journey_id string, steps array<struct<step_index:long>>")
+    verdicts = keyed.current(spark, f"{root}/out/verdicts", "journey_id string, rejected long, missing long, writers long, terminated boolean, complete boolean, reason string, duplicates long")
+    steps = keyed.current(spark, f"{root}/out/steps", "journey_id string, steps array<struct<step_index:long>>")
     return verdicts.join(steps.select("journey_id", F.coalesce(F.size("steps"), F.lit(0)).cast("long").alias("steps")), "journey_id")
 
 

@@ -1,17 +1,16 @@
-"""Wire files, trajectories and training examples as files; keyed tables."""
+"""Wire files, trajectories and training examples as files."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.text import latest, safe_stem
+from loomline.operators.text import safe_stem
 from loomline.sources import files, wire
 
 _WRITTEN = "path string, bytes long, sha256 string"
@@ -118,27 +117,3 @@ def rotated(lines: DataFrame, root: str, max_rows: int = 100_000) -> DataFrame:
     shards = lines.withColumn("shard", F.floor(n / max_rows).cast("int")).groupBy("journey_id", "date", "shard").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"), F.first("head").alias("head"))
     name = F.concat(F.lit("journeys/"), safe_stem(F.col("journey_id").cast("string")), F.lit("/"), "date", F.lit("."), F.col("shard").cast("string"), F.lit(".jsonl"))
     return write_files(shards.select(name.alias("name"), F.concat("head", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content")), root)
-
-
-def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """A keyed table as it was last upserted; empty where there is none."""
-    try:
-        at = b"".join(files.read_from(f"{root}/_current", 0)).decode().strip()
-    except FileNotFoundError:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{at}")
-
-
-def upsert(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Insert rows, or overwrite those of the same key; of several new rows of a key the last by ``order`` counts.
-
-    The table is written anew beside the old one and a small file that names the
-    version in force is replaced, so readers see the one or the other.
-    """
-    new = latest(rows, keys, order) if order else rows.dropDuplicates(keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    old = current(spark, root, schema)
-    version = f"v-{uuid.uuid4().hex}"
-    old.join(new.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(new).write.parquet(f"{root}/{version}")
-    files.write_whole(f"{root}/_current", version.encode(), uuid.uuid4().hex)
-    return current(spark, root, schema)

@@ -65,3 +65,16 @@ def append(uri: str, head: bytes, data: bytes) -> None:
     new = fs.get_file_info(path).type == pa.fs.FileType.NotFound
     with fs.open_append_stream(path, compression=None) as f:
         f.write((head if new else b"") + data)
+
+
+def folders(uri: str) -> list[str]:
+    """The names of the folders in a folder."""
+    fs, path = opened(uri)
+    return [i.base_name for i in fs.get_file_info(pa.fs.FileSelector(path)) if i.type == pa.fs.FileType.Directory]
+
+
+def remove(uri: str) -> None:
+    """A folder goes with what is in it; none there is no error."""
+    fs, path = opened(uri)
+    if fs.get_file_info(path).type == pa.fs.FileType.Directory:
+        fs.delete_dir(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomline.operators import fold
-from loomline.sinks import shards
+from loomline.sinks import keyed, shards
 from loomline.sources import files, wire
 
 _ACK = "journey_id string, ack long"
@@ -79,7 +79,7 @@ def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataF
     """
     spark = events.sparkSession
     events = events.withColumn("journey_id", F.col("journey_id").cast("string"))
-    acks = shards.current(spark, state, _ACK)
+    acks = keyed.current(spark, state, _ACK)
     new = undrained(events, acks)
     batch = f"{state}/_batch-{uuid.uuid4().hex}"
     new.write.parquet(batch)  # sent and acknowledged are the same events, whatever arrives meanwhile
@@ -90,7 +90,8 @@ def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataF
     sent = new.groupBy("journey_id").agg(F.max("seq").alias("top"), F.min("seq").alias("low"), F.count_distinct("seq").alias("n"), F.count("*").alias("sent"))
     told = sent.join(outcome, "journey_id", "left")
     moved = told.where("error is null").select("journey_id", F.col("top").alias("seq"))
-    shards.upsert(spark, state, advanced(acks, moved).select("journey_id", F.col("ack").cast("long").alias("ack")), ["journey_id"])
+    known = acks.join(moved.select("journey_id"), "journey_id", "left_semi")
+    keyed.upsert(spark, state, advanced(known, moved).select("journey_id", F.col("ack").cast("long").alias("ack")), ["journey_id"])
     gaps = (F.col("top") - F.col("low") + 1 - F.col("n")).cast("long")
     return told.select("journey_id", F.when(F.col("error").isNull(), F.col("sent")).otherwise(0).alias("sent"), gaps.alias("gaps"), "error")
 
@@ -139,7 +140,7 @@ def live_verdicts(stream: DataFrame, root: str, checkpoint: str, every: int | No
             return
         held = spark.read.option("basePath", at).parquet(at).where(F.col("bucket").isin(buckets)).drop("bucket", "batch")
         found = fold.verdicts(held.join(touched, "journey_id", "left_semi")).select("journey_id", "complete", "reason")
-        shards.upsert(spark, f"{root}/verdicts", found, ["journey_id"])
+        keyed.upsert(spark, f"{root}/verdicts", found, ["journey_id"])
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.operators import fold
-from loomline.sinks import shards
+from loomline.sinks import keyed
 
 #: What the fold needs of an event besides its journey; texts stay where the events are.
 FACTS = {"event_id": "string", "seq": "long", "arrival": "long", "kind": "string", "role": "string", "signal": "string", "target_seq": "long", "writer": "string", "flag": "string", "calls": "int"}
@@ -110,10 +110,10 @@ def live_fold(stream: DataFrame, root: str, checkpoint: str, every: int | None =
         batch.write.mode("overwrite").parquet(path)
         facts = batch.sparkSession.read.schema(OUT).parquet(path)
         verdicts, steps = refolded(facts)
-        shards.upsert(batch.sparkSession, f"{root}/verdicts", verdicts, ["journey_id"])
+        keyed.upsert(batch.sparkSession, f"{root}/verdicts", verdicts, ["journey_id"])
         packed = steps.groupBy("journey_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "end_ordinal", "end_seq", "prefix_block", "status", "message_count"))).alias("steps"))
         none = verdicts.select("journey_id").join(packed, "journey_id", "left")
-        shards.upsert(batch.sparkSession, f"{root}/steps", none, ["journey_id"])
+        keyed.upsert(batch.sparkSession, f"{root}/steps", none, ["journey_id"])
 
     writer = journey_facts(stream, grace_ms).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     if every is not None:

@@ -10,7 +10,7 @@ from loomline.functions import canonical, parsers
 from loomline.functions import documents as docs_of
 from loomline.operators import documents, fold, turns
 from loomline.sinks import http as posts
-from loomline.sinks import reports, shards
+from loomline.sinks import keyed, reports, shards
 from loomline.sources import files, host, layouts, wire
 from loomline.streaming import ingest
 
@@ -311,7 +311,7 @@ def test_verdicts_follow_late_events(spark, tmp_path):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
         ingest.live_verdicts(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
-        seen.append({tuple(r) for r in shards.current(spark, str(tmp_path / "state/verdicts"), "journey_id string, complete boolean, reason string").collect()})
+        seen.append({tuple(r) for r in keyed.current(spark, str(tmp_path / "state/verdicts"), "journey_id string, complete boolean, reason string").collect()})
     assert seen == [{("a", False, "no_terminal"), ("b", True, None)}, {("a", False, "missing_events"), ("b", True, None)}, {("a", True, None), ("b", True, None)}]
 
 

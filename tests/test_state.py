@@ -6,7 +6,7 @@ import time
 import pytest
 
 from loomline.operators import fold
-from loomline.sinks import shards
+from loomline.sinks import keyed
 from loomline.sources import tables
 from loomline.streaming import state
 
@@ -23,8 +23,8 @@ def folded(events):
 
 
 def live(spark, root):
-    v = shards.current(spark, f"{root}/verdicts", "journey_id string, rejected long, missing long, writers long, terminated boolean, complete boolean, reason string, duplicates long")
-    s = shards.current(spark, f"{root}/steps", "journey_id string, steps array<struct<step_index:long,end_ordinal:long,end_seq:long,prefix_block:long,status:string,message_count:long>>")
+    v = keyed.current(spark, f"{root}/verdicts", "journey_id string, rejected long, missing long, writers long, terminated boolean, complete boolean, reason string, duplicates long")
+    s = keyed.current(spark, f"{root}/steps", "journey_id string, steps array<struct<step_index:long,end_ordinal:long,end_seq:long,prefix_block:long,status:string,message_count:long>>")
     return {r["journey_id"]: tuple(r[c] for c in COLUMNS) for r in v.collect()}, {r["journey_id"]: [tuple(x) for x in r["steps"]] for r in s.collect() if r["steps"]}
 
 
