@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -67,22 +68,37 @@ def write_wire(events: DataFrame, headers: DataFrame, root: str, date: str | Non
     return write_files(rows.select(name.alias("name"), F.concat("head", "lines").alias("content")), root)
 
 
-def append_wire(events: DataFrame, headers: DataFrame, root: str) -> None:
-    """Append events to root/<stem>.jsonl, with the header where the file is new; for stores that can append.
+def append_wire(events: DataFrame, headers: DataFrame, root: str, batch: str | None = None) -> int:
+    """Append events to root/<stem>.jsonl, with the header where the file is new, once; how many bytes were added.
 
-    A journey's lines come in one piece, written by one task.  A lost task may
-    have appended already: the fold drops what then comes twice, by event_id.
+    How long each file is before is written down first, under root/_batches.
+    A task appends from there on what the file lacks, so one that is run again,
+    or a whole batch of the same name, leaves no line twice.  A journey's lines
+    are written by one task; speculative execution must be off, as stores have
+    no order between two writers.  For stores that can append.
     """
     root = root.rstrip("/")
+    spark = events.sparkSession
+    rows = wire_contents(events, headers).select(F.concat(safe_stem(F.col("journey_id").cast("string")), F.lit(".jsonl")).alias("name"), "head", "lines")
+    plan = f"{root}/_batches/{batch or uuid.uuid4().hex}"
 
-    def run(batches):
-        for batch in batches:
-            for name, head, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files.append(f"{root}/{name}", head.encode(), lines.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+    def sized(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([part.column("name"), pa.array([files.size(f"{root}/{n}") for n in part.column("name").to_pylist()], pa.int64())], ["name", "offset"])
 
-    rows = wire_contents(events, headers).select(F.concat(safe_stem(F.col("journey_id").cast("string")), F.lit(".jsonl")).alias("name"), "head", "lines")
-    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    if "_SUCCESS" not in files.names(plan):
+        rows.select("name").mapInArrow(sized, "name string, offset long").write.mode("overwrite").parquet(plan)
+    offsets = spark.read.schema("name string, offset long").parquet(plan)
+
+    def run(batches):
+        for part in batches:
+            added = [files.append_at(f"{root}/{name}", offset, ((head if offset == 0 else "") + lines).encode()) for name, offset, head, lines in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(added)], pa.int64())], ["n"])
+
+    out = rows.join(offsets, "name").select("name", "offset", "head", "lines").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    if batch is None:
+        files.remove(plan)
+    return out
 
 
 def json_line(columns: list[str]) -> Column:

@@ -58,6 +58,13 @@ def write_whole(uri: str, data: bytes, attempt: str = "0") -> None:
     fs.move(draft, path)
 
 
+def size(uri: str) -> int:
+    """The bytes of a file; none where there is no file."""
+    fs, path = opened(uri)
+    info = fs.get_file_info(path)
+    return info.size if info.type == pa.fs.FileType.File else 0
+
+
 def append(uri: str, head: bytes, data: bytes) -> None:
     """Data at the end of a file, after the head where the file is new; for stores that can append."""
     fs, path = opened(uri)
@@ -67,6 +74,33 @@ def append(uri: str, head: bytes, data: bytes) -> None:
         f.write((head if new else b"") + data)
 
 
+def append_at(uri: str, offset: int, data: bytes) -> int:
+    """Let data be what a file has from an offset on, by appending what it lacks; how much that was.
+
+    So a second attempt finishes what the first has begun, and adds nothing to
+    what it has finished.  For stores that can append.
+    """
+    fs, path = opened(uri)
+    there = size(uri)
+    if there < offset:
+        raise ValueError(f"{uri} has {there} bytes, and {offset} were there")
+    held = b"".join(read_from(uri, offset)) if there > offset else b""
+    if held[: len(data)] != data[: len(held)]:
+        raise ValueError(f"{uri} has other data from byte {offset} on")
+    rest = data[len(held) :]
+    if rest:
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_append_stream(path, compression=None) as f:
+            f.write(rest)
+    return len(rest)
+
+
+def names(uri: str) -> list[str]:
+    """The names of what is in a folder; nothing where there is none."""
+    fs, path = opened(uri)
+    return [i.base_name for i in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True))]
+
+
 def folders(uri: str) -> list[str]:
     """The names of the folders in a folder."""
     fs, path = opened(uri)

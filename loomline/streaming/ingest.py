@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import uuid
 from collections.abc import Callable
@@ -70,23 +71,26 @@ def advanced(acks: DataFrame, sent: DataFrame) -> DataFrame:
     return acks.join(top, "journey_id", "full").select("journey_id", F.greatest(F.coalesce("ack", F.lit(-1)), F.coalesce("sent", F.lit(-1))).alias("ack"))
 
 
-def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame], batch: str | None = None) -> DataFrame:
     """Send what lies beyond each journey's acknowledgement and return the outcome (journey_id, sent, gaps, error).
 
     ``sink`` gets the events and returns (journey_id, error); the
     acknowledgements in the keyed table at ``state`` move for those without an
     error only, and never back.  A hole in the numbers is reported and no hindrance.
+    A sink with the attribute by_batch gets the batch's name, too, and may find
+    that it has it already, if it failed between sending and acknowledging.
     """
     spark = events.sparkSession
     events = events.withColumn("journey_id", F.col("journey_id").cast("string"))
     acks = keyed.current(spark, state, _ACK)
     new = undrained(events, acks)
-    batch = f"{state}/_batch-{uuid.uuid4().hex}"
-    new.write.parquet(batch)  # sent and acknowledged are the same events, whatever arrives meanwhile
-    new = spark.read.schema(new.schema).parquet(batch)
-    outcome = sink(new).select(F.col("journey_id").cast("string").alias("journey_id"), "error")
-    outcome.write.parquet(f"{batch}-outcome")
-    outcome = spark.read.schema(outcome.schema).parquet(f"{batch}-outcome")
+    held = f"{state}/_batch-{uuid.uuid4().hex}"
+    new.write.parquet(held)  # sent and acknowledged are the same events, whatever arrives meanwhile
+    new = spark.read.schema(new.schema).parquet(held)
+    told = sink(new, batch) if getattr(sink, "by_batch", False) else sink(new)
+    outcome = told.select(F.col("journey_id").cast("string").alias("journey_id"), "error")
+    outcome.write.parquet(f"{held}-outcome")
+    outcome = spark.read.schema(outcome.schema).parquet(f"{held}-outcome")
     sent = new.groupBy("journey_id").agg(F.max("seq").alias("top"), F.min("seq").alias("low"), F.count_distinct("seq").alias("n"), F.count("*").alias("sent"))
     told = sent.join(outcome, "journey_id", "left")
     moved = told.where("error is null").select("journey_id", F.col("top").alias("seq"))
@@ -97,12 +101,13 @@ def drain_batch(events: DataFrame, state: str, sink: Callable[[DataFrame], DataF
 
 
 def file_sink(root: str, header: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A sink that appends to root/<journey>.jsonl; header gives (journey_id, line) of the events' journeys."""
+    """A sink that appends to root/<journey>.jsonl, a named batch once; header gives (journey_id, line) of the events' journeys."""
 
-    def send(events: DataFrame) -> DataFrame:
-        shards.append_wire(wire.rendered(events), header(events), root)
+    def send(events: DataFrame, batch: str | None = None) -> DataFrame:
+        shards.append_wire(wire.rendered(events), header(events), root, batch)
         return events.select("journey_id").distinct().withColumn("error", F.lit(None).cast("string"))
 
+    send.by_batch = True
     return send
 
 
@@ -110,9 +115,10 @@ def drain(stream: DataFrame, state: str, sink: Callable[[DataFrame], DataFrame],
     """drain_batch() of each micro-batch: once over what is there, or every 1 to 3600 seconds."""
     if every is not None and not 1 <= every <= 3600:
         raise ValueError("every must lie between 1 and 3600 seconds")
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # micro-batches are numbered by checkpoint
 
-    def step(batch: DataFrame, _: int) -> None:
-        outcome = drain_batch(batch, state, sink)
+    def step(batch: DataFrame, number: int) -> None:
+        outcome = drain_batch(batch, state, sink, f"{name}-{number}")
         if report:
             report(outcome)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import fold
+from loomline.sinks import shards
 from loomline.sources import wire
 from loomline.streaming import ingest
 
@@ -107,3 +108,31 @@ def test_rendered_events_of_a_stream_that_lacks_columns(spark):
         '{"event_id":"y","journey_id":"a","kind":"terminal","seq":1,"terminal":{}}',
         '{"event_id":"z","journey_id":"a","kind":"signal","seq":2,"signal":{}}',
     ]
+
+
+def test_a_batch_is_appended_once(spark, events, tmp_path):
+    """Run again whole, after half of a file was written, and next to other batches."""
+    root, file = str(tmp_path / "sunk"), tmp_path / "sunk" / "j.jsonl"
+    head = spark.createDataFrame([("j", '{"schema_version":"2.0"}')], "journey_id string, line string")
+    some, rest = wire.rendered(events.where("seq < 4")), wire.rendered(events.where("seq >= 4"))
+    assert shards.append_wire(some, head, root, "b1") == file.stat().st_size
+    first = file.read_bytes()
+    assert shards.append_wire(some, head, root, "b1") == 0 and file.read_bytes() == first
+    shards.append_wire(rest, head, root, "b2")
+    whole = file.read_bytes()
+    assert whole.startswith(first) and whole.count(b"schema_version") == 1 and whole.count(b"\n") == 11
+    file.write_bytes(whole[: len(first) + 50])  # the task was lost in the middle of a line
+    assert shards.append_wire(rest, head, root, "b2") == len(whole) - len(first) - 50 and file.read_bytes() == whole
+    file.write_bytes(first + b"something else")
+    with pytest.raises(Exception, match="other data"):
+        shards.append_wire(rest, head, root, "b2")
+
+
+def test_a_drain_that_failed_before_it_acknowledged_sends_nothing_twice(spark, events, tmp_path):
+    head = lambda e: e.select("journey_id").distinct().withColumn("line", F.lit('{"schema_version":"2.0"}'))
+    sink, file = ingest.file_sink(str(tmp_path / "sunk"), head), tmp_path / "sunk" / "j.jsonl"
+    sink(events, "b1")
+    once = file.read_bytes()
+    (row,) = ingest.drain_batch(events, str(tmp_path / "acks"), sink, "b1").collect()
+    assert row["sent"] == 10 and row["error"] is None and file.read_bytes() == once
+    assert ingest.drain_batch(events, str(tmp_path / "acks"), sink, "b2").count() == 0 and file.read_bytes() == once
