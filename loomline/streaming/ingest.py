@@ -47,10 +47,17 @@ def batch_verdicts(lines: DataFrame) -> DataFrame:
     return out.select("path", "rejected", "truncated", error.alias("error"))
 
 
-def admitted(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Events of the batches that are whole, once each, without those that ``stored`` (journey_id, event_id) has for that day."""
+def admitted(lines: DataFrame, stored: DataFrame | None = None, date: str | None = None) -> DataFrame:
+    """Events of the batches that are whole, once each, without those that ``stored`` (journey_id, event_id) has.
+
+    With a date, ``stored`` has a column ``date``, and what it has of other days
+    doesn't count: an event that comes again on another day is let in.  Where
+    stored is partitioned by date, other days aren't read.
+    """
     good = batch_verdicts(lines).where("error is null").select("path")
     e = wire.flat(wire.events(lines.join(good, "path", "left_semi"))).dropDuplicates(["journey_id", "event_id"])
+    if stored is not None and date is not None:
+        stored = stored.where(F.col("date") == date)
     return e if stored is None else e.join(stored.select("journey_id", "event_id"), ["journey_id", "event_id"], "left_anti")
 
 

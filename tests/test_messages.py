@@ -136,3 +136,16 @@ def test_a_drain_that_failed_before_it_acknowledged_sends_nothing_twice(spark, e
     (row,) = ingest.drain_batch(events, str(tmp_path / "acks"), sink, "b1").collect()
     assert row["sent"] == 10 and row["error"] is None and file.read_bytes() == once
     assert ingest.drain_batch(events, str(tmp_path / "acks"), sink, "b2").count() == 0 and file.read_bytes() == once
+
+
+def test_events_are_let_in_once_a_day(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "j.jsonl").write_text("\n".join(json.dumps(x) for x in [{"schema_version": "2.0", "journey_id": "j"}, *lines()]) + "\n")
+    spark.createDataFrame([("j", "e0", "2024-05-01"), ("j", "e1", "2024-05-02"), ("k", "e2", "2024-05-02")], "journey_id string, event_id string, date string").write.partitionBy("date").parquet(str(tmp_path / "stored"))
+    stored = spark.read.schema("journey_id string, event_id string, date string").parquet(str(tmp_path / "stored"))
+    posted = wire.lines(spark, str(tmp_path / "p"))
+    let_in = lambda *on: {r["event_id"] for r in ingest.admitted(posted, stored, *on).collect()}
+    every = {f"e{i}" for i in range(10)}
+    assert let_in("2024-05-01") == every - {"e0"} and let_in("2024-05-02") == every - {"e1"} and let_in("2024-05-03") == every and let_in() == every - {"e0", "e1"}
+    plan = ingest.admitted(posted, stored, "2024-05-02")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
