@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.text import safe_stem
@@ -124,12 +124,36 @@ def write_trajectories(trajectories: DataFrame, root: str) -> DataFrame:
     return write_files(named.mapInArrow(shown, "name string, content string"), root)
 
 
-def rotated(lines: DataFrame, root: str, max_rows: int = 100_000) -> DataFrame:
-    """Spool shards journeys/<id>/<date>.<n>.jsonl of at most max_rows events, a new one each day, each with its header.
+def rotated(lines: DataFrame, root: str, max_rows: int | None = None, max_bytes: int = 100_000_000) -> DataFrame:
+    """Spool shards journeys/<id>/<date>.<n>.jsonl, a new one each day and beyond a size, each with its header.
 
-    lines: journey_id, date, seq, line and head.
+    lines: journey_id, date, seq, line and head.  An event goes into the next
+    shard if the one before has max_bytes bytes already, header included, or
+    max_rows events.  Events are dealt out once, by journey and day, and a task
+    holds one shard of one journey at a time.
     """
-    n = F.row_number().over(Window.partitionBy("journey_id", "date").orderBy("seq")) - 1
-    shards = lines.withColumn("shard", F.floor(n / max_rows).cast("int")).groupBy("journey_id", "date", "shard").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"), F.first("head").alias("head"))
-    name = F.concat(F.lit("journeys/"), safe_stem(F.col("journey_id").cast("string")), F.lit("/"), "date", F.lit("."), F.col("shard").cast("string"), F.lit(".jsonl"))
-    return write_files(shards.select(name.alias("name"), F.concat("head", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content")), root)
+    names = ["journey_id", "date", "head", "line"]
+    rows = lines.select(safe_stem(F.col("journey_id").cast("string")).alias("journey_id"), "date", "seq", "head", "line")
+
+    def shards(batches):
+        key, n, held, size = None, 0, [], 0
+
+        def shard():
+            return pa.RecordBatch.from_arrays([pa.array([f"journeys/{key[0]}/{key[1]}.{n}.jsonl"]), pa.array(["".join(held)])], ["name", "content"])
+
+        for batch in batches:
+            for journey, date, head, line in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                full = size >= max_bytes or (max_rows is not None and len(held) > max_rows)
+                if key != (journey, date) or full:
+                    if held:
+                        yield shard()
+                    n = n + 1 if key == (journey, date) else 0
+                    key, held = (journey, date), [f"{head}\n"]
+                    size = len(held[0].encode())
+                held.append(f"{line}\n")
+                size += len(held[-1].encode())
+        if held:
+            yield shard()
+
+    dealt = rows.repartition("journey_id", "date").sortWithinPartitions("journey_id", "date", "seq")
+    return write_files(dealt.select(*names).mapInArrow(shards, "name string, content string"), root)

@@ -149,3 +149,20 @@ def test_events_are_let_in_once_a_day(spark, tmp_path):
     assert let_in("2024-05-01") == every - {"e0"} and let_in("2024-05-02") == every - {"e1"} and let_in("2024-05-03") == every and let_in() == every - {"e0", "e1"}
     plan = ingest.admitted(posted, stored, "2024-05-02")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_shards_rotate_by_bytes_and_by_day(spark, tmp_path):
+    rows = [(j, d, 10 * k + i, "é" * (5 + 3 * i), '{"h":1}') for j in ("a", "b/c") for k, d in enumerate(("2024-05-01", "2024-05-02")) for i in range(7)]
+    lines = spark.createDataFrame(rows, "journey_id string, date string, seq long, line string, head string").repartition(3)
+    written = {r["path"].rpartition("/journeys/")[2]: r["bytes"] for r in shards.rotated(lines, str(tmp_path), max_bytes=60).collect()}
+    want = {}
+    for j, d in {(r[0], r[1]) for r in rows}:
+        n, size = 0, 8
+        for r in sorted(x for x in rows if x[:2] == (j, d)):
+            if size >= 60:
+                n, size = n + 1, 8
+            size += len(r[3].encode()) + 1
+            want[j, d, n] = size
+    assert sorted(written.values()) == sorted(want.values()) and len(written) == len(want)
+    assert {k.rpartition("/")[2] for k in written} == {f"{d}.{n}.jsonl" for _, d, n in want}
+    assert (tmp_path / "journeys/a/2024-05-01.0.jsonl").read_text().startswith('{"h":1}\n' + "é" * 5 + "\n")
