@@ -57,11 +57,21 @@ def _stem():
 
 @_query("select conv_id, cast(count(*) filter (where conv_id % 10 <> 3) as bigint) as ok, cast(case when conv_id % 10 = 3 then count(*) when conv_id % 10 = 7 then 1 else 0 end as bigint) as rejected, conv_id % 10 = 8 as truncated, coalesce(cast(sum(length(text)) filter (where conv_id % 10 <> 3) as bigint), 0) as chars from conversations group by conv_id")
 def scan_wire(spark, sf):
-    e = wire.events(wire.lines(spark, _wire(spark, sf)))
+    return _scanned(wire.lines(spark, _wire(spark, sf)))
+
+
+def _scanned(lines):
+    e = wire.events(lines)
     found = e.groupBy(_stem().alias("conv_id"))
     return found.agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "rejected").alias("rejected"), F.max(F.col("state") == "truncated").alias("truncated"), F.coalesce(F.sum(F.length("event.message.content")), F.lit(0)).cast("long").alias("chars"))
 
 
+# The same by ranges of 1,000 bytes, so that files lie in several.
+@_query(SQL["scan_wire"])
+def scan_wire_by_range(spark, sf):
+    return _scanned(wire.ranged_lines(spark, _wire(spark, sf), range_bytes=1000))
+
+
 @_query("select distinct conv_id, case when conv_id % 10 = 3 then '3.0' else '2.1' end as version, case when conv_id % 10 = 3 then 'unknown major version' end as error from conversations")
 def scan_headers(spark, sf):
     return wire.scan_headers(spark, _wire(spark, sf)).select(_stem().alias("conv_id"), "version", "error")

@@ -48,6 +48,32 @@ def read_from(uri: str, offset: int, step: int = 1 << 22) -> Iterator[bytes]:
             yield part
 
 
+def owned_lines(uri: str, begin: int, end: int, step: int = 1 << 20) -> Iterator[tuple[bytes, bool]]:
+    """(line without its end, whether it has none) of the lines that start in a range of a file; one that goes on beyond it is read to its end."""
+    foreign = begin > 0  # bytes of a line that starts before the range
+    at = start = max(begin - 1, 0)
+    parts: list[bytes] = []
+    for chunk in read_from(uri, at, step):
+        if foreign and at >= end:
+            return
+        at += len(chunk)
+        *whole, rest = chunk.split(b"\n")
+        for piece in whole:
+            line = b"".join([*parts, piece])
+            parts = []
+            if not foreign:
+                yield line, False
+                start += len(line) + 1
+            else:
+                foreign, start = False, at - len(chunk) + len(piece) + 1
+            if start >= end:
+                return
+        if not foreign:
+            parts.append(rest)
+    if any(parts):
+        yield b"".join(parts), True
+
+
 def write_whole(uri: str, data: bytes, attempt: str = "0") -> None:
     """A file that is there whole or not at all."""
     fs, path = opened(uri)

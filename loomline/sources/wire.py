@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.sources import files
@@ -52,6 +54,54 @@ def lines(spark: SparkSession, path: str, version_key: str = VERSION_KEY, glob:
     return kept.select("path", (F.col("line_no") + 1).alias("line_no"), "line", (F.col("_open") & (F.col("line_no") + 1 == F.col("_n"))).alias("last_open"), "refused")
 
 
+def ranged_lines(spark: SparkSession, path: str, version_key: str = VERSION_KEY, glob: str | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """What lines() gives, of files that are read by ranges: a file of any size is many tasks.
+
+    A range has the lines that start in it.  A first pass counts them and tells
+    whether they are UTF-8; sums of the counts give each range its first line's
+    number, and the file's first line says whether the file is refused.  Then
+    ranges are read again, each by itself; the one with the file's last line
+    tells whether that has an end.
+    """
+    found = _listed(spark, path, glob).where("length > 0").select("path", F.col("length").alias("size"))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin")
+    ranges = found.select("path", begin).repartition("path", "begin")
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, valid, first = 0, True, None
+                for line, _ in files.owned_lines(name, at, at + range_bytes):
+                    n, first = n + 1, line if at == 0 and n == 0 else first
+                    try:
+                        line.decode()
+                    except UnicodeDecodeError:
+                        valid = False
+                out.append((name, at, n, valid, first))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["path", "begin", "n", "valid", "first"])
+
+    each, upto = Window.partitionBy("path"), Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranges.mapInArrow(count, "path string, begin long, n long, valid boolean, first binary")
+    first = F.max(F.make_valid_utf8(F.col("first").cast("string"))).over(each)
+    told = counted.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "_valid": F.min("valid").over(each), "_first": first})
+    plan = told.select("path", "begin", "before", F.when(~F.col("_valid"), "not UTF-8").otherwise(_refusal(F.col("_first"), version_key)).alias("refused"))
+
+    def read(batches):
+        for batch in batches:
+            for name, at, before, refused in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = files.owned_lines(name, at, at + range_bytes)
+                while some := list(itertools.islice(lines, 4096)):
+                    numbers = pa.array(range(before + 1, before + 1 + len(some)), pa.int32())
+                    before += len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), numbers, pa.array([x for x, _ in some], pa.binary()), pa.array([o for _, o in some]), pa.array([refused] * len(some), pa.string())], ["path", "line_no", "bytes", "last_open", "refused"])
+
+    rows = plan.repartition("path", "begin").mapInArrow(read, "path string, line_no int, bytes binary, last_open boolean, refused string")
+    line = F.make_valid_utf8(F.col("bytes").cast("string")).alias("line")
+    return rows.select("path", "line_no", line, "last_open", "refused").where((F.trim("line") != "") | (F.col("line_no") == 1))
+
+
 def _header_columns(first: DataFrame, version_key: str) -> DataFrame:
     refused = F.col("refused") if "refused" in first.columns else _refusal(F.col("line"), version_key)
     return first.select("path", F.get_json_object("line", f"$.{version_key}").alias("version"), F.from_json("line", HEADER).alias("header"), refused.alias("error"))

@@ -166,3 +166,14 @@ def test_shards_rotate_by_bytes_and_by_day(spark, tmp_path):
     assert sorted(written.values()) == sorted(want.values()) and len(written) == len(want)
     assert {k.rpartition("/")[2] for k in written} == {f"{d}.{n}.jsonl" for _, d, n in want}
     assert (tmp_path / "journeys/a/2024-05-01.0.jsonl").read_text().startswith('{"h":1}\n' + "é" * 5 + "\n")
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1 << 20])
+def test_ranges_give_the_lines_of_whole_files(spark, tmp_path, size):
+    head = b'{"schema_version":"2.0","journey_id":"j"}'
+    contents = [head + b"\n{}\n\n  \n" + "é".encode() * 40 + b"\n{", head + b"\n{}\n", b"\n\n{}\n", b"no header\n{}\n", head + b"\n\xff\xfe{}\n{}", head, b"\n", b""]
+    for i, c in enumerate(contents if size > 1 else contents[2:4] + contents[6:]):
+        (tmp_path / f"f{i}.jsonl").write_bytes(c)
+    rows = lambda df: sorted(tuple(r) for r in df.select("path", "line_no", "line", "last_open", F.coalesce("refused", F.lit("-"))).collect())
+    want = rows(wire.lines(spark, str(tmp_path)))
+    assert want and rows(wire.ranged_lines(spark, str(tmp_path), range_bytes=size)) == want
