@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import documents as docs_of
 from loomline.functions import redaction
-from loomline.operators import catalog, documents, fold, turns
+from loomline.operators import catalog, documents, fold, turns, usage
 from loomline.plans.journeys import _PARSED, _WIRE, _filled
 from loomline.plans.queries import _FOLD, _RAW, QUERIES, SQL, _query
 from loomline.sinks import keyed, reports, shards
@@ -111,7 +111,45 @@ def wire_round_trip(spark, sf):
     shards.write_wire(_lines(spark, sf), _heads(spark, sf), root).write.format("noop").mode("overwrite").save()
     e, call = wire.flat(wire.events(wire.lines(spark, root))), F.get("tool_calls", F.lit(0))
     said = {"call_id": F.coalesce("tool_id", call["id"]), "call_name": F.coalesce("tool_name", call["name"]), "call_args": call["arguments"]}
-    return e.withColumns(said).withColumn("calls", F.col("calls").cast("int")).drop("arrival", "tool_calls", "tool_id", "tool_name", "reasoning", "tool_definitions")
+    return e.withColumns(said).withColumn("calls", F.col("calls").cast("int")).drop("arrival", "tool_calls", "tool_id", "tool_name", "reasoning", "tool_definitions", "usage")
+
+
+# Usage as four providers report it, by conv_id % 4, read back from wire files; the agent's second message says nothing, the third no number.
+_USAGE = {
+    0: '{"prompt_tokens":%p,"completion_tokens":%c,"total_tokens":%t,"cost":0.5}',
+    1: '{"input_tokens":%p,"output_tokens":%c}',
+    2: '{"promptTokenCount":%p,"candidatesTokenCount":%c,"totalTokenCount":%t}',
+    3: '{"promptTokens":%p,"completionTokens":%c}',
+}
+_USED = """with m as (select conv_id, turn, role, text, row_number() over (partition by conv_id, role order by turn) as nth, coalesce(lag(role) over (partition by conv_id order by turn), 'user') as before from conversations
+), u as (select *, role = 'assistant' and nth not in (2, 3) as says, sum(case when role = 'user' and before <> 'user' then 1 else 0 end) over (partition by conv_id order by turn) as t from m
+), s as (select conv_id, t, count(*) as messages, coalesce(sum(length(text)) filter (where says), 0) as p, coalesce(sum(turn + 1) filter (where says), 0) as c, 0.5::double * count(*) filter (where says and conv_id % 4 = 0) as cost from u group by all) """
+
+
+def _used(spark, sf) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    prompt, completion = F.length("text"), F.col("turn") + 1
+    said = F.lit(None).cast("string")
+    for k, form in _USAGE.items():
+        made = F.replace(F.replace(F.replace(F.lit(form), F.lit("%p"), prompt.cast("string")), F.lit("%c"), completion.cast("string")), F.lit("%t"), (prompt + completion).cast("string"))
+        said = F.when(F.col("conv_id") % 4 == k, made).otherwise(said)
+    said = F.when(F.col("role") == "assistant", F.when(nth == 3, '{"prompt_tokens":"many","total_tokens":null}').when(nth != 2, said))
+    e = c.select(F.col("conv_id").alias("journey_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"), "role", F.col("text").alias("content"), said.alias("usage"))
+    heads = c.select(F.col("conv_id").alias("journey_id")).distinct().select("journey_id", shards.header_line("journey_id").alias("line"))
+    root = folder(spark, "used")
+    shards.write_wire(wire.rendered(e), heads, root).write.format("noop").mode("overwrite").save()
+    return wire.flat(wire.events(wire.lines(spark, root)))
+
+
+@_query(_USED + "select cast(conv_id as varchar) as journey_id, cast(t as bigint) as turn, messages, cast(p as bigint) as prompt_tokens, cast(c as bigint) as completion_tokens, cast(p + c as bigint) as total_tokens, cost as total_cost from s")
+def usage_by_turn(spark, sf):
+    return usage.by_turn(_used(spark, sf))
+
+
+@_query(_USED + "select cast(conv_id as varchar) as journey_id, cast(sum(messages) as bigint) as messages, cast(nullif(sum(p), 0) as bigint) as prompt_tokens, cast(nullif(sum(c), 0) as bigint) as completion_tokens, cast(nullif(sum(p + c), 0) as bigint) as total_tokens, nullif(sum(cost), 0.0) as total_cost from s group by 1")
+def usage_by_journey(spark, sf):
+    return usage.by_journey(_used(spark, sf))
 
 
 # Written twice: whole files first, then what comes after seq 2 is appended, without a second header.

@@ -172,6 +172,7 @@ def flat(scanned: DataFrame) -> DataFrame:
         F.col("event.message.tool_response.name").alias("tool_name"),
         "event.message.reasoning",
         "event.message.tool_definitions",
+        "event.message.usage",
     )
 
 
@@ -205,7 +206,7 @@ def rendered(events: DataFrame) -> DataFrame:
     result = F.when(tool, F.struct(of("error").alias("error"), of("tool_id").alias("id"), of("tool_name").alias("name"), of("response").alias("response")))
     flags = _object(interrupted=F.when(of("flag") == "interrupted", F.lit(True)), summarization=F.when(of("flag") == "summarization", F.lit(True)))
     payloads = {
-        "message": F.struct(of("content").alias("content"), flags.alias("metadata"), of("reasoning").alias("reasoning"), of("role").alias("role"), call.alias("tool_calls"), defined.alias("tool_definitions"), result.alias("tool_response")),
+        "message": F.struct(of("content").alias("content"), flags.alias("metadata"), of("reasoning").alias("reasoning"), of("role").alias("role"), call.alias("tool_calls"), defined.alias("tool_definitions"), result.alias("tool_response"), F.try_parse_json(of("usage")).alias("usage")),
         "signal": F.struct(of("signal").alias("signal"), of("target_seq", "long").alias("target_seq")),
         "reward": F.struct(of("reward", "double").alias("aggregated_value")),
         "terminal": F.struct(of("error").alias("error"), of("reason").alias("termination_reason")),
