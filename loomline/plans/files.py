@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,12 +23,7 @@ __all__ = ["QUERIES", "SQL"]
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/loomline-{uuid.uuid4().hex}/{name}"
+    return f"{layouts.shared(spark)}/loomline-{uuid.uuid4().hex}/{name}"
 
 
 # ---- wire files: a file a conversation, an event a line; some lines and some files are damaged
@@ -72,6 +66,16 @@ def scan_wire_by_range(spark, sf):
     return _scanned(wire.ranged_lines(spark, _wire(spark, sf), range_bytes=1000))
 
 
+# A sweep of objects, of which some have gone between listing and reading (conv_id % 10 = 5): a row of its error for each.
+@_query("select conv_id, case conv_id % 10 when 3 then 'unknown major version' when 5 then 'FileNotFoundError' end as error, cast(case when conv_id % 10 in (3, 5) then 0 else count(*) + 1 + case when conv_id % 10 in (7, 8) then 1 else 0 end end as bigint) as lines from conversations group by conv_id")
+def sweep_objects(spark, sf):
+    found = layouts.listing(spark, _wire(spark, sf))
+    gone = F.when(_stem() % 10 == 5, F.regexp_replace("path", "/wire/", "/gone/")).otherwise(F.col("path"))
+    rows = wire.swept(found.select(gone.alias("path"), "size"), range_bytes=1000)
+    read = F.count_if(F.col("refused").isNull() & (F.trim("line") != ""))
+    return rows.groupBy(_stem().alias("conv_id")).agg(F.max(F.when(F.col("refused").startswith("FileNotFoundError"), "FileNotFoundError").otherwise(F.col("refused"))).alias("error"), read.alias("lines"))
+
+
 @_query("select distinct conv_id, case when conv_id % 10 = 3 then '3.0' else '2.1' end as version, case when conv_id % 10 = 3 then 'unknown major version' end as error from conversations")
 def scan_headers(spark, sf):
     return wire.scan_headers(spark, _wire(spark, sf)).select(_stem().alias("conv_id"), "version", "error")

@@ -121,6 +121,17 @@ def append_at(uri: str, offset: int, data: bytes) -> int:
     return len(rest)
 
 
+def listed(uri: str, suffix: str = "") -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the files in a folder itself, and (path, -1) of the folders in it; nothing where there is none."""
+    fs, path = opened(uri)
+    at = uri.rstrip("/")
+    for i in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+        if i.type == pa.fs.FileType.Directory:
+            yield f"{at}/{i.base_name}", -1
+        elif i.type == pa.fs.FileType.File and i.base_name.endswith(suffix):
+            yield f"{at}/{i.base_name}", i.size
+
+
 def names(uri: str) -> list[str]:
     """The names of what is in a folder; nothing where there is none."""
     fs, path = opened(uri)

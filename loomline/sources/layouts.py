@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,14 @@ def _is_date(c: Column) -> Column:
     return F.coalesce(c.rlike(f"^{_DATE}$") & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on one machine a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or "file://" + tempfile.gettempdir()).rstrip("/")
+
+
 def spool(spark: SparkSession, root: str) -> DataFrame:
     """Lines of journeys/<id>/<date>.<n>.jsonl with journey, date and shard; a journey's shards follow each other by date and number."""
     rows = wire.lines(spark, f"{root}/journeys", glob="*.jsonl")
@@ -54,6 +67,42 @@ def objects(spark: SparkSession, uri: str) -> DataFrame:
     return wire.lines(spark, uri, glob="*.jsonl")
 
 
+def listing(spark: SparkSession, uri: str, suffix: str = ".jsonl", levels: int = 64) -> DataFrame:
+    """(path, size) of all files under a URI by suffix, listed a level of folders at a time, each folder in a task.
+
+    Levels are written to the shared folder as they are found, so neither
+    folders nor files pass through the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column("path").to_pylist():
+                found = files.listed(at, suffix)
+                while some := list(itertools.islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some]), pa.array([n for _, n in some], pa.int64())], ["path", "size"])
+
+    root, out = f"{shared(spark)}/loomline-{uuid.uuid4().hex}", []
+    at = spark.createDataFrame([(uri,)], "path string")
+    for level in range(levels):
+        at.mapInArrow(run, "path string, size long").write.parquet(f"{root}/{level}")
+        found = spark.read.schema("path string, size long").parquet(f"{root}/{level}")
+        out.append(found.where("size >= 0"))
+        at = found.where("size < 0").select("path").repartition(spark.sparkContext.defaultParallelism)
+        if not at.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, out)
+    raise ValueError(f"folders lie more than {levels} levels deep")
+
+
+def sweep(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of all *.jsonl objects under a URI that can be read, and (path, error) of each that can't.
+
+    An object that can't be opened, isn't UTF-8, is empty or has no good header
+    is a row of the second and has none in the first; the rest is read by ranges.
+    """
+    rows = wire.swept(listing(spark, uri))
+    return rows.where("refused is null"), rows.where("line_no = 1 and refused is not null").select("path", F.col("refused").alias("error"))
+
+
 def journey_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, document): whole *.json files."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)

@@ -64,36 +64,63 @@ def ranged_lines(spark: SparkSession, path: str, version_key: str = VERSION_KEY,
     tells whether that has an end.
     """
     found = _listed(spark, path, glob).where("length > 0").select("path", F.col("length").alias("size"))
-    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin")
+    return _ranged(found, version_key, range_bytes)
+
+
+def swept(listed: DataFrame, version_key: str = VERSION_KEY, range_bytes: int = 64 << 20) -> DataFrame:
+    """ranged_lines() of the objects of a listing (path, size) that goes on where one can't be read.
+
+    Such an object, and an empty one, is a single row with line_no 1, no line
+    and the reason in refused.  Only what fails at its first opening counts as
+    that; one that fails later, after its lines were counted, fails the task,
+    which Spark runs again.
+    """
+    return _ranged(listed.select("path", "size"), version_key, range_bytes, sweep=True)
+
+
+def _ranged(found: DataFrame, version_key: str, range_bytes: int, sweep: bool = False) -> DataFrame:
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("begin")
     ranges = found.select("path", begin).repartition("path", "begin")
 
     def count(batches):
         for batch in batches:
             out = []
             for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, valid, first = 0, True, None
-                for line, _ in files.owned_lines(name, at, at + range_bytes):
-                    n, first = n + 1, line if at == 0 and n == 0 else first
-                    try:
-                        line.decode()
-                    except UnicodeDecodeError:
-                        valid = False
-                out.append((name, at, n, valid, first))
+                n, valid, first, error = 0, True, None, None
+                try:
+                    for line, _ in files.owned_lines(name, at, at + range_bytes):
+                        n, first = n + 1, line if at == 0 and n == 0 else first
+                        try:
+                            line.decode()
+                        except UnicodeDecodeError:
+                            valid = False
+                except (OSError, ValueError) as e:
+                    if not sweep:
+                        raise
+                    error = f"{type(e).__name__}: {e}"
+                out.append((name, at, n, valid, first, error))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["path", "begin", "n", "valid", "first"])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["path", "begin", "n", "valid", "first", "error"])
 
     each, upto = Window.partitionBy("path"), Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranges.mapInArrow(count, "path string, begin long, n long, valid boolean, first binary")
+    counted = ranges.mapInArrow(count, "path string, begin long, n long, valid boolean, first binary, error string")
     first = F.max(F.make_valid_utf8(F.col("first").cast("string"))).over(each)
-    told = counted.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "_valid": F.min("valid").over(each), "_first": first})
-    plan = told.select("path", "begin", "before", F.when(~F.col("_valid"), "not UTF-8").otherwise(_refusal(F.col("_first"), version_key)).alias("refused"))
+    told = counted.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "_valid": F.min("valid").over(each), "_first": first, "_error": F.min("error").over(each), "_lines": F.sum("n").over(each)})
+    refused = F.when(~F.col("_valid"), "not UTF-8").otherwise(_refusal(F.col("_first"), version_key))
+    if sweep:
+        lost = F.when(F.col("_error").isNotNull(), F.col("_error")).when(F.col("_lines") == 0, "empty file")
+        told, refused = told.withColumn("_lost", lost).where("_lost is null or begin = 0"), F.coalesce(F.col("_lost"), refused)
+    else:
+        told = told.withColumn("_lost", F.lit(None).cast("string"))
+    plan = told.select("path", "begin", "before", refused.alias("refused"), F.col("_lost").isNotNull().alias("lost"))
 
     def read(batches):
         for batch in batches:
-            for name, at, before, refused in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = files.owned_lines(name, at, at + range_bytes)
+            for name, at, before, refused, lost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = iter([(None, False)]) if lost else files.owned_lines(name, at, at + range_bytes)
                 while some := list(itertools.islice(lines, 4096)):
-                    numbers = pa.array(range(before + 1, before + 1 + len(some)), pa.int32())
+                    numbers = pa.array(range(before + 1, before + 1 + len(some)), pa.int32()) if not lost else pa.array([1], pa.int32())
                     before += len(some)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), numbers, pa.array([x for x, _ in some], pa.binary()), pa.array([o for _, o in some]), pa.array([refused] * len(some), pa.string())], ["path", "line_no", "bytes", "last_open", "refused"])
 
