@@ -14,7 +14,7 @@ from loomline.operators import catalog, documents, fold, turns, usage
 from loomline.plans.journeys import _PARSED, _WIRE, _filled
 from loomline.plans.queries import _FOLD, _RAW, QUERIES, SQL, _query
 from loomline.sinks import keyed, reports, shards
-from loomline.sources import files, layouts, wire
+from loomline.sources import files, layouts, tail, wire
 from loomline.sources.tables import events, headers, table
 from loomline.streaming import ingest, state
 
@@ -242,6 +242,24 @@ def tail_metrics(spark, sf):
     return passes[0].unionByName(passes[1]).select(F.get_json_object("value", "$.id").cast("long").alias("id"), "pass")
 
 
+# The same by a stream that is stopped and started again; its checkpoint holds the sizes.
+@_query(SQL["tail_metrics"])
+def tail_stream(spark, sf):
+    root, out = _ndjson(spark, sf), folder(spark, "tailed")
+    for n in (1, 2):
+
+        def keep(batch, number, n=n):
+            batch.withColumn("pass", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+        rows = tail.stream(spark, root, range_bytes=1 << 20)
+        rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        if n == 1:
+            for k in range(5):
+                end = "\n" if k == 4 else ""
+                files.append(f"{root}/m{k}.ndjson", b"", f'{end}{{"id":{1000000 + k}}}\n'.encode())
+    return spark.read.schema("path string, value string, pass int").parquet(f"{out}/rows").select(F.get_json_object("value", "$.id").cast("long").alias("id"), "pass")
+
+
 # ---- small documents
 
 
@@ -570,6 +588,18 @@ def render_journey(spark, sf):
     return text.select("journey_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
 
 
+# The page after the first 1,000 events by size and id, and the last one, off an index of their order.
+@_query("select event_id, event_type, value, p.name as page, case when p.name = 'later' then '" + catalog.encode_cursor(1100) + "' end as next_cursor, p.name = 'later' as has_more, n as total from (select event_id, event_type, value, row_number() over (order by value desc nulls last, event_id) - 1 as i, count(*) over () as n from events) e, (values ('later'), ('last')) p(name) where (p.name = 'later' and i between 1000 and 1099) or (p.name = 'last' and i >= n - 7)")
+def indexed_pages(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    root = folder(spark, "pages")
+    catalog.index_order(e, [F.desc_nulls_last("value"), F.col("event_id")], root)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
+    later = catalog.indexed_page(spark, root, kind, catalog.encode_cursor(1000), 100)
+    last = catalog.indexed_page(spark, root, kind, catalog.encode_cursor(e.count() - 7), 100)
+    return later.withColumn("page", F.lit("later")).unionByName(last.withColumn("page", F.lit("last")))
+
+
 @_query("select cast(ceil(count(*) / 100.0) as bigint) as pages, cast(count(*) as bigint) as rows from nation cross join region")
 def cursor_exhaustion(spark, sf):
     rows = table(spark, sf, "nation").crossJoin(F.broadcast(table(spark, sf, "region"))).select("n_nationkey", "r_regionkey")  # 125 rows
