@@ -16,7 +16,7 @@ from loomline.plans.queries import _FOLD, _RAW, QUERIES, SQL, _query
 from loomline.sinks import keyed, reports, shards
 from loomline.sources import files, layouts, tail, wire
 from loomline.sources.tables import events, headers, table
-from loomline.streaming import ingest, state
+from loomline.streaming import index, ingest, state
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -93,6 +93,22 @@ def ingest_dedupe(spark, sf):
     return ingest.admitted(wire.lines(spark, _wire(spark, sf)), stored).select("journey_id", "seq")
 
 
+# Lines by state over all files, kept while files change (conv_id % 3 = 0: cut to an event) and go (conv_id % 7 = 0).
+@_query("select state as key, cast(sum(n) as bigint) as n from (select conv_id, unnest(['ok', 'rejected', 'truncated']) as state, unnest([case when conv_id % 3 = 0 then 1 when conv_id % 10 = 3 then 0 else count(*) end, case when conv_id % 3 = 0 then 0 when conv_id % 10 = 3 then count(*) when conv_id % 10 = 7 then 1 else 0 end, case when conv_id % 3 <> 0 and conv_id % 10 = 8 then 1 else 0 end]) as n from conversations where conv_id % 7 <> 0 group by conv_id) group by 1 having sum(n) > 0")
+def index_refresh(spark, sf):
+    root, at = _wire(spark, sf), folder(spark, "index")
+
+    def states(changed):
+        return wire.events(wire.swept(changed)).select("path", F.col("state").alias("key"), F.lit(1).alias("n"))
+
+    index.refresh(spark, at, ingest.listing(spark, root), states)
+    line = F.concat(F.lit('{"journey_id":"j","schema_version":"2.1"}\n{"event_id":"e","journey_id":"j","kind":"terminal","seq":0,"terminal":{"termination_reason":"'), F.col("conv_id").cast("string"), F.lit('"}}\n'))
+    cut = table(spark, sf, "conversations").where("conv_id % 3 = 0").select("conv_id").distinct()
+    shards.write_files(cut.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("name"), line.alias("content")), root).write.format("noop").mode("overwrite").save()
+    index.refresh(spark, at, ingest.listing(spark, root).where(_stem() % 7 != 0), states)
+    return index.totals(spark, at)
+
+
 @_query("select 'c' || conv_id || '.jsonl' as name, cast(count(*) + 1 + case conv_id % 10 when 7 then 1 when 8 then 1 else 0 end as bigint) as rows, cast(count(*) + 1 + case conv_id % 10 when 7 then 2 when 8 then 1 else 0 end as bigint) as lines from conversations group by conv_id")
 def export_shards(spark, sf):
     return wire.shard_inventory(spark, _wire(spark, sf)).orderBy("name").select("name", "rows", "lines")

@@ -120,6 +120,21 @@ def upsert(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], ord
     return _changed(spark, root, new.withColumn(_GONE, F.lit(False)), keys, _schema(rows.schema.fields), buckets)
 
 
+def replace(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], gone: str, buckets: int = BUCKETS) -> DataFrame:
+    """Upsert rows and take out those whose boolean column ``gone`` holds, at once: readers see all of it or nothing.  Keys must differ."""
+    return _changed(spark, root, rows.withColumnRenamed(gone, _GONE), keys, _schema([f for f in rows.schema.fields if f.name != gone]), buckets)
+
+
+def lookup(spark: SparkSession, root: str, schema: str, wanted: DataFrame) -> DataFrame:
+    """The rows in force of some keys, none of them null; wanted has the key columns.  No other buckets than theirs are read."""
+    table = _manifest(root)
+    if table is None:
+        return spark.createDataFrame([], schema)
+    keys = wanted.select(*table["keys"])
+    mine = {r[0] for r in keys.select(_bucket(table["keys"], table["buckets"])).distinct().collect()}  # as many as buckets at most
+    return _read(spark, root, schema, table, mine).drop(_BUCKET).join(keys.distinct(), table["keys"], "left_semi")
+
+
 def delete(spark: SparkSession, root: str, gone: DataFrame, schema: str) -> DataFrame:
     """Take the rows of some keys out; gone has the key columns."""
     table = _manifest(root)
