@@ -67,6 +67,22 @@ def plan(counts: dict[int, int], n_shards: int, slack: float = 0.0, virtual_node
     return runs
 
 
+def _ranked_by_range(work: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """Rows with _rank, their place from 0 in their _cell, without a task that has a whole cell.
+
+    Rows are cut into ranges of cell and order, equal ones by a number that they
+    get once, so that a task that runs again deals them alike.
+    """
+    numbered = materialise(work.withColumn("_salt", F.monotonically_increasing_id()), "hot")
+    cut = numbered.repartitionByRange(parts, "_cell", *order, "_salt").sortWithinPartitions("_cell", *order, "_salt")
+    cut = materialise(cut.drop("_salt").withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(F.col("_cell").alias("_c0"), F.col("_range").alias("_p0")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n0"))  # a row for each range and cell that meet
+    before = Window.partitionBy("_c0").orderBy("_p0").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n0").over(before), F.lit(0)))
+    both = cut.join(sizes, (F.col("_cell") == F.col("_c0")) & (F.col("_range") == F.col("_p0")))
+    return both.withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_c0", "_p0", "_first", "_n0", "_before")
+
+
 def shard_rows(rows: DataFrame, n_shards: int = 8, key: str = "doc_id", tie: str | None = None, slack: float = 0.0) -> DataFrame:
     """Add home_shard, shard and slot (gapless from 0 in each shard) to rows, in the place of columns of these names.
 
@@ -76,10 +92,9 @@ def shard_rows(rows: DataFrame, n_shards: int = 8, key: str = "doc_id", tie: str
     apart.  An empty table stays empty.
 
     The counts of cells that reach the driver are bounded by the ring's
-    resolution, as is the plan that comes back as a join.  A cell of more than
-    HOT rows, as many null or equal keys make, is ranked in parts of about as
-    many, one after the other; parts are dealt by row, so the order in them
-    depends on that of the input.
+    resolution, as is the plan that comes back as a join.  Cells of more than
+    HOT rows are ranked in ranges of about as many, by the same order: where a
+    row goes depends neither on that bound nor on how the input is split.
     """
     spark = rows.sparkSession
     if n_shards < 1:
@@ -87,24 +102,16 @@ def shard_rows(rows: DataFrame, n_shards: int = 8, key: str = "doc_id", tie: str
     new = ("home_shard", "shard", "slot")
     place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")))
     cell = F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")
-    work = rows.select(F.struct(*(c for c in rows.columns if c not in new)).alias("_row"), place.alias("_place"), cell.alias("_cell"), F.col(key).alias("_key"), (F.col(tie) if tie else F.lit(None)).alias("_tie"))
+    work = rows.select(F.struct(*(c for c in rows.columns if c not in new)).alias("_row"), place.alias("_place"), cell.alias("_cell"), F.col(key).alias("_key"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("_tie"))
     counts = {r["_cell"]: r["n"] for r in work.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    hot = [(c, -(-n // HOT)) for c, n in counts.items() if n > HOT]
-    part, offset = F.lit(0), F.lit(0)
-    if hot:
-        # rows get their part once, and keep it: a task that runs again must not deal them anew
-        parts = spark.createDataFrame(hot, "_hot int, _parts int")
-        dealt = work.withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(parts), F.col("_cell") == F.col("_hot"), "left")
-        work = materialise(dealt.withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_key", "_tie", "_i"), F.col("_parts"))).otherwise(0).cast("int")).drop("_i", "_hot", "_parts"), "dealt")
-        sizes = work.groupBy(F.col("_cell").alias("_c0"), F.col("_part").alias("_p0")).agg(F.count("*").alias("_n0"))
-        before = Window.partitionBy("_c0").orderBy("_p0").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n0").over(before), F.lit(0))).where("_before > 0").drop("_n0")  # a row for every HOT rows
-        work = work.join(sizes, (F.col("_cell") == F.col("_c0")) & (F.col("_part") == F.col("_p0")), "left")
-        part, offset = F.col("_part"), F.coalesce("_before", F.lit(0))
+    hot = sorted(c for c, n in counts.items() if n > HOT)
     runs = plan(counts, n_shards, slack)
     moves = spark.createDataFrame(runs or [(0, 0, 0, 0, 0, 0)], "_c int, home_shard int, _from long, _to long, shard int, _slot long")
-    order = Window.partitionBy("_cell", part).orderBy("_place", "_key", "_tie") if hot else Window.partitionBy("_cell").orderBy("_place", "_key", "_tie")
-    ranked = work.withColumn("_rank", F.row_number().over(order) - 1 + offset)
+    order = ["_place", "_key", "_tie"]
+    cold = work.where(~F.col("_cell").isin(hot)) if hot else work
+    ranked = cold.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1)
+    if hot:
+        ranked = ranked.unionByName(_ranked_by_range(work.where(F.col("_cell").isin(hot)), order, -(-sum(counts[c] for c in hot) // HOT)))
     placed = ranked.join(F.broadcast(moves), (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select("_row.*", "home_shard", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 

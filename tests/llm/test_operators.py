@@ -449,13 +449,18 @@ def test_shards_match_a_row_by_row_ring(spark, docs):
     assert Counter((x["doc_id"], x["text_crc32"], x["shard"], x["slot"]) for x in sharding.shard_documents(docs).collect()) == want
 
 
-def test_hot_cells_are_ranked_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HOT", 50)
-    rows = spark.createDataFrame([(None, k % 7) for k in range(700)] + [(k, 0) for k in range(400)], "doc_id long, t int").repartition(5)
-    got = sharding.shard_rows(rows, 8, "doc_id", "t").collect()
-    sizes = Counter(x["shard"] for x in got)
-    assert len(got) == 1100 and max(sizes.values()) - min(sizes.values()) <= 1
-    assert all(sorted(x["slot"] for x in got if x["shard"] == k) == list(range(sizes[k])) for k in sizes)
+@pytest.mark.parametrize("hot", [2, 50, 450])
+def test_places_depend_neither_on_hot_cells_nor_on_the_split(spark, monkeypatch, hot):
+    rows = [(None, k % 7) for k in range(700)] + [(k, k % 3) for k in range(400)] + [(5, 9)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, t int")
+    want = Counter(map(tuple, sharding.shard_rows(docs, 8, "doc_id", "t").collect()))
+    monkeypatch.setattr(sharding, "HOT", hot)
+    for n in (3, 7):
+        got = [tuple(x) for x in sharding.shard_rows(docs.repartition(n), 8, "doc_id", "t").collect()]
+        assert Counter(got) == want
+        sizes = Counter(x[3] for x in got)
+        assert len(got) == 1400 and max(sizes.values()) - min(sizes.values()) <= 1
+        assert all(sorted(x[4] for x in got if x[3] == k) == list(range(sizes[k])) for k in sizes)
 
 
 def test_stages_keep_columns_of_any_name(spark):
