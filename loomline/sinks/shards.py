@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import uuid
 
@@ -39,6 +40,19 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("name", "content").mapInArrow(run, _WRITTEN)
 
 
+def write_roster(products: DataFrame, root: str, per_file: int = 10_000) -> DataFrame:
+    """Write products, JSON objects in the column ``product``, as documents {"products": [...]} of at most per_file each; returns what write_files() does."""
+
+    def documents(batches):
+        lines = (x for batch in batches for x in batch.column("product").to_pylist())
+        part, n = TaskContext.get().partitionId(), 0
+        while some := list(itertools.islice(lines, per_file)):
+            yield pa.RecordBatch.from_arrays([pa.array([f"products-{part:05d}-{n:05d}.json"]), pa.array(['{"products":[' + ",".join(some) + "]}"])], ["name", "content"])
+            n += 1
+
+    return write_files(products.select("product").mapInArrow(documents, "name string, content string"), root)
+
+
 def header_line(*fields: str, version_key: str = wire.VERSION_KEY) -> Column:
     """A header as a JSON line with sorted keys, nulls left out; fields are columns."""
     return F.to_json(F.struct(*_sorted_fields(version_key, fields)))

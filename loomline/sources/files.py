@@ -91,6 +91,11 @@ def size(uri: str) -> int:
     return info.size if info.type == pa.fs.FileType.File else 0
 
 
+def is_file(uri: str) -> bool:
+    fs, path = opened(uri)
+    return fs.get_file_info(path).type == pa.fs.FileType.File
+
+
 def append(uri: str, head: bytes, data: bytes) -> None:
     """Data at the end of a file, after the head where the file is new; for stores that can append."""
     fs, path = opened(uri)

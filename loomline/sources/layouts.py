@@ -7,13 +7,14 @@ import itertools
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.text import latest
-from loomline.sources import files, wire
+from loomline.sources import arrays, files, wire
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
 
@@ -164,15 +165,59 @@ def registry(spark: SparkSession, uri: str, group: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, version int, manifest_sha256 string, uri string")
 
 
-def products(spark: SparkSession, uri: str) -> DataFrame:
-    """(slug, name, revoked, created_at) of a products file; the key is dropped, and a malformed file is empty."""
+_PRODUCT = "slug string, name string, revoked boolean, created_at string"
+
+
+def _shown(value) -> str | None:
+    """A field as text; lone surrogates, which no text of Spark's has, become question marks."""
+    if value is None:
+        return None
+    text = json.dumps(value, default=str) if isinstance(value, bool | dict | list) else str(value)
+    return text.encode("utf-8", "replace").decode()
+
+
+def _roster(uri: str) -> Iterator[tuple]:
+    """The products of one document, JSON an entry at a time; the document is read twice, as an error at its end leaves nothing of it."""
     try:
-        found = document(uri) or []
-    except Exception:  # noqa: BLE001 - whatever a reader says of a malformed file
-        found = []
-    found = found.get("products", []) if isinstance(found, dict) else found
-    rows = [(p.get("slug"), p.get("name"), bool(p.get("revoked")), p.get("created_at")) for p in found if isinstance(p, dict)] if isinstance(found, list) else []
-    return spark.createDataFrame(rows, "slug string, name string, revoked boolean, created_at string")
+        first = arrays.Reader(uri).peek()
+        last = max((n for n, _ in arrays.entries(uri, "products")), default=-1) if first in ("[", "{") else None
+        if last is None:
+            found = document(uri) or []
+    except Exception as e:  # noqa: BLE001 - whatever a reader says of a malformed file
+        if isinstance(e, OSError) and not isinstance(e, FileNotFoundError):
+            raise
+        return
+    if last is None:
+        found = found.get("products", []) if isinstance(found, dict) else found
+        found = found if isinstance(found, list) else []
+    else:
+        found = (p for n, p in arrays.entries(uri, "products") if n == last)
+    for p in found:
+        if isinstance(p, dict):
+            yield _shown(p.get("slug")), _shown(p.get("name")), bool(p.get("revoked")), _shown(p.get("created_at"))
+
+
+def products(spark: SparkSession, uri: str) -> DataFrame:
+    """(slug, name, revoked, created_at) of a products file, or of all *.json files in a folder; the key is dropped, and a malformed file is empty.
+
+    Files are read in tasks, each by one.  What begins with a bracket is JSON,
+    and a task holds a few entries of it at a time; anything else is YAML, a
+    small document that its task holds whole.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column("path").to_pylist():
+                found = _roster(at)
+                while some := list(itertools.islice(found, 4096)):
+                    kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], [f.split()[0] for f in _PRODUCT.split(", ")])
+
+    if files.is_file(uri):
+        paths = spark.createDataFrame([(uri,)], "path string")
+    else:
+        paths = listing(spark, uri, ".json").select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return paths.mapInArrow(run, _PRODUCT)
 
 
 REPORT = "benchmark string, metric string, mean_score double, num_tasks int, num_missing int"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from loomline.functions import canonical, parsers
 from loomline.functions import documents as docs_of
 from loomline.operators import documents, fold, turns
+from loomline.plans import files as plans
 from loomline.sinks import http as posts
 from loomline.sinks import keyed, reports, shards
-from loomline.sources import files, host, layouts, wire
+from loomline.sources import arrays, files, host, layouts, wire
 from loomline.streaming import ingest
 
 
@@ -122,6 +123,64 @@ def test_malformed_small_documents_are_empty(spark, tmp_path):
     assert facts == {"name": "n", "metric": "exact_match"} and [tuple(r) for r in tasks.collect()] == [("1", "p", "r")]
 
 
+def test_entries_of_a_document_are_those_of_json_loads(tmp_path):
+    whole = ['[]', ' [1, -2.5e3 ,null,true,"a"] ', '{}', '{"a":[1],"products":[{"slug":"\\u00e9\\ud83d\\ude00é","x":[1,{"y":"]}\\\\\\""}]},5],"z":{}}', '{"products":[1],"products":[2,3]}', '{"products":[1],"products":7}', '{"products":[]}', '{"product\\u0073":[4]}', "[[[]],[{}]]", "[12345]"]
+    broken = ["", "[", "[1,]", "[1 2]", '{"products":[1]', '{"products":[1]}]', '{1:2}', '{"a":1,}', "[tru]", '["a]', "[1]x", "{[", '{"products" [1]}', '[{"a":1}}', "[NULL, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]"]
+    path = str(tmp_path / "p.json")
+    for step in (1, 2, 3, 7, 1 << 20):
+        for text in whole:
+            (tmp_path / "p.json").write_text(text)
+            doc = json.loads(text)
+            doc = doc.get("products") if isinstance(doc, dict) else doc
+            found = list(arrays.entries(path, "products", step))
+            last = max((n for n, _ in found), default=-1)
+            assert [x for n, x in found if n == last][1:] == (doc if isinstance(doc, list) else []), (text, step)
+        for text in broken:
+            (tmp_path / "p.json").write_text(text)
+            with pytest.raises(ValueError):
+                json.loads(text)
+            with pytest.raises(ValueError):
+                list(arrays.entries(path, "products", step))
+
+
+def test_rosters_are_files_and_folders_of_documents(spark, tmp_path):
+    def slugs(uri):
+        return sorted((r["slug"] or "", r["name"] or "", r["revoked"]) for r in layouts.products(spark, str(uri)).collect())
+
+    (tmp_path / "f/g").mkdir(parents=True)
+    (tmp_path / "f/a.json").write_text('{"products":[{"slug":"a","name":"A","api_key":"k"},7,{"slug":"b","revoked":true}]}')
+    (tmp_path / "f/g/b.json").write_text('[{"slug":"c","name":5}]')
+    (tmp_path / "f/cut.json").write_text('[{"slug":"d"},{"slug":')
+    (tmp_path / "f/other.txt").write_text('[{"slug":"e"}]')
+    (tmp_path / "f/y.json").write_text('products:\n  - {slug: y, name: Y}\n')
+    assert slugs(tmp_path / "f/a.json") == [("a", "A", False), ("b", "", True)]
+    assert [x for x in slugs(tmp_path / "f") if x[0] != "y"] == [("a", "A", False), ("b", "", True), ("c", "5", False)]
+    assert layouts.products(spark, str(tmp_path / "f")).columns == ["slug", "name", "revoked", "created_at"]
+    rows = spark.range(25).selectExpr("""'{"slug":"' || id || '"}' as product""")
+    written = shards.write_roster(rows.repartition(2), str(tmp_path / "w"), per_file=4).collect()
+    assert len(written) >= 7 and all(len(json.load(open(r["path"]))["products"]) <= 4 for r in written)
+    assert sorted(int(s) for s, _, _ in slugs(tmp_path / "w")) == list(range(25))
+
+
+def test_the_roster_does_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id as c_custkey", "'n' || id as c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    make = type(spark).createDataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("rows come to the driver")
+
+    def few(self, data, *a, **k):
+        assert not isinstance(data, list) or len(data) <= 1
+        return make(self, data, *a, **k)
+
+    with monkeypatch.context() as m:
+        for name in ("toLocalIterator", "collect", "toPandas"):
+            m.setattr(type(spark.range(0)), name, refused)
+        m.setattr(type(spark), "createDataFrame", few)
+        found = plans.QUERIES["products"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"p{k}", f"n{k}") for k in range(100) if k % 4)
+
+
 def test_a_bad_object_does_not_stop_the_sweep(spark, tmp_path):
     event = {"journey_id": "j", "seq": 0, "kind": "message", "ts": "t", "event_id": "e0", "message": {"role": "user", "content": "hi"}}
     (tmp_path / "k").mkdir()
