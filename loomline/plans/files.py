@@ -292,7 +292,7 @@ def registry_list(spark, sf):
 # A roster in documents of at most 10,000 products, written and read in tasks.
 @_query("select 'p' || c_custkey as slug, c_name as name from customer where c_custkey % 4 <> 0")
 def products(spark, sf):
-    c = table(spark, sf, "customer").select(F.to_json(F.struct(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_name").alias("name"), F.lit("k").alias("api_key"), (F.col("c_custkey") % 4 == 0).alias("revoked"))).alias("product"))
+    c = table(spark, sf, "customer").select(F.to_json(F.struct(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_name").alias("name"), F.lit("k").alias("api_key"), F.coalesce(F.col("c_custkey") % 4 == 0, F.lit(True)).alias("revoked"))).alias("product"))
     root = folder(spark, "products")
     shards.write_roster(c, root).write.format("noop").mode("overwrite").save()
     return catalog.active_products(layouts.products(spark, root)).select("slug", "name")

@@ -50,7 +50,7 @@ def write_roster(products: DataFrame, root: str, per_file: int = 10_000) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([f"products-{part:05d}-{n:05d}.json"]), pa.array(['{"products":[' + ",".join(some) + "]}"])], ["name", "content"])
             n += 1
 
-    return write_files(products.select("product").mapInArrow(documents, "name string, content string"), root)
+    return write_files(products.select("product").where("product is not null").mapInArrow(documents, "name string, content string"), root)
 
 
 def header_line(*fields: str, version_key: str = wire.VERSION_KEY) -> Column:

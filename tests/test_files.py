@@ -3,6 +3,7 @@ import http.server
 import json
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,12 @@ def test_the_roster_does_not_pass_through_the_driver(spark, tmp_path, monkeypatc
     assert sorted(tuple(r) for r in found.collect()) == sorted((f"p{k}", f"n{k}") for k in range(100) if k % 4)
 
 
+def test_a_customer_without_a_key_is_no_active_product(spark, tmp_path):
+    spark.createDataFrame([(None, "a"), (1, None), (-3, 'q"\\\n\u2028é'), (4, "d")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = duckdb.sql(plans.SQL["products"].replace("from customer", f"from '{tmp_path}/customer.parquet/*.parquet'")).fetchall()
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in plans.QUERIES["products"](spark, str(tmp_path)).collect())
+
+
 def test_a_bad_object_does_not_stop_the_sweep(spark, tmp_path):
     event = {"journey_id": "j", "seq": 0, "kind": "message", "ts": "t", "event_id": "e0", "message": {"role": "user", "content": "hi"}}
     (tmp_path / "k").mkdir()
