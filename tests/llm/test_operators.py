@@ -113,6 +113,52 @@ def test_suffix_classes_are_those_of_the_bytes(length):
     assert len(set(zip(labels, strings, strict=True))) == len(set(labels)) == len(set(strings)) < len(strings)
 
 
+def unlike_with_one_hash():
+    """Two texts of 400 bytes that differ in 128 of them, in a way that Rolling(0) doesn't see."""
+    a, b = "zkrgboem", "zylmvsnq"
+    for _ in range(4):
+        a, b = a + b, b + a
+    head = "yihdnjyrmvutraaipmqvsovuyrsbxzzohpugdxtzzikmbbvtdqqgyvfooyovxcagcwyatdkxgveghitazdzatpmpiduvbmopprpffuxkbmedvgglyswlbovthkhacoiyuaumtrym"
+    tail = "ecgnbcabiiceknoydfbztjbvfnkutwavnduxodytnbjhydxquioohfskyxfpsmgsuzgioclgmejkctitucseejbvvmnothoorpgizpwtbjclwdjgkbnbrcaxotlppueeqjxpwwpo"
+    return head + a + tail, head + b + tail
+
+
+def test_substring_dedup_keeps_texts_that_share_hashes_alone(spark):
+    one, two = unlike_with_one_hash()
+    rolling = suffixes.Rolling(0)
+    prefix = [rolling.prefix(np.frombuffer(t.encode(), np.uint8)) for t in (one, two)]
+    assert len({int(rolling.windows(x, 400)[0]) for x in prefix}) == 1 and len(one) == len(two) == 400 and one != two
+    rows = [(1, one), (2, two), (3, prose("a", 40) + one), (4, "x" + two + "y"), (5, prose("clean", 90))]
+    for part in (rows[:2], rows[:3], rows):
+        docs = spark.createDataFrame(part, "doc_id long, text string").repartition(2)
+        assert Counter(map(tuple, substring.substring_dedup(docs).collect())) == plain_substring_dedup(part)
+    assert not any(x[2] for x in plain_substring_dedup(rows[:2]))
+
+
+def test_runs_of_one_digest_and_other_bytes_are_not_settled():
+    piece = substring._Piece()
+    for tid, data in enumerate([b"one", b"two", b"two"]):
+        piece.add(7, (1, 1), tid, 0, 1, substring.SINGLE, data, b"")
+    assert piece.done == [(1, 0, 1), (2, 0, 1)] and [x[4:6] for x in piece.open.values()] == [[substring.SINGLE, b"one"], [substring.KNOWN, b"two"]]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 64])
+def test_suffix_classes_are_those_of_the_bytes_with_poor_digests(bits):
+    """Digests and ranks of a few bits join what is unlike; what is left equal is what has equal bytes."""
+    c, r, mask = suffixes.cover(62), random.Random(bits), np.uint64((1 << bits) - 1)
+    base = bytes(r.choice(b"ab") for _ in range(300))
+    texts = [base[x : x + 62 + r.randrange(90)] for x in (r.randrange(200) for _ in range(60))] + [bytes(r.choice(b"ab") for _ in range(90)) for _ in range(20)]
+    texts = [t for t in texts if len(t) >= c.length]
+    counts = np.array([len(t) - c.length + 1 for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    run, at, head, tail, rank = suffixes.Runs(c, suffixes.Rolling(0)).expand(np.zeros(len(texts), np.int64), counts, data, np.ones(sum(c.index(int(n) - 1) + c.width for n in counts), np.uint64))
+    head, tail = head & mask, tail & mask
+    strings = [texts[a][p : p + c.length] for a, p in zip(run.tolist(), at.tolist(), strict=True)]
+    where = np.cumsum([0, *map(len, texts)])[run] + at
+    labels = suffixes.verified(c, suffixes.classes(c, head, tail, at, rank), head, tail, data, where).tolist()
+    assert len(set(zip(labels, strings, strict=True))) == len(set(labels)) == len(set(strings)) < len(strings)
+
+
 def test_covers_hold_each_difference_once():
     for period, marks in suffixes.COVERS.items():
         differences = Counter((a - b) % period for a in marks for b in marks if a != b)
